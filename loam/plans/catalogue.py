@@ -1,0 +1,4 @@
+"""Registered queries and their SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
