@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, langid, packing, toxicity, url_filter, warc
+from . import cap_filters, common, decontamination, langid, ngram_join, packing, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(documents, model).select("doc_id", (common.crc32_fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents"), num=9, den=10, n=3)
+
+
 def tokenizer() -> tuple[str, str]:
     """Rank file and pattern of the public byte-level BPE."""
     import public_tokenizers
@@ -51,7 +55,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer())
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_url_filter, op4_warc, op5_toxicity, op6_language_id, op8_best_fit_packing)}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cap_filters.near(_table(spark, sf_dir, "embeddings"), least=0.98)
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = decontamination.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return decontamination.digest(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op2_url_filter, op4_warc, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_decontamination,
+)}
 
 
 def oracles() -> dict[str, str]:
