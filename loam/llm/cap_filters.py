@@ -1,7 +1,7 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions are the words of a structured random product code: after a random rotation, the dimensions fall into
-three blocks with random codewords each, and every triple of codewords is a direction. A vector belongs to the caps of all
+three blocks with random codewords each, and every triple of codewords is a direction; a few such codes are used. A vector belongs to the caps of all
 directions whose inner product with it exceeds a threshold; block scores and their maxima prune the list decoding. Equal
 labels that share a cap are candidates; they are verified by cosine in double precision. Equal vectors are one from the
 start. A pair is counted in the smallest cap that both share, so no list of pairs is ever made; large caps are cut into
@@ -21,33 +21,40 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = 32
-#: Caps that a vector is expected to lie in; the more, the higher the recall.
-CAPS = 24.0
+#: Product codes, each under a rotation of its own, as a vector may lie badly in one; and the caps of each code that a
+#: vector is expected to lie in. The more, the higher the recall.
+CODES = 8
+CAPS = 5.0
 CHUNK = 1500
 
 
-@lru_cache(maxsize=8)
-def code(dims: int, seed: int = 11) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
+@lru_cache(maxsize=64)
+def code(dims: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray], list[slice]]:
     """Rotation, codewords of each block, and the blocks."""
-    rng = np.random.default_rng((seed, dims))
+    rng = np.random.default_rng((seed, dims, words))
     q, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
     blocks = min(3, dims)
     cuts = [round(k * dims / blocks) for k in range(blocks + 1)]
     parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
     books = []
     for p in parts:
-        w = rng.standard_normal((WORDS, p.stop - p.start))
+        w = rng.standard_normal((words, p.stop - p.start))
         books.append(w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(blocks))
     return q, books, parts
 
 
-def decode(x: np.ndarray, caps: float = CAPS) -> tuple[np.ndarray, np.ndarray]:
+def decode_all(x: np.ndarray, caps: float = CAPS, words: int = 32, codes: int = CODES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, filter) over all codes; filters of different codes have different numbers."""
+    parts = [decode(x, k, caps, words) for k in range(codes)]
+    return np.concatenate([r for r, _ in parts]), np.concatenate([f + k * words**3 for k, (_, f) in enumerate(parts)])
+
+
+def decode(x: np.ndarray, seed: int, caps: float = CAPS, words: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) for every filter direction that exceeds the threshold, unit vectors as rows; each row has its best one at least."""
-    q, books, parts = code(x.shape[1])
+    q, books, parts = code(x.shape[1], words, seed)
     r = x @ q
     scores = [r[:, p] @ b.T for p, b in zip(parts, books, strict=True)]
-    t = NormalDist().inv_cdf(1 - min(0.5, caps / WORDS ** len(parts))) / math.sqrt(x.shape[1])
+    t = NormalDist().inv_cdf(1 - min(0.5, caps / words ** len(parts))) / math.sqrt(x.shape[1])
     best = sum(s.max(1) for s in scores)
     limit = np.minimum(t, best - 1e-12)
     row, filt, got = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
@@ -55,79 +62,141 @@ def decode(x: np.ndarray, caps: float = CAPS) -> tuple[np.ndarray, np.ndarray]:
         rest = sum((z.max(1) for z in scores[k + 1 :]), np.zeros(len(x)))
         total = got[:, None] + s[row]
         a, w = np.nonzero(total + rest[row, None] >= limit[row, None])
-        row, filt, got = row[a], filt[a] * WORDS + w, total[a, w]
+        row, filt, got = row[a], filt[a] * words + w, total[a, w]
     return row, filt
 
 
 def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest filter that each pair of padded ascending lists shares (-1 pads)."""
-    out = np.full(len(a), np.iinfo(np.int64).max)
-    for k in range(a.shape[1] - 1, -1, -1):
-        mine = a[:, k]
-        there = (b == mine[:, None]).any(1) & (mine >= 0)
-        out[there] = mine[there]
+    out = np.full(len(a), -1)
+    left = np.arange(len(a))
+    for k in range(a.shape[1]):
+        mine = a[left, k]
+        there = (b[left] == mine[:, None]).any(1) & (mine >= 0)
+        out[left[there]] = mine[there]
+        left = left[~there]
+        if not len(left):
+            break
     return out
 
 
-def pairs_in(x: np.ndarray, y: np.ndarray, least: float, same: bool):
-    """Indexes (i, j) of pairs with a cosine of at least `least`, a stripe of rows at a time; same: only i < j."""
-    for s in range(0, len(x), 256):
-        c = x[s : s + 256] @ y.T
-        i, j = np.nonzero(c >= least)
-        i += s
-        if same:
-            i, j = i[i < j], j[i < j]
-        for z in range(0, len(i), 20_000):
-            yield i[z : z + 20_000], j[z : z + 20_000]
-
-
-def _join(key, table, least):
-    """Links of one chunk pair of one cap: a row (u, null, links) for each linked vector and a forest of edges (u, v, null)."""
-    filt = key[2].as_py()
-    own = np.array(table.column("side").to_pylist(), np.int64)
-    ids, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
-    x = np.frombuffer(b"".join(v.as_py() for v in table.column("unit")), np.float64).reshape(len(ids), -1)
-    lists = [np.frombuffer(v.as_py(), np.int64) for v in table.column("caps")]
-    caps = np.full((len(ids), max(map(len, lists))), -1)
-    for k, v in enumerate(lists):
-        caps[k, : len(v)] = v
-    same = key[3].as_py() == key[4].as_py()
-    left, right = (np.arange(len(ids)),) * 2 if same else (np.flatnonzero(own == key[3].as_py()), np.flatnonzero(own == key[4].as_py()))
-    links, edges = np.zeros(len(ids), np.int64), []
-    parent = np.arange(len(ids))
-
-    def find(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
-
-    for i, j in pairs_in(x[left], x[right], least, same):
-        i, j = left[i], right[j]
-        mine = _first_common(caps[i], caps[j]) == filt
-        i, j = i[mine], j[mine]
-        np.add.at(links, i, weight[j])
-        np.add.at(links, j, weight[i])
-        while (parent[parent] != parent).any():
-            parent = parent[parent]
-        apart = parent[i] != parent[j]
-        for a, b in zip(i[apart].tolist(), j[apart].tolist(), strict=True):
-            p, q = find(a), find(b)
-            if p != q:
-                parent[p] = q
-                edges.append((ids[a], ids[b]))
-    k = np.flatnonzero(links)
-    u = np.concatenate([ids[k], np.array([a for a, _ in edges], np.int64)])
-    v = pa.array([None] * len(k) + [int(b) for _, b in edges], pa.int64())
-    n = pa.array([*links[k].tolist(), *[None] * len(edges)], pa.int64())
-    return pa.table([pa.array(u.astype(np.int64)), v, n], names=["u", "v", "links"])
-
-
-def _joiner(least: float):
-    def join(key, table):
-        return _join(key, table, least)
-
-    return join
+class _Links:
+    """What one task finds: links of each vector, and a spanning forest of the edges within each cell."""
+
+    def __init__(self, least: float):
+        self.least = least
+
+    def small(self, t: dict, cut: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Links (row, row) within many small cells at once; cut: first row of each cell."""
+        size = np.diff(cut)
+        later = np.repeat(cut[1:], size) - np.arange(cut[0], cut[-1]) - 1
+        upto = np.concatenate([[0], np.cumsum(later)])
+        out = []
+        for s in range(0, int(upto[-1]), 100_000):
+            k = np.arange(s, min(s + 100_000, int(upto[-1])))
+            a = np.searchsorted(upto, k, "right") - 1
+            b = a + 1 + k - upto[a]
+            out.append(self.own(t, *self.close(t, a + cut[0], b + cut[0])))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+    def close(self, t: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.einsum("ij,ij->i", t["x"][a], t["x"][b]) >= self.least
+        return a[ok], b[ok]
+
+    def own(self, t: dict, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Only pairs whose smallest shared cap is the one they were found in."""
+        ok = _first_common(t["caps"][a], t["caps"][b]) == t["filter"][a]
+        return a[ok], b[ok]
+
+    def large(self, t: dict, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links within one cell, or between its two sides."""
+        rows = np.arange(s, e)
+        same = t["i"][s] == t["j"][s]
+        left, right = (rows, rows) if same else (rows[t["side"][s:e] == t["i"][s]], rows[t["side"][s:e] == t["j"][s]])
+        out = []
+        for k in range(0, len(left), 256):
+            a, b = np.nonzero(t["x"][left[k : k + 256]] @ t["x"][right].T >= self.least)
+            a, b = left[a + k], right[b]
+            if same:
+                a, b = a[a < b], b[a < b]
+            out += [self.own(t, a[z : z + 20_000], b[z : z + 20_000]) for z in range(0, len(a), 20_000)]
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
+
+    def table(self, t: dict) -> pa.RecordBatch:
+        n = len(t["rep"])
+        fresh = np.ones(n, bool)
+        fresh[1:] = np.any([t[k][1:] != t[k][:-1] for k in ("cell", "i", "j")], axis=0)
+        cut = np.append(np.flatnonzero(fresh), n)
+        big = np.flatnonzero((np.diff(cut) > 64) | (t["i"][cut[:-1]] != t["j"][cut[:-1]]))
+        found, at = [], 0
+        for c in [*big.tolist(), len(cut) - 1]:
+            if c > at:
+                found.append(self.small(t, cut[at : c + 1]))
+            if c < len(cut) - 1:
+                found.append(self.large(t, int(cut[c]), int(cut[c + 1])))
+            at = c + 1
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        links = np.bincount(a, t["weight"][b], n) + np.bincount(b, t["weight"][a], n)
+        k = np.flatnonzero(links)
+        who, back = np.unique(t["rep"][k], return_inverse=True)
+        total = np.bincount(back, links[k], len(who)).astype(np.int64)
+        tree = [(x, r) for x, r in common.forest(zip(t["rep"][a].tolist(), t["rep"][b].tolist(), strict=True)).items() if x != r] if len(a) < 50_000 else self.sparse(t["rep"][a], t["rep"][b])
+        u = np.concatenate([who, np.array([x for x, _ in tree], np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array([None] * len(who) + [r for _, r in tree], pa.int64()), pa.array(total.tolist() + [None] * len(tree), pa.int64())], names=["u", "v", "links"])
+
+    @staticmethod
+    def sparse(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+        """The same for many edges: most fall away as their ends meet."""
+        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = at[: len(a)], at[len(a) :]
+        parent = np.arange(len(ids))
+        while len(a):
+            np.minimum.at(parent, np.maximum(parent[a], parent[b]), np.minimum(parent[a], parent[b]))
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+            apart = parent[a] != parent[b]
+            a, b = a[apart], b[apart]
+        return [(int(x), int(r)) for x, r in zip(ids, ids[parent], strict=True) if x != r]
+
+
+def _linker(least: float, single: bool):
+    def run(batches):
+        """Cells come sorted; the last one of a batch may go on in the next and is held back."""
+        links, held = _Links(least), None
+
+        def columns(table):
+            t = {k: table.column(k).to_numpy() for k in ("filter", "i", "j", "side", "rep", "weight", "cell")}
+            raw = np.frombuffer(b"".join(v.as_py() for v in table.column("raw")), np.float32 if single else np.float64).astype(np.float64)
+            t["x"] = raw.reshape(len(t["rep"]), -1)
+            t["x"] /= table.column("norm").to_numpy()[:, None]
+            lists = [np.frombuffer(v.as_py(), np.int32) for v in table.column("caps")]
+            t["caps"] = np.full((len(lists), max(map(len, lists))), -1, np.int64)
+            for k, v in enumerate(lists):
+                t["caps"][k, : len(v)] = v
+            return t
+
+        def split(table):
+            """Tables of one vector length each, without the last cell."""
+            last = table.num_rows - 1
+            cell, i, j = (table.column(k).to_numpy() for k in ("cell", "i", "j"))
+            k = int(np.argmax((cell == cell[last]) & (i == i[last]) & (j == j[last])))
+            return table.slice(0, k), table.slice(k)
+
+        def done(table):
+            dims = table.column("dims").to_numpy()
+            for d in np.unique(dims):
+                yield links.table(columns(table.filter(pa.array(dims == d))))
+
+        for b in batches:
+            if b.num_rows:
+                held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+                full, held = split(held)
+                if full.num_rows:
+                    yield from done(full)
+        if held is not None:
+            yield from done(held)
+
+    return run
 
 
 def near(vectors: DataFrame, least: float = 0.98, caps: float = CAPS, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", chunk: int = CHUNK) -> DataFrame:
@@ -147,31 +216,36 @@ def near(vectors: DataFrame, least: float = 0.98, caps: float = CAPS, id_col: st
     groups = v.where("good").groupBy("label", "same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min_by("e", "id").alias("e"), F.min_by("norm", "id").alias("norm"))
     groups = common.written(groups, "vectors")
 
+    words = int(min(256, max(32, round((groups.count() * 0.6) ** (1 / 3)))))  # caps hold about as many vectors at any size
+    single = dict(vectors.dtypes)[vec_col] == "array<float>"
+
     def caps_of(batches):
         for b in batches:
             size = b.column("dims").to_numpy()
             for d in np.unique(size).tolist():
                 part = b.filter(pa.array(size == d))
-                x = part.column("e").flatten().to_numpy().reshape(part.num_rows, d) / part.column("norm").to_numpy()[:, None]
-                row, filt = decode(x, caps)
+                x = part.column("e").flatten().to_numpy().reshape(part.num_rows, d)
+                row, filt = decode_all(x / part.column("norm").to_numpy()[:, None], caps, words)
                 order = np.lexsort((filt, row))
                 row, filt = row[order], filt[order]
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = [filt[a:z] for a, z in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("label"), part.column("dims"), part.column("rep"), part.column("weight"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([f.astype(np.int64).tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))],
-                    names=["label", "dims", "rep", "weight", "unit", "caps", "filters"],
-                )
+                raw = pa.array([r.tobytes() for r in (x.astype(np.float32) if single else x)], pa.binary())
+                kept = [part.column(k) for k in ("label", "tag", "dims", "rep", "weight", "norm")]
+                yield pa.RecordBatch.from_arrays([*kept, raw, pa.array([f.astype(np.int32).tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))], names=["label", "tag", "dims", "rep", "weight", "norm", "raw", "caps", "filters"])
 
     kind = dict(groups.dtypes)["label"]
-    listed = common.written(groups.select("label", F.size("e").alias("dims"), "rep", "weight", "e", "norm").mapInArrow(caps_of, f"label {kind}, dims int, rep long, weight long, unit binary, caps binary, filters array<bigint>"), "caps")
-    at = listed.select("label", "dims", "rep", F.explode("filters").alias("filter"))
-    sizes = at.groupBy("label", "dims", "filter").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = listed.select("label", "dims", "rep", "weight", "unit", "caps", F.explode("filters").alias("filter")).join(sizes, ["label", "dims", "filter"])
-    cells = cells.withColumn("c", F.ceil(F.col("n") / chunk).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
+    tagged = groups.select("label", F.xxhash64("same").alias("tag"), F.size("e").alias("dims"), "rep", "weight", "norm", "e")
+    listed = common.written(tagged.mapInArrow(caps_of, f"label {kind}, tag long, dims int, rep long, weight long, norm double, raw binary, caps binary, filters array<bigint>"), "caps")
+    at = listed.select("tag", "rep", "dims", F.explode("filters").alias("filter"), F.xxhash64("label", "dims").alias("of")).withColumn("cell", F.xxhash64("of", "filter"))
+    sizes = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    cells = at.join(sizes, "cell").withColumn("c", F.ceil(F.col("n") / chunk).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep", "tag"), F.col("c")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    cells = cells.select("label", "dims", "filter", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "weight", "unit", "caps")
-    found = common.written(cells.groupBy("label", "dims", "filter", "i", "j").applyInArrow(_joiner(least), "u long, v long, links long"), "links")
+    cells = cells.select("cell", "filter", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "tag")
+    cells = cells.join(listed.select("rep", "tag", "dims", "weight", "norm", "raw", "caps"), ["rep", "tag"])
+    order = ["cell", "i", "j"]
+    sorted_ = cells.repartition(common.parallelism(spark), *order).sortWithinPartitions(*order)
+    found = common.written(sorted_.mapInArrow(_linker(least, single), "u long, v long, links long"), "links")
     part = common.components(found.where("v is not null"), "u", "v")
     links = found.where("links is not null").groupBy("u").agg(F.sum("links").alias("links"))
     of_group = groups.select("label", "same", "rep", "weight").join(part.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("u", "rep"), "rep", "left")
