@@ -97,7 +97,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
     key = "inverse" if inverse else "plain"
-    if len(_powers.get(key, ())) < n:
+    if key not in _powers or len(_powers[key]) < n:
         p = np.full(max(n, 1 << 16), _RINV if inverse else _R, np.uint64)
         p[0] = 1
         _powers[key] = np.cumprod(p)

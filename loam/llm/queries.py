@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, common, decontamination, langid, ngram_join, packing, toxicity, url_filter, warc
+from . import cap_filters, common, decontamination, html_extract, langid, ngram_join, packing, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.train(url_filter.LABELLED))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.roundtrip(_table(spark, sf_dir, "pages"), min_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -65,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_url_filter, op4_warc, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_decontamination,
+    op2_url_filter, op3_html_extraction, op4_warc, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_decontamination,
 )}
 
 
