@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; they bound what a worker holds.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

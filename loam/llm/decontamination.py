@@ -22,9 +22,9 @@ from .suffix import FMIndex
 
 WINDOW = 13
 #: Words of one index; a longer document still is one index.
-SHARD_WORDS = 4_000_000
+SHARD_WORDS = 500_000
 #: Rows located at a time.
-LOCATE = 1 << 20
+LOCATE = 1 << 18
 
 
 @dataclass(frozen=True)
