@@ -127,6 +127,23 @@ def train(documents: DataFrame, may_learn: Column, id_col: str = "doc_id", text_
     return fit(c[order], [languages[k] for k in order])
 
 
+def judge(data: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the language, cosine, rejected) of each text; the index after the last language is 'und'."""
+    n = len(off) - 1
+    alpha = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data | 32 >= 97) & (data | 32 <= 122) & (data < 128), out=alpha[1:])
+    letters = alpha[off[1:]] > alpha[off[:-1]]
+    for k in np.flatnonzero(~letters & (np.diff(off) > 0)):
+        letters[k] = _letters(data[off[k] : off[k + 1]].tobytes())
+    if not len(model.of):
+        return np.zeros(n, int), np.zeros(n), np.ones(n, bool)
+    cos = vectors(counts(data, off), model.idf) @ model.centroids.T
+    best = cos.argmax(1)
+    lang = np.where(letters, model.of[best], len(model.languages))
+    score = np.where(letters, np.clip(cos[np.arange(n), best].astype(np.float64), 0, 1), 0.0)
+    return lang, score, ~letters | (score < np.append(model.floor, 2)[lang])
+
+
 def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) for every row; score: the best cosine.
 
@@ -140,22 +157,22 @@ def predict(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col
         for b in batches:
             for s in range(0, b.num_rows, _CHUNK):
                 part = b.slice(s, _CHUNK)
-                data, off = common.utf8(part.column(1))
-                n = part.num_rows
-                alpha = np.zeros(len(data) + 1, np.int64)
-                np.cumsum((data | 32 >= 97) & (data | 32 <= 122) & (data < 128), out=alpha[1:])
-                letters = alpha[off[1:]] > alpha[off[:-1]]
-                for k in np.flatnonzero(~letters & (np.diff(off) > 0)):
-                    letters[k] = _letters(data[off[k] : off[k + 1]].tobytes())
-                if len(model.of):
-                    cos = vectors(counts(data, off), model.idf) @ model.centroids.T
-                    best = cos.argmax(1)
-                    score, lang = np.clip(cos[np.arange(n), best].astype(np.float64), 0, 1), model.of[best]
-                    lang, score = np.where(letters, lang, len(model.languages)), np.where(letters, score, 0.0)
-                    rejected = ~letters | (score < np.append(model.floor, 2)[lang])
-                else:
-                    lang, score, rejected = np.zeros(n, int), np.zeros(n), np.ones(n, bool)
+                lang, score, rejected = judge(*common.utf8(part.column(1)), model)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names[lang], pa.string()), pa.array(score), pa.array(rejected)], names=[id_col, "lang_pred", "score", "rejected"])
 
     kind = dict(documents.dtypes)[id_col]
     return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+
+
+def accepted(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, all columns as they are, that predict() does not reject."""
+    common.prepare(documents.sparkSession)
+    at = documents.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, _CHUNK):
+                part = b.slice(s, _CHUNK)
+                yield part.filter(pa.array(~judge(*common.utf8(part.column(at)), model)[2]))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -11,13 +11,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, common, decontamination, html_extract, langid, ngram_join, packing, toxicity, url_filter, warc
+from . import cap_filters, common, decontamination, html_extract, langid, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(_table(spark, sf_dir, "documents"), window=100)
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.RULES, url_filter.train(url_filter.LABELLED))
 
@@ -69,7 +73,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_url_filter, op3_html_extraction, op4_warc, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_decontamination,
+    op1_suffix_array_dedup, op2_url_filter, op3_html_extraction, op4_warc, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_decontamination,
 )}
 
 
