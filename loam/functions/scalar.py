@@ -211,9 +211,8 @@ def link_target(raw: Column) -> Column:
 
 
 def parsed_json(text: Column, schema: str) -> Column:
-    """A JSON document, bare or within code fences; null if neither parses."""
-    fenced = F.regexp_replace(text, r"^\s*```(?:json)?\s*|\s*```\s*$", "")
-    return F.coalesce(F.from_json(text, schema), F.from_json(fenced, schema))
+    """A JSON document, bare or within code fences."""
+    return F.from_json(F.regexp_replace(text, r"^\s*```(?:json)?\s*|\s*```\s*$", ""), schema)
 
 
 def short_id(h: Column) -> Column:

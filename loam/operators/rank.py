@@ -111,49 +111,58 @@ def first_of_id(scored: DataFrame) -> DataFrame:
     return scored.drop("type", "path", "content").join(first, "id").select("*", "a_.type", "a_.path", "a_.content").drop("a_")
 
 
-def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None) -> DataFrame:
-    """(rank, id, tokens, status): selected or excluded, in order of score and ord.
+def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None, chunk: int = 10_000) -> DataFrame:
+    """(ord, score, id, tokens, status): selected or excluded, in order of score and ord; what comes after the budget is used up is neither.
 
-    What is scanned after the budget is used up is neither. An architecture text comes first, cut to a quarter of the
-    budget. The scan needs its candidates in one array, so only (tokens, id) of those that can matter get there: the order
-    is total, and once so many rows are selected that even one token each uses up the budget, the scan must have ended or
-    everything since was refused; those rows are told apart by the same rule without the array.
+    An architecture text comes first, cut to a quarter of the budget. The scan is sequential, but it looks only at rows
+    that still fit: a chunk of the best of them at a time is taken to the driver, and what is selected there (one row for
+    each token of the budget at most) tells all other rows apart by comparison, where they are.
     """
-    used0, limit = 0, budget
+    used, limit = 0, budget
     if architecture is not None:
-        tokens = -(-len(architecture) // 4)
-        quarter = budget // 4
+        tokens, quarter = -(-len(architecture) // 4), budget // 4
         if tokens <= quarter:
-            used0 = tokens
+            used = tokens
         else:
             cut = architecture[: quarter * 4] + scalar.TRUNCATED if len(architecture) > quarter * 4 else architecture
-            used0 = -(-len(cut) // 4)
-            limit = budget - quarter + used0
-    rows = scored.select(F.struct((-F.col("score")).alias("s"), "ord", "id", scalar.token_count(F.col("content")).alias("t")).alias("r"))
-    empty = F.struct(F.lit(used0).cast("long").alias("used"), F.array().cast("array<string>").alias("status"))
-
-    def step(acc: Column, r: Column) -> Column:
-        over, fits = acc["used"] >= budget, acc["used"] + r["t"] <= limit
-        status = F.when(over, "unreached").when(fits, "selected").otherwise("excluded")
-        return F.struct((acc["used"] + F.when(~over & fits, r["t"]).otherwise(F.lit(0))).cast("long").alias("used"), F.concat(acc["status"], F.array(status)).alias("status"))
-
-    one = rows.agg(F.array_sort(F.collect_list("r")).alias("rs")).select("rs", F.aggregate("rs", empty, step).alias("f"))
-    out = one.select(F.posexplode(F.arrays_zip("rs", F.col("f.status").alias("status"))).alias("rank", "x"))
-    return out.select("rank", F.col("x.rs.id").alias("id"), F.col("x.rs.t").alias("tokens"), F.col("x.status").alias("status")).where("status <> 'unreached'")
+            used = -(-len(cut) // 4)
+            limit = budget - quarter + used
+    rows = scored.select("ord", "score", "id", scalar.token_count(F.col("content")).alias("tokens"))
+    after = lambda score, ord_: (F.col("score") < score) | ((F.col("score") == score) & (F.col("ord") > ord_))
+    chosen, last, stop = [], None, None
+    if used >= budget:
+        return rows.limit(0).withColumn("status", F.lit("excluded"))
+    while stop is None:
+        fit = rows.where((F.col("tokens") > 0) & (F.col("tokens") <= limit - used))
+        best = (fit if last is None else fit.where(after(*last))).orderBy(F.desc("score"), "ord").limit(chunk).collect()
+        for r in best:
+            last = (r["score"], r["ord"])
+            if used + r["tokens"] <= limit:
+                used += r["tokens"]
+                chosen.append(last)
+                if used >= budget:
+                    stop = last
+                    break
+        if len(best) < chunk:
+            break
+    reached = rows if stop is None else rows.where(~after(*stop))
+    picked = scored.sparkSession.createDataFrame(chosen, scored.select("score", "ord").schema).withColumn("took", F.lit(True))
+    status = F.when(F.coalesce("took", F.col("tokens") == 0), "selected").otherwise("excluded")
+    return reached.join(F.broadcast(picked), ["score", "ord"], "left").select("ord", "score", "id", "tokens", status.alias("status"))
 
 
 def sections(filled: DataFrame, scored: DataFrame) -> DataFrame:
-    """Selected rows with their section; types that no section shows have none."""
-    best = scored.groupBy("id").agg(F.max("score").alias("score"), F.min_by("type", "ord").alias("type"), F.min_by("path", "ord").alias("path"))
+    """Selected rows with their section; types that no section shows have none. An id counts by its best score."""
+    best = scored.groupBy("id").agg(F.max("score").alias("best"), F.min_by("type", "ord").alias("type"), F.min_by("path", "ord").alias("path"))
     s = F.col("type")
-    section = F.when((s == "module_summary") & (F.col("score") > 0.4), "primary").when(s == "module_summary", "supporting").when(s == "execution_flow", "flows").when(s == "gotcha_entry", "gotchas")
-    return filled.where("status = 'selected'").join(best, "id").select("rank", "id", "path", "type", "score", section.alias("section"))
+    section = F.when((s == "module_summary") & (F.col("best") > 0.4), "primary").when(s == "module_summary", "supporting").when(s == "execution_flow", "flows").when(s == "gotcha_entry", "gotchas")
+    return filled.where("status = 'selected'").join(best, "id").select("ord", "score", "id", "path", "type", section.alias("section"))
 
 
 def package(sectioned: DataFrame, contents: DataFrame, form: str = "json", architecture: str | None = None) -> DataFrame:
     """One row of text of the whole package: json, compact or text. contents: (id, content)."""
     rows = sectioned.where("section is not null").join(contents.groupBy("id").agg(F.first("content").alias("content")), "id")
-    of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct("rank", "path", "content")))), lambda x: F.struct(x["path"].alias("path"), x["content"].alias("content")))
+    of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("score")).alias("s"), "ord", "path", "content")))), lambda x: F.struct(x["path"].alias("path"), x["content"].alias("content")))
     one = rows.agg(*[of(s).alias(s) for s in ("primary", "supporting", "flows", "gotchas")])
     if form == "json":
         only = lambda c: F.transform(c, lambda x: x["content"]).alias(c)

@@ -443,19 +443,19 @@ def relevance_with_targets(spark, sf_dir):
 
 def fill_sql(budget: int) -> str:
     return f"""WITH RECURSIVE {relevance_sql(False)}, firsts AS (SELECT id, min_by(content, ord) AS c, min_by(type, ord) AS ty FROM scored GROUP BY id),
-s AS (SELECT row_number() OVER (ORDER BY score DESC, ord) AS rn, id, CAST(ceil(length(c) / 4.0) AS BIGINT) AS t, ty, score FROM scored JOIN firsts USING (id)),
+s AS (SELECT row_number() OVER (ORDER BY score DESC, ord) AS rn, ord, id, CAST(ceil(length(c) / 4.0) AS BIGINT) AS t, ty, score FROM scored JOIN firsts USING (id)),
 f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, 'start' AS status UNION ALL SELECT s.rn, CASE WHEN f.used < {budget} AND f.used + s.t <= {budget} THEN f.used + s.t ELSE f.used END, CASE WHEN f.used >= {budget} THEN 'unreached' WHEN f.used + s.t <= {budget} THEN 'selected' ELSE 'excluded' END FROM f JOIN s ON s.rn = f.rn + 1)"""
 
 
-@query(fill_sql(30000) + " SELECT CAST(rn - 1 AS BIGINT) AS rank, id, t AS tokens, status FROM f JOIN s USING (rn) WHERE status <> 'unreached'")
+@query(fill_sql(30000) + " SELECT ord, id, t AS tokens, status FROM f JOIN s USING (rn) WHERE status <> 'unreached'")
 def budget_fill(spark, sf_dir):
-    return rank.fill_budget(rank.first_of_id(_scored(spark, sf_dir)), 30000).select(F.col("rank").cast("long").alias("rank"), "id", "tokens", "status")
+    return rank.fill_budget(rank.first_of_id(_scored(spark, sf_dir)), 30000).select("ord", "id", "tokens", "status")
 
 
-@query(fill_sql(30000) + ", best AS (SELECT id, max(score) AS score FROM s GROUP BY id) SELECT CAST(rn - 1 AS BIGINT) AS rank, s.id, CASE WHEN ty = 'module_summary' AND best.score > 0.4 THEN 'primary' WHEN ty = 'module_summary' THEN 'supporting' WHEN ty = 'execution_flow' THEN 'flows' WHEN ty = 'gotcha_entry' THEN 'gotchas' END AS section FROM f JOIN s USING (rn) JOIN best ON best.id = s.id WHERE status = 'selected'")
+@query(fill_sql(30000) + ", best AS (SELECT id, max(score) AS score FROM s GROUP BY id) SELECT ord, s.id, CASE WHEN ty = 'module_summary' AND best.score > 0.4 THEN 'primary' WHEN ty = 'module_summary' THEN 'supporting' WHEN ty = 'execution_flow' THEN 'flows' WHEN ty = 'gotcha_entry' THEN 'gotchas' END AS section FROM f JOIN s USING (rn) JOIN best ON best.id = s.id WHERE status = 'selected'")
 def context_sections(spark, sf_dir):
     s = rank.first_of_id(_scored(spark, sf_dir))
-    return rank.sections(rank.fill_budget(s, 30000), s).select(F.col("rank").cast("long").alias("rank"), "id", "section")
+    return rank.sections(rank.fill_budget(s, 30000), s).select("ord", "id", "section")
 
 
 @query()
