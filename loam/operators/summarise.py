@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
+from loam.sources.ship import ship
 
 Provider = Callable[[str, str, int, float], str]
 REGISTRY: dict[str, Provider] = {}
@@ -65,6 +66,7 @@ def module_prompt(files: DataFrame, max_tokens: int = 2000) -> DataFrame:
 def run(prompts: DataFrame, name: str | Provider = "extract", system: str = "Summarise this module.", max_tokens: int = 2000, temperature: float = 0.2) -> DataFrame:
     """(path, content): a provider's answer to each prompt; a call that fails for good gives null."""
     call = REGISTRY[name] if isinstance(name, str) else name
+    ship(prompts.sparkSession)
 
     def batches(it):
         for b in it:
