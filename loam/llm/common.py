@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 import zlib
@@ -12,13 +14,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loam.sources.ship import ship
+
 #: Rows and bytes of one Arrow batch handed to a Python worker; they bound what a worker holds.
-BATCH_ROWS = 2000
-BATCH_BYTES = 4 << 20
+BATCH_ROWS = 500
+BATCH_BYTES = 2 << 20
+
+
+def _give_memory_back() -> None:
+    """Large arrays go back to the system as they are freed, as Python workers are kept from stage to stage."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    if sys.platform.startswith("linux"):
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "mallopt"):
+            libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+
+
+_give_memory_back()
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound the Arrow batches of this session, so that long texts do not add up in a worker."""
+    """Bound the Arrow batches of this session, so that long texts do not add up in a worker, and ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
@@ -195,6 +213,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Alternating large and small stars; the edges are first contracted within partitions, each round ends in a written
     table, and no list of nodes ever reaches the driver. A loop or null edge is ignored.
     """
+    prepare(edges.sparkSession)
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = written(e.mapInArrow(_contract, "u long, v long"), "edges")
     before = None

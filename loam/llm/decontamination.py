@@ -22,7 +22,7 @@ from .suffix import FMIndex
 
 WINDOW = 13
 #: Words of one index; a longer document still is one index.
-SHARD_WORDS = 500_000
+SHARD_WORDS = 250_000
 #: Rows located at a time.
 LOCATE = 1 << 18
 

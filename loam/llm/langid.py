@@ -19,7 +19,7 @@ from . import common
 
 DIMS = 8192
 #: Labelled texts of each language that the fit looks at, chosen by a hash of the id; the bound of what reaches the driver.
-SAMPLE = 800
+SAMPLE = 400
 CENTROIDS = 4
 UNKNOWN = "und"
 _CHUNK = 128

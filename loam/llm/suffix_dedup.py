@@ -28,8 +28,8 @@ from . import common, induced
 WINDOW = 100
 KMER = 32
 #: Windows scanned at a time, and bytes of one suffix array: a shard of more is sorted in groups of whole anchors.
-PIECE = 1 << 20
-SHARD = 4 << 20
+PIECE = 1 << 19
+SHARD = 2 << 20
 _U = np.uint64
 
 
