@@ -4,10 +4,11 @@ Each document is its set of distinct word shingles. Two link when their Jaccard
 links are the result. Identical sets are one from the start (set_id is a hash of the set), and no pair of equal ones is
 ever made.
 
-Candidates. In a size band with sets of at most u shingles, two that link differ in at most d shingles. Their shingles are
-hashed into m = d + slack groups, so at least `slack` groups are the same in both. Every set gives a key for each group
-(what the group holds); those who share a key are candidates and come into one block. Empty groups give a key only if a
-set has at least `slack` of them; a pair that both have fewer share a non-empty group. Nothing that links is lost.
+Candidates. Shingles have one global order: those seen often in a small sample come last, else a hash decides. Two sets
+that link share one of their first size - ceil(share * size) + 1 shingles, so each set is listed under those keys. Two on
+a list are candidates unless their sizes, or the shingles left after the shared one, rule out the overlap a link needs,
+or the summed minima of their count vectors do; candidates that hang together are a block. A list of more than PAIRS sets
+gives what holds its candidates together instead of all pairs. Nothing that links is lost, whatever the sample says.
 
 Verification. Within a block, sets are points: how many of their shingles fall into each of GROUPS hash groups. The
 overlap of two is at most the sum of coordinate minima; an R-tree whose nodes carry coordinate maxima and the least size
@@ -29,8 +30,7 @@ LEAF = 32
 #: Sets compared in one task at most.
 CHUNK = 600
 _U = np.uint64
-_K = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
-_EMPTY = _U(0xA0761D6478BD642F)
+_K = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25], np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 3, parting: np.ndarray = common.SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -62,60 +62,23 @@ def set_ids(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, common.mix((c[at[1:]] - c[at[:-1]]) ^ (size * _K[3])), _U(0)).view(np.int64)
 
 
-def band_limits(largest: int) -> np.ndarray:
-    """First size of each band, up to beyond the largest."""
-    out = [1]
-    while out[-1] <= largest:
-        out.append(max(out[-1] + 1, out[-1] * 5 // 4))
-    return np.array([*out, max(out[-1] + 1, out[-1] * 5 // 4)], np.int64)
+def keys(s: np.ndarray, at: np.ndarray, num: int, den: int, common_hash: np.ndarray, common_count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, index of the set, shingles left from it on in the global order) for all that a set is listed under."""
+    size = np.diff(at)
+    own = np.repeat(np.arange(len(size)), size)
+    weight = np.zeros(len(s), np.int64)
+    if len(common_hash):
+        k = np.minimum(np.searchsorted(common_hash, s), len(common_hash) - 1)
+        weight = np.where(common_hash[k] == s, common_count[k], 0)
+    order = np.lexsort((s, weight, own))
+    place = np.arange(len(s)) - at[own]
+    ok = place < (size + (-num * size // den) + 1)[own]
+    return s[order[ok]], own[ok], size[own[ok]] - place[ok]
 
 
-def group_plan(u: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(groups, slack) for a band whose largest set has u shingles; links have a similarity of num/den at least."""
-    d = 2 * u * (den - num) // (den + num)
-    slack = 3 + d // 100
-    return np.where(d > 0, d + slack, 0), slack
-
-
-def keys(s: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the set) for each group of each set, in its own band and, where a partner may be there, the next."""
-    size = np.diff(at)
-    limits = band_limits(int(size.max(initial=1)))
-    band = np.searchsorted(limits, size, "right") - 1
-    out_k, out_i = [], []
-    for up in (0, 1):
-        mine = np.flatnonzero((size > 0) if not up else (size > 0) & (den * size >= num * limits[band + 1]))
-        b = band[mine] + up
-        far = np.append(limits, max(limits[-1] + 1, limits[-1] * 5 // 4))
-        m, slack = group_plan(far[b + 1] - 1, num, den)
-        ok = m > 0
-        mine, b, m, slack = mine[ok], b[ok], m[ok], slack[ok]
-        if not len(mine):
-            continue
-        base = np.concatenate([[0], np.cumsum(m)])
-        n = size[mine]
-        row = np.repeat(np.arange(len(mine)), n)
-        src = np.repeat(at[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        h = s[src]
-        group = ((common.mix(h ^ _K[4]) >> _U(33)) % m[row].astype(np.uint64)).astype(np.int64)
-        slot = base[row] + group
-        order = np.argsort(slot, kind="stable")
-        slot = slot[order]
-        c = np.concatenate([[_U(0)], np.cumsum(common.mix(h[order] + _K[0]))]).astype(np.uint64)
-        cut = np.searchsorted(slot, np.arange(base[-1] + 1))
-        total = c[cut[1:]] - c[cut[:-1]]
-        empty = cut[1:] == cut[:-1]
-        total[empty] = _EMPTY
-        owner = np.repeat(np.arange(len(mine)), m)
-        empties = np.add.reduceat(empty.astype(np.int64), base[:-1])
-        give = ~empty | (empties >= slack)[owner]
-        j = np.arange(int(base[-1])) - base[owner]
-        key = common.mix(total + common.mix((b[owner] * 1_000_003 + j).astype(np.uint64) * _K[1]))
-        out_k.append(key[give])
-        out_i.append(mine[owner[give]])
-    if not out_k:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(out_k), np.concatenate(out_i)
+def may_link(size_a, left_a, size_b, left_b, num: int, den: int):
+    """Whether sets that share a shingle can reach the overlap a link needs, by what is left from it on in each."""
+    return (num + den) * np.minimum(left_a, left_b) >= num * (size_a + size_b)
 
 
 class RTree:
@@ -185,68 +148,144 @@ def join_block(ids: list[int], sets: list[np.ndarray], asks: np.ndarray, star: n
     return out
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("bucket", pa.int32()), ("keys", pa.binary()), ("sets", pa.binary())])
+_FIRST = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("bucket", pa.int32()), ("listed", pa.binary())])
+_LISTED = np.dtype([("key", "<u8"), ("set", "<i8"), ("size", "<i4"), ("left", "<i4")])
+#: Documents of the sample that the order of shingles comes from, and shingles of it that are kept; bounds of what the driver holds.
+SAMPLE, FREQUENT = 16_000, 400_000
+#: Sets under one key that are compared by pairs of entries; more are one block. Up to PAIRS of them give their pairs.
+PAIRED, PAIRS = 2000, 64
+
+
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that come twice or more in a sample by a hash of the id; they only make the order better."""
+    total = docs.count()
+    if not total:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def run(batches):
+        for b in batches:
+            s, _ = shingle_sets(*common.utf8(b.column(0)), n)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
+
+    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < SAMPLE / total * 1_000_003)
+    rows = part.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
+    h = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.array([r["n"] for r in rows], np.int64)[order]
+
 
+def _first_pass(n: int, num: int, den: int, buckets: int, common_hash: np.ndarray, common_count: np.ndarray):
+    import zstandard
 
-def _first_pass(n: int, num: int, den: int, buckets: int):
     def run(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
             data, off = common.utf8(b.column(1))
             s, at = shingle_sets(data, off, n)
-            ids = set_ids(s, at)
+            ids, sizes = set_ids(s, at), np.diff(at)
             rows = b.num_rows
             nulls = lambda k, t: pa.nulls(k, t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(np.diff(at)), nulls(rows, pa.int32()), nulls(rows, pa.binary()), nulls(rows, pa.binary())], schema=_FIRST)
-            _, once = np.unique(ids, return_index=True)  # equal sets of a batch give their keys once
+            counts = [c.tobytes() for c in count_vectors([s[x:y] for x, y in zip(at, at[1:], strict=False)]).astype("<u4")]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(sizes), pa.array(counts, pa.binary()), nulls(rows, pa.int32()), nulls(rows, pa.binary())], schema=_FIRST)
+            _, once = np.unique(ids, return_index=True)  # equal sets of a batch are listed once
             once = np.sort(once)
-            size = np.diff(at)[once]
+            size = sizes[once]
             src = np.repeat(at[once] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-            k, i = keys(s[src], np.concatenate([[0], np.cumsum(size)]), num, den)
+            k, i, left = keys(s[src], np.concatenate([[0], np.cumsum(size)]), num, den, common_hash, common_count)
             if len(k):
                 to = (k >> _U(40)).astype(np.int64) % buckets
                 order = np.argsort(to, kind="stable")
-                k, i, to = k[order], ids[once][i[order]], to[order]
-                there, cut = np.unique(to, return_index=True)
-                cut = np.append(cut, len(k))
+                there, cut = np.unique(to[order], return_index=True)
+                blobs = []
+                for part in np.split(order, cut[1:]):
+                    columns = (k[part], ids[once][i[part]], size[i[part]].astype("<i4"), left[part].astype("<i4"))
+                    blobs.append(z.compress(b"".join(c.tobytes() for c in columns)))
                 m = len(there)
-                yield pa.RecordBatch.from_arrays(
-                    [nulls(m, pa.int64()), nulls(m, pa.int64()), nulls(m, pa.int64()), pa.array(there, pa.int32()), pa.array([k[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary()), pa.array([i[x:y].tobytes() for x, y in zip(cut, cut[1:], strict=False)], pa.binary())], schema=_FIRST
-                )
+                yield pa.RecordBatch.from_arrays([nulls(m, pa.int64()), nulls(m, pa.int64()), nulls(m, pa.int64()), nulls(m, pa.binary()), pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], schema=_FIRST)
 
     return run
 
 
-def _share_keys(batches):
-    """Star edges between the sets of each key. Held: one entry for each distinct key of the partition, however many share it."""
-    known, rep = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    held_k, held_s, size = [], [], 0
-
-    def flush():
-        nonlocal known, rep, held_k, held_s, size
-        k, s = np.concatenate([known, *held_k]), np.concatenate([rep, *held_s])
-        order = np.argsort(k, kind="stable")  # known keys stay first of their group
-        k, s = k[order], s[order]
-        fresh = np.ones(len(k), bool)
-        fresh[1:] = k[1:] != k[:-1]
-        first = np.maximum.accumulate(np.where(fresh, np.arange(len(k)), 0))
-        u, v = s, s[first]
-        ok = u != v
-        pair = np.unique(np.stack([u[ok], v[ok]]), axis=1)
-        known, rep = k[fresh], s[fresh]
-        held_k, held_s, size = [], [], 0
-        return pair
-
-    for b in batches:
-        for k, s in zip(b.column("keys"), b.column("sets"), strict=True):
-            held_k.append(np.frombuffer(k.as_buffer(), np.uint64))
-            held_s.append(np.frombuffer(s.as_buffer(), np.int64))
-            size += len(held_k[-1])
-        if size >= 2_000_000:
-            pair = flush()
-            yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
-    if size:
-        pair = flush()
-        yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], names=["u", "v"])
+def _unlisted(raw: bytes) -> np.ndarray:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(raw)
+    out, at = np.empty(len(plain) // _LISTED.itemsize, _LISTED), 0
+    for name in _LISTED.names:
+        out[name] = np.frombuffer(plain, _LISTED[name], len(out), at)
+        at += len(out) * _LISTED[name].itemsize
+    return out
+
+
+def candidate_edges(e: np.ndarray, num: int, den: int, pairs: int = PAIRS, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs, edges), 2 x n each: all candidates of short lists; what holds those of long ones together. e: entries of whole keys."""
+    e = e[np.lexsort((e["set"], e["key"]))]
+    fresh = np.ones(len(e), bool)
+    fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["set"][1:] != e["set"][:-1])
+    e = e[fresh]
+    fresh = np.ones(len(e), bool)
+    fresh[1:] = e["key"][1:] != e["key"][:-1]
+    first = np.flatnonzero(fresh)
+    count = np.diff(np.append(first, len(e)))
+    none = np.zeros((2, 0), np.int64)
+    out, held = [none], [none]
+    few = first[(count > 1) & (count <= pairs)]
+    n = count[(count > 1) & (count <= pairs)]
+    if len(n):
+        row = np.repeat(few - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
+        later = np.repeat(few + n, n) - row - 1
+        upto = np.concatenate([[0], np.cumsum(later)])
+        for s in range(0, int(upto[-1]), 1 << 19):
+            k = np.arange(s, min(s + (1 << 19), int(upto[-1])))
+            at = np.searchsorted(upto, k, "right") - 1
+            a = e[row[at]]
+            b = e[row[at] + 1 + k - upto[at]]
+            ok = may_link(a["size"].astype(np.int64), a["left"], b["size"], b["left"], num, den)
+            out.append(np.unique(np.stack([a["set"][ok], b["set"][ok]]), axis=1))
+    for s, n in zip(first[count > pairs].tolist(), count[count > pairs].tolist(), strict=True):
+        g = e[s : s + n]
+        if n > paired:
+            held.append(np.stack([g["set"][1:], np.full(n - 1, g["set"][0])]))
+            continue
+        size, left = g["size"].astype(np.int64), g["left"].astype(np.int64)
+        label = np.arange(n)
+        ok = may_link(size[:, None], left[:, None], size[None], left[None], num, den)
+        np.fill_diagonal(ok, True)
+        while True:
+            low = np.where(ok, label[None], n).min(1)
+            low = low[low]
+            if (low == label).all():
+                break
+            label = low
+        rest = np.flatnonzero(label != np.arange(n))
+        held.append(np.stack([g["set"][rest], g["set"][label[rest]]]))
+    return np.unique(np.concatenate(out, axis=1), axis=1), np.unique(np.concatenate(held, axis=1), axis=1)
+
+
+def _bounded(num: int, den: int):
+    def run(batches):
+        """Pairs whose count vectors allow the overlap that a link needs."""
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(k)), "<u4").reshape(b.num_rows, GROUPS).astype(np.int64) for k in ("cu", "cv"))
+            ok = (num + den) * np.minimum(x, y).sum(1) >= num * (x.sum(1) + y.sum(1))
+            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok))
+
+    return run
+
+
+def _share_keys(num: int, den: int):
+    def run(batches):
+        """All entries of some keys, sorted out by ranges of the key so that one range is in memory apart from the packed lists."""
+        packed = [x.as_py() for b in batches for x in b.column("listed")]
+        if packed:
+            e = np.concatenate([_unlisted(x) for x in packed])
+            del packed
+            spread = (e["key"] & _U(7)).astype(np.int8)
+            for k in range(8):
+                for held, pair in zip((False, True), candidate_edges(e[spread == k], num, den), strict=True):
+                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], held))], names=["u", "v", "held"])
+
+    return run
 
 
 def id_bitmap(df: DataFrame, col: str, bits: int = 22) -> np.ndarray:
@@ -272,10 +311,15 @@ def join(documents: DataFrame, num: int = 9, den: int = 10, n: int = 3, id_col:
     common.prepare(spark)
     parts = common.parallelism(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = common.written(docs.mapInArrow(_first_pass(n, num, den, 2 * parts), "doc_id long, set_id long, n long, bucket int, keys binary, sets binary"), "shingles")
+    first = common.written(docs.mapInArrow(_first_pass(n, num, den, 2 * parts, *frequent(docs, n)), "doc_id long, set_id long, n long, counts binary, bucket int, listed binary"), "shingles")
     per_doc = first.where("bucket is null").select("doc_id", "set_id", "n")
-    shared = first.where("bucket is not null").select("bucket", "keys", "sets").repartition(parts, "bucket").mapInArrow(_share_keys, "u long, v long")
-    star = common.components(shared, "u", "v")  # node, component: all but the smallest of each block
+    shared = first.where("bucket is not null").select("bucket", "listed").repartition(parts, "bucket").mapInArrow(_share_keys(num, den), "u long, v long, held boolean")
+    shared = common.written(shared, "candidates")
+    counts = first.where("bucket is null and n > 0").groupBy("set_id").agg(F.first("counts").alias("c"))
+    pairs = shared.where("not held").select("u", "v").distinct()
+    pairs = pairs.join(counts.select(F.col("set_id").alias("u"), F.col("c").alias("cu")), "u").join(counts.select(F.col("set_id").alias("v"), F.col("c").alias("cv")), "v")
+    hanging = pairs.mapInArrow(_bounded(num, den), "u long, v long").unionByName(shared.where("held").select("u", "v"))
+    star = common.components(hanging, "u", "v")  # node, component: all but the smallest of each block
     member = common.written(star.select(F.col("node").alias("set_id"), F.col("component").alias("block")).unionByName(star.select(F.col("component").alias("set_id"), F.col("component").alias("block")).distinct()), "blocks")
     reps = per_doc.where("n > 0").join(member, "set_id").groupBy("set_id", "block").agg(F.min("doc_id").alias("doc_id"))
     sizes = member.groupBy("block").agg(F.count(F.lit(1)).alias("members"))

@@ -57,20 +57,25 @@ def test_keys_lose_no_pair():
     sets = [set(s[x:y].tolist()) for x, y in zip(at, at[1:], strict=False)]
     assert [len(x) for x in sets] == [len(shingles(t)) for _, t in docs]
     ids = N.set_ids(s, at)
-    k, i = N.keys(s, at, 9, 10)
-    of = {}
-    for a, b in zip(k.tolist(), i.tolist(), strict=True):
-        of.setdefault(b, set()).add(a)
-    pairs = 0
-    for a in range(len(sets)):
-        for b in range(a):
-            if sets[a] and sets[b] and 10 * len(sets[a] & sets[b]) >= 9 * len(sets[a] | sets[b]):
-                pairs += ids[a] != ids[b]
-                assert ids[a] == ids[b] or of[a] & of[b]
-                lists = [s[at[x] : at[x + 1]] for x in (a, b)]
-                p = N.count_vectors(lists)
-                assert 0 in N.RTree(p[:1], 9, 10).near(p[1])
-    assert pairs > 100
+    often = np.unique(s[::7])
+    for num, den in ((9, 10), (4, 5)):
+        k, i, left = N.keys(s, at, num, den, often, np.arange(len(often)) % 5)
+        e = np.empty(len(k), N._LISTED)
+        e["key"], e["set"], e["size"], e["left"] = k, ids[i], np.diff(at)[i], left
+        for most in ((64, 2000), (3, 5), (2, 2000)):
+            both = np.concatenate(N.candidate_edges(e, num, den, *most), axis=1)
+            block = N.common.forest(zip(*both.tolist(), strict=True))
+            assert all(ids[a] == ids[b] or block[int(ids[a])] == block[int(ids[b])] for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
+        pairs = 0
+        for a in range(len(sets)):
+            for b in range(a):
+                if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
+                    pairs += ids[a] != ids[b]
+                    assert ids[a] == ids[b] or block[int(ids[a])] == block[int(ids[b])]
+                    lists = [s[at[x] : at[x + 1]] for x in (a, b)]
+                    p = N.count_vectors(lists)
+                    assert 0 in N.RTree(p[:1], num, den).near(p[1])
+        assert pairs > 100
 
 
 def test_against_brute_force(spark):
