@@ -1,8 +1,9 @@
 """Toxicity by multiple-instance learning: labels are of documents, scores are of sentences.
 
 A sentence's probability is a logistic function of the words in it; a document's is their noisy-or, 1 - prod(1 - p).
-Only document labels are needed for training, after which the sentences that caused a score can be pointed at. Words are
-judged by 64-bit hashes; the vocabulary is what a bounded labelled sample shows to matter.
+Only document labels are needed for training, after which the sentences that caused a score can be pointed at. Words and
+their beginnings (for inflected forms) are judged by 64-bit hashes; the vocabulary is what a bounded labelled sample shows
+to matter.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Labelled documents of each class that the fit looks at, chosen by a hash of the id; the bound of what reaches the driver.
-SAMPLE = 3000
+SAMPLE = 1500
 #: Words kept: those in at least MIN_DOCS sampled documents, the VOCABULARY with the strongest association.
 MIN_DOCS, VOCABULARY = 4, 4096
 THRESHOLD = 0.3
@@ -25,6 +26,8 @@ THRESHOLD = 0.3
 _STOP = np.zeros(256, bool)
 _STOP[[0x2E, 0x21, 0x3F, 0x0A]] = True
 _SLOTS = 1 << 16
+#: Bytes of the beginnings of longer words that count as words of their own.
+BEGINNINGS = (4, 5, 6)
 
 
 @dataclass(frozen=True)
@@ -35,15 +38,24 @@ class Model:
 
 
 def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word hash, sentence of the word, first sentence of each document, end byte of each sentence); at least one sentence a document."""
+    """(feature hash, its sentence, first sentence of each document, end byte of each sentence); features in order of sentences."""
     start, end, _ = common.words(data, offsets, common.NOT_ALNUM)
-    h = common.range_hash(common.prefix_hash(data, lower=True), start, end)
+    c = common.prefix_hash(data, lower=True)
+    h = common.range_hash(c, start, end)
     last = np.zeros(len(data), bool)
     last[np.flatnonzero(_STOP[data])] = True
     full = offsets[1:][np.diff(offsets) > 0]
     last[full - 1] = True
     stop = np.flatnonzero(last) + 1
-    return h, np.searchsorted(stop, start, "right"), np.searchsorted(stop, offsets, "right"), stop
+    of = np.searchsorted(stop, start, "right")
+    hs, ofs = [h], [of]
+    for n in BEGINNINGS:
+        k = np.flatnonzero(end - start > n)
+        hs.append(common.mix(common.range_hash(c, start[k], start[k] + n)))
+        ofs.append(of[k])
+    h, of = np.concatenate(hs), np.concatenate(ofs)
+    order = np.argsort(of, kind="stable")
+    return h[order], of[order], np.searchsorted(stop, offsets, "right"), stop
 
 
 def _loss_step(w, b, docs, sent_of, sent_doc, word, y, weight):
