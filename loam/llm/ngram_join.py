@@ -168,10 +168,10 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < SAMPLE / total * 1_000_003)
-    rows = part.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).collect()
-    h = np.array([r["s"] for r in rows], np.int64).view(np.uint64)
+    rows = part.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    h = rows.column("s").to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return h[order], np.array([r["n"] for r in rows], np.int64)[order]
+    return h[order], rows.column("n").to_numpy()[order]
 
 
 def _first_pass(n: int, num: int, den: int, buckets: int, common_hash: np.ndarray, common_count: np.ndarray):
@@ -185,7 +185,7 @@ def _first_pass(n: int, num: int, den: int, buckets: int, common_hash: np.ndarra
             ids, sizes = set_ids(s, at), np.diff(at)
             rows = b.num_rows
             nulls = lambda k, t: pa.nulls(k, t)
-            counts = [c.tobytes() for c in count_vectors([s[x:y] for x, y in zip(at, at[1:], strict=False)]).astype("<u4")]
+            counts = [c.astype("<u4" if c.max(initial=0) > 255 else "u1").tobytes() for c in count_vectors([s[x:y] for x, y in zip(at, at[1:], strict=False)])]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(sizes), pa.array(counts, pa.binary()), nulls(rows, pa.int32()), nulls(rows, pa.binary())], schema=_FIRST)
             _, once = np.unique(ids, return_index=True)  # equal sets of a batch are listed once
             once = np.sort(once)
@@ -266,7 +266,7 @@ def _bounded(num: int, den: int):
     def run(batches):
         """Pairs whose count vectors allow the overlap that a link needs."""
         for b in batches:
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in b.column(k)), "<u4").reshape(b.num_rows, GROUPS).astype(np.int64) for k in ("cu", "cv"))
+            x, y = (np.array([np.frombuffer(v.as_py(), "u1" if len(v.as_py()) == GROUPS else "<u4") for v in b.column(k)], np.int64).reshape(b.num_rows, GROUPS) for k in ("cu", "cv"))
             ok = (num + den) * np.minimum(x, y).sum(1) >= num * (x.sum(1) + y.sum(1))
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
