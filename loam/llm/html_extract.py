@@ -3,14 +3,17 @@
 A page is cut into blocks. Markup tells some apart: inside an article or main element, inside what can only be page
 furniture (menus, forms, adverts, comments, ...), or neither. The token streams of what stands outside articles are
 concatenated for each host and their suffixes sorted; runs of at least RUN tokens that recur on at least PAGES different
-pages are boilerplate, and the tokens they cover go. Furniture goes whole; an article stays whole, as a copy of an
-article is no boilerplate. If a page has an article, what stands outside of it is not the main text.
+pages of the host are boilerplate, and the tokens they cover go. Furniture goes whole; an article stays whole, as a copy of
+an article is no boilerplate. If a page has an article, what stands outside of it is not the main text.
 
-A host's pages are dealt into shards of about SHARD bytes by a hash, so a hot host is many tasks.
+Pages are parsed where they are read. A host's distinct streams are dealt into shards of about SHARD bytes by a hash, so a
+hot host is many tasks. Each shard sorts its suffixes; what it counts for each run is summed over all shards of the host,
+and every shard is told which of its runs reach PAGES in the whole host.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 
@@ -26,8 +29,9 @@ from .url_filter import split_url
 RUN = 6
 PAGES = 3
 SHARD = 1 << 20
-#: Hosts of more than a shard whose list is broadcast; more are joined by a shuffle.
+#: Hosts of more than a shard whose list is broadcast, and bytes of covers; more are joined by a shuffle.
 FEW_HOSTS = 50_000
+FEW_BYTES = 4 << 20
 
 #: Elements whose content is never text of the page.
 RAW = frozenset("script style noscript template textarea title iframe object svg math canvas audio video head".split())
@@ -140,44 +144,74 @@ def blocks(page: str) -> list[tuple[int, str]]:
     return out
 
 
+class Runs:
+    """All runs of `run` words in some distinct streams of word hashes, in the order of their suffix array."""
+
+    def __init__(self, streams: list[np.ndarray], run: int = RUN):
+        self.run, self.streams = run, len(streams)
+        self.size = np.array([len(s) for s in streams], np.int64)
+        self.words = np.concatenate([np.zeros(0, np.uint64), *streams])
+        _, ids = np.unique(self.words, return_inverse=True)
+        self.first = np.concatenate([[0], np.cumsum(self.size + 1)])
+        x = np.empty(len(ids) + len(streams), np.int64)
+        stops = self.first[1:] - 1
+        body = np.ones(len(x), bool)
+        body[stops] = False
+        x[body] = ids + len(streams)
+        x[stops] = np.arange(len(streams))  # every stream ends in a symbol of its own
+        stream = np.repeat(np.arange(len(streams)), self.size + 1)
+        sa = suffix_array(x)
+        self.start = sa[stops[stream[sa]] - sa >= run]  # a run that goes beyond its stream is none
+        self.stream = stream[self.start]
+        fresh = np.ones(len(self.start), bool)
+        if len(fresh):
+            fresh[1:] = np.any([x[self.start[1:] + k] != x[self.start[:-1] + k] for k in range(run)], axis=0)
+        self.fresh, self.group = fresh, np.cumsum(fresh) - 1
+
+    def count(self) -> np.ndarray:
+        """For each group of equal runs: how many streams have it."""
+        pair = np.unique(self.group * self.streams + self.stream)
+        return np.bincount(pair // max(self.streams, 1), minlength=int(self.fresh.sum()))
+
+    def keys(self) -> np.ndarray:
+        """A 64-bit hash of the words of each group's run."""
+        at = (self.start - self.stream)[self.fresh]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(self.run):
+            h = common.mix(h + self.words[at + k]) * common.powers(2)[1]
+        return h
+
+    def covered(self, often: np.ndarray) -> list[np.ndarray]:
+        """For each stream: which of its words lie in a run of one of these groups."""
+        start = self.start[often[self.group]]
+        cover = np.zeros(int(self.first[-1]) + 1, np.int64)
+        cover[start] += 1
+        np.add.at(cover, start + self.run, -1)
+        cover = np.cumsum(cover) > 0
+        return [cover[self.first[k] : self.first[k] + self.size[k]] for k in range(self.streams)]
+
+
 def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
     """For each distinct stream of word hashes: which of its words lie in a run that `pages` different streams have."""
-    size = np.array([len(s) for s in streams], np.int64)
-    if not size.sum():
-        return [np.zeros(0, bool) for _ in streams]
-    gap = int(size.sum())
-    _, ids = np.unique(np.concatenate(streams), return_inverse=True)
-    first = np.concatenate([[0], np.cumsum(size + 1)])
-    x = np.empty(gap + len(streams), np.int64)
-    stops = first[1:] - 1
-    body = np.ones(len(x), bool)
-    body[stops] = False
-    x[body] = ids + len(streams)
-    x[stops] = np.arange(len(streams))  # every stream ends in a symbol of its own
-    sa = suffix_array(x)
-    page = np.repeat(np.arange(len(streams)), size + 1)
-    same = np.ones(len(sa) - 1, bool)
-    for k in range(run):
-        a, b = sa[:-1] + k, sa[1:] + k
-        ok = (a < len(x)) & (b < len(x))
-        same &= ok & (x[np.minimum(a, len(x) - 1)] == x[np.minimum(b, len(x) - 1)])
-    group = np.cumsum(np.append(True, ~same)) - 1
-    pair = np.unique(group * len(streams) + page[sa])
-    often = np.bincount(pair // len(streams), minlength=group[-1] + 1) >= pages
-    start = sa[often[group]]
-    cover = np.zeros(len(x) + 1, np.int64)
-    cover[start] += 1
-    np.add.at(cover, np.minimum(start + run, len(x)), -1)
-    covered = np.cumsum(cover[:-1]) > 0
-    return [covered[first[k] : first[k] + size[k]] for k in range(len(streams))]
-
-
-def _stream(page: list[tuple[int, str]]) -> np.ndarray:
-    """Word hashes of what stands outside articles."""
-    text = "\n".join(t for k, t in page if k != MAIN).encode("utf-8", "replace")
+    r = Runs(streams, run)
+    return r.covered(r.count() >= pages)
+
+
+def _rest(page: list[tuple[int, str]]) -> str:
+    """What stands outside articles, a block a line."""
+    return "\n".join(t for k, t in page if k != MAIN)
+
+
+def _stream(rest: str) -> np.ndarray:
+    """Its word hashes."""
+    text = rest.encode("utf-8", "replace")
     return common.word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]), common.SPACE)[0]
 
 
+def _hash64(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
 def main_text(page: list[tuple[int, str]], covered: np.ndarray) -> str:
     """The article; or, on a page without one, its other blocks' words that no boilerplate run covers."""
     if any(k == MAIN for k, _ in page):
@@ -198,6 +232,67 @@ def main_text(page: list[tuple[int, str]], covered: np.ndarray) -> str:
     return "\n".join(out)
 
 
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("stream", pa.int64()), ("rest", pa.string()), ("article", pa.string()), ("kinds", pa.binary())])
+
+
+def _parse(batches):
+    """The article, or without one what kind each line of the rest is; the rest of articles only once a batch and stream."""
+    for b in batches:
+        rows: list[list] = [[] for _ in range(4)]
+        seen = set()
+        for host, html in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
+            page = blocks(html.as_py() or "")
+            rest, article = _rest(page), any(k == MAIN for k, _ in page)
+            key = _hash64(_stream(rest).tobytes())
+            known = article and (host, key) in seen
+            seen.add((host, key))
+            text, kinds = (main_text(page, np.zeros(0, bool)), None) if article else (None, bytes(k for k, _ in page))
+            for column, v in zip(rows, (key, None if known else rest, text, kinds), strict=True):
+                column.append(v)
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), *(pa.array(c, t) for c, t in zip(rows, _PARSED.types[3:], strict=True))], schema=_PARSED)
+
+
+def _finish(batches):
+    """Texts of pages without an article."""
+    for b in batches:
+        texts = []
+        for rest, kinds, cover in zip(*(b.column(n).to_pylist() for n in ("rest", "kinds", "cover")), strict=True):
+            words = len(rest.encode("utf-8", "replace").split())
+            covered = np.zeros(words, bool) if cover is None else np.unpackbits(np.frombuffer(cover, np.uint8), count=words).astype(bool)
+            texts.append(main_text(list(zip(kinds, rest.split("\n"), strict=True)) if kinds else [], covered))
+        yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
+
+
+def _covers(streams: DataFrame, run: int, least: int, shard: int) -> DataFrame:
+    """(host, stream, cover): the words that boilerplate covers as bits, for streams of pages without article that have some."""
+    spark = streams.sparkSession
+    sizes = streams.groupBy("host").agg(F.sum(F.octet_length("rest")).alias("bytes")).where(F.col("bytes") > shard)
+    sizes = common.written(sizes.select("host", F.ceil(F.col("bytes") / shard).cast("int").alias("shards")), "hosts")
+    few = sizes.count() <= FEW_HOSTS
+    d = streams.join(F.broadcast(sizes) if few else sizes, "host", "left").withColumn("shard", F.pmod("stream", F.coalesce("shards", F.lit(1))).cast("int"))
+    if not few:  # else the join's partitioning by host would do for the groups
+        d = d.repartition(common.parallelism(spark), "host", "shard")
+
+    def runs(table):
+        return Runs([_stream(x.as_py()) for x in table.column("rest")], run)
+
+    def counted(key, table):
+        r = runs(table)
+        n = np.minimum(r.count(), least)
+        return pa.table([pa.array([key[0].as_py()] * len(n), pa.string()), pa.array([key[1].as_py()] * len(n), pa.int32()), pa.array(r.keys().view(np.int64)), pa.array(n, pa.int64())], names=["host", "shard", "run", "n"])
+
+    def cover(table, often):
+        r = runs(table)
+        covered = r.covered((r.count() >= least) | np.isin(r.keys().view(np.int64), often.column("run").to_numpy()))
+        rows = [k for k, (c, a) in enumerate(zip(covered, table.column("asked").to_pylist(), strict=True)) if a and c.any()]
+        return table.select(["host", "stream"]).take(pa.array(rows, pa.int64())).append_column("cover", pa.array([np.packbits(covered[k]).tobytes() for k in rows], pa.binary()))
+
+    # a stream stands in one shard, so the counts of the shards of a host add up
+    hot = d.where("shards is not null").groupBy("host", "shard").applyInArrow(counted, "host string, shard int, run long, n long")
+    often = hot.groupBy("host", "run").agg(F.sum("n").alias("n"), F.collect_list("shard").alias("shard")).where(F.col("n") >= least).select("host", F.explode("shard").alias("shard"), "run")
+    return d.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInArrow(cover, "host string, stream long, cover binary")
+
+
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least: int = PAGES, shard: int = SHARD) -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
@@ -207,22 +302,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     common.prepare(pages.sparkSession)
     host, _ = split_url(F.col(url_col))
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    sizes = d.groupBy("host").agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))).alias("bytes")).where(F.col("bytes") > shard)
-    sizes = common.written(sizes.select("host", F.ceil(F.col("bytes") / shard).cast("int").alias("shards")), "hosts")
-    few = sizes.count() <= FEW_HOSTS
-    d = d.join(F.broadcast(sizes) if few else sizes, "host", "left").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
-    if not few:  # else the join's partitioning by host would do for the groups
-        d = d.repartition(common.parallelism(pages.sparkSession), "host", "shard")
-
-    def host_pages(table):
-        parsed = [blocks(x.as_py() or "") for x in table.column("html")]
-        streams = [_stream(p) for p in parsed]
-        of: dict[bytes, int] = {}
-        which = [of.setdefault(s.tobytes(), len(of)) for s in streams]
-        distinct = [np.frombuffer(k, np.uint64) for k in of]
-        covered = repeated(distinct, run, least)
-        texts = [main_text(p, covered[k]) for p, k in zip(parsed, which, strict=True)]
-        return pa.table([table.column("page_id"), table.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    out = d.groupBy("host", "shard").applyInArrow(host_pages, "page_id long, url string, text string, n_chars long")
-    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    parsed = common.written(d.mapInArrow(_parse, "page_id long, url string, host string, stream long, rest string, article string, kinds binary"), "parsed")
+    streams = parsed.where("rest <> ''").groupBy("host", "stream").agg(F.first("rest").alias("rest"), F.max(F.col("kinds").isNotNull()).alias("asked"))
+    covers = common.written(_covers(common.written(streams, "streams"), run, least, shard), "covers")
+    small = (covers.agg(F.sum(F.octet_length("cover") + F.octet_length("host"))).first()[0] or 0) <= FEW_BYTES
+    other = parsed.where("article is null").select("page_id", "url", "host", "stream", "rest", "kinds").join(F.broadcast(covers) if small else covers, ["host", "stream"], "left")
+    other = other.select("page_id", "url", "rest", "kinds", "cover").mapInArrow(_finish, "page_id long, url string, text string")
+    out = parsed.where("article is not null").select("page_id", "url", F.col("article").alias("text")).unionByName(other)
+    return out.select(F.col("page_id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

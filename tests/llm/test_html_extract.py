@@ -58,3 +58,12 @@ def test_extract(spark):
     got = {r.page_id: r.text for r in H.extract(df).collect()}
     assert got[3] == "d own 3"
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_repeats_are_found_over_the_whole_host(spark):
+    run = "seven words that only four pages have"
+    rows = [(k, "http://hot.example/x", f"<div><p>page {k} has {' '.join(f'w{k}x{i}' for i in range(20))}</p>" + f"<p>{run}</p>" * (k % 25 == 0) + "</div>") for k in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = ({r.page_id: r.text for r in H.extract(df, shard=shard).collect()} for shard in (1 << 30, 400))
+    assert whole == dealt and len(dealt) == 100
+    assert not any(run in t for t in dealt.values()) and all(f"w{k}x19" in t for k, t in dealt.items())
