@@ -3,11 +3,11 @@
 A page is cut into blocks. Markup tells some apart: inside an article or main element, inside what can only be page
 furniture (menus, forms, adverts, comments, ...), or neither. The token streams of what stands outside articles are
 concatenated for each host and their suffixes sorted; runs of at least RUN tokens that recur on at least PAGES different
-pages of the host are boilerplate, and the tokens they cover go. Furniture goes whole; an article stays whole, as a copy of
+pages of the host (by their whole html) are boilerplate, and the tokens they cover go. Furniture goes whole; an article stays whole, as a copy of
 an article is no boilerplate. If a page has an article, what stands outside of it is not the main text.
 
-Pages are parsed where they are read. A host's distinct streams are dealt into shards of about SHARD bytes by a hash, so a
-hot host is many tasks. Each shard sorts its suffixes; what it counts for each run is summed over all shards of the host,
+Pages are parsed where they are read. A host's distinct streams, each with the number of distinct pages that have it,
+are dealt into shards of about SHARD bytes by a hash, so a hot host is many tasks. Each shard sorts its suffixes; what it counts for each run is summed over all shards of the host,
 and every shard is told which of its runs reach PAGES in the whole host.
 """
 
@@ -168,10 +168,12 @@ class Runs:
             fresh[1:] = np.any([x[self.start[1:] + k] != x[self.start[:-1] + k] for k in range(run)], axis=0)
         self.fresh, self.group = fresh, np.cumsum(fresh) - 1
 
-    def count(self) -> np.ndarray:
-        """For each group of equal runs: how many streams have it."""
+    def count(self, weights: np.ndarray) -> np.ndarray:
+        """For each group of equal runs: the sum of the weights of the streams that have it."""
         pair = np.unique(self.group * self.streams + self.stream)
-        return np.bincount(pair // max(self.streams, 1), minlength=int(self.fresh.sum()))
+        out = np.zeros(int(self.fresh.sum()), np.int64)
+        np.add.at(out, pair // max(self.streams, 1), weights[pair % max(self.streams, 1)])
+        return out
 
     def keys(self) -> np.ndarray:
         """A 64-bit hash of the words of each group's run."""
@@ -191,10 +193,13 @@ class Runs:
         return [cover[self.first[k] : self.first[k] + self.size[k]] for k in range(self.streams)]
 
 
-def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES) -> list[np.ndarray]:
-    """For each distinct stream of word hashes: which of its words lie in a run that `pages` different streams have."""
+def repeated(streams: list[np.ndarray], run: int = RUN, pages: int = PAGES, weights: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each distinct stream of word hashes: which of its words lie in a run that `pages` different pages have.
+
+    The weight of a stream is the number of its pages, 1 if none are given.
+    """
     r = Runs(streams, run)
-    return r.covered(r.count() >= pages)
+    return r.covered(r.count(np.ones(len(streams), np.int64) if weights is None else weights) >= pages)
 
 
 def _rest(page: list[tuple[int, str]]) -> str:
@@ -232,22 +237,23 @@ def main_text(page: list[tuple[int, str]], covered: np.ndarray) -> str:
     return "\n".join(out)
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("stream", pa.int64()), ("rest", pa.string()), ("article", pa.string()), ("kinds", pa.binary())])
+_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.int64()), ("stream", pa.int64()), ("rest", pa.string()), ("article", pa.string()), ("kinds", pa.binary())])
 
 
 def _parse(batches):
     """The article, or without one what kind each line of the rest is; the rest of articles only once a batch and stream."""
     for b in batches:
-        rows: list[list] = [[] for _ in range(4)]
+        rows: list[list] = [[] for _ in range(5)]
         seen = set()
         for host, html in zip(b.column("host").to_pylist(), b.column("html"), strict=True):
-            page = blocks(html.as_py() or "")
+            html = html.as_py() or ""
+            page = blocks(html)
             rest, article = _rest(page), any(k == MAIN for k, _ in page)
             key = _hash64(_stream(rest).tobytes())
             known = article and (host, key) in seen
             seen.add((host, key))
             text, kinds = (main_text(page, np.zeros(0, bool)), None) if article else (None, bytes(k for k, _ in page))
-            for column, v in zip(rows, (key, None if known else rest, text, kinds), strict=True):
+            for column, v in zip(rows, (_hash64(html.encode("utf-8", "replace")), key, None if known else rest, text, kinds), strict=True):
                 column.append(v)
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), *(pa.array(c, t) for c, t in zip(rows, _PARSED.types[3:], strict=True))], schema=_PARSED)
 
@@ -274,16 +280,17 @@ def _covers(streams: DataFrame, run: int, least: int, shard: int) -> DataFrame:
         d = d.repartition(common.parallelism(spark), "host", "shard")
 
     def runs(table):
-        return Runs([_stream(x.as_py()) for x in table.column("rest")], run)
+        r = Runs([_stream(x.as_py()) for x in table.column("rest")], run)
+        return r, r.count(table.column("pages").to_numpy())
 
     def counted(key, table):
-        r = runs(table)
-        n = np.minimum(r.count(), least)
+        r, n = runs(table)
+        n = np.minimum(n, least)
         return pa.table([pa.array([key[0].as_py()] * len(n), pa.string()), pa.array([key[1].as_py()] * len(n), pa.int32()), pa.array(r.keys().view(np.int64)), pa.array(n, pa.int64())], names=["host", "shard", "run", "n"])
 
     def cover(table, often):
-        r = runs(table)
-        covered = r.covered((r.count() >= least) | np.isin(r.keys().view(np.int64), often.column("run").to_numpy()))
+        r, n = runs(table)
+        covered = r.covered((n >= least) | np.isin(r.keys().view(np.int64), often.column("run").to_numpy()))
         rows = [k for k, (c, a) in enumerate(zip(covered, table.column("asked").to_pylist(), strict=True)) if a and c.any()]
         return table.select(["host", "stream"]).take(pa.array(rows, pa.int64())).append_column("cover", pa.array([np.packbits(covered[k]).tobytes() for k in rows], pa.binary()))
 
@@ -296,14 +303,15 @@ def _covers(streams: DataFrame, run: int, least: int, shard: int) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = RUN, least: int = PAGES, shard: int = SHARD) -> DataFrame:
     """(page_id, url, text, n_chars) for every row.
 
-    Null or empty html: empty text. A null url is a page of the host "". Repeated rows each get their text; equal streams
-    count as one page when repeats are looked for. Other columns are ignored; an empty table gives no row.
+    Null or empty html: empty text. A null url is a page of the host "". Repeated rows each get their text; pages of a host
+    with the same html count as one when repeats are looked for, all others each, whatever they share. Other columns are ignored; an empty table gives no row.
     """
     common.prepare(pages.sparkSession)
     host, _ = split_url(F.col(url_col))
     d = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), host.alias("host"), F.col(html_col).alias("html"))
-    parsed = common.written(d.mapInArrow(_parse, "page_id long, url string, host string, stream long, rest string, article string, kinds binary"), "parsed")
+    parsed = common.written(d.mapInArrow(_parse, "page_id long, url string, host string, page long, stream long, rest string, article string, kinds binary"), "parsed")
     streams = parsed.where("rest <> ''").groupBy("host", "stream").agg(F.first("rest").alias("rest"), F.max(F.col("kinds").isNotNull()).alias("asked"))
+    streams = streams.join(parsed.select("host", "stream", "page").distinct().groupBy("host", "stream").agg(F.count("page").alias("pages")), ["host", "stream"])
     covers = common.written(_covers(common.written(streams, "streams"), run, least, shard), "covers")
     small = (covers.agg(F.sum(F.octet_length("cover") + F.octet_length("host"))).first()[0] or 0) <= FEW_BYTES
     other = parsed.where("article is null").select("page_id", "url", "host", "stream", "rest", "kinds").join(F.broadcast(covers) if small else covers, ["host", "stream"], "left")

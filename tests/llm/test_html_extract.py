@@ -67,3 +67,25 @@ def test_repeats_are_found_over_the_whole_host(spark):
     whole, dealt = ({r.page_id: r.text for r in H.extract(df, shard=shard).collect()} for shard in (1 << 30, 400))
     assert whole == dealt and len(dealt) == 100
     assert not any(run in t for t in dealt.values()) and all(f"w{k}x19" in t for k, t in dealt.items())
+
+
+def test_every_page_counts_that_has_a_stream(spark):
+    chrome = "<div>the same words stand around all texts of this site</div>"
+    rows = [(k, "http://a.example/x", f"{chrome}<article>article {k}</article>") for k in range(2)]
+    rows += [(10, "http://a.example/y", f"{chrome}<div>main text without an article</div>")]
+    rows += [(k, "http://b.example/x", f"<head><title>error {k}</title></head><p>please log in to see what is on this page</p>") for k in range(20, 23)]
+    rows += [(30, "http://c.example/x", "<p>one page that is listed three times is one page</p>")] * 3
+    rows += [(40, "http://d.example/x", f"{chrome}<article>article</article>"), (41, "http://d.example/y", f"{chrome}<div>too few pages</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard in (H.SHARD, 60):
+        got = {r.page_id: r.text for r in H.extract(df, shard=shard).collect()}
+        assert [got[k] for k in (0, 1, 10)] == ["article 0", "article 1", "main text without an article"]
+        assert [got[k] for k in (20, 21, 22)] == ["", "", ""]
+        assert got[30] == "one page that is listed three times is one page"
+        assert got[41].startswith("the same words stand") and got[41].endswith("too few pages")
+
+
+def test_weights_do_not_reach_beyond_a_stream():
+    w = np.arange(1, 20, dtype=np.uint64)
+    a, b, c = H.repeated([w[:5], w[10:16], w[:0]], 6, 3, np.array([9, 3, 9]))
+    assert not a.any() and b.all() and not len(c)
