@@ -6,7 +6,8 @@ the earliest of equal segments at once (all others are covered), so a passage th
 segment a batch before anything moves. Anchors that only one kind of segment has need no sorting: its earliest segment
 stays and the others are covered. Where an anchor has segments that differ, the distinct ones go to its shard, whose
 suffixes are sorted by external induced sorting; windows that share a common prefix of WINDOW bytes are neighbours there,
-and all but the earliest are covered. Shards keep their text, queues and arrays in files beyond a memory budget.
+and all but the earliest are covered. The windows of an anchor of more than SHARD bytes are dealt out again by further
+anchors, under other hashes, one for each doubling; equal ones still meet. Shards keep their text, queues and arrays in files beyond a memory budget.
 
 Strings are judged on the input, and matches never cross documents.
 """
@@ -30,11 +31,16 @@ KMER = 32
 #: Windows scanned at a time, and bytes of one suffix array: a shard of more is sorted in groups of whole anchors.
 PIECE = 1 << 19
 SHARD = 2 << 20
+#: Anchors of more than a shard whose list is broadcast; more are joined by a shuffle.
+FEW_ANCHORS = 50_000
 _U = np.uint64
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, kmer: int = KMER, piece: int = PIECE) -> dict[str, np.ndarray]:
-    """All segments of some documents: anchor hash, content hash, document index, first window, number of windows."""
+def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, kmer: int = KMER, piece: int = PIECE, level: int = 0) -> dict[str, np.ndarray]:
+    """All segments of some documents: anchor hash, content hash, document index, first window, number of windows.
+
+    Each level has anchors by a hash of its own.
+    """
     out: dict[str, list[np.ndarray]] = {k: [] for k in ("anchor", "content", "doc", "start", "n")}
     docs = len(offsets) - 1
     k = 0
@@ -44,19 +50,21 @@ def segments(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, kmer:
         lo, hi = int(offsets[k]), int(offsets[e])
         for s in range(lo, max(hi, lo + 1), piece) if e == k + 1 else (lo,):
             stop = min(s + piece + window - 1, hi) if e == k + 1 else hi
-            for name, x in zip(out, _piece(data[s:stop], np.clip(offsets[k : e + 1] - s, 0, stop - s), window, kmer), strict=True):
+            for name, x in zip(out, _piece(data[s:stop], np.clip(offsets[k : e + 1] - s, 0, stop - s), window, kmer, level), strict=True):
                 out[name].append(x + (k if name == "doc" else 0) + (s - lo if name == "start" and e == k + 1 else 0))
         k = e
     kinds = {"anchor": np.uint64, "content": np.uint64}
     return {n: np.concatenate(x).astype(kinds.get(n, np.int64)) if x else np.zeros(0, kinds.get(n, np.int64)) for n, x in out.items()}
 
 
-def _piece(data, offsets, window, kmer):
+def _piece(data, offsets, window, kmer, level):
     size = len(data)
     if size < window:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     c = common.prefix_hash(data)
     h = common.mix((c[kmer:] - c[:-kmer]) * common.powers(size + 1, inverse=True)[: size - kmer + 1])
+    if level:
+        h = common.mix(h + _U(level))
     bits = _U(max(1, size.bit_length()))
     low = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
     span = window - kmer + 1
@@ -231,24 +239,49 @@ def covered_windows(texts: list[bytes], doc: np.ndarray, start: np.ndarray, n: n
             shutil.rmtree(own, ignore_errors=True)
 
 
+def split(texts: list[bytes], anchor: np.ndarray, levels: np.ndarray, window: int, kmer: int) -> tuple[np.ndarray, ...]:
+    """Segments of hot anchors dealt out again: (which segment, first window in it, number of windows, anchor).
+
+    Each level cuts at changes of its own anchor, and a window's new anchor is made of those of all its levels, so it
+    depends on the old one and the window's bytes alone.
+    """
+    which, at, anchor = np.arange(len(texts)), np.zeros(len(texts), np.int64), anchor.copy()
+    n = np.array([len(t) - window + 1 for t in texts], np.int64)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        live = levels[which] >= level
+        parts = [texts[k][a : a + m + window - 1] for k, a, m in zip(which[live].tolist(), at[live].tolist(), n[live].tolist(), strict=True)]
+        got = segments(np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), window, kmer, level=level)
+        old = np.flatnonzero(live)[got["doc"]]
+        new = which[old], at[old] + got["start"], got["n"], common.mix(anchor[old] * _U(3) + got["anchor"])
+        which, at, n, anchor = (np.concatenate([x[~live], y]) for x, y in zip((which, at, n, anchor), new, strict=True))
+    return which, at, n, anchor
+
+
 def _sorter(window: int, shard: int, budget: int):
     def run(batches):
-        """Segments come sorted by anchor; those of one anchor are always sorted together."""
-        held, size, last = [], 0, None
+        """Segments come sorted by anchor; those of one anchor are always sorted together, equal ones as the earliest."""
+        held, late, size, last = {}, [], 0, None
 
         def flush():
-            anchors, docs, starts, ns, texts = zip(*held, strict=True)
-            r = covered_windows(list(texts), np.array(docs, np.int64), np.array(starts, np.int64), np.array(ns, np.int64), window, budget)
+            anchors, texts = zip(*held, strict=True)
+            r = covered_windows(list(texts), *np.array(list(held.values()), np.int64).T, window, budget)
             return _rows(r["doc"], r["start"], r["n"])
 
         for b in batches:
-            for row in zip(*(b.column(k).to_pylist() for k in ("anchor", "doc_id", "start", "n", "segment")), strict=True):
-                if size >= shard and row[0] != last:
+            for anchor, *place, text in zip(*(b.column(k).to_pylist() for k in ("anchor", "doc_id", "start", "n", "segment")), strict=True):
+                if size >= shard and anchor != last:
                     yield flush()
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-                last = row[0]
+                    held, size = {}, 0
+                last, other = anchor, held.get((anchor, text))
+                if other is None:
+                    held[anchor, text] = place
+                    size += len(text)
+                elif place != other:
+                    held[anchor, text] = min(place, other)
+                    late.append(max(place, other))
+            if late:
+                yield _rows(*np.array(late, np.int64).T)
+                late = []
         if held:
             yield flush()
 
@@ -263,18 +296,27 @@ def ranges(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col:
     d = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
     mapped = d.mapInArrow(_mapper(window, min(kmer, window), 2 * parts), "bucket int, entries binary, covered binary")
     reduced = common.written(mapped.repartition(parts, "bucket").mapInArrow(_reduce, "doc_id long, start long, n long, anchor long"), "anchors")
-    asked = reduced.where("anchor is not null").groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("asked"))
+    differ = reduced.where("anchor is not null")
+    hot = differ.groupBy("anchor").agg(F.sum(F.col("n") + (window - 1)).alias("bytes")).where(F.col("bytes") > shard)
+    hot = common.written(hot.select("anchor", F.ceil(F.log2(F.col("bytes") / shard)).cast("int").alias("levels")), "hot")
+    differ = differ.join(F.broadcast(hot) if hot.count() <= FEW_ANCHORS else hot, "anchor", "left")
+    asked = differ.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n", F.coalesce("levels", F.lit(0)).alias("levels"))).alias("asked"))
 
     def fetch(batches):
         for b in batches:
             data, off = common.utf8(b.column("text"))
-            rows: list[list] = [[] for _ in range(5)]
+            rows: list[list] = [[] for _ in range(6)]
             for k, (doc, asked) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("asked").to_pylist(), strict=True)):
                 for a in asked:
                     s = off[k] + a["start"]
-                    for column, v in zip(rows, (a["anchor"], doc, a["start"], a["n"], data[s : min(s + a["n"] + window - 1, off[k + 1])].tobytes()), strict=True):
+                    for column, v in zip(rows, (a["anchor"], doc, a["start"], a["n"], a["levels"], data[s : min(s + a["n"] + window - 1, off[k + 1])].tobytes()), strict=True):
                         column.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.binary())], names=["anchor", "doc_id", "start", "n", "segment"])
+            anchor, doc, start, n, levels = (np.array(c, np.int64) for c in rows[:5])
+            texts = rows[5]
+            if levels.any():
+                which, at, n, anchor = split(texts, anchor.view(np.uint64), levels, window, min(kmer, window))
+                doc, start, texts = doc[which], start[which] + at, [texts[k][a : a + m + window - 1] for k, a, m in zip(which.tolist(), at.tolist(), n.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in (anchor, doc, start, n)), pa.array(texts, pa.binary())], names=["anchor", "doc_id", "start", "n", "segment"])
 
     segs = d.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(fetch, "anchor long, doc_id long, start long, n long, segment binary")
     segs = segs.repartition(parts, "anchor").sortWithinPartitions("anchor")

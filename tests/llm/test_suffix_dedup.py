@@ -66,3 +66,24 @@ def test_repeated_rows_and_empty(spark):
     got = sorted((r.doc_id or 0, r.n_removed) for r in S.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 20, 8).collect())
     assert got[0] == (0, 0) and got[1] == got[2] and got[3] == (5, 40)
     assert S.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_anchor_is_dealt_again():
+    import numpy as np
+
+    r = random.Random(5)
+    line = bytes(r.choice(b"abcdefgh") for _ in range(12))
+    texts = [bytes(r.choice(b"abcdefgh") for _ in range(40)) + line + bytes(r.choice(b"abcdefgh") for _ in range(40)) for _ in range(300)]
+    texts += texts[:50]
+    window, kmer = 40, 8
+    which, at, n, anchor = S.split(texts, np.full(350, 7, np.uint64), np.full(350, 4), window, kmer)
+    places = sorted((w, a + k) for w, a, m in zip(which.tolist(), at.tolist(), n.tolist(), strict=True) for k in range(m))
+    assert places == [(w, p) for w, t in enumerate(texts) for p in range(len(t) - window + 1)]
+    anchors, size = {}, {}
+    for w, a, m, h in zip(which.tolist(), at.tolist(), n.tolist(), anchor.tolist(), strict=True):
+        size[h] = size.get(h, 0) + m + window - 1
+        for p in range(a, a + m):
+            assert anchors.setdefault(texts[w][p : p + window], h) == h
+    assert max(size.values()) < sum(map(len, texts)) / 8
+    kept = S.split(texts, np.full(350, 7, np.uint64), np.zeros(350, np.int64), window, kmer)
+    assert kept[0].tolist() == list(range(350)) and set(kept[3].tolist()) == {7}
