@@ -139,10 +139,14 @@ def content_tags(path: Column, content: Column) -> Column:
 
 
 def duration(ms: Column) -> Column:
+    """Seconds as toFixed(1) has them: the tenth nearest to the double's exact value, the larger one of two."""
     ms = ms.cast("long")
+    d = ms / 1000
+    above = (d * 16 - ms / 50) + d * 4 >= 0  # on a decimal half each step is exact, so this is the sign of d - ms / 1000
+    tenths = F.floor(ms / 100) + F.when((ms % 100 > 50) | ((ms % 100 == 50) & above), 1).otherwise(0)
     return (
         F.when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
-        .when(ms < 60000, F.concat(F.format_string("%.1f", ms / 1000), F.lit("s")))
+        .when(ms < 60000, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("s")))
         .otherwise(F.concat(F.floor(ms / 60000).cast("string"), F.lit("m "), F.floor((ms % 60000) / 1000).cast("string"), F.lit("s")))
     )
 

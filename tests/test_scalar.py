@@ -1,3 +1,5 @@
+from decimal import ROUND_HALF_UP, Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +48,9 @@ def test_texts(spark):
     assert list(one(spark, *[S.age(F.lit(t), F.lit("2024-02-01 00:00:00")) for t in ages])) == list(ages.values())
     tags = one(spark, S.content_tags(F.lit("Src/ab/core/f.md"), F.lit("Zeta Alpha Zeta Alpha Once Beta Zeta xAlpha Alpha Beta")))[0]
     assert tags == ["src", "core", "zeta", "alpha", "beta"]
+
+
+def test_durations_at_halves(spark):
+    got = {r.id: r.took for r in spark.range(1000, 60000, 10).select("id", S.duration(F.col("id")).alias("took")).collect()}
+    assert got == {ms: f"{Decimal(ms / 1000).quantize(Decimal('0.1'), ROUND_HALF_UP)}s" for ms in range(1000, 60000, 10)}
+    assert [got[ms] for ms in (1050, 1150, 1250, 1750, 59950)] == ["1.1s", "1.1s", "1.3s", "1.8s", "60.0s"]
