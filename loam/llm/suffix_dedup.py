@@ -290,6 +290,8 @@ def _sorter(window: int, shard: int, budget: int):
 
 def ranges(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, budget: int = induced.BUDGET) -> DataFrame:
     """(doc_id, spans): ascending ranges [start, start + n) of windows that also start earlier, for documents that have some."""
+    if not 0 < window <= induced.CAP:  # common prefixes are counted no further
+        raise ValueError(f"window must be 1 to {induced.CAP}, not {window}")
     spark = documents.sparkSession
     common.prepare(spark)
     parts = common.parallelism(spark)
@@ -346,6 +348,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col:
     Null text counts as empty, and neither it nor a text of fewer than `window` bytes loses anything. Rows of one doc_id
     with the same text are the same document, which does not repeat itself by being listed twice. A row without doc_id
     keeps its text. Other columns are ignored; an empty table gives no row.
+    ValueError for a window of more than 255 bytes, up to which common prefixes are counted.
     """
     found = ranges(documents, window, kmer, id_col, text_col, shard, budget)
     d = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left")
@@ -375,6 +378,7 @@ def cleaned(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col
     """The documents, all columns, with what is covered cut out of their text; a character cut in two goes whole.
 
     A document of which nothing is left goes; an empty or null text stays as it is.
+    ValueError for a window of more than 255 bytes.
     """
     found = ranges(documents, window, kmer, id_col, text_col).select(F.col("doc_id").alias("doc_id__"), F.col("spans").alias("spans__"))
     joined = documents.join(found, F.col(id_col) == F.col("doc_id__"), "left").select(*documents.columns, "spans__")

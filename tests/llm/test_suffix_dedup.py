@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from loam.llm import suffix_dedup as S
 
 
@@ -87,3 +89,11 @@ def test_hot_anchor_is_dealt_again():
     assert max(size.values()) < sum(map(len, texts)) / 8
     kept = S.split(texts, np.full(350, 7, np.uint64), np.zeros(350, np.int64), window, kmer)
     assert kept[0].tolist() == list(range(350)) and set(kept[3].tolist()) == {7}
+
+
+def test_windows_beyond_the_common_prefixes(spark):
+    df = spark.createDataFrame([(1, "a" * 600), (2, "b" + "a" * 600)], "doc_id long, text string")
+    for f in (S.ranges, S.dedup, S.cleaned):
+        with pytest.raises(ValueError, match="255"):
+            f(df, window=256)
+    assert {r.doc_id: r.n_removed for r in S.dedup(df, window=255).collect()} == {1: 599, 2: 600}
