@@ -24,7 +24,6 @@ class Config:
     exclude_paths: tuple[str, ...] = ()
     max_tokens_per_module: int = 2000
     parallel_workers: int = 4
-    flow_extraction: bool = True
     ignore_text: str = ""
 
     @classmethod

@@ -223,3 +223,8 @@ def test_session_builds_incrementally(spark, tmp_path):
     t = Session(spark, str(tmp_path / "two"), "2024-02-01 00:00:00")
     assert t.build(str(tmp_path / "repo")).first().total_files == 1
     assert t.nodes().first().path == "src/a.ts"
+
+
+def test_config_has_no_option_without_effect():
+    assert "flow_extraction" not in Config.__dataclass_fields__
+    assert Config.merged({"flow_extraction": True}) == Config()
