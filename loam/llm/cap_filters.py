@@ -140,23 +140,11 @@ class _Links:
         k = np.flatnonzero(links)
         who, back = np.unique(t["rep"][k], return_inverse=True)
         total = np.bincount(back, links[k], len(who)).astype(np.int64)
-        tree = [(x, r) for x, r in common.forest(zip(t["rep"][a].tolist(), t["rep"][b].tolist(), strict=True)).items() if x != r] if len(a) < 50_000 else self.sparse(t["rep"][a], t["rep"][b])
-        u = np.concatenate([who, np.array([x for x, _ in tree], np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(u.astype(np.int64)), pa.array([None] * len(who) + [r for _, r in tree], pa.int64()), pa.array(total.tolist() + [None] * len(tree), pa.int64())], names=["u", "v", "links"])
-
-    @staticmethod
-    def sparse(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-        """The same for many edges: most fall away as their ends meet."""
-        ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-        a, b = at[: len(a)], at[len(a) :]
-        parent = np.arange(len(ids))
-        while len(a):
-            np.minimum.at(parent, np.maximum(parent[a], parent[b]), np.minimum(parent[a], parent[b]))
-            while (parent[parent] != parent).any():
-                parent = parent[parent]
-            apart = parent[a] != parent[b]
-            a, b = a[apart], b[apart]
-        return [(int(x), int(r)) for x, r in zip(ids, ids[parent], strict=True) if x != r]
+        x, r = common.roots(t["rep"][a], t["rep"][b])
+        u = np.concatenate([who, x]).astype(np.int64)
+        nulls = lambda k: pa.nulls(k, pa.int64())
+        v, total = (pa.chunked_array(c).combine_chunks() for c in ([nulls(len(who)), pa.array(r.astype(np.int64))], [pa.array(total), nulls(len(x))]))
+        return pa.RecordBatch.from_arrays([pa.array(u), v, total], names=["u", "v", "links"])
 
 
 def _linker(least: float, single: bool):

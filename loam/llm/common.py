@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import ctypes
 import sys
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,37 +44,79 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the cluster names none."""
+    """The folder that all executors share; one of our own only where the cluster names none, and only on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.gettempdir() + "/loam-shared"
         spark.sparkContext.setCheckpointDir(found)
         spark.conf.set("spark.loam.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Scratch tables that stand, by path: the table, and how many passing() blocks were open when it was written.
+_standing: dict[str, tuple[DataFrame, int]] = {}
+_depth = [0]
+
+
+def written(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
     """Write a table into the shared folder and read it again: lineage ends there and lost executors cost nothing.
 
-    The folder goes when the program ends.
+    It stands until freed, else until the passing() block ends (outside: the block around that one) or the program does.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loam/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _drop_at_exit(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _standing[path] = (out, _depth[0] - outside)
+    return out
+
+
+def renamed(table: DataFrame, *names: str) -> DataFrame:
+    """A scratch table under other column names."""
+    out = table.toDF(*names)
+    for path, (t, depth) in list(_standing.items()):
+        if t is table:
+            _standing[path] = (out, depth)
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete scratch tables whose successors are written; then unused shuffle files go too, once the JVM knows of it."""
+    for path, (table, _) in list(_standing.items()):
+        if any(table is t for t in tables):
+            _delete(path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()  # the context's cleaner follows the collector
+
+
+def _delete(path: str) -> None:
+    table, _ = _standing.pop(path)
+    sc = table.sparkSession.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextlib.contextmanager
+def passing() -> Iterator[None]:
+    """Scratch tables written inside go at the end, but for those written as outside."""
+    _depth[0] += 1
+    try:
+        yield
+    finally:
+        for path in [p for p, (_, d) in _standing.items() if d >= _depth[0]]:
+            _delete(path)
+        _depth[0] -= 1
 
 
-def _drop_at_exit(spark: SparkSession, path: str) -> None:
-    def drop() -> None:
-        try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the session is gone already; the cluster's own cleaning takes the folder
-            return
+def _at_exit() -> None:
+    for path in list(_standing):
+        with contextlib.suppress(Exception):  # the session may be gone; the cluster's own cleaning takes the folder
+            _delete(path)
 
-    atexit.register(drop)
+
+atexit.register(_at_exit)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -174,57 +218,79 @@ def crc32_fold(column: str, m: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % m
 
 
-def forest(edges: list[tuple[int, int]] | zip) -> dict[int, int]:
-    """Union-find over pairs; every node seen goes to the smallest of its component."""
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        root = x
-        while parent.setdefault(root, root) != root:
-            root = parent[root]
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
-
-    for a, b in edges:
-        a, b = find(a), find(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return {x: find(x) for x in list(parent)}
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of the nodes of some edges, but for those that are the smallest themselves."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    parent = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(parent, np.maximum(parent[a], parent[b]), np.minimum(parent[a], parent[b]))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        apart = parent[a] != parent[b]
+        a, b = a[apart], b[apart]
+    k = np.flatnonzero(parent != np.arange(len(ids)))
+    return ids[k], ids[parent[k]]
 
 
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+#: Edges contracted at a time; what is left of them goes on with the next ones.
+_EDGES = 1 << 20
 
 
 def _contract(batches):
-    """Replace the edges of a partition by a star for each of their components there."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if parts:
-        u, v = (np.concatenate(x) for x in zip(*parts, strict=True))
-        got = [(x, r) for x, r in forest(zip(u.tolist(), v.tolist(), strict=True)).items() if x != r]
-        if got:
-            a, b = zip(*got, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+    """Replace the edges of a partition by a star for each of their components there, a bounded number at a time."""
+    held, size = [], 0
+    for b in batches:
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size >= _EDGES:
+            u, v = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            if len(u) > size // 2:  # hardly any fell away
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_PAIR)
+                u, v = u[:0], v[:0]
+            held, size = [(u, v)], len(u)
+    if held:
+        u, v = roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=_PAIR)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node that links reach, for every node of an edge that is not itself the smallest.
 
-    Alternating large and small stars; the edges are first contracted within partitions, each round ends in a written
+    Alternating large and small stars until stars are all there is; the edges are first contracted within partitions, each round ends in a written
     table, and no list of nodes ever reaches the driver. A loop or null edge is ignored.
     """
     prepare(edges.sparkSession)
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
     e = written(e.mapInArrow(_contract, "u long, v long"), "edges")
-    before = None
-    while True:
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = written(small.select("x.*").where("u <> v").distinct(), "stars")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = tuple(now)
+        last, e = e, written(small.select("x.*").where("u <> v").distinct(), "stars")
+        free(last)
+    return renamed(e, "node", "component")
+
+
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one edge upwards at most, to a node that has none: then the edges are the components."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("s")).select("s.*")
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
+#: Rows of a key that make it hot: so many at least, and this share of all, so that there are never more than 1 / HOT_SHARE hot keys.
+HOT_ROWS, HOT_SHARE = 1000, 0.001
+
+
+def join_by_key(rows: DataFrame, told: DataFrame, key: str, total: int) -> DataFrame:
+    """rows left-joined by a key with told (key, rows_, ...), which has a row for a key; rows_: how many rows the key has.
+
+    total: all rows. The few keys of many rows are broadcast, so none of them lands in one task.
+    """
+    hot = told.where(F.col("rows_") >= max(HOT_ROWS, int(total * HOT_SHARE))).drop("rows_")
+    cold = told.where(F.col("rows_") < max(HOT_ROWS, int(total * HOT_SHARE))).drop("rows_")
+    few = F.broadcast(hot)
+    return rows.join(few, key).select(*rows.columns, *[c for c in hot.columns if c != key]).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))

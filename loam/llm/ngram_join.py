@@ -4,16 +4,20 @@ Each document is its set of distinct word shingles. Two link when their Jaccard
 links are the result. Identical sets are one from the start (set_id is a hash of the set), and no pair of equal ones is
 ever made.
 
-Candidates. Shingles have one global order: those seen often in a small sample come last, else a hash decides. Two sets
-that link share one of their first size - ceil(share * size) + 1 shingles, so each set is listed under those keys. Two on
-a list are candidates unless their sizes, or the shingles left after the shared one, rule out the overlap a link needs,
-or the summed minima of their count vectors do; candidates that hang together are a block. A list of more than PAIRS sets
-gives what holds its candidates together instead of all pairs. Nothing that links is lost, whatever the sample says.
-
-Verification. Within a block, sets are points: how many of their shingles fall into each of GROUPS hash groups. The
-overlap of two is at most the sum of coordinate minima; an R-tree whose nodes carry coordinate maxima and the least size
-yields the pairs that this bound leaves, and those not yet connected are compared shingle by shingle. A large block is
-first compared with one pivot; only sets that don't link with it are then compared with all others, in bounded chunks.
+Sets are points: how many of their shingles fall into each of some hash groups. The overlap of two is at most the sum of
+coordinate minima; an R-tree whose nodes carry coordinate maxima and the least size yields the pairs that this bound leaves.
+
+Where the tree is searched. A tree over all points would have to be compared with itself as a whole, as random sets of
+the same size are near each other in every coordinate. So its first coordinate is a shingle: shingles have one global
+order (those seen often in a small sample come last, else a hash decides), two sets that link share one of their first
+size - ceil(share * size) + 1 shingles, and each set is a point under each of those. The points of a shingle are a tree of
+their own, so a task holds whole trees; a search in it leaves pairs whose sizes, shingles left after the shared one, and
+minima of counts allow the overlap that a link needs. Nothing that links is lost, whatever the sample says. What hangs
+together by such candidates is a block.
+
+Verification. Within a block the points have more groups; what a second tree on them leaves and is not yet connected is
+compared shingle by shingle. A large block is first compared with one pivot; only sets that don't link with it are then
+compared with all others, in bounded chunks.
 """
 
 from __future__ import annotations
@@ -25,10 +29,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GROUPS = 64
+#: Hash groups of a block's points, and of those under shingles, which travel with every one of them.
+GROUPS, COARSE = 64, 32
 LEAF = 32
-#: Sets compared in one task at most.
-CHUNK = 600
+#: Sets, and bytes of their shingles, compared in one task at most.
+CHUNK, CHUNK_BYTES = 600, 16 << 20
 _U = np.uint64
 _K = np.array([0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x9FB21C651E98DF25], np.uint64)
 
@@ -84,9 +89,9 @@ def may_link(size_a, left_a, size_b, left_b, num: int, den: int):
 class RTree:
     """Points sorted by size and packed into leaves and one level above; nodes bound coordinates from above and sizes from both sides."""
 
-    def __init__(self, points: np.ndarray, num: int, den: int):
+    def __init__(self, points: np.ndarray, num: int, den: int, size: np.ndarray | None = None):
         self.num, self.den = num, den
-        size = points.sum(1)
+        size = points.sum(1) if size is None else size
         self.order = np.lexsort((*(points[:, k] for k in range(2)), size))
         self.points, self.size = points[self.order], size[self.order]
         self.leaves = np.arange(0, len(points), LEAF)
@@ -98,9 +103,9 @@ class RTree:
         """Whether an overlap that upper allows can reach the share: den * overlap >= num * (n + size - overlap)."""
         return (self.num + self.den) * np.minimum(q, upper).sum(1) >= self.num * (n + least)
 
-    def near(self, q: np.ndarray) -> np.ndarray:
-        """Indexes of points whose bound with q reaches the similarity."""
-        n = int(q.sum())
+    def near(self, q: np.ndarray, n: int | None = None) -> np.ndarray:
+        """Indexes of points whose bound with q, of size n, reaches the similarity."""
+        n = int(q.sum()) if n is None else n
         t = np.flatnonzero(self._may(q, n, self.top_max, self.size[self.leaves[self.top]]))
         leaf = (t[:, None] * LEAF + np.arange(LEAF)).ravel()
         leaf = leaf[leaf < len(self.leaves)]
@@ -110,11 +115,15 @@ class RTree:
         return self.order[p[self._may(q, n, self.points[p], self.size[p])]]
 
 
+def counts_of(s: np.ndarray, at: np.ndarray, groups: int) -> np.ndarray:
+    """Points of sets that lie one after the other: how many of their shingles fall into each group."""
+    group = (common.mix(s ^ _K[3]) >> _U(58)).astype(np.int64) * groups // 64
+    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    return np.bincount(own * groups + group, minlength=(len(at) - 1) * groups).reshape(-1, groups)
+
+
 def count_vectors(sets: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(sets), GROUPS), np.int32)
-    for k, s in enumerate(sets):
-        out[k] = np.bincount((common.mix(s ^ _K[3]) >> _U(58)).astype(np.int64), minlength=GROUPS)
-    return out
+    return counts_of(np.concatenate([np.zeros(0, np.uint64), *sets]), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64), GROUPS)
 
 
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -148,12 +157,10 @@ def join_block(ids: list[int], sets: list[np.ndarray], asks: np.ndarray, star: n
     return out
 
 
-_FIRST = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("counts", pa.binary()), ("bucket", pa.int32()), ("listed", pa.binary())])
-_LISTED = np.dtype([("key", "<u8"), ("set", "<i8"), ("size", "<i4"), ("left", "<i4")])
 #: Documents of the sample that the order of shingles comes from, and shingles of it that are kept; bounds of what the driver holds.
-SAMPLE, FREQUENT = 16_000, 400_000
-#: Sets under one key that are compared by pairs of entries; more are one block. Up to PAIRS of them give their pairs.
-PAIRED, PAIRS = 2000, 64
+SAMPLE, FREQUENT = 4_000, 200_000
+#: Points under one shingle that are compared as one leaf; more are a tree. More than TREE hold together untested.
+FEW, TREE = 64, 2000
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,126 +171,179 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for b in batches:
-            s, _ = shingle_sets(*common.utf8(b.column(0)), n)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], names=["s"])
+            s, many = np.unique(shingle_sets(*common.utf8(b.column(0)), n)[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(many.astype(np.int64))], names=["s", "n"])
 
     part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < SAMPLE / total * 1_000_003)
-    rows = part.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    rows = part.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
     h = rows.column("s").to_numpy().view(np.uint64)
     order = np.argsort(h)
     return h[order], rows.column("n").to_numpy()[order]
 
 
-def _first_pass(n: int, num: int, den: int, buckets: int, common_hash: np.ndarray, common_count: np.ndarray):
+#: Points under some shingles, as tasks pass them on: sets with their coarse points, and (shingle, which set, shingles left).
+_SETS = [("set", "<i8"), ("size", "<i4"), ("point", "u1", (COARSE,))]
+_ENTRIES = [("key", "<u8"), ("of", "<u2"), ("left", "<i4")]
+
+
+def pack(sets: dict[str, np.ndarray], entries: dict[str, np.ndarray]) -> bytes:
+    """Column by column and compressed."""
     import zstandard
 
+    columns = [np.ascontiguousarray(x[k[0]].astype(k[1])) for x, kinds in ((sets, _SETS), (entries, _ENTRIES)) for k in kinds]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(sets["set"]), len(entries["key"])], "<i8").tobytes() + b"".join(c.tobytes() for c in columns))
+
+
+def unpack(raw: bytes) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor().decompress(raw)
+    sizes, at, out = np.frombuffer(plain, "<i8", 2), 16, []
+    for n, kinds in zip(sizes.tolist(), (_SETS, _ENTRIES), strict=True):
+        columns = {}
+        for name, kind, *shape in kinds:
+            width = shape[0] if shape else (1,)
+            x = np.frombuffer(plain, kind, n * width[0], at)
+            columns[name], at = x.reshape(n, *shape[0]) if shape else x, at + x.nbytes
+        out.append(columns)
+    return out[0], out[1]
+
+
+def points(s: np.ndarray, at: np.ndarray, num: int, den: int, common_hash: np.ndarray, common_count: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(sets, entries) of some documents' shingles, equal sets once; a count of more than 254 is 255, which bounds nothing."""
+    ids, sizes = set_ids(s, at), np.diff(at)
+    _, once = np.unique(ids, return_index=True)
+    once = np.sort(once[sizes[once] > 0])
+    size = sizes[once]
+    first = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    s = s[np.repeat(at[once] - first[:-1], size) + np.arange(int(first[-1]))]
+    key, of, left = keys(s, first, num, den, common_hash, common_count)
+    return {"set": ids[once], "size": size, "point": np.minimum(counts_of(s, first, COARSE), 255).astype(np.uint8)}, {"key": key, "of": of, "left": left}
+
+
+def _listing(n: int, num: int, den: int, buckets: int, common_hash: np.ndarray, common_count: np.ndarray):
     def run(batches):
-        z = zstandard.ZstdCompressor(level=1)
+        """(bucket, packed): what the shingles of a bucket have in a batch."""
         for b in batches:
-            data, off = common.utf8(b.column(1))
-            s, at = shingle_sets(data, off, n)
-            ids, sizes = set_ids(s, at), np.diff(at)
-            rows = b.num_rows
-            nulls = lambda k, t: pa.nulls(k, t)
-            counts = [c.astype("<u4" if c.max(initial=0) > 255 else "u1").tobytes() for c in count_vectors([s[x:y] for x, y in zip(at, at[1:], strict=False)])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids), pa.array(sizes), pa.array(counts, pa.binary()), nulls(rows, pa.int32()), nulls(rows, pa.binary())], schema=_FIRST)
-            _, once = np.unique(ids, return_index=True)  # equal sets of a batch are listed once
-            once = np.sort(once)
-            size = sizes[once]
-            src = np.repeat(at[once] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))
-            k, i, left = keys(s[src], np.concatenate([[0], np.cumsum(size)]), num, den, common_hash, common_count)
-            if len(k):
-                to = (k >> _U(40)).astype(np.int64) % buckets
+            sets, e = points(*shingle_sets(*common.utf8(b.column(0)), n), num, den, common_hash, common_count)
+            if len(e["key"]):
+                to = (e["key"] >> _U(40)).astype(np.int64) % buckets
                 order = np.argsort(to, kind="stable")
                 there, cut = np.unique(to[order], return_index=True)
                 blobs = []
                 for part in np.split(order, cut[1:]):
-                    columns = (k[part], ids[once][i[part]], size[i[part]].astype("<i4"), left[part].astype("<i4"))
-                    blobs.append(z.compress(b"".join(c.tobytes() for c in columns)))
-                m = len(there)
-                yield pa.RecordBatch.from_arrays([nulls(m, pa.int64()), nulls(m, pa.int64()), nulls(m, pa.int64()), nulls(m, pa.binary()), pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], schema=_FIRST)
+                    own, of = np.unique(e["of"][part], return_inverse=True)
+                    blobs.append(pack({k: x[own] for k, x in sets.items()}, {"key": e["key"][part], "of": of, "left": e["left"][part]}))
+                yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "listed"])
 
     return run
 
 
-def _unlisted(raw: bytes) -> np.ndarray:
-    import zstandard
-
-    plain = zstandard.ZstdDecompressor().decompress(raw)
-    out, at = np.empty(len(plain) // _LISTED.itemsize, _LISTED), 0
-    for name in _LISTED.names:
-        out[name] = np.frombuffer(plain, _LISTED[name], len(out), at)
-        at += len(out) * _LISTED[name].itemsize
-    return out
-
+class Trees:
+    """The points under some shingles, all of each: what candidates hold together."""
 
-def candidate_edges(e: np.ndarray, num: int, den: int, pairs: int = PAIRS, paired: int = PAIRED) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs, edges), 2 x n each: all candidates of short lists; what holds those of long ones together. e: entries of whole keys."""
-    e = e[np.lexsort((e["set"], e["key"]))]
-    fresh = np.ones(len(e), bool)
-    fresh[1:] = (e["key"][1:] != e["key"][:-1]) | (e["set"][1:] != e["set"][:-1])
-    e = e[fresh]
-    fresh = np.ones(len(e), bool)
-    fresh[1:] = e["key"][1:] != e["key"][:-1]
-    first = np.flatnonzero(fresh)
-    count = np.diff(np.append(first, len(e)))
-    none = np.zeros((2, 0), np.int64)
-    out, held = [none], [none]
-    few = first[(count > 1) & (count <= pairs)]
-    n = count[(count > 1) & (count <= pairs)]
-    if len(n):
-        row = np.repeat(few - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-        later = np.repeat(few + n, n) - row - 1
-        upto = np.concatenate([[0], np.cumsum(later)])
+    def __init__(self, packed: list[tuple[dict[str, np.ndarray], dict[str, np.ndarray]]], num: int, den: int):
+        self.num, self.den = num, den
+        base = np.concatenate([[0], np.cumsum([len(s["set"]) for s, _ in packed])])
+        ids, first, back = np.unique(np.concatenate([s["set"] for s, _ in packed]), return_index=True, return_inverse=True)
+        self.ids = ids
+        self.size = np.concatenate([s["size"] for s, _ in packed])[first].astype(np.int64)
+        self.point = np.concatenate([s["point"] for s, _ in packed])[first]
+        self.vague = (self.point == 255).any(1)
+        key = np.concatenate([e["key"] for _, e in packed])
+        of = back[np.concatenate([e["of"].astype(np.int64) + b for (_, e), b in zip(packed, base.tolist(), strict=False)])]
+        left = np.concatenate([e["left"] for _, e in packed])
+        order = np.lexsort((of, key))
+        key, of, left = key[order], of[order], left[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
+        key, self.of, self.left = key[fresh], of[fresh], left[fresh].astype(np.int64)
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        self.first = np.flatnonzero(fresh)
+        self.count = np.diff(np.append(self.first, len(key)))
+
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the bound on pairs of sets allows the overlap of a link."""
+        ok = (self.num + self.den) * np.minimum(self.point[a], self.point[b]).sum(1, dtype=np.int64) >= self.num * (self.size[a] + self.size[b])
+        return ok | (self.vague[a] & self.vague[b])
+
+    def leaves(self, few: int):
+        """Candidates (set, set) under shingles of so many points at most."""
+        k = (self.count > 1) & (self.count <= few)
+        start, n = self.first[k], self.count[k]
+        row = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))
+        upto = np.concatenate([[0], np.cumsum(np.repeat(start + n, n) - row - 1)]).astype(np.int64)
         for s in range(0, int(upto[-1]), 1 << 19):
             k = np.arange(s, min(s + (1 << 19), int(upto[-1])))
             at = np.searchsorted(upto, k, "right") - 1
-            a = e[row[at]]
-            b = e[row[at] + 1 + k - upto[at]]
-            ok = may_link(a["size"].astype(np.int64), a["left"], b["size"], b["left"], num, den)
-            out.append(np.unique(np.stack([a["set"][ok], b["set"][ok]]), axis=1))
-    for s, n in zip(first[count > pairs].tolist(), count[count > pairs].tolist(), strict=True):
-        g = e[s : s + n]
-        if n > paired:
-            held.append(np.stack([g["set"][1:], np.full(n - 1, g["set"][0])]))
-            continue
-        size, left = g["size"].astype(np.int64), g["left"].astype(np.int64)
-        label = np.arange(n)
-        ok = may_link(size[:, None], left[:, None], size[None], left[None], num, den)
-        np.fill_diagonal(ok, True)
-        while True:
-            low = np.where(ok, label[None], n).min(1)
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
-        rest = np.flatnonzero(label != np.arange(n))
-        held.append(np.stack([g["set"][rest], g["set"][label[rest]]]))
-    return np.unique(np.concatenate(out, axis=1), axis=1), np.unique(np.concatenate(held, axis=1), axis=1)
-
-
-def _bounded(num: int, den: int):
+            x = row[at]
+            y = x + 1 + k - upto[at]
+            a, b = self.of[x], self.of[y]
+            ok = may_link(self.size[a], self.left[x], self.size[b], self.left[y], self.num, self.den)
+            pair = np.unique(a[ok] * np.int64(len(self.ids)) + b[ok])
+            yield pair // len(self.ids), pair % len(self.ids)
+
+    def tree(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Candidates under one shingle, by searching its tree with each of its points."""
+        own = self.of[start : start + n]
+        p = self.point[own].astype(np.int64)
+        size = self.size[own]
+        p[p == 255] = 1 << 20  # bounds nothing
+        t = RTree(p, self.num, self.den, size)
+        out = [np.stack([np.full(len(c), own[k]), own[c]]) for k in range(n) if len(c := t.near(p[k], int(size[k])))]
+        a, b = np.concatenate(out, axis=1)
+        return a[a < b], b[a < b]
+
+    def held(self, few: int = FEW, most: int = TREE) -> tuple[np.ndarray, np.ndarray]:
+        """A forest of the candidates, as set ids."""
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            x, y = common.roots(np.concatenate([*u, a]), np.concatenate([*v, b]))
+            u[:], v[:] = [x], [y]
+
+        for a, b in self.leaves(few):
+            for s in range(0, len(a), 1 << 17):
+                x, y = a[s : s + (1 << 17)], b[s : s + (1 << 17)]
+                ok = self.near(x, y)
+                add(x[ok], y[ok])
+        for s, n in zip(self.first[self.count > few].tolist(), self.count[self.count > few].tolist(), strict=True):
+            add(*(self.tree(s, n) if n <= most else (self.of[s + 1 : s + n], np.full(n - 1, self.of[s]))))
+        return self.ids[u[0]], self.ids[v[0]]
+
+
+#: Packed bytes that a task takes apart at a time, a range of shingles after the other if it has more.
+PACKED = 16 << 20
+
+
+def _search(num: int, den: int):
     def run(batches):
-        """Pairs whose count vectors allow the overlap that a link needs."""
-        for b in batches:
-            x, y = (np.array([np.frombuffer(v.as_py(), "u1" if len(v.as_py()) == GROUPS else "<u4") for v in b.column(k)], np.int64).reshape(b.num_rows, GROUPS) for k in ("cu", "cv"))
-            ok = (num + den) * np.minimum(x, y).sum(1) >= num * (x.sum(1) + y.sum(1))
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok))
+        """Forests of the candidates under all shingles of a partition."""
+        packed = [x.as_py() for b in batches for x in b.column("listed")]
+        ranges = 1 + sum(map(len, packed)) // PACKED
+        for k in range(ranges):
+            part = []
+            for raw in packed:
+                sets, e = unpack(raw)
+                if ranges > 1:
+                    mine = np.flatnonzero(e["key"] % _U(ranges) == k)
+                    own, of = np.unique(e["of"][mine], return_inverse=True)
+                    sets, e = {n: x[own] for n, x in sets.items()}, {"key": e["key"][mine], "of": of, "left": e["left"][mine]}
+                part.append((sets, e))
+            if part:
+                u, v = Trees(part, num, den).held()
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
     return run
 
 
-def _share_keys(num: int, den: int):
+def _identify(n: int):
     def run(batches):
-        """All entries of some keys, sorted out by ranges of the key so that one range is in memory apart from the packed lists."""
-        packed = [x.as_py() for b in batches for x in b.column("listed")]
-        if packed:
-            e = np.concatenate([_unlisted(x) for x in packed])
-            del packed
-            spread = (e["key"] & _U(7)).astype(np.int8)
-            for k in range(8):
-                for held, pair in zip((False, True), candidate_edges(e[spread == k], num, den), strict=True):
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), pa.array(np.full(pair.shape[1], held))], names=["u", "v", "held"])
+        """(doc_id, text_hash, set_id, n) of every document."""
+        for b in batches:
+            s, at = shingle_sets(*common.utf8(b.column("text")), n)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(set_ids(s, at)), pa.array(np.diff(at))], names=["doc_id", "text_hash", "set_id", "n"])
 
     return run
 
@@ -298,78 +358,127 @@ def id_bitmap(df: DataFrame, col: str, bits: int = 22) -> np.ndarray:
     return words
 
 
-_SET = "block long, set_id long, hashes binary"
+#: Bytes of pivots that are broadcast; more are joined by a shuffle.
+PIVOT_BYTES = 32 << 20
 
 
-def join(documents: DataFrame, num: int = 9, den: int = 10, n: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """(doc_id, n_shingles, component_id): links have a Jaccard similarity of num/den at least; component_id is the smallest doc_id reached.
-
-    Null, empty or blank text: no shingle, linked with nothing, its own component. Fewer than n words are one shingle.
-    Repeated rows link with each other like any equal texts. Other columns are ignored. An empty table gives no row.
-    """
-    spark = documents.sparkSession
-    common.prepare(spark)
-    parts = common.parallelism(spark)
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    first = common.written(docs.mapInArrow(_first_pass(n, num, den, 2 * parts, *frequent(docs, n)), "doc_id long, set_id long, n long, counts binary, bucket int, listed binary"), "shingles")
-    per_doc = first.where("bucket is null").select("doc_id", "set_id", "n")
-    shared = first.where("bucket is not null").select("bucket", "listed").repartition(parts, "bucket").mapInArrow(_share_keys(num, den), "u long, v long, held boolean")
-    shared = common.written(shared, "candidates")
-    counts = first.where("bucket is null and n > 0").groupBy("set_id").agg(F.first("counts").alias("c"))
-    pairs = shared.where("not held").select("u", "v").distinct()
-    pairs = pairs.join(counts.select(F.col("set_id").alias("u"), F.col("c").alias("cu")), "u").join(counts.select(F.col("set_id").alias("v"), F.col("c").alias("cv")), "v")
-    hanging = pairs.mapInArrow(_bounded(num, den), "u long, v long").unionByName(shared.where("held").select("u", "v"))
-    star = common.components(hanging, "u", "v")  # node, component: all but the smallest of each block
-    member = common.written(star.select(F.col("node").alias("set_id"), F.col("component").alias("block")).unionByName(star.select(F.col("component").alias("set_id"), F.col("component").alias("block")).distinct()), "blocks")
-    reps = per_doc.where("n > 0").join(member, "set_id").groupBy("set_id", "block").agg(F.min("doc_id").alias("doc_id"))
-    sizes = member.groupBy("block").agg(F.count(F.lit(1)).alias("members"))
-    reps = common.written(reps.join(sizes, "block"), "members")
-    wanted = id_bitmap(reps, "doc_id")
+def _links(docs: DataFrame, sets: DataFrame, block: DataFrame, num: int, den: int, n: int, chunk: int, chunk_bytes: int) -> DataFrame:
+    """(u, v): links between sets that hold each component together; sets (set_id, doc_id, text_hash, n), block (node, component)."""
+    member = block.select(F.col("node").alias("set_id"), F.col("component").alias("block")).unionByName(block.select(F.col("component").alias("set_id"), F.col("component").alias("block")).distinct())
+    key = F.xxhash64("doc_id", "text_hash")
+    member = common.written(member.join(sets, "set_id").select("set_id", "block", key.alias("key"), (F.col("n") * 8).alias("bytes")), "members")
+    pieces = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("bytes") / chunk_bytes)).cast("int")
+    sizes = member.groupBy("block").agg(pieces.alias("pieces"), F.count(F.lit(1)).alias("rows_"))
+    member = common.join_by_key(member, sizes, "block", member.count())
+    wanted = id_bitmap(member, "key")
 
     def gather(batches):
         for b in batches:
             h = b.column("h").to_numpy()
             part = b.filter(pa.array((wanted[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1))
             if part.num_rows:
+                _, once = np.unique(part.column("key").to_numpy(), return_index=True)
+                part = part.take(pa.array(np.sort(once)))
                 s, at = shingle_sets(*common.utf8(part.column("text")), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["doc_id", "hashes"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(set_ids(s, at)), pa.array([s[x:y].tobytes() for x, y in zip(at, at[1:], strict=False)], pa.binary())], names=["key", "set_id", "hashes"])
 
-    bits = len(wanted) * 32
-    held = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("h")).mapInArrow(gather, "doc_id long, hashes binary")
-    sets = common.written(held.join(reps, "doc_id").dropDuplicates(["set_id"]).select("block", "set_id", "members", "hashes"), "sets")
+    spread = F.pmod(F.xxhash64("key"), F.lit(len(wanted) * 32))
+    held = docs.select("text", key.alias("key")).select("text", "key", spread.alias("h")).mapInArrow(gather, "key long, set_id long, hashes binary")
+    sets = common.written(held.join(member, ["key", "set_id"]).select("block", "set_id", "pieces", "bytes", "hashes"), "blocks")
 
     # large blocks: one pivot, then only those who don't link with it ask all others
-    large = sets.where(F.col("members") > chunk)
+    large = sets.where("pieces > 1")
     pivot = large.where("set_id = block").select("block", F.col("hashes").alias("pivot"))
+    few = (pivot.agg(F.sum(F.octet_length("pivot"))).first()[0] or 0) <= PIVOT_BYTES
 
     def against(batches):
         for b in batches:
             ok = [linked(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(h.as_buffer(), np.uint64), num, den) for p, h in zip(b.column("pivot"), b.column("hashes"), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("set_id"), b.column("members"), b.column("hashes"), pa.array(ok)], names=["block", "set_id", "members", "hashes", "star"])
-
-    starred = common.written(large.join(pivot, "block").mapInArrow(against, "block long, set_id long, members long, hashes binary, star boolean"), "pivots")
-    lone = starred.where("not star").groupBy("block").agg(F.count(F.lit(1)).alias("lone"))
-    split = starred.join(lone, "block").withColumn("ci", F.ceil(F.col("members") / chunk).cast("int")).withColumn("cj", F.ceil(F.col("lone") / chunk).cast("int"))
-    spread = F.xxhash64("set_id")
-    everyone = split.select("block", F.pmod(spread, F.col("ci")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("cj") - 1)).alias("j"), "set_id", "hashes", "star", F.lit(False).alias("asks"))
-    askers = split.where("not star").select("block", F.explode(F.sequence(F.lit(0), F.col("ci") - 1)).alias("i"), F.pmod(F.xxhash64("set_id", F.lit(1)), F.col("cj")).cast("int").alias("j"), "set_id", "hashes", "star", F.lit(True).alias("asks"))
-    small = sets.where(F.col("members") <= chunk).select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "set_id", "hashes", F.lit(False).alias("star"), F.lit(True).alias("asks"))
-
-    def block(key, table):
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("block", "set_id", "pieces", "bytes", "hashes")] + [pa.array(ok, pa.bool_())], names=["block", "set_id", "pieces", "bytes", "hashes", "star"])
+
+    starred = large.join(F.broadcast(pivot) if few else pivot, "block").mapInArrow(against, "block long, set_id long, pieces int, bytes long, hashes binary, star boolean")
+    starred = common.written(starred, "pivots")
+    lone = starred.where("not star").groupBy("block").agg(F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("bytes") / chunk_bytes)).cast("int").alias("cj"))
+    split = starred.join(lone, "block")
+    place = lambda c, *salt: F.pmod(F.xxhash64("set_id", *salt), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    everyone = split.select("block", place("pieces").alias("i"), each("cj").alias("j"), "set_id", "hashes", "star", F.lit(False).alias("asks"))
+    askers = split.where("not star").select("block", each("pieces").alias("i"), place("cj", F.lit(1)).alias("j"), "set_id", "hashes", "star", F.lit(True).alias("asks"))
+    small = sets.where("pieces = 1").select("block", F.lit(0).alias("i"), F.lit(0).alias("j"), "set_id", "hashes", F.lit(False).alias("star"), F.lit(True).alias("asks"))
+
+    def compare(key, table):
         t = table.sort_by([("set_id", "ascending"), ("asks", "descending")])
         ids = t.column("set_id").to_numpy()
         keep = np.ones(len(ids), bool)
-        keep[1:] = ids[1:] != ids[:-1]  # an asker that is in the chunk itself counts once
+        keep[1:] = ids[1:] != ids[:-1]  # an asker that is in the chunk itself, or a document listed twice, counts once
         t = t.filter(pa.array(keep))
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("hashes")]
         found = join_block(t.column("set_id").to_pylist(), hashes, t.column("asks").to_numpy(), t.column("star").to_numpy(), num, den)
         return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["u", "v"])
 
-    links = small.unionByName(everyone).unionByName(askers).groupBy("block", "i", "j").applyInArrow(block, "u long, v long")
-    links = links.unionByName(starred.where("star and set_id <> block").select(F.col("set_id").alias("u"), F.col("block").alias("v")))
-    found = common.components(links, "u", "v").select(F.col("node").alias("set_id"), "component")
-    named = per_doc.join(found, "set_id", "left").select("doc_id", "n", F.coalesce("component", "set_id").alias("label"))
-    named = common.written(named, "labels")
-    least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows_")).where("rows_ > 1").drop("rows_")
-    out = named.join(least, "label", "left")
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    links = small.unionByName(everyone).unionByName(askers).groupBy("block", "i", "j").applyInArrow(compare, "u long, v long")
+    return links.unionByName(starred.where("star and set_id <> block").select(F.col("set_id").alias("u"), F.col("block").alias("v")))
+
+
+def groups(documents: DataFrame, num: int, den: int, n: int, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, text_hash, n, component_id, best_hash, rows_) of every row.
+
+    The component's first row by doc_id (null last) and hash of the text is (component_id, best_hash); rows_: how many it has.
+    """
+    spark = documents.sparkSession
+    common.prepare(spark)
+    parts = common.parallelism(spark)
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    listed = docs.select("text").mapInArrow(_listing(n, num, den, 2 * parts, *frequent(docs, n)), "bucket int, listed binary")
+    hanging = common.written(listed.repartition(parts, "bucket").mapInArrow(_search(num, den), "u long, v long"), "candidates")
+    block = common.components(hanging, "u", "v")  # node, component: all but the smallest of each block
+    per_doc = common.written(docs.select("doc_id", "text_hash", "text").mapInArrow(_identify(n), "doc_id long, text_hash long, set_id long, n long"), "documents")
+    common.free(hanging)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    sets = per_doc.where("n > 0").groupBy("set_id").agg(first, F.count(F.lit(1)).alias("rows_"), F.first("n").alias("n"))
+    sets = common.written(sets.select("set_id", "first.doc_id", "first.text_hash", "rows_", "n"), "sets")
+    with common.passing():
+        links = common.written(_links(docs, sets, block, num, den, n, chunk, chunk_bytes), "links", outside=True)
+    common.free(block)
+    found = common.components(links, "u", "v")
+    common.free(links)
+
+    # the first row and the number of rows of each component, told to its sets and from there to its rows
+    labelled = sets.join(found, F.col("set_id") == F.col("node"), "left").select("set_id", "doc_id", "text_hash", "rows_", F.coalesce("component", "set_id").alias("label"))
+    labelled = common.written(labelled, "labels")
+    of_label = labelled.groupBy("label").agg(first, F.sum("rows_").alias("all_"), F.count(F.lit(1)).alias("rows_"))
+    told = common.join_by_key(labelled.select("set_id", "label", F.col("rows_").alias("own_")), of_label, "label", labelled.count())
+    told = common.written(told.select("set_id", F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("best_hash"), "all_", F.col("own_").alias("rows_")), "told")
+    common.free(sets, found, labelled)
+    out = common.join_by_key(per_doc.where("n > 0"), told, "set_id", per_doc.count()).select("doc_id", "text_hash", "n", "component_id", "best_hash", F.col("all_").alias("rows_"))
+    return out.unionByName(per_doc.where("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"), F.col("text_hash").alias("best_hash"), F.lit(1).cast("long").alias("rows_")))
+
+
+def join(documents: DataFrame, num: int = 9, den: int = 10, n: int = 3, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """(doc_id, n_shingles, component_id): links have a Jaccard similarity of num/den at least; component_id is the smallest doc_id reached.
+
+    Null, empty or blank text: no shingle, linked with nothing, its own component. Fewer than n words are one shingle.
+    Repeated rows link with each other like any equal texts; a row without id is in the component of what it links with.
+    Other columns are ignored, whatever their names. An empty table gives no row. Texts of any length count whole.
+    """
+    return groups(documents, num, den, n, id_col, text_col, chunk, chunk_bytes).select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(documents: DataFrame, num: int, den: int, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, all columns, without those that link with a row of smaller doc_id, directly or not.
+
+    Of rows that share a doc_id, or have none, the one of the smaller hash of the text stays, and of equal rows one. A row
+    without id stays only if no row of its component has one. Documents without words all stay.
+    """
+    with common.passing():
+        g = common.written(groups(documents, num, den, n, id_col, text_col).where("rows_ > 1"), "groups")
+        best = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("best_hash"))
+        keys = [F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")]
+        gone = common.written(g.where(~best).select(*keys).distinct(), "gone", outside=True)
+        again = common.written(g.where(best).groupBy(*keys).count().where("count > 1").drop("count"), "again", outside=True)
+    is_row = F.col(id_col).cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64(text_col) == F.col("hash__"))
+    kept = documents.join(gone, is_row, "left_anti")
+    if again.isEmpty():
+        return kept
+    twice = kept.join(again, is_row, "left_semi").withColumns({"id__": F.col(id_col), "hash__": F.xxhash64(text_col)})
+    return kept.join(again, is_row, "left_anti").unionByName(twice.dropDuplicates(["id__", "hash__"]).select(*documents.columns))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loam.llm import decontamination as D
 from loam.llm.suffix import FMIndex, suffix_array
@@ -73,3 +74,22 @@ def test_empty_tables(spark):
     assert D.scan(none, items).count() == 0
     got = D.digest(D.scan(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), items)).first()
     assert (got.n_words, got.n_hit, got.n_items, got.contaminated) == (2, 0, 0, False)
+
+
+def test_parts_and_items_without_id(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(r.choice("abcdefghijklmnopqrstuvwxyz") + r.choice("xyz") for _ in range(n))
+    items = [(f"i{k}", text(r.choice([3, 14, 20, 40]))) for k in range(12)]
+    docs = [(k, text(40) + " " + r.choice(items)[1] * r.randrange(2) + " " + text(r.choice([0, 300]))) for k in range(40)] + [(40, None)]
+    items = items + [(None, items[0][1]), (None, items[1][1]), (None, text(20))]
+    d = spark.createDataFrame([*docs, (None, items[0][1])], "doc_id long, text string").withColumn("items", F.lit("x")).repartition(3)
+    b = spark.createDataFrame(items, "item_id string, text string")
+    one, many = (sorted(map(str, D.digest(D.scan(d, b, part_bytes=n)).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans").collect())) for n in (1 << 20, 200))
+    assert one == many
+    plain = {r.doc_id: r for r in D.digest(D.scan(d, b.where("item_id is not null"))).collect() if r.doc_id is not None}
+    for r in D.digest(D.scan(d, b)).collect():
+        if r.doc_id is not None:
+            assert (r.n_hit, r.items_sha256, r.n_items - (None in r["items"])) == (plain[r.doc_id].n_hit, plain[r.doc_id].items_sha256, plain[r.doc_id].n_items)
+    assert any(None in r["items"] for r in D.scan(d, b).collect())
+    left = D.clean(d, b)
+    assert left.columns == d.columns and left.count() == D.digest(D.scan(d, b)).where("not contaminated").count() < d.count()
