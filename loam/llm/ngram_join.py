@@ -11,8 +11,9 @@ Where the tree is searched. A tree over all points would have to be compared wit
 the same size are near each other in every coordinate. So its first coordinate is a shingle: shingles have one global
 order (those seen often in a small sample come last, else a hash decides), two sets that link share one of their first
 size - ceil(share * size) + 1 shingles, and each set is a point under each of those. The points of a shingle are a tree of
-their own, so a task holds whole trees; a search in it leaves pairs whose sizes, shingles left after the shared one, and
-minima of counts allow the overlap that a link needs. Nothing that links is lost, whatever the sample says. What hangs
+their own, so a task holds whole trees; a search in it leaves pairs whose sizes and minima of counts allow the overlap that
+a link needs. Of these, a pair that is only found under few shingles must be found under as many as a link makes it
+share, and at one that leaves enough shingles after it. Nothing that links is lost, whatever the sample says. What hangs
 together by such candidates is a block.
 
 Verification. Within a block the points have more groups; what a second tree on them leaves and is not yet connected is
@@ -81,6 +82,16 @@ def keys(s: np.ndarray, at: np.ndarray, num: int, den: int, common_hash: np.ndar
     return s[order[ok]], own[ok], size[own[ok]] - place[ok]
 
 
+def least_shared(size_a, size_b, num: int, den: int):
+    """How many of the shingles that both are listed under two sets share at least, if they link.
+
+    Of the one whose list ends first in the global order, all listed shingles that the other has are in the other's list,
+    and no more than its size less the overlap are missing there.
+    """
+    overlap = -(-num * (size_a + size_b) // (num + den))
+    return overlap + (-num * np.maximum(size_a, size_b) // den) + 1
+
+
 def may_link(size_a, left_a, size_b, left_b, num: int, den: int):
     """Whether sets that share a shingle can reach the overlap a link needs, by what is left from it on in each."""
     return (num + den) * np.minimum(left_a, left_b) >= num * (size_a + size_b)
@@ -159,8 +170,9 @@ def join_block(ids: list[int], sets: list[np.ndarray], asks: np.ndarray, star: n
 
 #: Documents of the sample that the order of shingles comes from, and shingles of it that are kept; bounds of what the driver holds.
 SAMPLE, FREQUENT = 4_000, 200_000
-#: Points under one shingle that are compared as one leaf; more are a tree. More than TREE hold together untested.
-FEW, TREE = 64, 2000
+#: Points under one shingle that are compared as one leaf; more are a tree. More than TREE hold together untested, and so
+#: do those that a tree's search leaves, if that is over DENSE for each point.
+FEW, TREE, DENSE = 64, 20_000, 64
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -269,7 +281,7 @@ class Trees:
         return ok | (self.vague[a] & self.vague[b])
 
     def leaves(self, few: int):
-        """Candidates (set, set) under shingles of so many points at most."""
+        """Entries that meet under shingles of so many points at most, (entry, entry), a bounded number at a time."""
         k = (self.count > 1) & (self.count <= few)
         start, n = self.first[k], self.count[k]
         row = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64), n) + np.arange(int(n.sum()))
@@ -280,37 +292,55 @@ class Trees:
             x = row[at]
             y = x + 1 + k - upto[at]
             a, b = self.of[x], self.of[y]
-            ok = may_link(self.size[a], self.left[x], self.size[b], self.left[y], self.num, self.den)
-            pair = np.unique(a[ok] * np.int64(len(self.ids)) + b[ok])
-            yield pair // len(self.ids), pair % len(self.ids)
+            ok = self.den * np.minimum(self.size[a], self.size[b]) >= self.num * np.maximum(self.size[a], self.size[b])
+            yield x[ok], y[ok]
 
-    def tree(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Candidates under one shingle, by searching its tree with each of its points."""
+    def tree(self, start: int, n: int) -> tuple[np.ndarray, np.ndarray, bool]:
+        """(entry, entry, whether all are there) under one shingle, by searching its tree; if they are too many, what holds them together."""
         own = self.of[start : start + n]
         p = self.point[own].astype(np.int64)
         size = self.size[own]
         p[p == 255] = 1 << 20  # bounds nothing
         t = RTree(p, self.num, self.den, size)
-        out = [np.stack([np.full(len(c), own[k]), own[c]]) for k in range(n) if len(c := t.near(p[k], int(size[k])))]
-        a, b = np.concatenate(out, axis=1)
-        return a[a < b], b[a < b]
-
-    def held(self, few: int = FEW, most: int = TREE) -> tuple[np.ndarray, np.ndarray]:
-        """A forest of the candidates, as set ids."""
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def add(a: np.ndarray, b: np.ndarray) -> None:
-            x, y = common.roots(np.concatenate([*u, a]), np.concatenate([*v, b]))
-            u[:], v[:] = [x], [y]
-
-        for a, b in self.leaves(few):
-            for s in range(0, len(a), 1 << 17):
-                x, y = a[s : s + (1 << 17)], b[s : s + (1 << 17)]
-                ok = self.near(x, y)
-                add(x[ok], y[ok])
-        for s, n in zip(self.first[self.count > few].tolist(), self.count[self.count > few].tolist(), strict=True):
-            add(*(self.tree(s, n) if n <= most else (self.of[s + 1 : s + n], np.full(n - 1, self.of[s]))))
-        return self.ids[u[0]], self.ids[v[0]]
+        pairs, count, whole = [np.zeros((2, 0), np.int64)], 0, True
+        for k in range(n):
+            c = t.near(p[k], int(size[k]))
+            pairs.append(np.stack([np.full(int((c > k).sum()), k), c[c > k]]))
+            count += pairs[-1].shape[1]
+            if count > DENSE * n:
+                pairs, count, whole = [np.stack(common.roots(*np.concatenate(pairs, axis=1)))], 0, False
+        x, y = np.concatenate(pairs, axis=1)
+        return start + x, start + y, whole
+
+    def candidates(self, few: int = FEW, most: int = TREE) -> pa.RecordBatch:
+        """(u, v, shared, needed, enough): a forest of what is settled (needed 0), and pairs that further shingles may make candidates."""
+        pair, shared, enough, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.int64(max(1, len(self.ids)))
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def add(x: np.ndarray, y: np.ndarray) -> None:
+            nonlocal pair, shared, enough
+            a, b = self.of[x], self.of[y]
+            first = may_link(self.size[a], self.left[x], self.size[b], self.left[y], self.num, self.den)
+            pair, back = np.unique(np.concatenate([pair, a * n + b]), return_inverse=True)
+            shared = np.bincount(back, np.concatenate([shared, np.ones(len(a), np.int64)])).astype(np.int64)
+            enough = np.bincount(back, np.concatenate([enough, first])) > 0
+
+        for x, y in self.leaves(few):
+            add(x, y)
+        for s, m in zip(self.first[self.count > few].tolist(), self.count[self.count > few].tolist(), strict=True):
+            x, y, whole = self.tree(s, m) if m <= most else (np.arange(s + 1, s + m), np.full(m - 1, s), False)
+            if whole:
+                add(x, y)
+            else:
+                u, v = common.roots(np.concatenate([u, self.of[x]]), np.concatenate([v, self.of[y]]))
+        ok = np.concatenate([[], *(self.near(pair[z : z + (1 << 17)] // n, pair[z : z + (1 << 17)] % n) for z in range(0, len(pair), 1 << 17))]).astype(bool)
+        a, b, shared, enough = pair[ok] // n, pair[ok] % n, shared[ok], enough[ok]
+        needed = least_shared(self.size[a], self.size[b], self.num, self.den)
+        sure = enough & (shared >= needed)
+        u, v = common.roots(np.concatenate([u, a[sure]]), np.concatenate([v, b[sure]]))
+        rest, none = ~sure, np.zeros(len(u), np.int64)
+        columns = [np.concatenate(c) for c in ((self.ids[u], self.ids[a[rest]]), (self.ids[v], self.ids[b[rest]]), (none, shared[rest]), (none, needed[rest]), (none == 0, enough[rest]))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["u", "v", "shared", "needed", "enough"])
 
 
 #: Packed bytes that a task takes apart at a time, a range of shingles after the other if it has more.
@@ -319,7 +349,7 @@ PACKED = 16 << 20
 
 def _search(num: int, den: int):
     def run(batches):
-        """Forests of the candidates under all shingles of a partition."""
+        """Candidates under all shingles of a partition."""
         packed = [x.as_py() for b in batches for x in b.column("listed")]
         ranges = 1 + sum(map(len, packed)) // PACKED
         for k in range(ranges):
@@ -332,8 +362,7 @@ def _search(num: int, den: int):
                     sets, e = {n: x[own] for n, x in sets.items()}, {"key": e["key"][mine], "of": of, "left": e["left"][mine]}
                 part.append((sets, e))
             if part:
-                u, v = Trees(part, num, den).held()
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield Trees(part, num, den).candidates()
 
     return run
 
@@ -430,7 +459,9 @@ def groups(documents: DataFrame, num: int, den: int, n: int, id_col: str = "doc_
     parts = common.parallelism(spark)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     listed = docs.select("text").mapInArrow(_listing(n, num, den, 2 * parts, *frequent(docs, n)), "bucket int, listed binary")
-    hanging = common.written(listed.repartition(parts, "bucket").mapInArrow(_search(num, den), "u long, v long"), "candidates")
+    found = listed.repartition(parts, "bucket").mapInArrow(_search(num, den), "u long, v long, shared long, needed long, enough boolean")
+    found = found.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("needed").alias("needed"), F.max("enough").alias("enough"))
+    hanging = common.written(found.where("needed = 0 or (enough and shared >= needed)").select("u", "v"), "candidates")
     block = common.components(hanging, "u", "v")  # node, component: all but the smallest of each block
     per_doc = common.written(docs.select("doc_id", "text_hash", "text").mapInArrow(_identify(n), "doc_id long, text_hash long, set_id long, n long"), "documents")
     common.free(hanging)

@@ -62,7 +62,9 @@ def test_keys_lose_no_pair():
         half = at[len(at) // 2]
         two = [N.points(s[x:y], at[i:j] - x, num, den, often, np.arange(len(often)) % 5) for x, y, i, j in ((0, half, 0, len(at) // 2 + 1), (half, len(s), len(at) // 2, len(at)))]
         for few, most in ((64, 2000), (3, 5), (2, 2000)):
-            u, v = N.Trees([N.unpack(N.pack(*p)) for p in two], num, den).held(few, most)
+            c = N.Trees([N.unpack(N.pack(*p)) for p in two], num, den).candidates(few, most).to_pandas()
+            c = c[(c.needed == 0) | (c.enough & (c.shared >= c.needed))]
+            u, v = c.u.to_numpy(), c.v.to_numpy()
             block = dict(zip(ids.tolist(), ids.tolist(), strict=True)) | dict(zip(*(x.tolist() for x in N.common.roots(u, v)), strict=True))
             assert all(ids[a] == ids[b] or block[int(ids[a])] == block[int(ids[b])] for a in range(len(sets)) for b in range(a) if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]))
         pairs = 0
