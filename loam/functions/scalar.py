@@ -77,7 +77,7 @@ def keywords(text: Column) -> Column:
 
 def keyword_overlap(a: Column, b: Column) -> Column:
     """Share of a found in b, of the larger size; b's repeats count in its size. 0 if either is empty."""
-    both = F.size(F.filter(a, lambda x: F.array_contains(b, x)))
+    both = F.when(F.size(F.array_distinct(a)) == F.size(a), F.size(F.array_intersect(a, b))).otherwise(F.size(F.filter(a, lambda x: F.array_contains(b, x))))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), both / F.greatest(F.size(a), F.size(b))).otherwise(F.lit(0.0))
 
 
@@ -129,15 +129,6 @@ def resolve_import(source: Column, path: Column) -> Column:
     return F.when(source.startswith("."), normal_path(F.concat(folder, source))).when(source.startswith("/"), F.concat(F.lit(".."), normal_path(source)))
 
 
-def content_tags(path: Column, content: Column) -> Column:
-    """Lower-cased path segments, then the ten most used capitalised words that come twice or more."""
-    segments = F.transform(F.filter(F.split(path, "/"), lambda p: ~F.contains(p, F.lit(".")) & (F.length(p) > 2)), lambda p: F.lower(p))
-    words = F.regexp_extract_all(content, F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-zA-Z]{3,})(?![A-Za-z0-9_])"), 1)
-    counted = F.transform(F.array_distinct(words), lambda w, i: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), i.alias("i"), w.alias("w")))
-    top = F.slice(F.array_sort(F.filter(counted, lambda s: s["n"] <= -2)), 1, 10)
-    return F.array_distinct(F.concat(segments, F.transform(top, lambda s: F.lower(s["w"]))))
-
-
 def duration(ms: Column) -> Column:
     """Seconds as toFixed(1) has them: the tenth nearest to the double's exact value, the larger one of two."""
     ms = ms.cast("long")

@@ -25,13 +25,16 @@ def import_candidates(target: Column) -> Column:
 def resolve_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct (src, dst) paths: each local import's first candidate that is a known file, other than the file itself.
 
-    imports: (path, source, resolved_path, is_external). An equi-join on path with the position of the candidate, and the
+    imports: (path, source, resolved_path, is_external[, ord]); with ord, edges have the least one of theirs. An equi-join on path with the position of the candidate, and the
     least position by aggregation; so no nested loop, whatever the number of files.
     """
-    asked = imports.where(~F.col("is_external")).select(F.col("path").alias("src"), F.coalesce("resolved_path", "source").alias("target")).where("target <> ''").distinct()
-    tried = asked.select("src", "target", F.posexplode(import_candidates(F.col("target"))).alias("pos", "path"))
-    found = tried.join(files.select("path"), "path").groupBy("src", "target").agg(F.min_by("path", "pos").alias("dst"))
-    return found.where("src <> dst").select("src", "dst").distinct()
+    ord_ = F.col("ord") if "ord" in imports.columns else F.lit(0)
+    asked = imports.where(~F.col("is_external")).select(F.col("path").alias("src"), F.coalesce("resolved_path", "source").alias("target"), ord_.alias("ord")).where("target <> ''")
+    asked = asked.groupBy("src", "target").agg(F.min("ord").alias("ord"))
+    tried = asked.select("src", "target", "ord", F.posexplode(import_candidates(F.col("target"))).alias("pos", "path"))
+    found = tried.join(files.select("path"), "path").groupBy("src", "target").agg(F.min_by("path", "pos").alias("dst"), F.min("ord").alias("ord"))
+    edges = found.where("src <> dst").groupBy("src", "dst").agg(F.min("ord").alias("ord"))
+    return edges if "ord" in imports.columns else edges.drop("ord")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -84,21 +87,22 @@ def blast_radius(nodes: DataFrame, edges: DataFrame, origin: str, depth: int = 5
     return dependents(edges, start, depth).where("depth > 0")
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, most: int = 64) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): each node comes after all it imports; nodes on or behind a cycle get the level after the last one.
 
-    Peels nodes without open imports, level by level; each level ends in a stored table.
+    Peels nodes without open imports, level by level, until none is ready; each level ends in a stored table.
     """
     left = nodes.select("id").distinct()
     e = edges.select("src", "dst").where("src <> dst").distinct().join(left.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    done = None
-    for level in range(most):
+    done, level = None, 0
+    while True:
         ready = stored(left.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)), "level")
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
         left = stored(left.join(ready, "id", "left_anti"), "left")
         e = stored(e.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti"), "edges")
+        level += 1
     rest = left.withColumn("level", F.lit(level))
     return rest if done is None else done.unionByName(rest)
 

@@ -1,7 +1,7 @@
 """Imports, symbols, findings and patterns of source files: files (path, language, content).
 
-Files are taken apart into lines once; each language is a set of built-in expressions on lines or whole texts, and a
-language's rows are chosen by its column, so everything is one pass without Python.
+Each language is a set of built-in expressions on lines or whole texts, chosen by a file's language where the file is read,
+so contents are scanned once and never by Python.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from loam.functions.scalar import SPACE, link_target, resolve_import, trim_space
 
 SCRIPTS = ("typescript", "javascript", "mdx")
 Q = "['\"]"
-W = r"[A-Za-z0-9_]+"
+W = r"\w+"
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -22,10 +22,12 @@ def lines(files: DataFrame) -> DataFrame:
     return x.select("path", "language", (F.col("pos") + 1).alias("line"), "raw", trim_space(F.col("raw")).alias("text"))
 
 
-def _import(source: Column, symbols: Column | None = None, type_only: Column | None = None, dynamic: bool = False, external: Column | None = None, resolved: Column | None = None) -> Column:
+def _import(pos: Column, source: Column, symbols: Column | None = None, type_only: Column | None = None, dynamic: bool = False, external: Column | None = None, here: bool = False, flavour: int = 0, once: bool = True) -> Column:
+    """One import; flavour: its place among the passes over a file; once: only the first of a source counts in a pass; here: it may name a file."""
     return F.struct(
-        source.alias("source"), (symbols if symbols is not None else F.array().cast("array<string>")).alias("symbols"), (type_only if type_only is not None else F.lit(False)).alias("is_type_only"),
-        F.lit(dynamic).alias("is_dynamic"), (external if external is not None else F.lit(True)).alias("is_external"), (resolved if resolved is not None else F.lit(None).cast("string")).alias("resolved_path"),
+        F.lit(flavour).alias("flavour"), pos.cast("int").alias("pos"), source.alias("source"), F.lit(once).alias("once"), (symbols if symbols is not None else F.array().cast("array<string>")).alias("symbols"),
+        (type_only if type_only is not None else F.lit(False)).alias("is_type_only"), F.lit(dynamic).alias("is_dynamic"), (external if external is not None else F.lit(True)).alias("is_external"),
+        F.lit(here).alias("here"),
     )
 
 
@@ -38,114 +40,116 @@ def _names(raw: Column) -> Column:
     return F.filter(F.transform(F.split(raw, ","), lambda n: trim_space(F.regexp_replace(trim_space(n), r"\s+as\s+[\s\S]*$", ""))), lambda n: n != "")
 
 
-def _whole(files: DataFrame, pattern: str, flavour: int) -> DataFrame:
-    """(path, flavour, pos, m): all matches of a pattern in whole texts."""
-    return files.where(F.col("content").rlike(pattern)).select("path", F.lit(flavour).alias("flavour"), F.posexplode(F.regexp_extract_all("content", F.lit("(" + pattern + ")"), 1)).alias("pos", "m"))
+def _matches(pattern: str, build) -> Column:
+    """build(match, its number) of all matches of a pattern in the content; those for which it gives null are left out."""
+    return F.filter(F.transform(F.regexp_extract_all("content", F.lit("(" + pattern + ")"), 1), build), lambda x: x.isNotNull())
 
 
-def script_imports(files: DataFrame) -> DataFrame:
+def _lines(build) -> Column:
+    """build(trimmed line, its number from 0) of all lines of the content; those for which it gives null are left out."""
+    return F.filter(F.transform(F.transform(F.split("content", "\n"), trim_space), build), lambda x: x.isNotNull())
+
+
+def _each(files: DataFrame, found: Column) -> DataFrame:
+    """(path, x): the elements of an array. An outer explode, as a plain one has the array computed again for a filter on its size."""
+    return files.select("path", F.explode_outer(found).alias("x")).where("x is not null")
+
+
+def script_imports() -> Column:
     """Named, default and dynamic imports, in this order of passes; other forms are not seen."""
-    named = rf"import\s+(?:type\s+)?\{{[^}}]*\}}\s+from\s+{Q}[^'\"]+{Q}"
-    default = rf"import\s+(?:type\s+)?{W}\s+from\s+{Q}[^'\"]+{Q}"
-    dynamic = rf"import\s*\(\s*{Q}[^'\"]+{Q}\s*\)"
-    src = F.regexp_extract("m", rf"{Q}([^'\"]+){Q}\s*\)?$", 1)
-    typed = F.col("m").rlike(r"^import\s+type\s")
-    parts = [
-        _whole(files, named, 0).withColumn("x", _import(src, _names(F.regexp_extract("m", r"\{([^}]*)\}", 1)), typed, external=~_local(src))),
-        _whole(files, default, 1).withColumn("x", _import(src, F.array(F.regexp_extract("m", rf"^import\s+(?:type\s+)?({W})\s+from", 1)), typed & ~F.col("m").rlike(r"^import\s+type\s+from\s"), external=~_local(src))),
-        _whole(files, dynamic, 2).withColumn("x", _import(src, dynamic=True, external=~_local(src))),
-    ]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2]).select("path", "flavour", "pos", "x.*")
-    return out.withColumn("resolved_path", resolve_import(F.col("source"), F.col("path")))
+    src = lambda m: F.regexp_extract(m, rf"{Q}([^'\"]+){Q}\s*\)?$", 1)
+    typed = lambda m: m.rlike(r"^import\s+type\s")
+    name = lambda m: F.array(F.regexp_extract(m, rf"^import\s+(?:type\s+)?({W})\s+from", 1))
+    return F.concat(
+        _matches(rf"import\s+(?:type\s+)?\{{[^}}]*\}}\s+from\s+{Q}[^'\"]+{Q}", lambda m, i: _import(i, src(m), _names(F.regexp_extract(m, r"\{([^}]*)\}", 1)), typed(m), external=~_local(src(m)), here=True)),
+        _matches(rf"import\s+(?:type\s+)?{W}\s+from\s+{Q}[^'\"]+{Q}", lambda m, i: _import(i, src(m), name(m), typed(m) & ~m.rlike(r"^import\s+type\s+from\s"), external=~_local(src(m)), here=True, flavour=1)),
+        _matches(rf"import\s*\(\s*{Q}[^'\"]+{Q}\s*\)", lambda m, i: _import(i, src(m), dynamic=True, external=~_local(src(m)), here=True, flavour=2)),
+    )
+
 
+def python_imports() -> Column:
+    def one(t: Column, i: Column) -> Column:
+        source, plain = F.regexp_extract(t, r"^from\s+(\S+)\s+import\s+", 1), F.regexp_extract(t, r"^import\s+(\S+)", 1)
+        names = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract(t, r"^from\s+\S+\s+import\s+(.*)", 1), r"[()\\]", ""), ","), trim_space), lambda n: n != "")
+        return F.when(source != "", _import(i, source, names, external=~source.startswith("."), here=True)).when(plain != "", _import(i, plain, external=~plain.startswith(".")))
 
-def python_imports(ln: DataFrame) -> DataFrame:
-    t = F.col("text")
-    is_from, is_import = t.rlike(r"^from\s+\S+\s+import\s+"), t.rlike(r"^import\s+\S+")
-    source = F.when(is_from, F.regexp_extract("text", r"^from\s+(\S+)\s+import\s+", 1)).otherwise(F.regexp_extract("text", r"^import\s+(\S+)", 1))
-    names = F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract("text", r"^from\s+\S+\s+import\s+(.*)", 1), r"[()\\]", ""), ","), trim_space), lambda n: n != "")
-    symbols = F.when(is_from, names).otherwise(F.array().cast("array<string>"))
-    out = ln.where(is_from | is_import).select("path", F.lit(0).alias("flavour"), F.col("line").alias("pos"), _import(source, symbols, external=~source.startswith(".")).alias("x"), is_from.alias("f")).select("path", "flavour", "pos", "x.*", "f")
-    return out.withColumn("resolved_path", F.when(F.col("f"), resolve_import(F.col("source"), F.col("path")))).drop("f")
+    return _lines(one)
 
 
-def go_imports(ln: DataFrame) -> DataFrame:
-    """Single imports and those in import blocks; a line is in a block if the last mark before it opened one. Repeats stay."""
+def go_imports(files: DataFrame) -> DataFrame:
+    """(path, x): single imports and those in import blocks; a line is in a block if the last mark before it opened one. Repeats stay.
+
+    What came before decides, so Go files alone are taken apart into rows.
+    """
+    ln = lines(files.where("language = 'go'"))
     mark = F.when(F.col("text") == "import (", 1).when(F.col("text") == ")", 0)
     w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
     x = ln.withColumn("inside", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)))
-    item, single = r'^\s*(?:[A-Za-z0-9_]+\s+)?"([^"]+)"', r'^import\s+"([^"]+)"'
+    item, single = r'^\s*(?:\w+\s+)?"([^"]+)"', r'^import\s+"([^"]+)"'
     source = F.when((F.col("inside") == 1) & F.col("raw").rlike(item), F.regexp_extract("raw", item, 1)).when(F.col("raw").rlike(single), F.regexp_extract("raw", single, 1))
     x = x.where((F.col("text") != "import (") & ~((F.col("inside") == 1) & (F.col("text") == ")"))).withColumn("s", source).where("s is not null")
-    return x.select("path", F.lit(0).alias("flavour"), F.col("line").alias("pos"), _import(F.col("s"), external=~F.col("s").startswith(".")).alias("x")).select("path", "flavour", "pos", "x.*")
+    return x.select("path", _import(F.col("line"), F.col("s"), external=~F.col("s").startswith("."), once=False).alias("x"))
 
 
-def _line_imports(ln: DataFrame, pattern: str, group: int, external) -> DataFrame:
-    s = F.regexp_extract("text", pattern, group)
-    return ln.where(F.col("text").rlike(pattern)).select("path", F.lit(0).alias("flavour"), F.col("line").alias("pos"), _import(s, external=external(s)).alias("x")).select("path", "flavour", "pos", "x.*")
+def _line_imports(pattern: str, group: int, external, once: bool = True) -> Column:
+    """Imports of lines that a pattern fits; external(line, source)."""
+    return _lines(lambda t, i: F.when(t.rlike(pattern), _import(i, F.regexp_extract(t, pattern, group), external=external(t, F.regexp_extract(t, pattern, group)), once=once)))
 
 
-def _first(x: DataFrame) -> DataFrame:
-    """The first of each (path, flavour, source)."""
-    keep = x.groupBy("path", "flavour", "source").agg(F.min_by(F.struct("pos", "symbols", "is_type_only", "is_dynamic", "is_external", "resolved_path"), "pos").alias("x"))
-    return keep.select("path", "flavour", "source", "x.*")
+def markup_imports() -> Column:
+    """Scripts, links and images of HTML, in this order; not the pages linked to, nothing from other sites."""
+    def told(k: int, attribute: str):
+        def one(m: Column, i: Column) -> Column:
+            s = F.regexp_extract(m, rf"(?i){attribute}={Q}([^'\"]+){Q}$", 1)
+            return F.when(~(s.startswith("http") | s.startswith("//") | s.startswith("data:")), _import(i + k * 1_000_000, s, external=F.lit(False), here=True))
 
+        return one
 
-def markup_imports(files: DataFrame) -> DataFrame:
-    """Scripts, links and images of HTML, in this order; not the pages linked to, nothing from other sites."""
-    parts = None
-    for k, (tag, attribute) in enumerate((("script", "src"), ("link", "href"), ("img", "src"))):
-        m = _whole(files, rf"(?i)<{tag}[^>]+{attribute}={Q}[^'\"]+{Q}", k)
-        s = F.regexp_extract("m", rf"(?i){attribute}={Q}([^'\"]+){Q}$", 1)
-        parts = (x := m.withColumn("source", s)) if parts is None else parts.unionByName(x := m.withColumn("source", s))
-    s = F.col("source")
-    parts = parts.where(~(s.startswith("http") | s.startswith("//") | s.startswith("data:")))
-    out = parts.select("path", F.lit(0).alias("flavour"), (F.col("flavour") * 1_000_000 + F.col("pos")).alias("pos"), _import(s, external=F.lit(False)).alias("x")).select("path", "flavour", "pos", "x.*")
-    return _first(out).withColumn("resolved_path", resolve_import(F.col("source"), F.col("path")))
-
-
-def link_imports(files: DataFrame, flavour: int = 0) -> DataFrame:
+    tags = enumerate((("script", "src"), ("link", "href"), ("img", "src")))
+    return F.concat(*[_matches(rf"(?i)<{tag}[^>]+{attribute}={Q}[^'\"]+{Q}", told(k, attribute)) for k, (tag, attribute) in tags])
+
+
+def link_imports(flavour: int = 0) -> Column:
     """Markdown links to other files, decoded and without fragments."""
-    m = _whole(files, r"\[[^\]]*\]\([^)]+\)", flavour).withColumn("r", F.regexp_extract("m", r"\]\(([^)]+)\)$", 1))
-    m = m.withColumn("s", F.get(F.split("r", "#"), F.lit(0))).where("s <> '' and not startswith(s, 'http') and not startswith(s, 'mailto:')").withColumn("s", link_target(F.col("s")))
-    out = m.select("path", "flavour", "pos", _import(F.col("s"), external=F.lit(False)).alias("x")).select("path", "flavour", "pos", "x.*")
-    return _first(out).withColumn("resolved_path", resolve_import(F.col("source"), F.col("path")))
+    def one(m: Column, i: Column) -> Column:
+        bare = F.get(F.split(F.regexp_extract(m, r"\]\(([^)]+)\)$", 1), "#"), F.lit(0))
+        return F.when((bare != "") & ~bare.startswith("http") & ~bare.startswith("mailto:"), _import(i, link_target(bare), external=F.lit(False), here=True, flavour=flavour))
 
+    return _matches(r"\[[^\]]*\]\([^)]+\)", one)
 
-def imports(files: DataFrame) -> DataFrame:
-    """(path, ord, source, resolved_path, symbols, is_type_only, is_dynamic, is_external) of all files."""
-    ln = lines(files)
-    of = lambda *names: ln.where(F.col("language").isin(*names))
-    text = lambda *names: files.where(F.col("language").isin(*names))
-    yes = lambda s: F.lit(True)
-    parts = [
-        _first(script_imports(text(*SCRIPTS))),
-        _first(python_imports(of("python"))),
-        go_imports(of("go")),
-        _line_imports(of("rust"), r"^use\s+([A-Za-z0-9_:]+(?:::\{[^}]*\})?(?:::\*)?)", 1, lambda s: ~(s.startswith("crate") | s.startswith("super") | s.startswith("self"))),
-        _first(_line_imports(of("java", "kotlin", "swift"), r"^import\s+([A-Za-z0-9_.]+);?", 1, yes)),
-        _first(_line_imports(of("csharp"), r"^using\s+([A-Za-z0-9_.]+);?", 1, yes)),
-        _first(_include(of("c", "cpp"))),
-        _first(_line_imports(of("php"), rf"^(use|require|require_once|include|include_once)\s+{Q}?([^'\";]+){Q}?;?", 2, lambda s: ~F.contains(s, F.lit("/")))),
-        _first(_ruby(of("ruby"))),
-        markup_imports(text("html")),
-        link_imports(text("markdown")),
-        link_imports(text("mdx"), 3),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    n = F.row_number().over(Window.partitionBy("path").orderBy("flavour", "pos")) - 1
-    return out.select("path", n.alias("ord"), "source", "resolved_path", "symbols", "is_type_only", "is_dynamic", "is_external")
 
+#: (languages, imports of a file of them as an array); more can be registered.
+EXTRACTORS: list[tuple[tuple[str, ...], object]] = [
+    (("typescript", "javascript"), script_imports),
+    (("mdx",), lambda: F.concat(script_imports(), link_imports(3))),
+    (("python",), python_imports),
+    (("rust",), lambda: _line_imports(r"^use\s+([\w:]+(?:::\{[^}]*\})?(?:::\*)?)", 1, lambda t, s: ~(s.startswith("crate") | s.startswith("super") | s.startswith("self")), once=False)),
+    (("java", "kotlin", "swift"), lambda: _line_imports(r"^import\s+([\w.]+);?", 1, lambda t, s: F.lit(True))),
+    (("csharp",), lambda: _line_imports(r"^using\s+([\w.]+);?", 1, lambda t, s: F.lit(True))),
+    (("c", "cpp"), lambda: _line_imports(r'^#include\s+[<"]([^>"]+)[>"]', 1, lambda t, s: t.rlike(r"^#include\s+<"))),
+    (("php",), lambda: _line_imports(rf"^(use|require|require_once|include|include_once)\s+{Q}?([^'\";]+){Q}?;?", 2, lambda t, s: ~F.contains(s, F.lit("/")))),
+    (("ruby",), lambda: _line_imports(rf"^require(?:_relative)?\s+{Q}([^'\"]+){Q}", 1, lambda t, s: ~(t.startswith("require_relative") | _local(s)))),
+    (("html",), markup_imports),
+    (("markdown",), link_imports),
+]
 
-def _include(ln: DataFrame) -> DataFrame:
-    pattern = r'^#include\s+[<"]([^>"]+)[>"]'
-    return _line_imports(ln, pattern, 1, lambda s: F.col("text").rlike(r"^#include\s+<"))
 
+def imports(files: DataFrame) -> DataFrame:
+    """(path, ord, source, resolved_path, symbols, is_type_only, is_dynamic, is_external) of all files.
 
-def _ruby(ln: DataFrame) -> DataFrame:
-    return _line_imports(ln, rf"^require(?:_relative)?\s+{Q}([^'\"]+){Q}", 1, lambda s: ~(F.col("text").startswith("require_relative") | _local(s)))
+    A file's imports are one array, built where the file is read by the expression of its language, so contents are read
+    once (Go files twice) and only imports are dealt out by path.
+    """
+    found = None
+    for names, extract in EXTRACTORS:
+        mine = F.col("language").isin(*names)
+        found = F.when(mine, extract()) if found is None else found.when(mine, extract())
+    x = _each(files, found).unionByName(go_imports(files)).select("path", "x.*").repartition("path")
+    x = x.withColumn("resolved_path", F.when(F.col("here"), resolve_import(F.col("source"), F.col("path"))))
+    rest = F.struct("pos", "symbols", "is_type_only", "is_dynamic", "is_external", "resolved_path")
+    x = x.groupBy("path", "flavour", "source", F.when(~F.col("once"), F.col("pos")).alias("each")).agg(F.min_by(rest, "pos").alias("x")).select("path", "flavour", "source", "x.*")
+    n = F.row_number().over(Window.partitionBy("path").orderBy("flavour", "pos")) - 1
+    return x.select("path", n.alias("ord"), "source", "resolved_path", "symbols", "is_type_only", "is_dynamic", "is_external")
 
 
 def _signature(all_lines: Column, pos: Column) -> Column:
@@ -164,16 +168,15 @@ def _signature(all_lines: Column, pos: Column) -> Column:
 def symbols(files: DataFrame) -> DataFrame:
     """(path, line, name, kind, signature, signature_hash, is_exported) of all files.
 
-    Only scripts need their neighbouring lines; those are taken from the file's array of lines, not by a window.
+    Lines are taken apart once, and each is judged by its language's rules. Only scripts need their neighbouring lines;
+    those are taken from the file's array of lines, not by a window.
     """
     t, raw = F.col("text"), F.col("raw")
     rx = lambda p: (t.rlike(p), F.regexp_extract("text", p, 1))
-    split_ = F.split("content", "\n")
-    x = files.where(F.col("language").isin(*SCRIPTS)).select("path", split_.alias("all"), F.posexplode(split_).alias("pos", "raw")).select("path", "all", (F.col("pos") + 1).alias("line"), trim_space(F.col("raw")).alias("text"))
-    x = x.where(t.startswith("export") | t.rlike(r"^(async\s+)?function\s"))
+    gx = lambda p: (raw.rlike(p), F.regexp_extract("raw", p, 1))
     short = F.substring("text", 1, 120)
     block = lambda n: F.substring(F.array_join(F.slice("all", F.col("line"), F.lit(n)), "\n"), 1, 300)
-    rules = [
+    scripts = [
         (rf"^export\s+(?:default\s+)?(?:async\s+)?function\s+({W})", "function", _signature(F.col("all"), F.col("line"))),
         (rf"^export\s+const\s+({W})\s*(?::\s*[^=]+)?\s*=\s*(?:async\s+)?\(", "function", short),
         (rf"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+({W})", "class", short),
@@ -183,30 +186,35 @@ def symbols(files: DataFrame) -> DataFrame:
         (rf"^export\s+(?:readonly\s+)?const\s+({W})\s*(?::\s*{W})?\s*=", "const", short),
         (rf"^(?:async\s+)?function\s+({W})\s*\(", "function", F.substring("text", 1, 80)),
     ]
-    parts = [_symbols(x, [(*rx(p), k, s, F.lit(not p.startswith("^(?:async"))) for p, k, s in rules])]
-    ln = lines(files)
     public = lambda n: ~n.startswith("_")
-    py = [(*rx(rf"^(?:async\s+)?def\s+({W})\s*\([^)]*\)"), "function"), (*rx(rf"^class\s+({W})(?:\([^)]*\))?:"), "class")]
-    parts.append(_symbols(ln.where("language = 'python'"), [(c, n, k, short, public(n)) for c, n, k in py]))
-    gx = lambda p: (raw.rlike(p), F.regexp_extract("raw", p, 1))
     upper = lambda n: F.substring(n, 1, 1).rlike("^[A-Z]")
+    py = [(*rx(rf"^(?:async\s+)?def\s+({W})\s*\([^)]*\)"), "function"), (*rx(rf"^class\s+({W})(?:\([^)]*\))?:"), "class")]
     go = [(*gx(rf"^func\s+(?:\([^)]+\)\s+)?({W})\s*\("), "function"), (*gx(rf"^type\s+({W})\s+"), "type")]
-    parts.append(_symbols(ln.where("language = 'go'"), [(c, n, k, short, upper(n)) for c, n, k in go]))
     pub = r"^pub(?:\([^)]*\))?\s+"
     rust = [(pub + rf"(?:async\s+)?fn\s+({W})", "function", True), (rf"^(?:async\s+)?fn\s+({W})", "function", False)] + [(pub + rf"{a}\s+({W})", b, True) for a, b in (("struct", "class"), ("enum", "enum"), ("trait", "interface"), ("type", "type"))]
-    parts.append(_symbols(ln.where("language = 'rust'"), [(*rx(p), k, short, F.lit(e)) for p, k, e in rust]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumn("signature_hash", F.sha2("signature", 256))
+    rules = [
+        (SCRIPTS, [(*rx(p), k, s, F.lit(not p.startswith("^(?:async"))) for p, k, s in scripts]),
+        (("python",), [(c, n, k, short, public(n)) for c, n, k in py]),
+        (("go",), [(c, n, k, short, upper(n)) for c, n, k in go]),
+        (("rust",), [(*rx(p), k, short, F.lit(e)) for p, k, e in rust]),
+    ]
+    split_ = F.split("content", "\n")
+    x = files.where(F.col("language").isin(*[n for names, _ in rules for n in names])).select("path", "language", split_.alias("all"), F.posexplode(split_).alias("pos", "raw"))
+    x = x.select("path", "language", "all", (F.col("pos") + 1).alias("line"), "raw", trim_space(F.col("raw")).alias("text"))
+    found = None
+    for names, of in rules:
+        mine = F.col("language").isin(*names)
+        found = F.when(mine, _symbol(of)) if found is None else found.when(mine, _symbol(of))
+    return x.select("path", "line", found.alias("s_")).where("s_ is not null").select("path", "line", "s_.*").withColumn("signature_hash", F.sha2("signature", 256))
 
 
-def _symbols(x: DataFrame, rules: list) -> DataFrame:
+def _symbol(rules: list) -> Column:
+    """What the first rule that fits a line makes of it."""
     chosen = None
     for cond, name, kind, signature, exported in reversed(rules):
         one = F.struct(name.alias("name"), F.lit(kind).alias("kind"), signature.alias("signature"), exported.alias("is_exported"))
         chosen = F.when(cond, one) if chosen is None else F.when(cond, one).otherwise(chosen)
-    return x.select("path", "line", chosen.alias("s_")).where("s_ is not null").select("path", "line", "s_.*")
+    return chosen
 
 
 def symbol_hashes(files: DataFrame, found: DataFrame) -> DataFrame:
@@ -219,6 +227,22 @@ SECRET = rf"(?i)(?:password|passwd|pwd|secret|api_key|apikey|token|auth)\s*[=:]\
 SQL_RISK = r"query\s*\(\s*['\"`][^'\"`]*\s*\+", r"execute\s*\(\s*['\"`][^'\"`]*\$\{", r"\$\{.*\}.*(?i:SELECT|INSERT|UPDATE|DELETE)"
 
 
+# What each finding and pattern is told as.
+FINDINGS = {
+    "Hardcoded Secret": ("high", "Credentials should never be hardcoded. Use environment variables or a secrets manager."),
+    "SQL Injection Risk": ("high", "String concatenation in SQL queries. Use parameterized queries instead."),
+    "Dangerous HTML Render": ("medium", "Direct HTML assignment can lead to XSS vulnerabilities."),
+    "Dangerous eval()": ("high", "Use of eval() is a severe security risk."),
+}
+PATTERNS = {
+    "Singleton": ("lock", "Ensures a class has only one instance."),
+    "Factory": ("factory", "Creates objects without specifying exact class."),
+    "Observer/Event": ("eye", "Subscription mechanism for event-driven architecture."),
+    "Custom Hook": ("hook", "React hook for reusable stateful logic."),
+    "Context Provider": ("globe", "React Context for global state."),
+}
+
+
 def secrets(files: DataFrame) -> DataFrame:
     """(path, line, code) of lines with a literal credential; files without such words are not taken apart."""
     ln = lines(files.where(F.col("content").rlike(SECRET)))
@@ -226,33 +250,35 @@ def secrets(files: DataFrame) -> DataFrame:
 
 
 def findings(files: DataFrame) -> DataFrame:
-    """(path, severity, title, line, code) of all security findings."""
-    s = secrets(files).select("path", F.lit("high").alias("severity"), F.lit("Hardcoded Secret").alias("title"), "line", "code")
+    """(path, severity, title, desc, line, code) of all security findings."""
+    def found(title: str, line: Column | None = None, code: Column | None = None) -> Column:
+        severity, desc = FINDINGS[title]
+        line, code = (F.lit(None) if x is None else x for x in (line, code))
+        return F.struct(F.lit(severity).alias("severity"), F.lit(title).alias("title"), F.lit(desc).alias("desc"), line.cast("int").alias("line"), code.cast("string").alias("code"))
+
+    s = secrets(files).select("path", found("Hardcoded Secret", F.col("line"), F.col("code")).alias("x"))
     c = F.col("content")
     sql = c.rlike(SQL_RISK[0]) | c.rlike(SQL_RISK[1]) | c.rlike(SQL_RISK[2])
     first = F.substring(trim_space(F.regexp_extract("content", r"(?i)(.*(?:query|execute|SELECT|INSERT|UPDATE|DELETE).*(?:\+|\$\{).*)", 1)), 1, 80)
-    none = F.lit(None)
-    kinds = F.array_compact(F.array(
-        F.when(sql, F.struct(F.lit("high").alias("severity"), F.lit("SQL Injection Risk").alias("title"), none.cast("int").alias("line"), first.alias("code"))),
-        F.when(c.rlike(r"innerHTML\s*=") | F.contains(c, F.lit("dangerouslySetInnerHTML")), F.struct(F.lit("medium").alias("severity"), F.lit("Dangerous HTML Render").alias("title"), none.cast("int").alias("line"), none.cast("string").alias("code"))),
-        F.when(c.rlike(r"eval\s*\("), F.struct(F.lit("high").alias("severity"), F.lit("Dangerous eval()").alias("title"), none.cast("int").alias("line"), none.cast("string").alias("code"))),
-    ))
-    return s.unionByName(files.select("path", F.explode(kinds).alias("x")).select("path", "x.*"))
+    html = c.rlike(r"innerHTML\s*=") | F.contains(c, F.lit("dangerouslySetInnerHTML"))
+    kinds = F.array_compact(F.array(F.when(sql, found("SQL Injection Risk", code=first)), F.when(html, found("Dangerous HTML Render")), F.when(c.rlike(r"eval\s*\("), found("Dangerous eval()"))))
+    return s.unionByName(_each(files, kinds)).select("path", "x.*")
 
 
 def patterns(files: DataFrame) -> DataFrame:
-    """(path, name) of the design patterns that a text shows."""
+    """(path, name, icon, desc, severity) of the design patterns that a text shows."""
     c = F.col("content")
     has = lambda *words: [F.contains(c, F.lit(w)) for w in words]
     either = lambda a, *b: either(a | b[0], *b[1:]) if b else a
     tests = [
         ("Singleton", either(*has("getInstance"), c.rlike(r"let\s+instance\s*="), c.rlike(r"private\s+static\s+instance"))),
-        ("Factory", F.lower("path").contains("factory") | c.rlike(r"create[A-Z][A-Za-z0-9_]*\(")),
+        ("Factory", F.lower("path").contains("factory") | c.rlike(r"create[A-Z]\w*\s*\(")),
         ("Observer/Event", either(*has("subscribe", "addEventListener", ".on(", "emit("))),
         ("Custom Hook", c.rlike(r"export\s+(?:const|function)\s+use[A-Z]")),
         ("Context Provider", either(*has("createContext", "Provider", "useContext"))),
     ]
-    return files.select("path", F.explode(F.array_compact(F.array(*[F.when(t, n) for n, t in tests]))).alias("name"))
+    told = lambda n: F.struct(F.lit(n).alias("name"), F.lit(PATTERNS[n][0]).alias("icon"), F.lit(PATTERNS[n][1]).alias("desc"), F.lit("info").alias("severity"))
+    return _each(files, F.array_compact(F.array(*[F.when(t, told(n)) for n, t in tests]))).select("path", "x.*")
 
 
 def external_dependencies(found: DataFrame) -> DataFrame:

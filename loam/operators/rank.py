@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
+from loam.sources.scratch import stored
 
 # Weight of each type of artifact for each operation.
 TYPES = ["module_summary", "execution_flow", "gotcha_entry", "architecture_overview", "architectural_decision", "feature_domain", "symbol_description"]
@@ -91,7 +92,9 @@ def relevance(artifacts: DataFrame, task: str, as_of: str, operation: str = "aut
     a = a.join(near.select("path", "depth"), "path", "left") if near is not None else a.withColumn("depth", F.lit(None).cast("int"))
     a = a.join(degree.select("path", "in_degree"), "path", "left") if degree is not None else a.withColumn("in_degree", F.lit(None).cast("int"))
     words = F.concat("tags", scalar.keywords(F.col("path")), scalar.keywords(F.substring("content", 1, 500)))
-    keyword = scalar.keyword_overlap(scalar.keywords(F.lit(task)), words)
+    a = a.select("*", words.alias("words_"), scalar.keywords(F.lit(task)).alias("asked_"))  # columns of their own, as each is used more than once
+    found, of = F.size(F.array_intersect("asked_", "words_")), F.greatest(F.size("asked_"), F.size("words_"))  # the task's words are distinct
+    keyword = F.when((F.size("asked_") > 0) & (F.size("words_") > 0), found / of).otherwise(F.lit(0.0))
     if not targets:
         proximity = F.lit(0.3)
     else:
@@ -127,7 +130,7 @@ def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None,
             cut = architecture[: quarter * 4] + scalar.TRUNCATED if len(architecture) > quarter * 4 else architecture
             used = -(-len(cut) // 4)
             limit = budget - quarter + used
-    rows = scored.select("ord", "score", "id", scalar.token_count(F.col("content")).alias("tokens"))
+    rows = stored(scored.select("ord", "score", "id", scalar.token_count(F.col("content")).alias("tokens")), "scores")  # scored once, scanned often
     after = lambda score, ord_: (F.col("score") < score) | ((F.col("score") == score) & (F.col("ord") > ord_))
     chosen, last, stop = [], None, None
     if used >= budget:

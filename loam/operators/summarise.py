@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
+from loam.operators.tags import content_tags
 from loam.sources.ship import ship
 
 Provider = Callable[[str, str, int, float], str]
@@ -82,10 +83,12 @@ def run(prompts: DataFrame, name: str | Provider = "extract", system: str = "Sum
 
 
 def artifacts(summaries: DataFrame, kind: str, as_of: str, by: str = "extract") -> DataFrame:
-    """Artifact rows of (path, content): id, tokens and tags of each."""
+    """Artifact rows of (path, content): id, tokens and tags of each. summaries is read twice, so it should be a stored table."""
     c = F.col("content")
-    return summaries.where("content is not null").select(
+    kept = summaries.where("content is not null")
+    tags = content_tags(kept.select(F.col("path").alias("id"), "path", "content")).select(F.col("id").alias("path"), "tags")
+    return kept.join(tags, "path").select(
         F.sha2(c, 256).alias("id"), F.lit(kind).alias("type"), "path", "content",
         F.struct(F.lit(as_of).cast("timestamp_ntz").alias("generated_at"), F.lit(by).alias("generated_by"), F.sha2("path", 256).alias("source_hash"), scalar.token_count(c).alias("token_count"), F.lit(1).alias("version"), F.lit(0.85).alias("confidence")).alias("metadata"),
-        scalar.content_tags(F.col("path"), c).alias("tags"),
+        "tags",
     )

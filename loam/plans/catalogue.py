@@ -94,14 +94,14 @@ def keywords_per_doc(spark, sf_dir):
     return V.table(spark, sf_dir, "documents").select("doc_id", k.alias("k")).select("doc_id", F.size("k").cast("long").alias("n_keywords"), F.sha2(F.array_join("k", " "), 256).alias("keywords_hash"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_distinct({words_sql("text[1:500]")}) AS a, list_concat([source, lang], {words_sql("text[401:900]")}) AS b FROM documents)
-SELECT doc_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_filter(a, lambda x: list_contains(b, x)))::DOUBLE / greatest(len(a), len(b)) ELSE 0 END, 6) AS overlap FROM d""")
+@query(f"""WITH d AS (SELECT doc_id, list_distinct({words_sql("text")}) AS a, list_concat([source, lang], {words_sql("text")}) AS b FROM documents)
+SELECT doc_id, round(CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b))::DOUBLE / greatest(len(a), len(b)) ELSE 0 END, 6) AS overlap FROM d""")
 def keyword_overlap(spark, sf_dir):
     text = F.col("text")
-    raw = F.split(F.regexp_replace(F.lower(F.substring(text, 401, 500)), r"[^a-z0-9\s_-]", " "), r"\s+")
+    raw = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s_-]", " "), r"\s+")
     stop = F.array(*[F.lit(w) for w in scalar.STOP_WORDS])
     b = F.concat(F.array("source", "lang"), F.filter(raw, lambda w: (F.length(w) > 3) & ~F.array_contains(stop, w)))
-    return V.table(spark, sf_dir, "documents").select("doc_id", scalar.keywords(F.substring(text, 1, 500)).alias("a"), b.alias("b")).select("doc_id", r6(scalar.keyword_overlap(F.col("a"), F.col("b")), "overlap"))
+    return V.table(spark, sf_dir, "documents").select("doc_id", scalar.keywords(text).alias("a"), b.alias("b")).select("doc_id", r6(scalar.keyword_overlap(F.col("a"), F.col("b")), "overlap"))
 
 
 TASKS = ["please fix it", "we add tests", "rename this", "unit coverage", "tell me why", "prefixed buggy", "New thing", "nothing here"]
@@ -367,11 +367,11 @@ def dep_top3(spark, sf_dir):
     return graph.first_dependencies(edges.withColumn("ord", ord_), known)
 
 
-@query("""WITH m AS (SELECT 'src/' || source || '/doc_' || doc_id AS path, source AS g, CASE WHEN doc_id % 3 <> 0 THEN text[1:20] END AS content FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY path) AS rn FROM m)
+@query("""WITH m AS (SELECT 'src/' || source || '/doc_' || doc_id AS path, source AS g, CASE WHEN doc_id % 3 <> 0 THEN text END AS content FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY path) AS rn FROM m)
 SELECT g AS module_group, coalesce(string_agg(content, chr(10) || chr(10) ORDER BY rn), '') AS context FROM r WHERE rn <= 5 GROUP BY g""")
 def group_top5(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
-    m = d.select(F.concat(F.lit("src/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 20)).alias("content"))
+    m = d.select(F.concat(F.lit("src/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("content"))
     return rank.first_summaries(m)
 
 
@@ -381,11 +381,11 @@ def _health_nodes(spark, sf_dir) -> DataFrame:
     k = F.col("doc_id")
     return d.join(t, "doc_id", "left").select(
         F.concat(F.lit("src/"), "source", F.when(k % 5 == 0, "/domain.ts").otherwise("/x.rs")).alias("path"), (k % 4).alias("in_degree"), (k % 9).alias("out_degree"), (k % 500 == 1).alias("mutual"), F.length("text").alias("size"),
-        F.when(k < 300, F.coalesce("toxic", F.lit(0))).otherwise(0).alias("high_issues"),
+        F.coalesce("toxic", F.lit(0)).alias("high_issues"),
     )
 
 
-@query("""WITH n AS (SELECT doc_id % 4 AS i, doc_id % 9 AS o, doc_id % 500 = 1 AS m, doc_id % 5 = 0 AS entry, length(text) AS size, CASE WHEN doc_id < 300 THEN coalesce(toxic, 0) ELSE 0 END AS hi FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
+@query("""WITH n AS (SELECT doc_id % 4 AS i, doc_id % 9 AS o, doc_id % 500 = 1 AS m, doc_id % 5 = 0 AS entry, length(text) AS size, coalesce(toxic, 0) AS hi FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) USING (doc_id)),
 a AS (SELECT count(*) AS n, count(*) FILTER (i = 0 AND NOT entry) AS isolated, count(*) FILTER (m) / 2.0 AS cycles, count(*) FILTER (size > 20000) AS large, sum(o)::DOUBLE / count(*) AS coupling, sum(hi) AS high FROM n),
 s AS (SELECT *, greatest(0, floor(100 - least(20, isolated * 100.0 / n) - least(20, cycles * 5) - least(15, large * 3) - least(15, greatest(0, coupling - 3) * 2) - least(20, high * 5) + 0.5)) AS score FROM a)
 SELECT isolated, large, CAST(high AS BIGINT) AS high, CAST(score AS BIGINT) AS score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END AS grade FROM s""")
@@ -401,10 +401,10 @@ def cost_model(spark, sf_dir):
     return health.cost(n.select("n")).join(n, "n").select("n", "files", r6(F.col("full_cost"), "full_cost"), "changed", r6(F.col("incremental_cost"), "incremental_cost"), F.col("reduction_pct").cast("long").alias("reduction_pct"), F.col("full_ms").cast("long").alias("full_ms"))
 
 
-@query("SELECT count(*) AS total_files, count(DISTINCT lang) AS languages, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, count(*) FILTER (doc_id % 7 = 0) AS rebuilt, CAST(floor(count(*) * 1800 * 0.75 + 0.5) AS BIGINT) AS saved FROM documents")
+@query("SELECT count(*) AS total_files, count(DISTINCT lang) AS languages, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens, count(*) FILTER (doc_id % 7 = 0) AS rebuilt, CAST(sum(doc_id % 4) AS BIGINT) AS security_issues, CAST(sum(doc_id % 3) AS BIGINT) AS patterns, CAST(floor(count(*) * 1800 * 0.75 + 0.5) AS BIGINT) AS saved FROM documents")
 def build_statistics(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), scalar.token_count(F.col("text")).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rebuilt"), F.lit(0).alias("issues"), F.lit(0).alias("patterns"))
-    return health.build_stats(d).select("total_files", "languages", "tokens", "rebuilt", health.estimated_savings(F.col("total_files")).cast("long").alias("saved"))
+    d = V.table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("language"), scalar.token_count(F.col("text")).alias("tokens"), (F.col("doc_id") % 7 == 0).alias("rebuilt"), (F.col("doc_id") % 4).alias("issues"), (F.col("doc_id") % 3).alias("patterns"))
+    return health.build_stats(d).select("total_files", "languages", "tokens", "rebuilt", "security_issues", "patterns", health.estimated_savings(F.col("total_files")).cast("long").alias("saved"))
 
 
 # Relevance and packing
@@ -603,30 +603,46 @@ def knowledge_index(spark, sf_dir):
     return parse.knowledge_index(c, parse.symbols(c)).select("module_group", F.sha2("entry", 256).alias("entry_hash"))
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)
+#: Lines put after each text: credentials, values that are looked up, and one that begins on the line before.
+PLANTED = ['password = "hunter22"', "const token = 'abcdef' || process.env.TOKEN", "\t API_KEY :'k-12345' ", 'secret="abcd" + config.tail', "pwd =\n'abcdef'", "auth: 'abc'"]
+
+
+@query(r"""WITH p AS (SELECT doc_id, coalesce(text, '') || chr(10) || [""" + ", ".join("'" + x.replace("'", "''").replace("\t", "' || chr(9) || '").replace("\n", "' || chr(10) || '") + "'" for x in PLANTED) + r"""][CAST(doc_id % 6 AS INT) + 1] AS text FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM p)
 SELECT 'd' || doc_id AS path, CAST(n AS INT) AS line, regexp_replace(line, '^\s+|\s+$', '', 'g')[1:80] AS code FROM l WHERE regexp_matches(line, '(?i)(?:password|passwd|pwd|secret|api_key|apikey|token|auth)\s*[=:]\s*[''"][^''"]{4,}[''"]') AND NOT contains(line, 'process.env') AND NOT contains(line, 'config.')""")
 def secrets(spark, sf_dir):
-    d = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"))
+    planted = F.get(F.array(*[F.lit(x) for x in PLANTED]), (F.col("doc_id") % 6).cast("int"))
+    d = V.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit("markdown").alias("language"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), planted).alias("content"))
     return parse.secrets(d)
 
 
-@query(f"""WITH {V.CODE} SELECT path, 'high' AS severity, 'Hardcoded Secret' AS title, 13 AS line, 'const password = "hunter' || k || '";' AS code FROM code WHERE k % 36 = 0
-UNION ALL SELECT path, 'high', 'Dangerous eval()', 0, NULL FROM code WHERE k % 36 = 12 UNION ALL SELECT path, 'medium', 'Dangerous HTML Render', 0, NULL FROM code WHERE k % 36 = 24
-UNION ALL SELECT path, 'high', 'SQL Injection Risk', 0, 'db.query("SELECT x + ' || k || '")' FROM code WHERE k % 60 = 0""")
+@query(f"""WITH {V.CODE} SELECT path, 'high' AS severity, 'Hardcoded Secret' AS title, '{parse.FINDINGS["Hardcoded Secret"][1]}' AS "desc", 13 AS line, 'const password = "hunter' || k || '";' AS code FROM code WHERE k % 36 = 0
+UNION ALL SELECT path, 'high', 'Dangerous eval()', '{parse.FINDINGS["Dangerous eval()"][1]}', 0, NULL FROM code WHERE k % 36 = 12 UNION ALL SELECT path, 'medium', 'Dangerous HTML Render', '{parse.FINDINGS["Dangerous HTML Render"][1]}', 0, NULL FROM code WHERE k % 36 = 24
+UNION ALL SELECT path, 'high', 'SQL Injection Risk', '{parse.FINDINGS["SQL Injection Risk"][1]}', 0, 'db.query("SELECT x + ' || k || '")' FROM code WHERE k % 60 = 0""")
 def unsafe_code(spark, sf_dir):
     return parse.findings(V.code(spark, sf_dir)).fillna(0, ["line"])
 
 
-@query(f"WITH {V.CODE} SELECT path, 'Singleton' AS name FROM code WHERE k % 24 = 0")
+#: (path, content, names of its patterns).
+SHOWN = [
+    ("a.ts", "x.getInstance()", ["Singleton"]), ("b.ts", "const x = createThing (1);", ["Factory"]), ("c.ts", "bus.on('x', f)", ["Observer/Event"]), ("d.ts", "export const useCart = 1", ["Custom Hook"]),
+    ("e.ts", "const C = createContext(0)", ["Factory", "Context Provider"]), ("WidgetFactory.ts", "", ["Factory"]), ("f.ts", "let  instance = 0; emit(1)", ["Singleton", "Observer/Event"]), ("g.ts", "recreate(1); create (2); export use", []),
+    ("h.ts", "export function useX() { return useContext(C) }", ["Custom Hook", "Context Provider"]), ("i.java", "private  static\tinstance", ["Singleton"]), ("j.ts", "createÄ(1); create9(2); createA_9\n(3)", ["Factory"]),
+]
+
+
+@query("WITH t AS (" + " UNION ALL ".join(f"SELECT {k} AS k, '{p}' AS file, '{n}' AS name, '{parse.PATTERNS[n][0]}' AS icon, '{parse.PATTERNS[n][1]}' AS \"desc\"" for k, (p, _, names) in enumerate(SHOWN) for n in names) + f") SELECT 'p' || p_partkey || '/' || file AS path, name, icon, \"desc\", 'info' AS severity FROM part JOIN t ON k = p_partkey % {len(SHOWN)}")
 def patterns(spark, sf_dir):
-    return parse.patterns(V.code(spark, sf_dir))
+    shown = F.get(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(c).alias("c")) for p, c, _ in SHOWN]), (F.col("p_partkey") % len(SHOWN)).cast("int"))
+    part = V.table(spark, sf_dir, "part").select("p_partkey", shown.alias("x"))
+    return parse.patterns(part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit("/"), "x.p").alias("path"), F.lit("typescript").alias("language"), F.col("x.c").alias("content")))
 
 
 @query(f"""WITH {V.CODE}, t AS (SELECT path AS src, 'src/g' || ((k + d) % 7) || '/f' || (k + d) || '.ts' AS dst FROM code, (SELECT unnest([12, 24]) AS d) WHERE k % 12 = 0 UNION ALL SELECT path, 'docs/g' || ((k + 12) % 7) || '/f' || (k + 12) || '.md' FROM code WHERE k % 12 = 5)
 SELECT src, dst FROM t WHERE dst IN (SELECT path FROM code)""")
 def import_edges(spark, sf_dir):
     c = V.code(spark, sf_dir)
-    return graph.resolve_edges(parse.imports(c), c)
+    return graph.resolve_edges(parse.imports(c), c).select("src", "dst")
 
 
 @query(f"""WITH {V.CODE} SELECT path, 'ext-' || (k % 5) AS deps FROM code WHERE k % 12 = 0 UNION ALL SELECT path, 'os' || k || ',sys,' FROM code WHERE k % 12 = 1 UNION ALL SELECT path, 'fmt' || k || ',net/http,os' || k FROM code WHERE k % 12 = 2 UNION ALL SELECT path, 'std::io::' FROM code WHERE k % 12 = 3

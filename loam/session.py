@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from loam.functions import scalar
 from loam.operators import changes, graph, health, overlay, parse, rank, summarise
 from loam.sources import files
+from loam.sources.scratch import stored
 
 
 @dataclass(frozen=True)
@@ -83,11 +84,11 @@ class Session:
         names = symbols.where("is_exported").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("exports"))
         if kept is not None:
             told = kept.where("type = 'module_summary'").select(F.col("path").alias("id"), "content")
-            context = graph.first_dependencies(edges.withColumn("ord", F.col("dst")), told).select(F.col("src").alias("path"), F.col("context").alias("dependencies"))
+            context = graph.first_dependencies(edges, told).select(F.col("src").alias("path"), F.col("context").alias("dependencies"))
         else:
             context = todo.select("path", F.lit(None).cast("string").alias("dependencies"))
         prompts = summarise.module_prompt(todo.join(names, "path", "left").join(context, "path", "left"), self.config.max_tokens_per_module)
-        new = summarise.artifacts(summarise.run(prompts, self.config.provider, max_tokens=self.config.max_tokens_per_module), "module_summary", self.as_of, self.config.provider)
+        new = summarise.artifacts(self._write(summarise.run(prompts, self.config.provider, max_tokens=self.config.max_tokens_per_module), "answers"), "module_summary", self.as_of, self.config.provider)
         new = self._write(new, "rebuilt")
         self._write(new if kept is None else kept.unionByName(new), "artifacts")
         self._write(changes.next_manifest(scanned, current.where("hash is not null")), "manifest")
@@ -113,7 +114,7 @@ class Session:
             start = self.spark.createDataFrame([(t,) for t in targets], "id string")
             near = graph.distances(nodes, edges, start, 4).select(F.col("id").alias("path"), "depth")
         degree = graph.degrees(nodes, edges).select(F.col("id").alias("path"), "in_degree")
-        scored = rank.first_of_id(rank.relevance(self.artifacts(), task, self.as_of, operation, targets, near, degree))
+        scored = stored(rank.first_of_id(rank.relevance(self.artifacts(), task, self.as_of, operation, targets, near, degree)), "scored")
         return rank.package(rank.sections(rank.fill_budget(scored, budget), scored), scored.select("id", "content"), form)
 
     def nodes(self) -> DataFrame:

@@ -96,8 +96,9 @@ def scan(found: DataFrame, extra_excludes: list[str] | None = None, ignore_text:
 
 
 def contents(spark: SparkSession, root: str, scanned: DataFrame) -> DataFrame:
-    """scanned with content and hash; a file that can't be read gets null ones."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.col("path").alias("absolute_path"), "content")
+    """scanned with content and hash; a file that can't be read gets null ones. Files that no scan takes, by size, are not opened."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).where((F.col("length") > 0) & (F.col("length") <= MAX_SIZE))
+    raw = raw.select(F.col("path").alias("absolute_path"), "content")
     text = F.decode("content", "UTF-8")
     return scanned.join(raw, "absolute_path", "left").withColumn("hash", F.sha2("content", 256)).withColumn("content", text)
 

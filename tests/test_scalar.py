@@ -46,8 +46,6 @@ def test_texts(spark):
     assert one(spark, S.parsed_json(F.lit('```json\n{"a": 1}\n```'), "a int"))[0].a == 1
     ages = {"2024-01-31 23:59:30": "just now", "2024-01-31 23:01:00": "59m ago", "2024-01-31 01:00:00": "23h ago", "2024-01-29 00:00:00": "3d ago"}
     assert list(one(spark, *[S.age(F.lit(t), F.lit("2024-02-01 00:00:00")) for t in ages])) == list(ages.values())
-    tags = one(spark, S.content_tags(F.lit("Src/ab/core/f.md"), F.lit("Zeta Alpha Zeta Alpha Once Beta Zeta xAlpha Alpha Beta")))[0]
-    assert tags == ["src", "core", "zeta", "alpha", "beta"]
 
 
 def test_durations_at_halves(spark):
