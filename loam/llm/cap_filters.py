@@ -1,7 +1,7 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 Filter directions are the words of a structured random product code: after a random rotation, the dimensions fall into
-three blocks with random codewords each, and every triple of codewords is a direction; a few such codes are used. A vector belongs to the caps of all
+three blocks (fewer below nine dimensions) with random codewords each, and every triple of codewords is a direction; a few such codes are used. A vector belongs to the caps of all
 directions whose inner product with it exceeds a threshold; block scores and their maxima prune the list decoding. Equal
 labels that share a cap are candidates; they are verified by cosine in double precision. Equal vectors are one from the
 start. A pair is counted in the smallest cap that both share, so no list of pairs is ever made; large caps are cut into
@@ -33,12 +33,12 @@ def code(dims: int, words: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]
     """Rotation, codewords of each block, and the blocks."""
     rng = np.random.default_rng((seed, dims, words))
     q, _ = np.linalg.qr(rng.standard_normal((dims, dims)))
-    blocks = min(3, dims)
+    blocks = min(3, max(1, dims // 3))  # a block of one or two dimensions has hardly any directions to choose from
     cuts = [round(k * dims / blocks) for k in range(blocks + 1)]
     parts = [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
     books = []
     for p in parts:
-        w = rng.standard_normal((words, p.stop - p.start))
+        w = rng.standard_normal((words, p.stop - p.start)) if p.stop - p.start > 1 else np.array([[1.0], [-1.0]])
         books.append(w / np.linalg.norm(w, axis=1, keepdims=True) / math.sqrt(blocks))
     return q, books, parts
 
@@ -54,7 +54,7 @@ def decode(x: np.ndarray, seed: int, caps: float = CAPS, words: int = 32) -> tup
     q, books, parts = code(x.shape[1], words, seed)
     r = x @ q
     scores = [r[:, p] @ b.T for p, b in zip(parts, books, strict=True)]
-    t = NormalDist().inv_cdf(1 - min(0.5, caps / words ** len(parts))) / math.sqrt(x.shape[1])
+    t = NormalDist().inv_cdf(1 - min(0.5, caps / math.prod(len(b) for b in books))) / math.sqrt(x.shape[1])
     best = sum(s.max(1) for s in scores)
     limit = np.minimum(t, best - 1e-12)
     row, filt, got = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
@@ -157,7 +157,7 @@ def _linker(least: float, single: bool):
             raw = np.frombuffer(b"".join(v.as_py() for v in table.column("raw")), np.float32 if single else np.float64).astype(np.float64)
             t["x"] = raw.reshape(len(t["rep"]), -1)
             t["x"] /= table.column("norm").to_numpy()[:, None]
-            lists = [np.frombuffer(v.as_py(), np.int32) for v in table.column("caps")]
+            lists = [np.frombuffer(v.as_py(), np.int64) for v in table.column("caps")]
             t["caps"] = np.full((len(lists), max(map(len, lists))), -1, np.int64)
             for k, v in enumerate(lists):
                 t["caps"][k, : len(v)] = v
@@ -191,7 +191,8 @@ def near(vectors: DataFrame, least: float = 0.98, caps: float = CAPS, id_col: st
     """(vec_id, n_links, component_id, kept) for every row; links join rows of equal label with a cosine of at least `least`.
 
     Rows whose label is null, or whose vector is null, empty, zero or holds a null or a non-finite number, link with
-    nothing. Vectors of different lengths don't link. Repeated rows are vectors like others. Other columns are ignored.
+    nothing. Vectors of different lengths don't link. Repeated rows are vectors like others; rows of one id are judged each
+    by its own vector. A cosine of exactly `least` links. Other columns are ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
     common.prepare(spark)
@@ -201,10 +202,10 @@ def near(vectors: DataFrame, least: float = 0.98, caps: float = CAPS, id_col: st
     good = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     v = v.withColumn("norm", F.when(good, norm)).withColumn("good", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
     v = v.withColumn("same", F.when(F.col("good"), F.sha2(F.array_join(F.transform(e, lambda x: x.cast("string")), ","), 256)))
-    groups = v.where("good").groupBy("label", "same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.min_by("e", "id").alias("e"), F.min_by("norm", "id").alias("norm"))
-    groups = common.written(groups, "vectors")
+    groups = v.where("good").groupBy("label", "same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min_by("e", "id").alias("e"), F.min_by("norm", "id").alias("norm"))
+    groups = common.written(groups.withColumn("rep", F.xxhash64("label", "same")), "vectors")  # an id may have several vectors, so groups have a name of their own
 
-    words = int(min(256, max(32, round((groups.count() * 0.6) ** (1 / 3)))))  # caps hold about as many vectors at any size
+    words = int(min(2048, max(32, round((groups.count() * 0.6) ** (1 / 3)))))  # caps hold about as many vectors at any size
     single = dict(vectors.dtypes)[vec_col] == "array<float>"
 
     def caps_of(batches):
@@ -219,25 +220,28 @@ def near(vectors: DataFrame, least: float = 0.98, caps: float = CAPS, id_col: st
                 cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                 lists = [filt[a:z] for a, z in zip(cut, cut[1:], strict=False)]
                 raw = pa.array([r.tobytes() for r in (x.astype(np.float32) if single else x)], pa.binary())
-                kept = [part.column(k) for k in ("label", "tag", "dims", "rep", "weight", "norm")]
-                yield pa.RecordBatch.from_arrays([*kept, raw, pa.array([f.astype(np.int32).tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))], names=["label", "tag", "dims", "rep", "weight", "norm", "raw", "caps", "filters"])
+                kept = [part.column(k) for k in ("label", "dims", "rep", "weight", "norm")]
+                yield pa.RecordBatch.from_arrays([*kept, raw, pa.array([f.astype(np.int64).tobytes() for f in lists], pa.binary()), pa.array([f.tolist() for f in lists], pa.list_(pa.int64()))], names=["label", "dims", "rep", "weight", "norm", "raw", "caps", "filters"])
 
     kind = dict(groups.dtypes)["label"]
-    tagged = groups.select("label", F.xxhash64("same").alias("tag"), F.size("e").alias("dims"), "rep", "weight", "norm", "e")
-    listed = common.written(tagged.mapInArrow(caps_of, f"label {kind}, tag long, dims int, rep long, weight long, norm double, raw binary, caps binary, filters array<bigint>"), "caps")
-    at = listed.select("tag", "rep", "dims", F.explode("filters").alias("filter"), F.xxhash64("label", "dims").alias("of")).withColumn("cell", F.xxhash64("of", "filter"))
+    tagged = groups.select("label", F.size("e").alias("dims"), "rep", "weight", "norm", "e")
+    listed = common.written(tagged.mapInArrow(caps_of, f"label {kind}, dims int, rep long, weight long, norm double, raw binary, caps binary, filters array<bigint>"), "caps")
+    at = listed.select("rep", "dims", F.explode("filters").alias("filter"), F.xxhash64("label", "dims").alias("of")).withColumn("cell", F.xxhash64("of", "filter"))
     sizes = at.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = at.join(sizes, "cell").withColumn("c", F.ceil(F.col("n") / chunk).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep", "tag"), F.col("c")).cast("int"))
+    cells = at.join(sizes, "cell").withColumn("c", F.ceil(F.col("n") / chunk).cast("int")).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("c")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    cells = cells.select("cell", "filter", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep", "tag")
-    cells = cells.join(listed.select("rep", "tag", "dims", "weight", "norm", "raw", "caps"), ["rep", "tag"])
+    cells = cells.select("cell", "filter", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "rep")
+    cells = cells.join(listed.select("rep", "dims", "weight", "norm", "raw", "caps"), "rep")
     order = ["cell", "i", "j"]
     sorted_ = cells.repartition(common.parallelism(spark), *order).sortWithinPartitions(*order)
     found = common.written(sorted_.mapInArrow(_linker(least, single), "u long, v long, links long"), "links")
     part = common.components(found.where("v is not null"), "u", "v")
     links = found.where("links is not null").groupBy("u").agg(F.sum("links").alias("links"))
-    of_group = groups.select("label", "same", "rep", "weight").join(part.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("u", "rep"), "rep", "left")
-    of_group = of_group.select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+    named = groups.select("label", "same", "rep", "least", "weight").join(part.withColumnRenamed("node", "rep"), "rep", "left").join(links.withColumnRenamed("u", "rep"), "rep", "left")
+    named = common.written(named.withColumn("component", F.coalesce("component", "rep")), "named")
+    lowest = named.groupBy("component").agg(F.min("least").alias("lowest"), F.count(F.lit(1)).alias("rows_"))
+    of_group = common.join_by_key(named, lowest, "component", named.count())
+    of_group = of_group.select("label", "same", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"), F.col("lowest").alias("component"))
     out = v.select("id", "label", "same").join(of_group, ["label", "same"], "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))

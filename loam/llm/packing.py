@@ -22,8 +22,8 @@ from . import common
 SIZE = 1024
 END = 2
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
-#: Sub-groups into which the pieces of one length are dealt for ranking, as one length may hold most pieces.
-SALTS = 64
+#: Pieces of one length that are ranked in one task; a length of more is dealt into sub-groups, as one may hold most pieces.
+RANKED = 500_000
 
 _encoders: dict[str, object] = {}
 
@@ -173,23 +173,25 @@ def places(patterns: list[tuple[tuple[int, ...], int]], size: int = SIZE) -> tup
     return keys, first, offset
 
 
-def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
+def pack(parts: DataFrame, size: int = SIZE, ranked_: int = RANKED) -> DataFrame:
     """parts (doc_id, piece, length, any others) with sequence_id and offset added.
 
     parts must be a stored table, as it is read more than once. Ties and repeated rows each get a place of their own.
     """
     spark = parts.sparkSession
-    salted = parts.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "salt_").count().collect()  # size x SALTS rows at most
-    total: dict[int, int] = {}
-    base: dict[int, np.ndarray] = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt_"])):
-        base.setdefault(r["length"], np.zeros(SALTS, np.int64))[r["salt_"]] = total.get(r["length"], 0)
-        total[r["length"]] = total.get(r["length"], 0) + r["count"]
+    total = {r["length"]: r["count"] for r in parts.groupBy("length").count().collect()}  # a row for each length
+    salts = [1 + total.get(k, 0) // ranked_ for k in range(size + 1)]
+    first_salt = np.concatenate([[0], np.cumsum(salts)])
+    of_length = F.get(F.array(*[F.lit(n) for n in salts]), F.col("length").cast("int"))
+    salted = parts.withColumn("salt_", F.pmod(F.xxhash64("doc_id", "piece"), of_length).cast("int"))
+    starts = np.zeros(int(first_salt[-1]), np.int64)  # pieces of the same length in the sub-groups before
+    if max(salts) > 1:
+        held = np.zeros(len(starts), np.int64)
+        for r in salted.groupBy("length", "salt_").count().collect():  # one for each RANKED pieces
+            held[first_salt[r["length"]] + r["salt_"]] = r["count"]
+        before = np.concatenate([[0], np.cumsum(held)[:-1]])
+        starts = before - np.repeat(before[first_salt[:-1]], salts)
     keys, first, offset = places(plan(total, size), size)
-    starts = np.zeros((size + 1, SALTS), np.int64)
-    for k, x in base.items():
-        starts[k] = x
     w = Window.partitionBy("length", "salt_").orderBy("doc_id", "piece")
     ranked = salted.withColumn("rank_", F.row_number().over(w) - 1)
     schema = parts.schema
@@ -197,7 +199,7 @@ def pack(parts: DataFrame, size: int = SIZE) -> DataFrame:
     def run(batches):
         for b in batches:
             length = b.column("length").to_numpy()
-            rank = b.column("rank_").to_numpy() + starts[length, b.column("salt_").to_numpy()]
+            rank = b.column("rank_").to_numpy() + starts[first_salt[length] + b.column("salt_").to_numpy()]
             at = np.searchsorted(keys, length << 44 | rank, "right") - 1
             sequence = first[at] + rank - (keys[at] & ((1 << 44) - 1))
             kept = [b.column(n) for n in schema.names]

@@ -19,24 +19,32 @@ BUCKETS = 2048
 ORDERS = (3, 4)
 SCALE = 1_000_000
 
-#: (url, 1 to block) from which the model learns.
+#: (url, 1 to block) from which the model learns; of no host that a test table has.
 LABELLED = [
-    ("http://news.example.org/en/12", 0), ("https://www.library.example.org/de/catalogue", 0), ("https://museum.example.net/en/visit", 0),
-    ("https://blog.gardening.example.org/en/spring-roses", 0), ("http://www.university.example.edu/courses/physics", 0), ("https://docs.project.example.io/guide/install", 0),
+    ("http://news.lorvane.example.org/en/12", 0), ("https://www.brostel-library.example.org/de/catalogue", 0), ("https://museum.example.net/en/visit", 0),
+    ("https://gardening.quindara.example.com/en/spring-roses", 0), ("http://www.university.example.edu/courses/physics", 0), ("https://docs.melasto.example.net/guide/install", 0),
     ("https://recipes.example.org/fr/soupe", 0), ("https://m.weather.example.net/en/today", 0), ("https://history.example.org/es/articulo/45", 0),
-    ("https://science.example.com/en/articles/871", 0), ("https://forum.cycling.example.net/en/thread/9", 0), ("https://www.cityhall.example.gov/services", 0),
-    ("https://health.example.org/en/advice/sleep", 0), ("https://blog.thernd.example.net/de/612", 0), ("https://ththin.example.com/en/671", 0),
-    ("https://www.therti.example.org/en/334/", 0), ("http://thering.example.com/en/328/", 0), ("https://m.therou.example.com/en/474.html", 0),
-    ("http://spam-farm.example.org/en/1", 1), ("https://www.spam-links.example.net/en/best-offers", 1), ("http://cheap-pills.example.com/en/450", 1),
-    ("https://buy-cheap-pills.example.net/order-now", 1), ("https://casino-bonus.example.net/free-spins", 1), ("http://best-casino.example.org/jackpot", 1),
+    ("https://science.varnok.example.com/en/articles/871", 0), ("https://forum.cycling.example.net/en/thread/9", 0), ("https://www.cityhall.example.com/services", 0),
+    ("https://health.example.org/en/advice/sleep", 0), ("https://blog.tandrel.example.net/de/612", 0), ("https://ostrave.example.com/en/671/", 0),
+    ("https://www.kelmorin.example.org/en/334", 0), ("http://pathering.example.com/en/328.html", 0), ("https://m.southern-trails.example.com/en/474", 0),
+    ("http://blog.stationery.example.org/fr/44", 0), ("https://thornwick.example.net/es/812", 0), ("http://www.threnody.example.org/en/97?page=2", 0),
+    ("https://theatre-guild.example.net/en/640", 0), ("https://mathrooms.example.com/fr/203", 0), ("https://weathervane.example.org/de/58/", 0),
+    ("https://birdwatching.example.net/en/501", 0), ("http://www.cathedral-choir.example.com/es/77", 0), ("https://astronomy-notes.example.org/en/19", 0),
+    ("https://hiking-the-north.example.com/de/905", 0), ("https://school-lunch.example.net/en/menu", 0), ("https://translation-memory.example.org/fr/330", 0),
+    ("https://open-maps.example.com/en/tile/8", 0), ("http://tide-tables.example.net/en/2024", 0), ("https://bakery-street.example.org/en/bread", 0),
+    ("https://the-reader.example.com/en/essays/4", 0), ("https://nation-statistics.example.net/es/tables", 0),
+    ("http://spam-network.example.org/en/1", 1), ("https://www.spam-mailer.example.net/en/best-offers", 1), ("http://farm-of-links.example.com/en/450", 1),
+    ("https://buy-cheap-meds.example.net/order-now", 1), ("https://casino-bonus.example.net/free-spins", 1), ("http://best-casino.example.org/jackpot", 1),
     ("https://free-money.example.org/win-prize", 1), ("http://viagra-shop.example.com/discount", 1), ("https://xxx-videos.example.net/porn/1", 1),
     ("http://adult-cams.example.org/sex/live", 1), ("https://seo-backlinks.example.net/buy-links", 1), ("http://payday-loans.example.com/apply-now", 1),
-    ("https://replica-watches.example.net/cheap", 1), ("http://torrent-warez.example.org/crack-download", 1), ("https://click-farm.example.net/spam", 1),
-    ("http://casino.example.org/en/71", 1), ("https://www.adult.example.net/en/305", 1), ("https://ads.example.org/de/44", 1), ("http://m.spam.example.net/fr/9", 1),
-    ("https://www.pills.example.org/es/812", 1), ("https://m.casino.example.net/de/66/", 1), ("http://adult.example.org/fr/18.html", 1), ("https://track-ads.example.net/en/530", 1),
-    ("http://win-casino.example.net/en/97?page=2", 1), ("https://www.cheap.example.org/en/640", 1), ("https://www.ther.example.org/en/305", 0), ("https://m.tion.example.net/de/71", 0),
-    ("http://blog.ering.example.org/fr/44", 0), ("https://therha.example.net/es/812", 0), ("http://www.ththed.example.org/en/97/", 0), ("https://thth.example.net/en/640", 0),
-    ("http://lottery-winner.example.org/claim-prize", 1), ("https://poker-bet.example.com/bonus", 1), ("http://pills-online.example.org/cheap-meds", 1),
+    ("https://replica-watches.example.net/cheap", 1), ("http://torrent-warez.example.org/crack-download", 1), ("https://click-fraud.example.net/spam", 1),
+    ("http://www.casino-royal.example.org/en/71", 1), ("https://www.adult-zone.example.net/en/305", 1), ("https://ads-server.example.org/de/44", 1),
+    ("http://m.spam-blast.example.net/fr/9", 1), ("https://www.discount-pills.example.org/es/812", 1), ("https://m.online-casino.example.com/de/66/", 1),
+    ("http://adult-dating.example.org/fr/18.html", 1), ("https://track-clicks.example.net/en/530", 1), ("http://win-lottery.example.net/en/97?page=2", 1),
+    ("https://www.cheap-watches.example.org/en/640", 1), ("http://lottery-winner.example.org/claim-prize", 1), ("https://poker-bets.example.com/bonus", 1),
+    ("http://pills-online.example.org/cheap-meds", 1), ("https://sports-bets.example.net/en/212", 1), ("http://free-slots.example.com/en/88", 1),
+    ("https://farm-spam.example.org/de/7", 1), ("https://tracking-ads.example.com/es/640", 1), ("http://hot-adult-x-rated.example.net/en/411", 1),
+    ("https://bets-and-wins.example.org/fr/36", 1), ("https://blog.casino-winner.example.com/en/154", 1),
 ]
 
 

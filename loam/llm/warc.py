@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,14 +32,18 @@ def sha1_base32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(kind: str, page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: int | None) -> bytes:
+    return b"<urn:page:%s>" % (b"" if page_id is None else b"%d" % page_id)
+
+
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One WARC/1.1 record, uncompressed. A revisit carries no payload, only its digest and length."""
-    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: <urn:page:%d>" % page_id, b"WARC-Date: " + EPOCH.encode()]
+    head = [b"WARC/1.1", b"WARC-Type: " + kind.encode(), b"WARC-Record-ID: " + _urn(page_id), b"WARC-Date: " + EPOCH.encode()]
     if url is not None:
         head.append(b"WARC-Target-URI: " + url.encode().replace(b"\r", b"%0D").replace(b"\n", b"%0A"))
     head += [b"WARC-Payload-Digest: sha1:" + digest.encode(), b"X-Payload-Length: %d" % len(payload)]
     if kind == "revisit":
-        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:page:%d>" % refers_to]
+        head += [b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: " + _urn(refers_to)]
     block = _HTTP + (b"" if kind == "revisit" else payload)
     head += [b"Content-Type: application/http;msgtype=response", b"Content-Length: %d" % len(block)]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -140,7 +145,7 @@ def plan_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     p = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload")).withColumn("digest_hex", F.sha1("payload"))
     big = p.where(F.octet_length("payload") >= min_bytes)
     shared = big.groupBy("digest_hex").agg(F.max("page_id").alias("target"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest_hex", "target")
-    told = F.when((F.octet_length("payload") >= min_bytes) & (F.col("target") != F.col("page_id")), F.col("target"))
+    told = F.when((F.octet_length("payload") >= min_bytes) & ~F.col("target").eqNullSafe(F.col("page_id")), F.col("target"))
     return p.join(shared, "digest_hex", "left").select("page_id", "url", "payload", told.alias("refers_to"))
 
 
@@ -151,22 +156,21 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa
 
 
 def _write(batches):
-    for b in batches:
+    part = TaskContext.get().partitionId()
+    for n, b in enumerate(batches):
         out = io.BytesIO()
         z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-        first = None
         for page, url, payload, refers in zip(*(b.column(k) for k in range(4)), strict=True):
             data, ref, page = payload.as_py(), refers.as_py(), page.as_py()
-            first = page if first is None else first
             out.write(z.compress(record("response" if ref is None else "revisit", page, url.as_py(), data, sha1_base32(data), ref)))
-        if first is not None:
+        if b.num_rows:
             out.write(z.flush())
-            yield pa.RecordBatch.from_arrays([pa.array([f"pages-{first:012d}.warc.gz"]), pa.array([out.getvalue()], pa.binary())], schema=_ARCHIVE)
+            yield pa.RecordBatch.from_arrays([pa.array([f"pages-{part:06d}-{n:06d}.warc.gz"]), pa.array([out.getvalue()], pa.binary())], schema=_ARCHIVE)
 
 
 def write_archives(records: DataFrame) -> DataFrame:
-    """(archive, content): monolithic gzip archives, each of one Arrow batch of records."""
-    return records.where("page_id is not null").mapInArrow(_write, "archive string, content binary")
+    """(archive, content): monolithic gzip archives, each of one Arrow batch of records; store it before it is read twice."""
+    return records.mapInArrow(_write, "archive string, content binary")
 
 
 def _normalise(batches):
@@ -185,8 +189,21 @@ def normalise_archives(archives: DataFrame) -> DataFrame:
     return archives.select("archive", "content").mapInArrow(_normalise, _NORMAL)
 
 
+def sidecar(normal: DataFrame) -> DataFrame:
+    """(archive, record_id, record_type, offset, length): the index of normalised archives as a table of its own, a row for each record."""
+    return normal.select("archive", F.explode("index").alias("e")).select("archive", "e.*")
+
+
+def entries(index: DataFrame) -> DataFrame:
+    """(archive, index): a sidecar's rows by archive, in order; an archive is one batch of records."""
+    e = F.struct("offset", "record_id", "record_type", "length")
+    of = F.transform(F.array_sort(F.collect_list(e)), lambda x: F.struct(x["record_id"].alias("record_id"), x["record_type"].alias("record_type"), x["offset"].alias("offset"), x["length"].alias("length")))
+    return index.groupBy("archive").agg(of.alias("index"))
+
+
 def _number(urn: str | None) -> int | None:
-    return int(urn.rpartition(":")[2].rstrip(">")) if urn else None
+    digits = (urn or "").rpartition(":")[2].rstrip(">")
+    return int(digits) if digits else None
 
 
 def _read(keep_payload: bool):
@@ -220,11 +237,15 @@ def read_archives(normal: DataFrame, keep_payload: bool = True) -> DataFrame:
 
 
 def roundtrip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> DataFrame:
-    """Write archives of all pages, normalise them and read them back.
+    """Write archives of all pages, normalise them, write the sidecar index, and read them back by it.
 
-    Null html is an empty payload, a null url leaves its header out, a null page_id has no record. Repeated rows are
-    records of their own. Other columns are ignored. An empty table gives no archive and no row.
+    Null html is an empty payload, a null url leaves its header out, a null page_id has a record without a number (and
+    revisits the page of an equal payload, if one has an id). Repeated rows are records of their own. Other columns are
+    ignored. An empty table gives no archive and no row.
     """
     common.prepare(pages.sparkSession)
     mono = common.written(write_archives(plan_records(pages, id_col, url_col, html_col, min_bytes)), "warc")
-    return read_archives(normalise_archives(mono), keep_payload=False)
+    normal = common.written(normalise_archives(mono), "members")
+    common.free(mono)
+    index = common.written(sidecar(normal), "sidecar")
+    return read_archives(normal.select("archive", "content").join(entries(index), "archive"), keep_payload=False)

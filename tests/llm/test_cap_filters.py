@@ -52,3 +52,15 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert C.near(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
+
+
+def test_few_dimensions_repeated_ids_and_empty(spark):
+    schema = "vec_id long, embedding array<float>, label int"
+    assert C.near(spark.createDataFrame([], schema)).count() == 0
+    rows = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.01, 0.0], 0), (3, [0.0, 1.0, 0.0], 0), (4, [0.0, 0.0], 0), (5, [2.0], 0), (6, [3.0], 0), (7, [-1.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in C.near(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (1, 5), 6: (1, 5), 7: (0, 7)}
+    a, b = [1.0] * 16 + [0.0] * 16, [0.0] * 16 + [1.0] * 16
+    rows = [(5, a, 1), (6, a, 1), (5, b, 2), (7, b, 2), (8, b, 2)]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in C.near(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)]

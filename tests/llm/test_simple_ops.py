@@ -26,6 +26,32 @@ def test_url_rules_and_edges(spark):
     assert all((scored[k] > 0) == bool(y) for k, (_, y) in enumerate(url_filter.LABELLED))
 
 
+#: Urls of neither the labelled table nor a test table.
+HELD_OUT = [
+    ("https://www.pottery-class.example.org/en/12", 0), ("http://river-fishing.example.com/de/40/", 0), ("https://m.quiet-woods.example.net/fr/9", 0), ("https://thesaurus.example.com/en/7", 0), ("http://blog.northern-lights.example.org/es/3", 0),
+    ("https://choir-practice.example.net/en/88?page=2", 0), ("https://physics-lab.example.com/en/experiments/4", 0), ("http://www.old-bridge.example.org/en/55", 0), ("https://gathering-moss.example.net/en/21", 0), ("https://station-clock.example.com/fr/300", 0),
+    ("https://casino-palace.example.com/en/12", 1), ("http://cheap-viagra.example.org/de/40/", 1), ("https://m.spam-central.example.net/fr/9", 1), ("https://adult-movies.example.com/en/7", 1), ("http://free-bonus-bets.example.org/es/3", 1),
+    ("https://ads-tracker.example.net/en/88?page=2", 1), ("https://pills-discount.example.com/en/order", 1), ("http://www.lottery-jackpot.example.org/en/55", 1), ("https://payday-money.example.net/en/21", 1), ("https://linkspam.example.com/buy-links", 1),
+]
+
+
+def test_url_labels_share_no_host_and_judge_others(spark):
+    host = lambda u: u.partition("://")[2].partition("/")[0].lower()
+    bare = lambda h: h.removeprefix("www.").removeprefix("m.").removeprefix("blog.").partition(".example.")[0]
+    labelled = {bare(host(u)) for u, _ in url_filter.LABELLED}
+    assert not labelled & {bare(host(u)) for u, _ in HELD_OUT}
+    for sf in ("sf0.001", "sf0.01"):
+        assert not labelled & {bare(host(r.url)) for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").collect() if r.url}
+    df = spark.createDataFrame(list(enumerate(u for u, _ in HELD_OUT)), "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filter.judge(df, [], url_filter.train(url_filter.LABELLED)).collect()}
+    right = [got[k] == bool(y) for k, (_, y) in enumerate(HELD_OUT)]
+    assert sum(right) >= 16, [u for (u, _), ok in zip(HELD_OUT, right, strict=True) if not ok]
+    none = df.where("page_id < 0")
+    assert url_filter.judge(none, url_filter.RULES, [0] * (url_filter.BUCKETS + 1)).count() == 0
+    twice = url_filter.judge(df.unionAll(df), [("block", "example.org/a/"), ("allow", "example.org/b/"), ("block", "example.org/en/")], [0] * (url_filter.BUCKETS + 1)).collect()
+    assert len(twice) == 2 * len(HELD_OUT) and len({(r.page_id, r.verdict) for r in twice}) == len(HELD_OUT)
+
+
 def test_warc_round_trip(spark):
     big = "x\u00e9" * 40_000
     rows = [(1, "http://a/", "same"), (2, "http://b/", "same"), (3, None, None), (4, "http://c/\r\nX: y", ""), (5, "u", "WARC/1.1\r\n\r\nin it"), (6, "u", big), (7, "u", "same")]
@@ -37,6 +63,23 @@ def test_warc_round_trip(spark):
     small = {r.page_id: r.record_type for r in warc.roundtrip(spark.createDataFrame(rows, "page_id long, url string, html string"), min_bytes=1).collect()}
     assert small[3] == small[4] == "response" and small[1] == "revisit"
     assert warc.roundtrip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    ids = [(None, "u", "same"), (None, "u", "own"), (3, "u", "same"), (3, "u", "same"), (3, "u", "other")]
+    got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to or 0) for r in warc.roundtrip(spark.createDataFrame(ids, "page_id long, url string, html string")).collect())
+    assert got == [(-1, 3, "response", 0), (-1, 4, "revisit", 3), (3, 4, "response", 0), (3, 4, "response", 0), (3, 5, "response", 0)]
+
+
+def test_sidecar_is_a_table(spark):
+    pages = spark.createDataFrame([(k, f"http://h/{k}", "x" * k) for k in range(50)], "page_id long, url string, html string").repartition(3)
+    mono = common.written(warc.write_archives(warc.plan_records(pages, "page_id", "url", "html")), "t")
+    normal = common.written(warc.normalise_archives(mono), "t")
+    index = common.written(warc.sidecar(normal), "t")
+    assert index.count() == 50 and index.select("archive", "offset").distinct().count() == 50
+    content = {r.archive: bytes(r.content) for r in normal.collect()}
+    for r in index.collect():
+        head, block = warc.read_member(content[r.archive], r.offset, r.length)
+        assert r.record_id.encode() in head and block.endswith(b"x" * int(r.record_id.rpartition(":")[2][:-1]))
+    plain = b"".join(gzip.decompress(bytes(r.content)) for r in mono.orderBy("archive").collect())
+    assert plain == b"".join(gzip.decompress(content[k]) for k in sorted(content))
 
 
 def test_normaliser_files():
@@ -152,3 +195,20 @@ def test_toxicity(spark):
     none = toxicity.train(df, known.where("toxic = 7"), common.crc32_fold("doc_id", 4) != 2)
     assert toxicity.score(df, none).count() == len(docs)
     assert (np.array([x % 4 for x in map(zlib.crc32, (b"1", b"22"))]) == common.crc32_mod(np.array([1, 22]), 4)).all()
+
+
+def test_tokens_of_all_documents_and_split_ranks(spark):
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    other = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    enc = packing.encoder(*queries.tokenizer())
+    assert len(texts) >= 200 and all(packing.encode(t, enc) == other.encode(t, add_special_tokens=False).ids for t in texts)
+    parts = common.written(packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), *queries.tokenizer()), "t")
+    for most in (2, 10, 10**6):
+        rows = packing.pack(parts, ranked_=most).collect()
+        places: dict = {}
+        for r in rows:
+            places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(rows) == parts.count() and all([o for o, _ in sorted(p)] == np.cumsum([0] + [n for _, n in sorted(p)])[:-1].tolist() and sum(n for _, n in p) <= 1024 for p in places.values())
