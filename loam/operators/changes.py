@@ -45,6 +45,11 @@ def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key).distinct(), key, "left_anti").select(*table.columns).unionByName(new.select(*table.columns))
 
 
+def differing(table: DataFrame, new: DataFrame, key: str, content: str) -> DataFrame:
+    """Rows of new that the table has not, or with another content; writing only these leaves equal ones alone."""
+    return new.join(table.select(key, F.col(content).alias("now_"), F.lit(True).alias("known_")), key, "left").where(F.col("known_").isNull() | ~F.col(content).eqNullSafe(F.col("now_"))).select(*new.columns)
+
+
 def batches(work: DataFrame, size: int = 4) -> DataFrame:
     """(path, batch): work (path, level) in order of level and path, cut into batches of a size.
 
@@ -76,6 +81,17 @@ def retained(history: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     return history.where(F.col("mtime") >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(days)))
 
 
+def build_before(history: DataFrame, back: int) -> str | None:
+    """The build_id that lies so many builds before the newest; None if there are not as many. history: (build_id, built_at, ...)."""
+    row = history.groupBy("build_id").agg(F.max("built_at").alias("at")).orderBy(F.desc("at"), F.desc("build_id")).limit(back + 1).collect()
+    return row[back]["build_id"] if len(row) > back else None
+
+
+def rollback(history: DataFrame, back: int = 1) -> DataFrame:
+    """The rows of the build that lies so many builds before the newest, as they were; none if there is no such build."""
+    return history.where(F.col("build_id") == F.lit(build_before(history, back)))
+
+
 def history_diff(history: DataFrame, old: str, new: str) -> DataFrame:
     """Changes between two builds of a history (build_id, path, hash, symbol_hash)."""
     of = lambda b: history.where(F.col("build_id") == b)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loam.functions import scalar
+
 # Price of 1000 tokens in and out.
 PRICES = {"openai": (0.00015, 0.00060), "groq": (0.00006, 0.00008), "nvidia_nim": (0.0, 0.0), "ollama": (0.0, 0.0), "custom": (0.0, 0.0)}
 ENTRY_POINT = r"(index|main|app|cli)\.(ts|js|go|py)$"
@@ -75,3 +77,21 @@ def build_stats(files: DataFrame) -> DataFrame:
 
 def estimated_savings(total_files: Column) -> Column:
     return half_up(total_files * 1800 * 0.75)
+
+
+def doctor(artifacts: DataFrame, root: str, has_config: bool, provider: tuple[bool, str], has_primer: bool, has_key: bool) -> DataFrame:
+    """(ord, label, ok, message): seven checks of an installation. artifacts: (type, content), read once for all checks."""
+    of = lambda kind, c: F.max(F.when(F.col("type") == kind, c))
+    a = artifacts.agg(F.count_if(F.col("type") == "module_summary").alias("modules"), of("architecture_overview", scalar.token_count(F.col("content"))).alias("arch"))
+    rebuild = F.lit("build first")
+    checks = [
+        ("root", F.lit(True), F.lit(root)),
+        ("configuration", F.lit(has_config), F.lit("readable" if has_config else "missing")),
+        ("provider", F.lit(provider[0]), F.lit(provider[1])),
+        ("modules", F.col("modules") > 0, F.when(F.col("modules") > 0, F.concat(F.col("modules").cast("string"), F.lit(" modules"))).otherwise(rebuild)),
+        ("architecture", F.col("arch").isNotNull(), F.coalesce(F.concat(F.col("arch").cast("string"), F.lit(" tokens")), rebuild)),
+        ("primer", F.lit(has_primer), F.lit("present") if has_primer else rebuild),
+        ("key", F.lit(has_key), F.lit("set" if has_key else "missing")),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(label).alias("label"), ok.alias("ok"), message.alias("message")) for k, (label, ok, message) in enumerate(checks)])
+    return a.select(F.explode(rows).alias("x")).select("x.*")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import summarise
+
 MARK = "\n\n---\n## Branch Override\n"
 
 
@@ -31,6 +33,24 @@ def merge(main: DataFrame, overrides: DataFrame, resolver=None) -> tuple[DataFra
     return written, c.agg(F.count_if(F.col("kind") == "conflict").alias("conflicts"), settled.alias("resolved"), F.count_if(F.col("kind") == "skipped").alias("skipped"))
 
 
+def conflict_kind(main: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(module_id, kind) of each conflict: additive if the branch keeps all of main's text, else contradictory."""
+    kind = F.when(F.contains(F.coalesce("b", F.lit("")), F.coalesce("m", F.lit(""))), "additive").otherwise("contradictory")
+    return classify(main, overrides).where("kind = 'conflict'").select("module_id", kind.alias("kind"))
+
+
+def resolved_by(main: DataFrame, overrides: DataFrame, name: str | summarise.Provider = "extract") -> DataFrame:
+    """(module_id, content, main_content, branch_content) of each conflict, reconciled by a text provider; what it can't answer stays main's.
+
+    Both versions are kept beside the answer, as a record of where it comes from.
+    """
+    c = classify(main, overrides).where("kind = 'conflict'")
+    parts = [F.lit("Reconcile these two descriptions of one module into one."), F.concat(F.lit("Version A (main):\n"), F.coalesce("m", F.lit(""))), F.lit("Version B (branch):"), F.coalesce("b", F.lit(""))]
+    told = summarise.run(c.select(F.col("module_id").alias("path"), F.concat_ws("\n\n", *parts).alias("prompt")), name, "Merge two module summaries.", 1500, 0.1)
+    answers = told.select(F.col("path").alias("module_id"), F.col("content").alias("answer"))
+    return c.join(answers, "module_id", "left").select("module_id", F.coalesce("answer", "m").alias("content"), F.col("m").alias("main_content"), F.col("b").alias("branch_content"))
+
+
 def add_context(main: DataFrame, notes: DataFrame) -> DataFrame:
     """(module_id, content): a note (module_id, note) appended to main's content, or alone for an unknown module."""
     j = notes.join(main.select("module_id", "content"), "module_id", "left")

@@ -77,6 +77,24 @@ def search(artifacts: DataFrame, query: str, kind: str | None = None, limit: int
     return out if limit is None else out.orderBy(F.desc("score"), "ord").limit(limit)
 
 
+def candidates(modules: DataFrame, overviews: DataFrame | None, use: str = "search") -> DataFrame:
+    """What is ranked: modules and flows for a task, and for a search the architecture too. An architecture's text has a share of a task's budget of its own."""
+    if overviews is None:
+        return modules
+    kinds = ["execution_flow"] if use == "task" else ["architecture_overview", "execution_flow"]
+    return modules.unionByName(overviews.where(F.col("type").isin(kinds)).select(*modules.columns))
+
+
+def preview(content: Column, form: str = "lines", snippet: Column | None = None) -> Column:
+    """What is shown of a result: its first three lines, its first 800 characters (long), or the snippet, else 300 characters (short)."""
+    if form == "lines":
+        return F.array_join(F.slice(F.split(content, "\n", -1), 1, 3), "\n")
+    if form == "long":
+        return F.substring(content, 1, 800)
+    start = F.substring(content, 1, 300)
+    return start if snippet is None else F.when(snippet != "", snippet).otherwise(start)
+
+
 def operation_weight(operation: Column, kind: Column) -> Column:
     table = F.create_map(*[F.lit(x) for op, row in WEIGHTS.items() for t, w in zip(TYPES, row, strict=True) for x in (f"{op}/{t}", w)])
     return F.coalesce(F.try_element_at(table, F.concat(operation, F.lit("/"), kind)), F.lit(0.5))
@@ -114,6 +132,12 @@ def first_of_id(scored: DataFrame) -> DataFrame:
     return scored.drop("type", "path", "content").join(first, "id").select("*", "a_.type", "a_.path", "a_.content").drop("a_")
 
 
+def architecture_share(text: str | None, budget: int) -> str | None:
+    """An architecture's text as a package has it: cut to a quarter of the budget."""
+    most = budget // 4 * 4
+    return text if text is None or len(text) <= most else text[:most] + scalar.TRUNCATED
+
+
 def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None, chunk: int = 10_000) -> DataFrame:
     """(ord, score, id, tokens, status): selected or excluded, in order of score and ord; what comes after the budget is used up is neither.
 
@@ -123,12 +147,8 @@ def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None,
     """
     used, limit = 0, budget
     if architecture is not None:
-        tokens, quarter = -(-len(architecture) // 4), budget // 4
-        if tokens <= quarter:
-            used = tokens
-        else:
-            cut = architecture[: quarter * 4] + scalar.TRUNCATED if len(architecture) > quarter * 4 else architecture
-            used = -(-len(cut) // 4)
+        used, quarter = -(-len(architecture_share(architecture, budget)) // 4), budget // 4
+        if used > quarter:  # it was cut, and the mark of the cut is longer than what it replaces
             limit = budget - quarter + used
     rows = stored(scored.select("ord", "score", "id", scalar.token_count(F.col("content")).alias("tokens")), "scores")  # scored once, scanned often
     after = lambda score, ord_: (F.col("score") < score) | ((F.col("score") == score) & (F.col("ord") > ord_))

@@ -42,18 +42,38 @@ class LimitError(Exception):
     """Too many requests; wait and try again."""
 
 
-def complete(call: Provider, system: str, user: str, max_tokens: int, temperature: float, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> str:
-    """A provider's answer, with up to three attempts; errors about the size of the request are not tried again."""
+def complete(call: Provider, system: str, user: str, max_tokens: int, temperature: float, attempts: int = 3, sleep: Callable[[float], None] = time.sleep, shrink: float | None = None, fallback: Provider | None = None) -> str:
+    """A provider's answer, with up to three attempts; errors about the size of the request are not tried again.
+
+    With shrink, a request that is too large is tried again with this share of its text; with fallback, another provider is asked at last.
+    """
     for k in range(attempts):
         try:
             return call(system, user, max_tokens, temperature)
         except Exception as e:
-            if k == attempts - 1 or any(w in str(e).lower() for w in ("context", "maximum", "tokens")):
-                raise
+            large = any(w in str(e).lower() for w in ("context", "maximum", "tokens"))
+            if large and shrink and k < attempts - 1:
+                user = user[: int(len(user) * shrink)]
+                continue
+            if k == attempts - 1 or large:
+                if fallback is None:
+                    raise
+                return complete(fallback, system, user, max_tokens, temperature, attempts, sleep, shrink)
             sleep(min(2.0**k, 30.0) if isinstance(e, LimitError) else 1.0 * (k + 1))
     raise AssertionError
 
 
+def validate(name: str | Provider) -> tuple[bool, str | None]:
+    """Whether a provider answers a short request at all, and the error if not."""
+    try:
+        call = REGISTRY[name] if isinstance(name, str) else name
+        return bool(call("You are a test.", "Reply with: OK", 20, 0.0)), None
+    except KeyError:
+        return False, f"no provider {name!r}"
+    except Exception as e:
+        return False, str(e)
+
+
 def module_prompt(files: DataFrame, max_tokens: int = 2000) -> DataFrame:
     """(path, prompt): path, language, exported names, dependencies' summaries and the source, cut to what leaves room for the answer.
 

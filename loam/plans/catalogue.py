@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
-from loam.operators import changes, graph, health, overlay, parse, rank, summarise, tags
+from loam.operators import changes, graph, health, overlay, overview, parse, rank, summarise, tags
 from loam.plans import views as V
 from loam.sources import files
 from loam.sources.scratch import stored
@@ -441,10 +441,11 @@ def relevance_with_targets(spark, sf_dir):
     return _scored(spark, sf_dir, True).select("ord", "score")
 
 
-def fill_sql(budget: int) -> str:
+def fill_sql(budget: int, used: int = 0, limit: int | None = None) -> str:
+    limit = budget if limit is None else limit
     return f"""WITH RECURSIVE {relevance_sql(False)}, firsts AS (SELECT id, min_by(content, ord) AS c, min_by(type, ord) AS ty FROM scored GROUP BY id),
 s AS (SELECT row_number() OVER (ORDER BY score DESC, ord) AS rn, ord, id, CAST(ceil(length(c) / 4.0) AS BIGINT) AS t, ty, score FROM scored JOIN firsts USING (id)),
-f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS used, 'start' AS status UNION ALL SELECT s.rn, CASE WHEN f.used < {budget} AND f.used + s.t <= {budget} THEN f.used + s.t ELSE f.used END, CASE WHEN f.used >= {budget} THEN 'unreached' WHEN f.used + s.t <= {budget} THEN 'selected' ELSE 'excluded' END FROM f JOIN s ON s.rn = f.rn + 1)"""
+f AS (SELECT CAST(0 AS BIGINT) AS rn, CAST({used} AS BIGINT) AS used, 'start' AS status UNION ALL SELECT s.rn, CASE WHEN f.used < {budget} AND f.used + s.t <= {limit} THEN f.used + s.t ELSE f.used END, CASE WHEN f.used >= {budget} THEN 'unreached' WHEN f.used + s.t <= {limit} THEN 'selected' ELSE 'excluded' END FROM f JOIN s ON s.rn = f.rn + 1)"""
 
 
 @query(fill_sql(30000) + " SELECT ord, id, t AS tokens, status FROM f JOIN s USING (rn) WHERE status <> 'unreached'")
@@ -452,6 +453,15 @@ def budget_fill(spark, sf_dir):
     return rank.fill_budget(rank.first_of_id(_scored(spark, sf_dir)), 30000).select("ord", "id", "tokens", "status")
 
 
+ARCHITECTURE = "a wide view " * 4000  # of 12,000 tokens; a package has 7500 of them and the mark of the cut
+SHARE = -(-(30000 + len(scalar.TRUNCATED)) // 4)
+
+
+@query(fill_sql(30000, SHARE, 22500 + SHARE) + " SELECT ord, id, t AS tokens, status FROM f JOIN s USING (rn) WHERE status <> 'unreached'")
+def budget_fill_architecture(spark, sf_dir):
+    return rank.fill_budget(rank.first_of_id(_scored(spark, sf_dir)), 30000, ARCHITECTURE).select("ord", "id", "tokens", "status")
+
+
 @query(fill_sql(30000) + ", best AS (SELECT id, max(score) AS score FROM s GROUP BY id) SELECT ord, s.id, CASE WHEN ty = 'module_summary' AND best.score > 0.4 THEN 'primary' WHEN ty = 'module_summary' THEN 'supporting' WHEN ty = 'execution_flow' THEN 'flows' WHEN ty = 'gotcha_entry' THEN 'gotchas' END AS section FROM f JOIN s USING (rn) JOIN best ON best.id = s.id WHERE status = 'selected'")
 def context_sections(spark, sf_dir):
     s = rank.first_of_id(_scored(spark, sf_dir))
@@ -696,6 +706,89 @@ def compile_stub(spark, sf_dir):
     return summarise.artifacts(summarise.run(summarise.module_prompt(f)), "module_summary", V.AS_OF).select("id", "path", "metadata.token_count", F.array_join("tags", ",").alias("tags"))
 
 
+@query(rf"""WITH {V.BRANCH}, c AS (SELECT o.module_id, m.content AS m, o.content AS b FROM overrides o JOIN main_ m USING (module_id) WHERE o.content IS DISTINCT FROM m.content)
+SELECT module_id, CASE WHEN contains(coalesce(b, ''), coalesce(m, '')) THEN 'additive' ELSE 'contradictory' END AS kind FROM c""")
+def merge_conflict_kinds(spark, sf_dir):
+    return overlay.conflict_kind(*V.branch(spark, sf_dir))
+
+
+@query(rf"""WITH {V.BRANCH}, c AS (SELECT o.module_id, m.content AS m, o.content AS b FROM overrides o JOIN main_ m USING (module_id) WHERE o.content IS DISTINCT FROM m.content),
+a AS (SELECT *, array_to_string(list_filter(string_split(string_split(b, chr(10) || chr(10))[-1], chr(10)), lambda x: regexp_matches(x, '\S')), chr(10))[1:6000] AS t FROM c)
+SELECT module_id, sha256(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS content, sha256(m) AS main_content, sha256(b) AS branch_content FROM a""")
+def merge_by_provider(spark, sf_dir):
+    return overlay.resolved_by(*V.branch(spark, sf_dir)).select("module_id", *[F.sha2(c, 256).alias(c) for c in ("content", "main_content", "branch_content")])
+
+
+# Overviews
+
+@query(f"WITH g AS ({ORACLES['group_top5']}), t AS (SELECT string_agg('### Domain: ' || module_group || chr(10) || context, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY module_group) AS t FROM g WHERE context <> '') SELECT sha256(CASE WHEN length(t) > 24000 THEN t[1:24000] || '{scalar.TRUNCATED}' ELSE t END) AS joined FROM t")
+def overview_domains(spark, sf_dir):
+    d = V.table(spark, sf_dir, "documents")
+    m = d.select(F.concat(F.lit("src/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("content"))
+    return overview.domains(m).select(F.sha2("joined", 256).alias("joined"))
+
+
+def _overview_input(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, edges = V.hierarchy(spark, sf_dir)
+    return nodes.withColumn("language", F.when(F.startswith("id", F.lit("o")), "go").otherwise("rust")), edges, nodes.select("path", F.concat(F.lit("summary of "), "id").alias("content"))
+
+
+@query(f"""WITH s AS ({ORACLES['graph_summary']}), {V.HIERARCHY}, r AS (SELECT id, id[1] AS g, row_number() OVER (PARTITION BY id[1] ORDER BY path) AS rn FROM nodes),
+x AS (SELECT g, string_agg('summary of ' || id, chr(10) || chr(10) ORDER BY rn) AS t FROM r WHERE rn <= 5 GROUP BY g)
+SELECT '' AS path, 'Describe the architecture of this repository: purpose, subsystems, data flow, technology, decisions, points of extension.' || chr(10) || chr(10) || 'Repository: demo' || chr(10) || 'Languages: go, rust' || chr(10) || 'Modules: ' || (SELECT count(*) FROM nodes)
+|| chr(10) || chr(10) || (SELECT summary FROM s) || chr(10) || chr(10) || (SELECT string_agg('### Domain: ' || g || chr(10) || t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY g) FROM x) AS prompt""")
+def architecture_prompt(spark, sf_dir):
+    return overview.architecture_prompt("demo", *_overview_input(spark, sf_dir))
+
+
+@query(f"""WITH {V.HIERARCHY}, d AS (SELECT dst AS id, count(DISTINCT src) AS n FROM edges GROUP BY 1), top AS (SELECT id, path, row_number() OVER (ORDER BY coalesce(n, 0) DESC, id) AS rn FROM nodes LEFT JOIN d USING (id)),
+x AS (SELECT * FROM top WHERE rn <= 15)
+SELECT '' AS path, 'Describe the three to five main execution flows: trigger, steps from module to module, key functions, notes.' || chr(10) || chr(10) || 'Repository: demo' || chr(10)
+|| (SELECT string_agg('- ' || path || ' (' || CASE WHEN id[1] = 'n' THEN 'b' || id || ', a' || id ELSE '' END || ')', chr(10) ORDER BY rn) FROM x WHERE rn <= 10)
+|| chr(10) || chr(10) || (SELECT string_agg('summary of ' || id, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rn) FROM x) AS prompt""")
+def flows_prompt(spark, sf_dir):
+    nodes, edges, modules = _overview_input(spark, sf_dir)
+    exports = nodes.where("startswith(id, 'n')").select("path", F.explode(F.array(F.struct(F.lit(2).alias("line"), F.concat(F.lit("a"), "id").alias("name")), F.struct(F.lit(1).alias("line"), F.concat(F.lit("b"), "id").alias("name")))).alias("x")).select("path", "x.*")
+    return overview.flows_prompt("demo", nodes, edges, exports, modules)
+
+
+@query(f"""WITH {V.ARTIFACTS} SELECT use, type, count(*) AS n FROM artifacts, (VALUES ('search'), ('task')) u(use)
+WHERE type IN ('module_summary', 'execution_flow') OR (type = 'architecture_overview' AND use = 'search') GROUP BY ALL""")
+def candidate_union(spark, sf_dir):
+    a = V.artifacts(spark, sf_dir)
+    modules, others = a.where("type = 'module_summary'"), a.where("type <> 'module_summary'")
+    n = [rank.candidates(modules, others, use).groupBy("type").agg(F.count(F.lit(1)).alias("n")).withColumn("use", F.lit(use)) for use in ("search", "task")]
+    return n[0].unionByName(n[1])
+
+
+@query(f"""WITH {V.ARTIFACTS} SELECT ord, sha256(array_to_string(string_split(content, chr(10))[1:3], chr(10))) AS lines, sha256(content[1:800]) AS long, sha256(CASE WHEN ord % 2 = 0 THEN 'found' ELSE content[1:300] END) AS short FROM artifacts""")
+def result_previews(spark, sf_dir):
+    c = F.col("content")
+    snippet = F.when(F.col("ord") % 2 == 0, "found").otherwise("")
+    shown = {"lines": rank.preview(c), "long": rank.preview(c, "long"), "short": rank.preview(c, "short", snippet)}
+    return V.artifacts(spark, sf_dir).select("ord", *[F.sha2(e, 256).alias(k) for k, e in shown.items()])
+
+
+@query(f"""WITH {V.ARTIFACTS}, a AS (SELECT count(*) FILTER (type = 'module_summary') AS m, max(CASE WHEN type = 'architecture_overview' THEN CAST(ceil(length(content) / 4.0) AS BIGINT) END) AS t FROM artifacts)
+SELECT ord, label, ok, message FROM a, LATERAL (VALUES (0, 'root', TRUE, '/srv'), (1, 'configuration', TRUE, 'readable'), (2, 'provider', FALSE, 'no answer'), (3, 'modules', m > 0, CASE WHEN m > 0 THEN m || ' modules' ELSE 'build first' END),
+(4, 'architecture', t IS NOT NULL, coalesce(t || ' tokens', 'build first')), (5, 'primer', FALSE, 'build first'), (6, 'key', TRUE, 'set')) v(ord, label, ok, message)""")
+def doctor(spark, sf_dir):
+    return health.doctor(V.artifacts(spark, sf_dir), "/srv", True, (False, "no answer"), False, True)
+
+
+@query(f"WITH {V.SNAPSHOTS} SELECT c.path, c.hash FROM current_ c LEFT JOIN previous p ON p.path = c.path WHERE p.path IS NULL OR p.hash IS DISTINCT FROM c.hash")
+def artifact_noop(spark, sf_dir):
+    previous, current = V.snapshots(spark, sf_dir)
+    return changes.differing(previous.select("path", "hash"), current.select("path", "hash"), "path", "hash")
+
+
+@query(f"WITH {V.SNAPSHOTS} SELECT path, hash, symbol_hash FROM previous")
+def history_rollback(spark, sf_dir):
+    previous, current = V.snapshots(spark, sf_dir)
+    at = lambda d, b: d.select("*", F.lit(b).alias("build_id"), F.lit(f"2024-01-0{b[1]}").alias("built_at"))
+    return changes.rollback(at(previous, "b1").unionByName(at(current, "b2"))).select("path", "hash", "symbol_hash")
+
+
 # Change events
 
 SESSIONS = """WITH e AS (SELECT ts, CASE WHEN ts - lag(ts) OVER (ORDER BY ts) > INTERVAL 300 SECOND THEN 1 ELSE 0 END AS fresh FROM events{where}), s AS (SELECT ts, sum(fresh) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM e),

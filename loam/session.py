@@ -5,6 +5,7 @@ Everything lives in Parquet tables under one root that all executors reach; resu
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
@@ -12,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
-from loam.operators import changes, graph, health, overlay, parse, rank, summarise
-from loam.sources import files
+from loam.operators import changes, graph, health, overlay, overview, parse, rank, summarise
+from loam.sources import files, repository
 from loam.sources.scratch import stored
 
 
@@ -26,22 +27,40 @@ class Config:
     max_tokens_per_module: int = 2000
     parallel_workers: int = 4
     ignore_text: str = ""
+    repository: str = "repository"
+    flow_extraction: bool = True
+    api_key: str = field(default="", repr=False)
 
     @classmethod
     def merged(cls, *layers: dict) -> Config:
-        """Later layers win; lists are replaced, not joined."""
-        known = {k: v for layer in layers for k, v in layer.items() if k in cls.__dataclass_fields__}
+        """Later layers win, at every depth; lists are replaced, not joined."""
+        both: dict = {}
+        for layer in layers:
+            both = repository.merged(both, layer)
+        known = {k: v for k, v in both.items() if k in cls.__dataclass_fields__}
         return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in known.items()})
 
+    @classmethod
+    def load(cls, root: str | None = None) -> Config:
+        """The configuration of the repository around a folder; its provider's name and key are provider.name and provider.api_key."""
+        at = repository.find_root(root)
+        values = repository.load_config(at)
+        told = values.pop("provider")
+        return cls.merged({"repository": repository.git_metadata(at)["name"]}, values, {"api_key": told["api_key"]}, {"provider": told["name"]} if told.get("name") else {})
+
 
 @dataclass
 class Session:
-    """A repository's tables. as_of is the time of every stamp and age, as results must not depend on the clock."""
+    """A repository's tables. as_of is the time of every stamp and age, as results must not depend on the clock.
+
+    progress is told of each phase of a build: (phase, steps done, steps in all).
+    """
 
     spark: SparkSession
     root: str
     as_of: str
     config: Config = field(default_factory=Config)
+    progress: Callable[[str, int, int], None] = lambda phase, done, of: None
 
     def _read(self, name: str) -> DataFrame | None:
         try:
@@ -61,6 +80,7 @@ class Session:
 
         source: a folder, or a table (path, content, size).
         """
+        self.progress("scan", 0, 1)
         if isinstance(source, str):
             found = files.scan(files.listing(self.spark, source), list(self.config.exclude_paths), self.config.ignore_text)
             scanned = files.contents(self.spark, source, found).drop("absolute_path")
@@ -82,15 +102,11 @@ class Session:
             kept = changes.carried_forward(artifacts, stale, changed)
         todo = readable.join(stale.distinct(), "path", "left_semi")
         names = symbols.where("is_exported").groupBy("path").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("exports"))
-        if kept is not None:
-            told = kept.where("type = 'module_summary'").select(F.col("path").alias("id"), "content")
-            context = graph.first_dependencies(edges, told).select(F.col("src").alias("path"), F.col("context").alias("dependencies"))
-        else:
-            context = todo.select("path", F.lit(None).cast("string").alias("dependencies"))
-        prompts = summarise.module_prompt(todo.join(names, "path", "left").join(context, "path", "left"), self.config.max_tokens_per_module)
-        new = summarise.artifacts(self._write(summarise.run(prompts, self.config.provider, max_tokens=self.config.max_tokens_per_module), "answers"), "module_summary", self.as_of, self.config.provider)
-        new = self._write(new, "rebuilt")
-        self._write(new if kept is None else kept.unionByName(new), "artifacts")
+        answers = self._summaries(todo.join(names, "path", "left"), edges, kept)
+        new = self._write(summarise.artifacts(answers, "module_summary", self.as_of, self.config.provider), "rebuilt")
+        modules = self._write(new if kept is None else kept.unionByName(new), "artifacts")
+        if changes.rebuild_architecture(not anew, 0 if anew else new.count()) and not modules.isEmpty():
+            self._overviews(edges, symbols, modules)
         self._write(changes.next_manifest(scanned, current.where("hash is not null")), "manifest")
         tokens = new.select("path", F.col("metadata.token_count").alias("tokens"))
         counts = scanned.join(tokens, "path", "left").select("path", "language", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.col("tokens").isNotNull().alias("rebuilt"))
@@ -98,10 +114,68 @@ class Session:
         shown = parse.patterns(readable).groupBy("path").agg(F.count(F.lit(1)).alias("patterns"))
         return health.build_stats(counts.join(found, "path", "left").join(shown, "path", "left").fillna(0, ["issues", "patterns"]))
 
-    def artifacts(self) -> DataFrame:
-        """Artifacts as ranking wants them; ord is a hash of the id's path, a total order that needs no sort."""
-        a = self._read("artifacts")
-        return a.select("id", F.xxhash64("path").alias("ord"), "type", "path", "content", "tags", F.col("metadata.generated_at").alias("generated_at"))
+    def _summaries(self, todo: DataFrame, edges: DataFrame, kept: DataFrame | None) -> DataFrame:
+        """(path, content): summaries of todo (path, language, content, exports), level by level of imports, so each sees those of what it imports."""
+        levels = stored(graph.topological_levels(self.nodes(), edges), "levels")
+        work = stored(todo.join(levels.withColumnRenamed("id", "path"), "path"), "todo")
+        known = None if kept is None else kept.where("type = 'module_summary'").select(F.col("path").alias("id"), "content")
+        answers = None
+        in_order = [r["level"] for r in work.select("level").distinct().orderBy("level").collect()]  # a row for each level
+        for k, level in enumerate(in_order):
+            self.progress("summaries", k, len(in_order))
+            now = work.where(F.col("level") == level).drop("level")
+            if known is None:
+                told = now.withColumn("dependencies", F.lit(None).cast("string"))
+            else:
+                context = graph.first_dependencies(edges.join(now.select(F.col("path").alias("src")), "src", "left_semi"), known)
+                told = now.join(context.select(F.col("src").alias("path"), F.col("context").alias("dependencies")), "path", "left")
+            prompts = summarise.module_prompt(told, self.config.max_tokens_per_module)
+            fresh = stored(summarise.run(prompts, self.config.provider, max_tokens=self.config.max_tokens_per_module), "answers")
+            answers = fresh if answers is None else answers.unionByName(fresh)
+            done = fresh.where("content is not null").select(F.col("path").alias("id"), "content")
+            known = done if known is None else known.unionByName(done)
+        self.progress("summaries", len(in_order), len(in_order))
+        return answers if answers is not None else todo.select("path", F.lit(None).cast("string").alias("content"))
+
+    def _overviews(self, edges: DataFrame, symbols: DataFrame, modules: DataFrame) -> None:
+        """Stores the architecture, the flows and the primer: one answer each."""
+        self.progress("overviews", 0, 1)
+        name, by = self.config.repository, self.config.provider
+        n = self.nodes()
+        told = n.select("path").join(modules.where("type = 'module_summary'").select("path", "content"), "path", "left")
+
+        def ask(prompt: DataFrame, fixed: tuple[int, float, int]) -> DataFrame:
+            return stored(summarise.run(prompt, by, "Write Markdown only.", fixed[0], fixed[1]), "overview")
+
+        answer = ask(overview.architecture_prompt(name, n, edges, told), overview.ARCHITECTURE)
+        made = summarise.artifacts(answer, "architecture_overview", self.as_of, by)
+        if self.config.flow_extraction:
+            exports = symbols.where("is_exported").select("path", "line", "name")
+            flows = ask(overview.flows_prompt(name, n, edges, exports, told), overview.FLOWS)
+            made = made.unionByName(summarise.artifacts(flows, "execution_flow", self.as_of, by))
+        self._write(made, "overviews")
+        self._write(overview.primer(name, ask(overview.primer_prompt(name, n, answer.fillna("", ["content"])), overview.PRIMER), self.as_of), "primer")
+        self.progress("overviews", 1, 1)
+
+    def architecture(self) -> str | None:
+        """The architecture's text; None if there is none yet."""
+        o = self._read("overviews")
+        row = None if o is None else o.where("type = 'architecture_overview'").select("content").first()
+        return row and row["content"]
+
+    def doctor(self) -> DataFrame:
+        """Seven checks of what a session needs."""
+        a, o = self._read("artifacts"), self._read("overviews")
+        kinds = [x.select("type", "content") for x in (a, o) if x is not None]
+        told = self.spark.createDataFrame([], "type string, content string") if not kinds else kinds[0] if len(kinds) == 1 else kinds[0].unionByName(kinds[1])
+        ok, error = summarise.validate(self.config.provider)
+        local = self.config.provider == "extract"
+        return health.doctor(told, self.root, True, (ok, error or self.config.provider), self._read("primer") is not None, local or bool(self.config.api_key))
+
+    def artifacts(self, use: str = "search") -> DataFrame:
+        """Artifacts as ranking wants them, for a search or a task; ord is a hash of path and type, a total order that needs no sort."""
+        a = rank.candidates(self._read("artifacts"), self._read("overviews"), use)
+        return a.select("id", F.xxhash64("path", "type").alias("ord"), "type", "path", "content", "tags", F.col("metadata.generated_at").alias("generated_at"))
 
     def search(self, query: str, kind: str | None = None, limit: int = 8) -> DataFrame:
         return rank.search(self.artifacts(), query, kind, limit)
@@ -114,8 +188,9 @@ class Session:
             start = self.spark.createDataFrame([(t,) for t in targets], "id string")
             near = graph.distances(nodes, edges, start, 4).select(F.col("id").alias("path"), "depth")
         degree = graph.degrees(nodes, edges).select(F.col("id").alias("path"), "in_degree")
-        scored = stored(rank.first_of_id(rank.relevance(self.artifacts(), task, self.as_of, operation, targets, near, degree)), "scored")
-        return rank.package(rank.sections(rank.fill_budget(scored, budget), scored), scored.select("id", "content"), form)
+        scored = stored(rank.first_of_id(rank.relevance(self.artifacts("task"), task, self.as_of, operation, targets, near, degree)), "scored")
+        text = self.architecture()
+        return rank.package(rank.sections(rank.fill_budget(scored, budget, text), scored), scored.select("id", "content"), form, rank.architecture_share(text, budget))
 
     def nodes(self) -> DataFrame:
         return self._read("files").select(F.col("path").alias("id"), "path", "language")

@@ -1,9 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from loam.operators import changes, graph, health, overlay, parse, rank, summarise, tags
+from loam.operators import changes, graph, health, overlay, overview, parse, rank, summarise, tags
 from loam.session import Config, Session
-from loam.sources import files
+from loam.sources import files, repository
 
 
 def rows(df, *columns):
@@ -225,6 +225,65 @@ def test_session_builds_incrementally(spark, tmp_path):
     assert t.nodes().first().path == "src/a.ts"
 
 
-def test_config_has_no_option_without_effect():
-    assert "flow_extraction" not in Config.__dataclass_fields__
-    assert Config.merged({"flow_extraction": True}) == Config()
+def test_build_follows_imports(spark, tmp_path, monkeypatch):
+    def depends(system, user, max_tokens, temperature):
+        """The path and what it depends on, as told; other prompts by their kind."""
+        if not user.startswith("File: "):
+            return "architecture of it" if "architecture" in user[:60] else "flows of it"
+        return user.split("\n\n")[0][6:] + ": " + user.split("Depends on:\n")[1].split("\n\n")[0]
+
+    monkeypatch.setitem(summarise.REGISTRY, "depends", depends)
+    said = []
+    s = Session(spark, str(tmp_path / "ctx"), "2024-02-01 00:00:00", Config(provider="depends"), lambda *a: said.append(a))
+    f = spark.createDataFrame([("src/a.ts", 'import { b } from "./b";\nexport const a = 1;'), ("src/b.ts", "export const b = 2;"), ("src/c.ts", "const c = 3;")], "path string, content string")
+    s.build(f.withColumn("size", F.length("content").cast("long")))
+    told = dict(rows(s._read("artifacts"), "path", "content"))
+    assert told["src/b.ts"] == "src/b.ts: none" and told["src/a.ts"] == "src/a.ts: src/b.ts: none"  # a's prompt has b's new summary
+    assert ("summaries", 2, 2) in said and said[-1] == ("overviews", 1, 1)
+    assert s.architecture().startswith("architecture") and [r.ok for r in s.doctor().orderBy("ord").collect()] == [True] * 6 + [False]
+    assert s.artifacts("task").where("type = 'execution_flow'").count() == 1 and s.artifacts("task").where("type = 'architecture_overview'").count() == 0
+    assert s.artifacts().count() == 5 and s._read("primer").first().content.startswith("# repository")
+    assert "ARCHITECTURE OVERVIEW" in s.resolve("find a bug").first().package
+    plain = Session(spark, str(tmp_path / "plain"), "2024-02-01 00:00:00", Config(provider="depends", flow_extraction=False))
+    assert not any(r.ok for r in plain.doctor().where("ord in (3, 4, 5)").collect())  # nothing built yet
+    s.config = plain.config
+    s._overviews(s._read("edges"), s._read("symbols"), s._read("artifacts"))
+    assert s._read("overviews").count() == 1
+
+
+def test_overview_prompts_are_bounded(spark):
+    n = spark.range(3000).select(F.format_string("g%05d/f.ts", "id").alias("id")).select("id", F.col("id").alias("path"), F.lit("typescript").alias("language"))
+    e = spark.createDataFrame([], "src string, dst string")
+    one = overview.domains(n.select("path", F.lit("text").alias("content"))).first().joined
+    assert one.startswith("### Domain: g00000\ntext\n\n---\n\n### Domain: g00001") and 24000 < len(one) < 24100
+    assert overview.domains(n.select("path", F.lit(None).cast("string").alias("content"))).first().joined == ""
+    x = spark.createDataFrame([("g00000/f.ts", k, f"n{k}") for k in range(9, 0, -1)], "path string, line int, name string")
+    text = overview.flows_prompt("r", n, e, x, n.select("path", F.lit("text").alias("content"))).first().prompt
+    assert "- g00000/f.ts (n1, n2, n3, n4, n5)\n- g00001/f.ts ()" in text and text.count("\n- ") == 10 and text.count("text") == 15
+
+
+def test_configuration_files(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    with pytest.raises(FileNotFoundError):
+        repository.load_config(tmp_path)
+    repository.save_config(tmp_path, {"provider": {"name": "extract", "api_key": "k-1"}, "exclude_paths": ["x"]})
+    assert "k-1" not in (tmp_path / repository.CONFIG).read_text() and repository.find_root(tmp_path / "a" / "b") == tmp_path.resolve()
+    assert repository.load_config(tmp_path, {})["provider"] == {"name": "extract", "api_key": "k-1"}
+    (tmp_path / repository.LOCAL).write_text("{}")
+    assert repository.load_config(tmp_path, {"LOAM_API_KEY": "k-2"})["provider"]["api_key"] == "k-2"
+    repository.save_config(tmp_path, {"provider": {}})
+    assert repository.load_config(tmp_path, {"GROQ_API_KEY": "g", "OPENAI_API_KEY": "o"})["provider"]["api_key"] == "o"
+    assert repository.merged({"a": {"b": 1, "c": [1]}, "d": 1}, {"a": {"c": [2]}, "e": 2}) == {"a": {"b": 1, "c": [2]}, "d": 1, "e": 2}
+    assert Config.load(tmp_path).repository == tmp_path.name
+    assert repository.git_metadata(tmp_path)["commit"] == "unknown"
+
+
+def test_shrink_and_fallback():
+    def small(system, user, *a):
+        if len(user) > 70:
+            raise ValueError("maximum context length")
+        return f"{len(user)}"
+
+    assert summarise.complete(small, "s", "u" * 100, 10, 0.1, shrink=0.8) == "64"
+    assert summarise.complete(small, "s", "u" * 100, 10, 0.1, fallback=lambda *a: "other") == "other"
+    assert summarise.validate("extract")[0] and summarise.validate("no such")[0] is False
