@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cap_filters, common, decontamination, html_extract, langid, ngram_join, packing, suffix_dedup, toxicity, url_filter, warc
+from . import cap_filters, common, decontamination, hard_negatives, harmonic, html_extract, langid, ngram_join, packing, periodic, suffix_dedup, toxicity, url_filter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +72,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.digest(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.detect(_table(spark, sf_dir, "documents"), rewrite=periodic.echoed)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
+def op13_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic.pack_documents(_table(spark, sf_dir, "documents"), *tokenizer())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_url_filter, op3_html_extraction, op4_warc, op5_toxicity, op6_language_id, op7_ngram_jaccard_join, op8_best_fit_packing, op9_embedding_near_dedup, op10_decontamination,
+    op11_hard_negatives, op12_periodic_runs, op13_harmonic_packing,
 )}
 
 
@@ -97,6 +112,13 @@ x AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda y: y * y))
 WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98), edges AS (SELECT u, v FROM pairs), {_REACH.format(id="vec_id", of="embeddings")},
 c AS (SELECT s AS vec_id, min(t) AS component_id FROM reach GROUP BY s) SELECT vec_id, (SELECT count(*) FROM pairs WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""
 
+NEGATIVES_SQL = """WITH g AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) AS BIGINT) AS score FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) AS INT) AS rank, n.b AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.b) <= 3"""
+
 BENCHMARK_SQL = f"""WITH dw AS (SELECT doc_id, regexp_extract_all({_CASE}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all({_CASE}, '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(13, len(w)) AS l, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
@@ -115,4 +137,5 @@ def oracles() -> dict[str, str]:
         "op7_ngram_jaccard_join": JOIN_SQL,
         "op9_embedding_near_dedup": VECTOR_SQL,
         "op10_decontamination": BENCHMARK_SQL,
+        "op11_hard_negatives": NEGATIVES_SQL,
     }
