@@ -6,12 +6,14 @@ so contents are scanned once and never by Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loam.functions.scalar import SPACE, link_target, resolve_import, trim_space
+from loam.operators.registry import Registry
 
-SCRIPTS = ("typescript", "javascript", "mdx")
 Q = "['\"]"
 W = r"\w+"
 
@@ -31,6 +33,10 @@ def _import(pos: Column, source: Column, symbols: Column | None = None, type_onl
     )
 
 
+IMPORT_FIELDS = ["flavour", "pos", "source", "once", "symbols", "is_type_only", "is_dynamic", "is_external", "here"]
+SYMBOL_FIELDS = ["line", "name", "kind", "signature", "is_exported"]
+
+
 def _local(s: Column) -> Column:
     return s.startswith(".") | s.startswith("/")
 
@@ -76,19 +82,14 @@ def python_imports() -> Column:
     return _lines(one)
 
 
-def go_imports(files: DataFrame) -> DataFrame:
-    """(path, x): single imports and those in import blocks; a line is in a block if the last mark before it opened one. Repeats stay.
-
-    What came before decides, so Go files alone are taken apart into rows.
-    """
-    ln = lines(files.where("language = 'go'"))
-    mark = F.when(F.col("text") == "import (", 1).when(F.col("text") == ")", 0)
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    x = ln.withColumn("inside", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(0)))
+def go_imports() -> Column:
+    """Single imports and those in import blocks, repeats too; a block ends with the next line that is but a closing bracket."""
+    block = rf"^{SPACE}*import \({SPACE}*$[\s\S]*?(?:^{SPACE}*\){SPACE}*$|\z)"
     item, single = r'^\s*(?:\w+\s+)?"([^"]+)"', r'^import\s+"([^"]+)"'
-    source = F.when((F.col("inside") == 1) & F.col("raw").rlike(item), F.regexp_extract("raw", item, 1)).when(F.col("raw").rlike(single), F.regexp_extract("raw", single, 1))
-    x = x.where((F.col("text") != "import (") & ~((F.col("inside") == 1) & (F.col("text") == ")"))).withColumn("s", source).where("s is not null")
-    return x.select("path", _import(F.col("line"), F.col("s"), external=~F.col("s").startswith("."), once=False).alias("x"))
+    in_block = lambda m: F.transform(F.split(m, "\n"), lambda raw: F.regexp_extract(raw, item, 1))
+    sources = lambda m: F.when(m.rlike(rf"^{SPACE}*import \("), in_block(m)).otherwise(F.array(F.regexp_extract(m, single, 1)))
+    found = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(rf'(?md)({block}|^import\s+"[^"]+")'), 1), sources))
+    return F.transform(F.filter(found, lambda x: x != ""), lambda x, i: _import(i, x, external=~x.startswith("."), once=False))
 
 
 def _line_imports(pattern: str, group: int, external, once: bool = True) -> Column:
@@ -118,33 +119,28 @@ def link_imports(flavour: int = 0) -> Column:
     return _matches(r"\[[^\]]*\]\([^)]+\)", one)
 
 
-#: (languages, imports of a file of them as an array); more can be registered.
-EXTRACTORS: list[tuple[tuple[str, ...], object]] = [
-    (("typescript", "javascript"), script_imports),
-    (("mdx",), lambda: F.concat(script_imports(), link_imports(3))),
-    (("python",), python_imports),
-    (("rust",), lambda: _line_imports(r"^use\s+([\w:]+(?:::\{[^}]*\})?(?:::\*)?)", 1, lambda t, s: ~(s.startswith("crate") | s.startswith("super") | s.startswith("self")), once=False)),
-    (("java", "kotlin", "swift"), lambda: _line_imports(r"^import\s+([\w.]+);?", 1, lambda t, s: F.lit(True))),
-    (("csharp",), lambda: _line_imports(r"^using\s+([\w.]+);?", 1, lambda t, s: F.lit(True))),
-    (("c", "cpp"), lambda: _line_imports(r'^#include\s+[<"]([^>"]+)[>"]', 1, lambda t, s: t.rlike(r"^#include\s+<"))),
-    (("php",), lambda: _line_imports(rf"^(use|require|require_once|include|include_once)\s+{Q}?([^'\";]+){Q}?;?", 2, lambda t, s: ~F.contains(s, F.lit("/")))),
-    (("ruby",), lambda: _line_imports(rf"^require(?:_relative)?\s+{Q}([^'\"]+){Q}", 1, lambda t, s: ~(t.startswith("require_relative") | _local(s)))),
-    (("html",), markup_imports),
-    (("markdown",), link_imports),
-]
+def rust_imports() -> Column:
+    return _line_imports(r"^use\s+([\w:]+(?:::\{[^}]*\})?(?:::\*)?)", 1, lambda t, s: ~(s.startswith("crate") | s.startswith("super") | s.startswith("self")), once=False)
+
 
+def _each_of(files: DataFrame, what: str, registry: Registry) -> DataFrame:
+    """(path, x): what expressions find in files of their languages, contents read once."""
+    found = registry.expression(what)
+    return _each(files.where("false") if found is None else files, found if found is not None else F.array())
 
-def imports(files: DataFrame) -> DataFrame:
+
+def imports(files: DataFrame, registry: Registry | None = None) -> DataFrame:
     """(path, ord, source, resolved_path, symbols, is_type_only, is_dynamic, is_external) of all files.
 
-    A file's imports are one array, built where the file is read by the expression of its language, so contents are read
-    once (Go files twice) and only imports are dealt out by path.
+    Where an expression reads a language, a file's imports are one array, built where the file is read, so only imports
+    are dealt out by path. What parser classes find comes with it; a file that one of them fails on has none (parser_errors).
     """
-    found = None
-    for names, extract in EXTRACTORS:
-        mine = F.col("language").isin(*names)
-        found = F.when(mine, extract()) if found is None else found.when(mine, extract())
-    x = _each(files, found).unionByName(go_imports(files)).select("path", "x.*").repartition("path")
+    registry = registry or REGISTRY
+    tables = [_each_of(files, "imports", registry).select("path", "x.*")] if registry.expression("imports") is not None else []
+    for t in registry.rows(files, "imports"):
+        told = {"flavour": F.lit(0), "once": F.lit(False), "here": ~F.col("is_external")}
+        tables.append(t.where("error is null").select("path", *[told.get(c, F.col(c)).alias(c) for c in IMPORT_FIELDS]))
+    x = reduce(DataFrame.unionByName, tables).repartition("path")
     x = x.withColumn("resolved_path", F.when(F.col("here"), resolve_import(F.col("source"), F.col("path"))))
     rest = F.struct("pos", "symbols", "is_type_only", "is_dynamic", "is_external", "resolved_path")
     x = x.groupBy("path", "flavour", "source", F.when(~F.col("once"), F.col("pos")).alias("each")).agg(F.min_by(rest, "pos").alias("x")).select("path", "flavour", "source", "x.*")
@@ -152,69 +148,120 @@ def imports(files: DataFrame) -> DataFrame:
     return x.select("path", n.alias("ord"), "source", "resolved_path", "symbols", "is_type_only", "is_dynamic", "is_external")
 
 
-def _signature(all_lines: Column, pos: Column) -> Column:
-    """Up to six lines from a position, joined until one has `{` or `=>`, and cut there."""
+def _signature(following: Column) -> Column:
+    """Lines joined until one has `{` or `=>`, and cut there."""
     start = F.struct(F.lit("").alias("s"), F.lit(False).alias("done"))
     ended = lambda s: F.contains(s, F.lit("{")) | F.contains(s, F.lit("=>"))
 
-    def step(acc: Column, raw: Column, first: Column = None) -> Column:
-        s = F.concat(acc["s"], F.lit(" "), trim_space(raw))
-        return F.struct(F.when(acc["done"], acc["s"]).otherwise(s).alias("s"), (acc["done"] | ended(s)).alias("done"))
+    def step(acc: Column, line: Column) -> Column:
+        return F.struct(F.when(acc["done"], acc["s"]).otherwise(F.concat(acc["s"], F.lit(" "), line["text"])).alias("s"), (acc["done"] | ended(line["text"])).alias("done"))
 
-    joined = F.substring(F.aggregate(F.slice(all_lines, pos, F.lit(6)), start, lambda a, r: step(a, r))["s"], F.lit(2), F.lit(10_000_000))
+    joined = F.substring(F.aggregate(following, start, step)["s"], F.lit(2), F.lit(10_000_000))
     return F.substring(trim_space(F.regexp_replace(joined, r"(?s)(\{|=>).*$", "")), 1, 150)
 
 
-def symbols(files: DataFrame) -> DataFrame:
-    """(path, line, name, kind, signature, signature_hash, is_exported) of all files.
+def _line_symbols(rules) -> Column:
+    """What the first of the rules that fits makes of each line of the content.
 
-    Lines are taken apart once, and each is judged by its language's rules. Only scripts need their neighbouring lines;
-    those are taken from the file's array of lines, not by a window.
+    rules(line, following): [(fits, name, kind, signature, exported)]; line: struct(raw, text); following(n): the n lines
+    from this one on, a slice of the file's one array of lines, so the work is in proportion to the lines.
     """
-    t, raw = F.col("text"), F.col("raw")
-    rx = lambda p: (t.rlike(p), F.regexp_extract("text", p, 1))
-    gx = lambda p: (raw.rlike(p), F.regexp_extract("raw", p, 1))
-    short = F.substring("text", 1, 120)
-    block = lambda n: F.substring(F.array_join(F.slice("all", F.col("line"), F.lit(n)), "\n"), 1, 300)
-    scripts = [
-        (rf"^export\s+(?:default\s+)?(?:async\s+)?function\s+({W})", "function", _signature(F.col("all"), F.col("line"))),
-        (rf"^export\s+const\s+({W})\s*(?::\s*[^=]+)?\s*=\s*(?:async\s+)?\(", "function", short),
-        (rf"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+({W})", "class", short),
-        (rf"^export\s+(?:default\s+)?interface\s+({W})", "interface", block(5)),
-        (rf"^export\s+type\s+({W})", "type", short),
-        (rf"^export\s+(?:const\s+)?enum\s+({W})", "enum", block(3)),
-        (rf"^export\s+(?:readonly\s+)?const\s+({W})\s*(?::\s*{W})?\s*=", "const", short),
-        (rf"^(?:async\s+)?function\s+({W})\s*\(", "function", F.substring("text", 1, 80)),
-    ]
-    public = lambda n: ~n.startswith("_")
-    upper = lambda n: F.substring(n, 1, 1).rlike("^[A-Z]")
-    py = [(*rx(rf"^(?:async\s+)?def\s+({W})\s*\([^)]*\)"), "function"), (*rx(rf"^class\s+({W})(?:\([^)]*\))?:"), "class")]
-    go = [(*gx(rf"^func\s+(?:\([^)]+\)\s+)?({W})\s*\("), "function"), (*gx(rf"^type\s+({W})\s+"), "type")]
+
+    def of(lines_: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            chosen = F.lit(None)
+            for fits, name, kind, signature, exported in reversed(rules(line, lambda n: F.slice(lines_, i + 1, F.lit(n)))):
+                x = F.struct((i + 1).alias("line"), name.alias("name"), F.lit(kind).alias("kind"), signature.alias("signature"), exported.alias("is_exported"))
+                chosen = F.when(fits, x).otherwise(chosen)
+            return chosen
+
+        return F.filter(F.transform(lines_, one), lambda x: x.isNotNull())
+
+    split_ = F.transform(F.split("content", "\n"), lambda raw: F.struct(raw.alias("raw"), trim_space(raw).alias("text")))
+    return F.get(F.transform(F.array(split_), of), F.lit(0))  # an array of one, so that the lines are made once and named in the inner expression
+
+
+def script_symbols() -> Column:
+    def rules(line: Column, following) -> list:
+        t = line["text"]
+        short = F.substring(t, 1, 120)
+        block = lambda n: F.substring(F.array_join(F.transform(following(n), lambda x: x["raw"]), "\n"), 1, 300)
+        of = [
+            (rf"^export\s+(?:default\s+)?(?:async\s+)?function\s+({W})", "function", _signature(following(6))),
+            (rf"^export\s+const\s+({W})\s*(?::\s*[^=]+)?\s*=\s*(?:async\s+)?\(", "function", short),
+            (rf"^export\s+(?:default\s+)?(?:abstract\s+)?class\s+({W})", "class", short),
+            (rf"^export\s+(?:default\s+)?interface\s+({W})", "interface", block(5)),
+            (rf"^export\s+type\s+({W})", "type", short),
+            (rf"^export\s+(?:const\s+)?enum\s+({W})", "enum", block(3)),
+            (rf"^export\s+(?:readonly\s+)?const\s+({W})\s*(?::\s*{W})?\s*=", "const", short),
+            (rf"^(?:async\s+)?function\s+({W})\s*\(", "function", F.substring(t, 1, 80)),
+        ]
+        return [(t.rlike(p), F.regexp_extract(t, p, 1), kind, s, F.lit(not p.startswith("^(?:async"))) for p, kind, s in of]
+
+    return _line_symbols(rules)
+
+
+def _plain_symbols(patterns: list[tuple[str, str]], exported, field: str = "text") -> Column:
+    """Symbols told by a line alone; exported(name, number of the pattern)."""
+
+    def rules(line: Column, following) -> list:
+        t = line[field]
+        name = lambda p: F.regexp_extract(t, p, 1)
+        return [(t.rlike(p), name(p), kind, F.substring(line["text"], 1, 120), exported(name(p), k)) for k, (p, kind) in enumerate(patterns)]
+
+    return _line_symbols(rules)
+
+
+def python_symbols() -> Column:
+    return _plain_symbols([(rf"^(?:async\s+)?def\s+({W})\s*\([^)]*\)", "function"), (rf"^class\s+({W})(?:\([^)]*\))?:", "class")], lambda n, k: ~n.startswith("_"))
+
+
+def go_symbols() -> Column:
+    return _plain_symbols([(rf"^func\s+(?:\([^)]+\)\s+)?({W})\s*\(", "function"), (rf"^type\s+({W})\s+", "type")], lambda n, k: F.substring(n, 1, 1).rlike("^[A-Z]"), "raw")
+
+
+def rust_symbols() -> Column:
     pub = r"^pub(?:\([^)]*\))?\s+"
-    rust = [(pub + rf"(?:async\s+)?fn\s+({W})", "function", True), (rf"^(?:async\s+)?fn\s+({W})", "function", False)] + [(pub + rf"{a}\s+({W})", b, True) for a, b in (("struct", "class"), ("enum", "enum"), ("trait", "interface"), ("type", "type"))]
-    rules = [
-        (SCRIPTS, [(*rx(p), k, s, F.lit(not p.startswith("^(?:async"))) for p, k, s in scripts]),
-        (("python",), [(c, n, k, short, public(n)) for c, n, k in py]),
-        (("go",), [(c, n, k, short, upper(n)) for c, n, k in go]),
-        (("rust",), [(*rx(p), k, short, F.lit(e)) for p, k, e in rust]),
-    ]
-    split_ = F.split("content", "\n")
-    x = files.where(F.col("language").isin(*[n for names, _ in rules for n in names])).select("path", "language", split_.alias("all"), F.posexplode(split_).alias("pos", "raw"))
-    x = x.select("path", "language", "all", (F.col("pos") + 1).alias("line"), "raw", trim_space(F.col("raw")).alias("text"))
-    found = None
-    for names, of in rules:
-        mine = F.col("language").isin(*names)
-        found = F.when(mine, _symbol(of)) if found is None else found.when(mine, _symbol(of))
-    return x.select("path", "line", found.alias("s_")).where("s_ is not null").select("path", "line", "s_.*").withColumn("signature_hash", F.sha2("signature", 256))
-
-
-def _symbol(rules: list) -> Column:
-    """What the first rule that fits a line makes of it."""
-    chosen = None
-    for cond, name, kind, signature, exported in reversed(rules):
-        one = F.struct(name.alias("name"), F.lit(kind).alias("kind"), signature.alias("signature"), exported.alias("is_exported"))
-        chosen = F.when(cond, one) if chosen is None else F.when(cond, one).otherwise(chosen)
-    return chosen
+    kinds = [(pub + rf"{a}\s+({W})", b) for a, b in (("struct", "class"), ("enum", "enum"), ("trait", "interface"), ("type", "type"))]
+    return _plain_symbols([(pub + rf"(?:async\s+)?fn\s+({W})", "function"), (rf"^(?:async\s+)?fn\s+({W})", "function"), *kinds], lambda n, k: F.lit(k != 1))
+
+
+#: The built-in parsers.
+REGISTRY = Registry()
+for _names_, _imports_of, _symbols_of in (
+    (("typescript", "javascript"), script_imports, script_symbols),
+    (("mdx",), lambda: F.concat(script_imports(), link_imports(3)), script_symbols),
+    (("python",), python_imports, python_symbols),
+    (("go",), go_imports, go_symbols),
+    (("rust",), rust_imports, rust_symbols),
+    (("java", "kotlin", "swift"), lambda: _line_imports(r"^import\s+([\w.]+);?", 1, lambda t, s: F.lit(True)), None),
+    (("csharp",), lambda: _line_imports(r"^using\s+([\w.]+);?", 1, lambda t, s: F.lit(True)), None),
+    (("c", "cpp"), lambda: _line_imports(r'^#include\s+[<"]([^>"]+)[>"]', 1, lambda t, s: t.rlike(r"^#include\s+<")), None),
+    (("php",), lambda: _line_imports(rf"^(use|require|require_once|include|include_once)\s+{Q}?([^'\";]+){Q}?;?", 2, lambda t, s: ~F.contains(s, F.lit("/"))), None),
+    (("ruby",), lambda: _line_imports(rf"^require(?:_relative)?\s+{Q}([^'\"]+){Q}", 1, lambda t, s: ~(t.startswith("require_relative") | _local(s))), None),
+    (("html",), markup_imports, None),
+    (("markdown",), link_imports, None),
+):
+    REGISTRY.register(_names_, imports=_imports_of, symbols=_symbols_of)
+
+
+def symbols(files: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """(path, line, name, kind, signature, signature_hash, is_exported) of all files.
+
+    A file's lines are one array, judged by its language's rules where the file is read; what parser classes find comes
+    with it.
+    """
+    registry = registry or REGISTRY
+    tables = [_each_of(files, "symbols", registry).select("path", "x.*")] if registry.expression("symbols") is not None else []
+    tables += [t.where("error is null").select("path", *SYMBOL_FIELDS) for t in registry.rows(files, "symbols")]
+    x = reduce(DataFrame.unionByName, tables) if tables else files.sparkSession.createDataFrame([], "path string, line int, name string, kind string, signature string, is_exported boolean")
+    return x.withColumn("signature_hash", F.sha2("signature", 256))
+
+
+def parser_errors(files: DataFrame, registry: Registry) -> DataFrame:
+    """(path, what, error): files that a registered class fails on, whose rows imports and symbols leave out."""
+    tables = [t.where("error is not null").select("path", F.lit(what).alias("what"), "error") for what in ("imports", "symbols") for t in registry.rows(files, what)]
+    return reduce(DataFrame.unionByName, tables) if tables else files.sparkSession.createDataFrame([], "path string, what string, error string")
 
 
 def symbol_hashes(files: DataFrame, found: DataFrame) -> DataFrame:

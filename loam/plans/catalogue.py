@@ -160,10 +160,10 @@ def path_ids(spark, sf_dir):
     return V.artifacts(spark, sf_dir).select(F.col("ord").alias("doc_id"), scalar.path_id(F.translate(p, "/", "\\")).alias("path_id"), F.col("id").alias("content_id"), scalar.short_id(scalar.path_id(p)).alias("short"))
 
 
-@query("WITH m AS (SELECT o_orderkey, CAST(o_orderkey * 137 % 400000 AS BIGINT) AS ms FROM orders) SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN printf('%.1f', ms / 1000.0) || 's' ELSE (ms // 60000) || 'm ' || (ms % 60000 // 1000) || 's' END AS took FROM m WHERE ms % 100 <> 50")
+@query("WITH m AS (SELECT o_orderkey, CAST(o_orderkey * 137 % 400000 AS BIGINT) AS ms FROM orders) SELECT o_orderkey, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 AND ms % 500 = 250 THEN (ms + 50) // 1000 || '.' || (ms + 50) % 1000 // 100 || 's' WHEN ms < 60000 THEN printf('%.1f', CAST(ms AS DOUBLE) / 1000) || 's' ELSE (ms // 60000) || 'm ' || (ms % 60000 // 1000) || 's' END AS took FROM m")
 def durations_fmt(spark, sf_dir):
     ms = F.col("o_orderkey") * 137 % 400000
-    return V.table(spark, sf_dir, "orders").where(ms % 100 != 50).select("o_orderkey", scalar.duration(ms).alias("took"))  # exact halves print differently
+    return V.table(spark, sf_dir, "orders").select("o_orderkey", scalar.duration(ms).alias("took"))
 
 
 @query("WITH m AS (SELECT event_id, CAST(floor((epoch(TIMESTAMP '2024-02-01 00:00:00') - epoch(TIMESTAMP '2024-02-01 00:00:00' - to_seconds(CAST(event_id * 61 AS BIGINT)))) / 60) AS BIGINT) AS mi FROM events) SELECT event_id, CASE WHEN mi < 1 THEN 'just now' WHEN mi < 60 THEN mi || 'm ago' WHEN mi < 1440 THEN (mi // 60) || 'h ago' ELSE (mi // 1440) || 'd ago' END AS age FROM m")
@@ -827,3 +827,6 @@ def stream_incremental(spark, sf_dir):
 
     watch.rebuild_on_change(stream, build, root + "/state", "300 seconds").awaitTermination()
     return spark.read.schema(kind).parquet(out)
+
+
+from loam.plans import extended  # noqa: E402, F401  registers its queries here

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from loam.functions import scalar
 from loam.operators import changes, graph, health, overlay, overview, parse, rank, summarise
-from loam.sources import files, repository
+from loam.operators.registry import Registry
+from loam.sources import file_tree, files, repository
 from loam.sources.scratch import stored
 
 
@@ -61,6 +62,7 @@ class Session:
     as_of: str
     config: Config = field(default_factory=Config)
     progress: Callable[[str, int, int], None] = lambda phase, done, of: None
+    parsers: Registry = field(default_factory=lambda: parse.REGISTRY)
 
     def _read(self, name: str) -> DataFrame | None:
         try:
@@ -78,17 +80,19 @@ class Session:
     def build(self, source: str | DataFrame, full: bool = False) -> DataFrame:
         """Scan, parse, detect changes, summarise what they invalidate, and store; returns one row of statistics.
 
-        source: a folder, or a table (path, content, size).
+        source: a folder, or a table (path, content, size). What can't be read or parsed is told by errors().
         """
         self.progress("scan", 0, 1)
         if isinstance(source, str):
-            found = files.scan(files.listing(self.spark, source), list(self.config.exclude_paths), self.config.ignore_text)
-            scanned = files.contents(self.spark, source, found).drop("absolute_path")
+            read = stored(file_tree.files(self.spark, source, list(self.config.exclude_paths)), "tree")
         else:
-            scanned = files.scan(source, list(self.config.exclude_paths), self.config.ignore_text).withColumn("hash", F.sha2("content", 256))
+            read = source.withColumn("hash", F.sha2("content", 256)).withColumn("error", F.lit(None).cast("string"))
+        scanned = files.scan(read, list(self.config.exclude_paths), self.config.ignore_text, self.parsers)
         scanned = self._write(scanned.select("path", "language", "size", "content", "hash"), "files")
         readable = scanned.where("content is not null")
-        imports, symbols = self._write(parse.imports(readable), "imports"), self._write(parse.symbols(readable), "symbols")
+        imports, symbols = self._write(parse.imports(readable, self.parsers), "imports"), self._write(parse.symbols(readable, self.parsers), "symbols")
+        unread = read.where("error is not null").select("path", F.lit("read").alias("what"), "error")
+        self._write(unread.unionByName(parse.parser_errors(readable, self.parsers)), "errors")
         hashes = parse.symbol_hashes(readable, symbols)
         current = scanned.join(hashes, "path", "left").select("path", "hash", "symbol_hash")
         edges = self._write(graph.resolve_edges(imports, scanned), "edges")
@@ -157,6 +161,10 @@ class Session:
         self._write(overview.primer(name, ask(overview.primer_prompt(name, n, answer.fillna("", ["content"])), overview.PRIMER), self.as_of), "primer")
         self.progress("overviews", 1, 1)
 
+    def errors(self) -> DataFrame | None:
+        """(path, what, error) of the last build: files and folders that could not be read, files that a parser failed on; None before a build."""
+        return self._read("errors")
+
     def architecture(self) -> str | None:
         """The architecture's text; None if there is none yet."""
         o = self._read("overviews")

@@ -86,13 +86,16 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return f.where(~F.col("path").rlike(r"(^|/)\."))
 
 
-def scan(found: DataFrame, extra_excludes: list[str] | None = None, ignore_text: str = "") -> DataFrame:
-    """(path, ..., language) of the source files of a listing (path, size, ...): not excluded or ignored, of a known language, not empty or too large."""
+def scan(found: DataFrame, extra_excludes: list[str] | None = None, ignore_text: str = "", languages=scalar) -> DataFrame:
+    """(path, ..., language) of the source files of a listing (path, size, ...): not excluded or ignored, of a known language, not empty or too large.
+
+    languages: what tells a path's language and whether it is source (language, is_source), such as a registry of parsers.
+    """
     p = F.col("path")
     f = found.where((F.col("size") > 0) & (F.col("size") <= MAX_SIZE) & ~excluded(p, DEFAULT_EXCLUDES + (extra_excludes or [])))
     if ignore_text:
         f = f.where(~ignored(p, ignore_rules(ignore_text)))
-    return f.withColumn("language", scalar.language(p)).where(scalar.is_source(F.col("language")))
+    return f.withColumn("language", languages.language(p)).where(languages.is_source(F.col("language")))
 
 
 def contents(spark: SparkSession, root: str, scanned: DataFrame) -> DataFrame:
