@@ -504,12 +504,13 @@ def one_of_each(documents: DataFrame, num: int, den: int, n: int, id_col: str =
     with common.passing():
         g = common.written(groups(documents, num, den, n, id_col, text_col).where("rows_ > 1"), "groups")
         best = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("best_hash"))
-        keys = [F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__")]
+        keys = [F.col("doc_id").alias("i"), F.col("text_hash").alias("h")]
         gone = common.written(g.where(~best).select(*keys).distinct(), "gone", outside=True)
         again = common.written(g.where(best).groupBy(*keys).count().where("count > 1").drop("count"), "again", outside=True)
-    is_row = F.col(id_col).cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64(text_col) == F.col("hash__"))
-    kept = documents.join(gone, is_row, "left_anti")
-    if again.isEmpty():
-        return kept
-    twice = kept.join(again, is_row, "left_semi").withColumns({"id__": F.col(id_col), "hash__": F.xxhash64(text_col)})
-    return kept.join(again, is_row, "left_anti").unionByName(twice.dropDuplicates(["id__", "hash__"]).select(*documents.columns))
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("hash"))
+    is_row = F.col("doc").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
+    kept = rows.join(gone, is_row, "left_anti")
+    if not again.isEmpty():
+        once = kept.join(again, is_row, "left_semi").dropDuplicates(["doc", "hash"])
+        kept = kept.join(again, is_row, "left_anti").unionByName(once)
+    return kept.select("row.*")

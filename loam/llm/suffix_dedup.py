@@ -288,14 +288,35 @@ def _sorter(window: int, shard: int, budget: int):
     return run
 
 
-def ranges(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD, budget: int = induced.BUDGET) -> DataFrame:
-    """(doc_id, spans): ascending ranges [start, start + n) of windows that also start earlier, for documents that have some."""
+def keyed(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row struct of all columns, doc_id, text): doc_id is a number for each text of a doc_id, in order of doc_id; null without one.
+
+    Where every doc_id names one text it is the doc_id itself. Else the pairs of doc_id and the text's hash are sorted and
+    numbered anew (the texts of a doc_id in order of their hashes), so rows of one doc_id are judged each by its own text.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row")
+    d = documents.select(row, F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    hashed = d.where("doc_id is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    if hashed.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a <> b").isEmpty():
+        return d
+    numbers = hashed.distinct().orderBy("doc_id", "h").select("doc_id", "h", F.monotonically_increasing_id().alias("number"))
+    numbers = common.written(numbers, "numbers")  # numbered once, as another run may part the rows otherwise
+    named = numbers.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), "number")
+    is_row = (F.col("doc_id") == F.col("d_")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("h_"))
+    return d.join(named, is_row, "left").select("row", F.col("number").alias("doc_id"), "text")
+
+
+def ranges(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, shard: int = SHARD, budget: int = induced.BUDGET) -> DataFrame:
+    """(doc_id, spans): ascending ranges [start, start + n) of windows that also start earlier, for documents that have some.
+
+    documents: (doc_id, text), where a doc_id names one text (see keyed).
+    """
     if not 0 < window <= induced.CAP:  # common prefixes are counted no further
         raise ValueError(f"window must be 1 to {induced.CAP}, not {window}")
     spark = documents.sparkSession
     common.prepare(spark)
     parts = common.parallelism(spark)
-    d = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    d = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
     mapped = d.mapInArrow(_mapper(window, min(kmer, window), 2 * parts), "bucket int, entries binary, covered binary")
     reduced = common.written(mapped.repartition(parts, "bucket").mapInArrow(_reduce, "doc_id long, start long, n long, anchor long"), "anchors")
     differ = reduced.where("anchor is not null")
@@ -346,12 +367,14 @@ def dedup(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) for every row; kept: the remaining bytes.
 
     Null text counts as empty, and neither it nor a text of fewer than `window` bytes loses anything. Rows of one doc_id
-    with the same text are the same document, which does not repeat itself by being listed twice. A row without doc_id
-    keeps its text. Other columns are ignored; an empty table gives no row.
+    with the same text are the same document, which does not repeat itself by being listed twice; with different texts
+    they are documents of their own, in order of the texts' hashes. A row without doc_id keeps its text. Other columns
+    are ignored, whatever their names; an empty table gives no row.
     ValueError for a window of more than 255 bytes, up to which common prefixes are counted.
     """
-    found = ranges(documents, window, kmer, id_col, text_col, shard, budget)
-    d = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(found, "doc_id", "left")
+    every = keyed(documents, id_col, text_col)
+    found = ranges(every, window, kmer, shard, budget)
+    d = every.select(F.col(f"row.`{id_col}`").cast("long").alias("own"), "doc_id", "text").join(found, "doc_id", "left")
 
     def cut(batches):
         for b in batches:
@@ -367,33 +390,36 @@ def dedup(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col:
                 count.append(int((~stay[1:] & stay[:-1]).sum() + (~stay[:1]).sum()))
                 sha.append(hashlib.sha256(left).hexdigest())
                 kept.append(left)
-            columns = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
+            columns = [b.column("own"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * keep_text, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
-    out = d.select("doc_id", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    out = d.select("own", "text", "spans").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumnRenamed("doc_id", id_col)
 
 
 def cleaned(documents: DataFrame, window: int = WINDOW, kmer: int = KMER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with what is covered cut out of their text; a character cut in two goes whole.
 
-    A document of which nothing is left goes; an empty or null text stays as it is.
+    A document of which nothing is left goes; an empty or null text stays as it is, and so does a row without doc_id. Rows
+    of one doc_id are judged each by its own text; other columns may have any names.
     ValueError for a window of more than 255 bytes.
     """
-    found = ranges(documents, window, kmer, id_col, text_col).select(F.col("doc_id").alias("doc_id__"), F.col("spans").alias("spans__"))
-    joined = documents.join(found, F.col(id_col) == F.col("doc_id__"), "left").select(*documents.columns, "spans__")
+    every = keyed(documents, id_col, text_col)
+    found = ranges(every, window, kmer)
+    joined = every.select("row", "doc_id").join(found, "doc_id", "left").select("row", "spans")
     at, schema = documents.columns.index(text_col), documents.schema
 
     def run(batches):
         for b in batches:
-            data, off = common.utf8(b.column(at))
-            start, many, cut = _spans(b.column(b.num_columns - 1))
-            texts, stays = b.column(at).to_pylist(), np.ones(b.num_rows, bool)
+            columns = b.column(0).flatten()
+            data, off = common.utf8(columns[at])
+            start, many, cut = _spans(b.column(1))
+            texts, stays = columns[at].to_pylist(), np.ones(b.num_rows, bool)
             for k in np.flatnonzero(np.diff(cut)).tolist():
                 text = data[off[k] : off[k + 1]]
                 texts[k] = text[uncovered(text, start[cut[k] : cut[k + 1]], many[cut[k] : cut[k + 1]], window)].tobytes().decode("utf-8", "ignore")
                 stays[k] = bool(texts[k])
-            columns = [pa.array(texts, b.schema.field(at).type) if k == at else b.column(k) for k in range(b.num_columns - 1)]
+            columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=schema.names).filter(pa.array(stays))
 
     return joined.mapInArrow(run, schema)

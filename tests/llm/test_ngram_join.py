@@ -93,3 +93,10 @@ def test_empty_and_repeated(spark):
     assert N.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = N.join(spark.createDataFrame([(5, "a b c"), (5, "a b c"), (None, "a b c"), (9, "a b c")], "doc_id long, text string")).collect()
     assert sorted(((r.doc_id or -1), r.component_id) for r in rows) == [(-1, 5), (5, 5), (5, 5), (9, 5)]
+
+
+def test_names_of_other_columns_clash_with_nothing(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    df = spark.createDataFrame([(1, text), (2, text), (3, "other words than those"), (3, "other words than those")], "doc_id long, text string").selectExpr("*", "1 as id__", "2 as hash__", "3 as `a.b`", "4 as doc", "5 as row", "6 as i")
+    kept = N.one_of_each(df, 4, 5, 5)
+    assert kept.columns == df.columns and sorted((r.doc_id, r["a.b"], r["row"]) for r in kept.collect()) == [(1, 3, 5), (3, 3, 5)]

@@ -1,7 +1,9 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loam.llm import suffix_dedup as S
 
@@ -97,3 +99,24 @@ def test_windows_beyond_the_common_prefixes(spark):
         with pytest.raises(ValueError, match="255"):
             f(df, window=256)
     assert {r.doc_id: r.n_removed for r in S.dedup(df, window=255).collect()} == {1: 599, 2: 600}
+
+
+def test_rows_of_one_id_are_judged_each_by_its_own_text(spark):
+    rng = np.random.default_rng(9)
+    unit, other, third = (bytes(rng.integers(97, 123, n).astype(np.uint8)).decode() for n in (200, 600, 300))
+    rows = [(1, unit + unit), (1, other), (2, third), (2, third + other[:150]), (2, third), (None, unit), (5, None), (5, unit + "!")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0), r.n_bytes, r.n_removed) for r in S.dedup(df).collect())
+    # doc 2's two texts: the one of the smaller hash keeps the passage that they share
+    first, second = sorted([third, third + other[:150]], key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    lost = {third: 0 if first == third else 300, third + other[:150]: (0 if first != third else 300) + 150}
+    assert got == sorted([(0, 200, 0), (1, 400, 200), (1, 600, 0), (2, 300, lost[third]), (2, 300, lost[third]), (2, 450, lost[third + other[:150]]), (5, 0, 0), (5, 201, 200)]), second
+    kept = sorted((r.doc_id or 0, len(r.text or "")) for r in S.cleaned(df).collect())
+    assert kept == sorted((d, n - r) for d, n, r in got if n - r or d == 5)
+
+
+def test_names_of_other_columns_clash_with_nothing(spark):
+    df = spark.createDataFrame([(1, "x" * 400, 7), (2, None, 8)], "doc_id long, text string, n long").selectExpr("*", "1 as spans", "2 as spans__", "3 as doc_id__", "4 as `a.b`", "5 as own", "6 as number", "7 as h", "8 as row")
+    (one, two) = sorted(S.cleaned(df).collect(), key=lambda r: r.doc_id)
+    assert one.text == "x" and (one["spans__"], one["a.b"], one["row"], one["n"]) == (2, 4, 8, 7) and two.text is None and S.cleaned(df).columns == df.columns
+    assert S.dedup(df).count() == 2
