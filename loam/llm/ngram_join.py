@@ -24,6 +24,7 @@ compared with all others, in bounded chunks.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -377,13 +378,20 @@ def _identify(n: int):
     return run
 
 
-def id_bitmap(df: DataFrame, col: str, bits: int = 22) -> np.ndarray:
-    """A filter of fixed size (2^bits bits) that holds every id of the column; others may pass by chance."""
+#: Bits of a filter of ids, as a power of two: the fewest and the most.
+LEAST_BITS, MOST_BITS = 22, 26
+
+
+def id_bitmap(df: DataFrame, col: str, rows: int) -> np.ndarray:
+    """A filter that holds every id of the column; others may pass by chance, one in 32 while ids are up to 2 million, and more beyond.
+
+    It has 32 bits a row, and 8 MB at most, whatever the number of rows.
+    """
+    bits = min(MOST_BITS, max(LEAST_BITS, (32 * rows).bit_length()))
     spread = F.pmod(F.xxhash64(F.col(col).cast("long")), F.lit(1 << bits))
-    rows = df.select(spread.alias("h")).groupBy((F.col("h") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("b")).collect()
+    found = df.select(spread.alias("h")).groupBy((F.col("h") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 32 as int))")).alias("b")).toArrow()
     words = np.zeros(1 << (bits - 5), np.uint32)
-    for r in rows:
-        words[r["w"]] = r["b"]
+    words[found.column("w").to_numpy()] = found.column("b").to_numpy().astype(np.uint32)
     return words
 
 
@@ -398,8 +406,9 @@ def _links(docs: DataFrame, sets: DataFrame, block: DataFrame, num: int, den: in
     member = common.written(member.join(sets, "set_id").select("set_id", "block", key.alias("key"), (F.col("n") * 8).alias("bytes")), "members")
     pieces = F.ceil(F.greatest(F.count(F.lit(1)) / chunk, F.sum("bytes") / chunk_bytes)).cast("int")
     sizes = member.groupBy("block").agg(pieces.alias("pieces"), F.count(F.lit(1)).alias("rows_"))
-    member = common.join_by_key(member, sizes, "block", member.count())
-    wanted = id_bitmap(member, "key")
+    many = member.count()
+    member = common.join_by_key(member, sizes, "block", many)
+    wanted = id_bitmap(member, "key", many)
 
     def gather(batches):
         for b in batches:
@@ -509,8 +518,19 @@ def one_of_each(documents: DataFrame, num: int, den: int, n: int, id_col: str =
         again = common.written(g.where(best).groupBy(*keys).count().where("count > 1").drop("count"), "again", outside=True)
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("doc"), F.xxhash64(f"`{text_col}`").alias("hash"))
     is_row = F.col("doc").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("h"))
-    kept = rows.join(gone, is_row, "left_anti")
+    listed = gone.unionByName(again).select(F.xxhash64("i", "h").alias("key"))
+    told = documents.sparkSession.sparkContext.broadcast(id_bitmap(listed, "key", listed.count()))
+
+    @F.pandas_udf("boolean")
+    def may_be_listed(h: pd.Series) -> pd.Series:
+        h, words = h.to_numpy(), told.value
+        return pd.Series((words[h >> 5] >> (h & 31).astype(np.uint32)) & 1 == 1)
+
+    # most rows are in neither list, and the filter tells so where they are read: only the others are shuffled
+    spread = F.pmod(F.xxhash64(F.xxhash64("doc", "hash")), F.lit(len(told.value) * 32))
+    rows = rows.withColumn("asked", may_be_listed(spread))
+    kept = rows.where("asked").drop("asked").join(gone, is_row, "left_anti")
     if not again.isEmpty():
         once = kept.join(again, is_row, "left_semi").dropDuplicates(["doc", "hash"])
         kept = kept.join(again, is_row, "left_anti").unionByName(once)
-    return kept.select("row.*")
+    return rows.where("not asked").select("row.*").unionByName(kept.select("row.*"))
