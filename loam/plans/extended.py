@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.operators import parse, registry
+from loam.operators import parse, registry, search_index
 from loam.plans import views as V
-from loam.plans.catalogue import query
+from loam.plans.catalogue import TERMS, query, r6, search_sql
 from loam.sources import file_tree, scratch
 
 # A language of a user's own
@@ -89,3 +89,32 @@ def tree_contents(spark, sf_dir):
     read = file_tree.files(spark, root, exclude=["**/source=src1/**"], max_size=None).where("path like 'docs/source=%' and size > 0 and error is null")
     read = read.where(~F.col("path").contains("/lang=de/")).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.explode(F.split(F.regexp_replace("content", "\n$", ""), "\n")).alias("line"))
     return read.groupBy("folder").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length(F.get_json_object("line", "$.text"))).alias("chars"))
+
+
+# Search on an index
+
+
+_indexes: dict[tuple[str, str], search_index.Index] = {}
+
+
+def _index(spark, sf_dir) -> search_index.Index:
+    """The index of a table's artifacts, built once in a program."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = search_index.indexed(V.artifacts(spark, sf_dir), lambda: scratch.folder(spark, "index"))
+    return _indexes[key]
+
+
+@query(search_sql(TERMS, None, 50, False))
+def search_indexed(spark, sf_dir):
+    return _index(spark, sf_dir).search(" ".join(TERMS), limit=50, snippets=False).withColumn("score", r6(F.col("score"), "score"))
+
+
+@query(search_sql(["worthless", "src5"], None, 10, True))
+def search_indexed_snippets(spark, sf_dir):
+    return _index(spark, sf_dir).search("Worthless  src5").withColumn("score", r6(F.col("score"), "score"))
+
+
+@query(search_sql(["doc_77.md", "stupid"], "gotcha_entry", 20, False))
+def search_indexed_by_kind(spark, sf_dir):
+    return _index(spark, sf_dir).search("doc_77.md stupid", "gotcha_entry", 20, snippets=False).withColumn("score", r6(F.col("score"), "score"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
-from loam.operators import changes, graph, health, overlay, overview, parse, rank, summarise
+from loam.operators import changes, graph, health, overlay, overview, parse, rank, search_index, summarise
 from loam.operators.registry import Registry
 from loam.sources import file_tree, files, repository
 from loam.sources.scratch import stored
@@ -112,6 +112,9 @@ class Session:
         if changes.rebuild_architecture(not anew, 0 if anew else new.count()) and not modules.isEmpty():
             self._overviews(edges, symbols, modules)
         self._write(changes.next_manifest(scanned, current.where("hash is not null")), "manifest")
+        self.progress("index", 0, 1)
+        search_index.build(self.artifacts(), f"{self.root}/index")
+        self.progress("index", 1, 1)
         tokens = new.select("path", F.col("metadata.token_count").alias("tokens"))
         counts = scanned.join(tokens, "path", "left").select("path", "language", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.col("tokens").isNotNull().alias("rebuilt"))
         found = parse.findings(readable).groupBy("path").agg(F.count(F.lit(1)).alias("issues"))
@@ -186,7 +189,10 @@ class Session:
         return a.select("id", F.xxhash64("path", "type").alias("ord"), "type", "path", "content", "tags", F.col("metadata.generated_at").alias("generated_at"))
 
     def search(self, query: str, kind: str | None = None, limit: int = 8) -> DataFrame:
-        return rank.search(self.artifacts(), query, kind, limit)
+        """The best artifacts for a query, from the index of the last build."""
+        if self._read("index/about") is None:
+            return rank.search(self.artifacts(), query, kind, limit)
+        return search_index.Index(self.spark, f"{self.root}/index").search(query, kind, limit)
 
     def resolve(self, task: str, targets: list[str] | None = None, budget: int = 8000, operation: str = "auto", form: str = "text") -> DataFrame:
         """One row of text: the best artifacts for a task that fit the budget."""
