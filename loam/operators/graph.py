@@ -167,3 +167,52 @@ def fuzzy_path(nodes: DataFrame, asked: str) -> DataFrame:
     p = F.col("path")
     rank = F.when(p == asked, 0).when(p == turned, 1).when(p.endswith(turned), 2).when(p.contains(turned) | F.contains(F.lit(turned), p), 3)
     return nodes.select("path", rank.alias("rank")).where("rank is not null").orderBy("rank", "path").limit(1)
+
+
+#: Lengths of the pieces by which texts that hold others are found.
+PIECES = (1, 2, 4, 8, 16)
+
+
+def _pieces(text: Column, sizes: list[int]) -> Column:
+    """All distinct pieces of a text of these lengths."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda at: F.substring(text, at, F.lit(n)))
+    return F.array_distinct(F.concat(*[F.when(F.length(text) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in sizes]))
+
+
+def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Pairs (text, pattern) of a text that holds a pattern, without a nested loop; texts (text), patterns (pattern), none empty.
+
+    Each pattern is looked for by the piece of it that the fewest texts have, of the largest of PIECES' lengths that it has
+    itself; a pattern with a piece that no text has is in none.
+    """
+    length = F.greatest(*[F.when(F.length("pattern") >= n, F.lit(n)) for n in PIECES], F.lit(1))
+    asked = patterns.select("pattern").distinct().where("pattern <> ''").withColumn("n", length)
+    sizes = sorted(r["n"] for r in asked.select("n").distinct().collect())  # five at most
+    if not sizes:
+        return texts.select("text", F.col("text").alias("pattern")).where("false")
+    own = F.coalesce(*[F.when(F.col("n") == n, _pieces(F.col("pattern"), [n])) for n in sizes])
+    held = texts.select("text").distinct().where("text <> ''").select("text", F.explode_outer(_pieces(F.col("text"), sizes)).alias("piece")).where("piece is not null")
+    wanted = asked.select("pattern", F.explode(own).alias("piece"))
+    many = held.join(wanted.select("piece").distinct(), "piece", "left_semi").groupBy("piece").agg(F.count(F.lit(1)).alias("texts"))
+    rarest = wanted.join(many, "piece", "left").groupBy("pattern").agg(F.min_by("piece", F.coalesce("texts", F.lit(0))).alias("piece"), F.min(F.coalesce("texts", F.lit(0))).alias("texts"))
+    found = held.join(rarest.where("texts > 0").select("pattern", "piece"), "piece")
+    return found.where(F.contains("text", F.col("pattern"))).select("text", "pattern")
+
+
+def fuzzy_paths(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, path, rank) for each distinct asked path that some node matches, its best one as fuzzy_path has it; nodes (path), asked (asked).
+
+    rank: 0 the same, 1 the same with its separators turned, 2 the node's path ends in it, 3 one holds the other; of equal
+    ranks the least path. An empty or null path is asked for nothing, and matches nothing.
+    """
+    a = asked.select("asked").where("asked <> ''").distinct().withColumn("turned", F.translate("asked", "\\", "/"))
+    paths = nodes.select(F.col("path").alias("text")).where("text <> ''").distinct()
+    turned = a.select(F.col("turned").alias("text")).distinct()
+    held = containing(paths, turned.withColumnRenamed("text", "pattern")).select(F.col("pattern").alias("turned"), F.col("text").alias("path"))
+    holding = containing(turned, paths.withColumnRenamed("text", "pattern")).select(F.col("text").alias("turned"), F.col("pattern").alias("path"))
+    p = F.col("path")
+    rank = F.when(p == F.col("turned"), 1).when(p.endswith(F.col("turned")), 2).otherwise(3)
+    best = held.unionByName(holding).withColumn("rank", rank).groupBy("turned").agg(F.min(F.struct("rank", "path")).alias("m"))
+    same = paths.select(F.col("text").alias("path"), F.col("text").alias("asked"))
+    out = a.join(same, "asked", "left").join(best, "turned", "left")
+    return out.select("asked", F.coalesce("path", "m.path").alias("path"), F.when(F.col("path").isNotNull(), 0).otherwise(F.col("m.rank")).alias("rank")).where("path is not null")

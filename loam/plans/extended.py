@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.operators import parse, registry, search_index
+from loam.operators import graph, order, parse, registry, search_index
 from loam.plans import views as V
 from loam.plans.catalogue import TERMS, query, r6, search_sql
 from loam.sources import file_tree, scratch
@@ -118,3 +118,49 @@ def search_indexed_snippets(spark, sf_dir):
 @query(search_sql(["doc_77.md", "stupid"], "gotcha_entry", 20, False))
 def search_indexed_by_kind(spark, sf_dir):
     return _index(spark, sf_dir).search("doc_77.md stupid", "gotcha_entry", 20, snippets=False).withColumn("score", r6(F.col("score"), "score"))
+
+
+# Graphs
+
+
+def _looped(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """nodes (id), edges (src, dst): the chain of documents, with a way back over three links at every thousandth."""
+    d = V.table(spark, sf_dir, "documents").select("doc_id", "source")
+    path = F.concat(F.lit("src/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"))
+    to = d.select(path.alias("dst"), (F.col("doc_id") - 3).alias("doc_id"))
+    back = d.where("doc_id % 1000 = 0").join(to, "doc_id").select(path.alias("src"), "dst")
+    return d.select(path.alias("id")), V.import_chain(spark, sf_dir).unionByName(back)
+
+
+@query("""WITH d AS (SELECT doc_id, 'src/' || source || '/doc_' || doc_id AS id FROM documents), top AS (SELECT max(doc_id) AS m FROM d),
+c AS (SELECT id, doc_id, CASE WHEN doc_id % 1000 <= 3 AND doc_id - doc_id % 1000 + 3 <= m THEN doc_id - doc_id % 1000 ELSE doc_id END AS k FROM d, top)
+SELECT id, min(id) OVER (PARTITION BY k) AS component, CAST(dense_rank() OVER (ORDER BY k) - 1 AS INT) AS level FROM c""")
+def condensed_order(spark, sf_dir):
+    return order.condensed_levels(*_looped(spark, sf_dir))
+
+
+@query("""SELECT 'src/' || source || '/doc_' || doc_id AS id, CAST(doc_id AS INT) AS level FROM documents""")
+def deep_levels(spark, sf_dir):
+    nodes, _ = _looped(spark, sf_dir)
+    return order.acyclic_levels(nodes, V.import_chain(spark, sf_dir))
+
+
+ASKED = """asked AS (SELECT CASE s_suppkey % 7 WHEN 0 THEN 'src/c/c' || s_suppkey || '.ts' WHEN 1 THEN 'src' || chr(92) || 'o' || chr(92) || 'o' || (s_suppkey * 4) || '.ts' WHEN 2 THEN 'c' || s_suppkey || '.ts' WHEN 3 THEN 'o/o' || s_suppkey
+  WHEN 4 THEN '/repo/src/n/n' || (s_suppkey % 25) || '.ts.bak' WHEN 5 THEN 'nothing' || s_suppkey ELSE chr(92) || 'r' || (s_suppkey % 9) END AS asked FROM supplier)"""
+
+
+def _asked(spark, sf_dir) -> DataFrame:
+    """asked (asked): paths as typed; whole, with separators turned, ends, parts, longer ones and unknown ones."""
+    k = F.col("s_suppkey")
+    s = lambda c: c.cast("string")
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in xs])
+    kinds = [cat("src/c/c", s(k), ".ts"), cat("src\\o\\o", s(k * 4), ".ts"), cat("c", s(k), ".ts"), cat("o/o", s(k)), cat("/repo/src/n/n", s(k % 25), ".ts.bak"), cat("nothing", s(k)), cat("\\r", s(k % 9))]
+    return V.table(spark, sf_dir, "supplier").select(F.get(F.array(*kinds), (k % 7).cast("int")).alias("asked"))
+
+
+@query(f"""WITH {V.HIERARCHY}, {ASKED}, a AS (SELECT DISTINCT asked, replace(asked, chr(92), '/') AS turned FROM asked),
+j AS (SELECT asked, path, CASE WHEN path = asked THEN 0 WHEN path = turned THEN 1 WHEN ends_with(path, turned) THEN 2 ELSE 3 END AS rank FROM a JOIN nodes ON contains(path, turned) OR contains(turned, path))
+SELECT asked, path, rank FROM j QUALIFY row_number() OVER (PARTITION BY asked ORDER BY rank, path) = 1""")
+def fuzzy_paths(spark, sf_dir):
+    nodes, _ = V.hierarchy(spark, sf_dir)
+    return graph.fuzzy_paths(nodes, _asked(spark, sf_dir))
