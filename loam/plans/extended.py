@@ -115,9 +115,9 @@ def search_indexed_snippets(spark, sf_dir):
     return _index(spark, sf_dir).search("Worthless  src5").withColumn("score", r6(F.col("score"), "score"))
 
 
-@query(search_sql(["doc_77.md", "stupid"], "gotcha_entry", 20, False))
+@query(search_sql(["doc_7", "stupid"], "gotcha_entry", 20, False))
 def search_indexed_by_kind(spark, sf_dir):
-    return _index(spark, sf_dir).search("doc_77.md stupid", "gotcha_entry", 20, snippets=False).withColumn("score", r6(F.col("score"), "score"))
+    return _index(spark, sf_dir).search("doc_7 stupid", "gotcha_entry", 20, snippets=False).withColumn("score", r6(F.col("score"), "score"))
 
 
 # Graphs

@@ -239,7 +239,7 @@ def test_build_follows_imports(spark, tmp_path, monkeypatch):
     s.build(f.withColumn("size", F.length("content").cast("long")))
     told = dict(rows(s._read("artifacts"), "path", "content"))
     assert told["src/b.ts"] == "src/b.ts: none" and told["src/a.ts"] == "src/a.ts: src/b.ts: none"  # a's prompt has b's new summary
-    assert ("summaries", 2, 2) in said and said[-1] == ("overviews", 1, 1)
+    assert ("summaries", 2, 2) in said and ("overviews", 1, 1) in said and said[-1] == ("index", 1, 1)
     assert s.architecture().startswith("architecture") and [r.ok for r in s.doctor().orderBy("ord").collect()] == [True] * 6 + [False]
     assert s.artifacts("task").where("type = 'execution_flow'").count() == 1 and s.artifacts("task").where("type = 'architecture_overview'").count() == 0
     assert s.artifacts().count() == 5 and s._read("primer").first().content.startswith("# repository")
