@@ -1,6 +1,6 @@
 """One object for what a user of the engine asks for: build, resolve, search, status, and the rest.
 
-Everything lives in Parquet tables under one root that all executors reach; results are DataFrames.
+Everything lives in Parquet tables under one root that all executors reach, in versions that change as a whole; results are DataFrames.
 """
 
 from __future__ import annotations
@@ -8,8 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
@@ -17,6 +16,7 @@ from loam.operators import changes, graph, health, overlay, overview, parse, ran
 from loam.operators.registry import Registry
 from loam.sources import file_tree, files, repository
 from loam.sources.scratch import stored
+from loam.sources.versions import Versions
 
 
 @dataclass(frozen=True)
@@ -64,24 +64,39 @@ class Session:
     progress: Callable[[str, int, int], None] = lambda phase, done, of: None
     parsers: Registry = field(default_factory=lambda: parse.REGISTRY)
 
+    def __post_init__(self) -> None:
+        self.versions, self._build, self._steps = Versions(self.spark, self.root), None, []
+
     def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.root}/{name}")
-        except AnalysisException:  # never built
-            return None
+        """A table of the build under way, else of the last one that was committed; None if never built."""
+        return (self._build or self.versions).read(name)
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
-        """Replace a table by one that may be made from it: written beside it first, read from there."""
-        beside = f"{self.root}/.next/{name}"
-        df.write.mode("overwrite").parquet(beside)
-        self.spark.read.parquet(beside).write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.parquet(f"{self.root}/{name}")
+        """Write a table of the build under way (else as a version of its own); its rows are counted as they are written."""
+        build, seen = self._build or self.versions.begin(), Observation()
+        build.write(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+        if self._build is None:
+            build.commit()
+        else:
+            self._steps.append((len(self._steps), name, seen.get["rows"]))
+        return self._read(name)
 
     def build(self, source: str | DataFrame, full: bool = False) -> DataFrame:
         """Scan, parse, detect changes, summarise what they invalidate, and store; returns one row of statistics.
 
-        source: a folder, or a table (path, content, size). What can't be read or parsed is told by errors().
+        source: a folder, or a table (path, content, size). What can't be read or parsed is told by errors(). All tables
+        change at once, at the end; if a build fails or is killed, those of the one before stay.
         """
+        self._build, self._steps = self.versions.begin(), []
+        try:
+            self._make(source, full)
+            self._build.write(self.spark.createDataFrame(self._steps, "ord int, phase string, rows long"), "steps")
+            self._build.commit({"built_at": self.as_of})
+        finally:
+            self._build = None
+        return self._read("statistics")
+
+    def _make(self, source: str | DataFrame, full: bool) -> None:
         self.progress("scan", 0, 1)
         if isinstance(source, str):
             read = stored(file_tree.files(self.spark, source, list(self.config.exclude_paths)), "tree")
@@ -113,13 +128,14 @@ class Session:
             self._overviews(edges, symbols, modules)
         self._write(changes.next_manifest(scanned, current.where("hash is not null")), "manifest")
         self.progress("index", 0, 1)
-        search_index.build(self.artifacts(), f"{self.root}/index")
+        search_index.build(self.artifacts(), self._build.path("index"))
         self.progress("index", 1, 1)
         tokens = new.select("path", F.col("metadata.token_count").alias("tokens"))
         counts = scanned.join(tokens, "path", "left").select("path", "language", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.col("tokens").isNotNull().alias("rebuilt"))
         found = parse.findings(readable).groupBy("path").agg(F.count(F.lit(1)).alias("issues"))
         shown = parse.patterns(readable).groupBy("path").agg(F.count(F.lit(1)).alias("patterns"))
-        return health.build_stats(counts.join(found, "path", "left").join(shown, "path", "left").fillna(0, ["issues", "patterns"]))
+        stats = health.build_stats(counts.join(found, "path", "left").join(shown, "path", "left").fillna(0, ["issues", "patterns"]))
+        self._write(stats, "statistics")
 
     def _summaries(self, todo: DataFrame, edges: DataFrame, kept: DataFrame | None) -> DataFrame:
         """(path, content): summaries of todo (path, language, content, exports), level by level of imports, so each sees those of what it imports."""
@@ -168,6 +184,10 @@ class Session:
         """(path, what, error) of the last build: files and folders that could not be read, files that a parser failed on; None before a build."""
         return self._read("errors")
 
+    def steps(self) -> DataFrame | None:
+        """(ord, phase, rows) of the last build: the tables it wrote, in order, and how many rows each got; None before a build."""
+        return self._read("steps")
+
     def architecture(self) -> str | None:
         """The architecture's text; None if there is none yet."""
         o = self._read("overviews")
@@ -190,9 +210,10 @@ class Session:
 
     def search(self, query: str, kind: str | None = None, limit: int = 8) -> DataFrame:
         """The best artifacts for a query, from the index of the last build."""
-        if self._read("index/about") is None:
+        index = self.versions.path(self.versions.current(), "index")
+        if index is None:
             return rank.search(self.artifacts(), query, kind, limit)
-        return search_index.Index(self.spark, f"{self.root}/index").search(query, kind, limit)
+        return search_index.Index(self.spark, index).search(query, kind, limit)
 
     def resolve(self, task: str, targets: list[str] | None = None, budget: int = 8000, operation: str = "auto", form: str = "text") -> DataFrame:
         """One row of text: the best artifacts for a task that fit the budget."""
