@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loam.operators import graph, order, parse, registry, search_index
+from loam.operators import aliases, graph, order, parse, registry, search_index
 from loam.plans import views as V
 from loam.plans.catalogue import TERMS, query, r6, search_sql
 from loam.sources import file_tree, scratch
@@ -164,3 +164,49 @@ SELECT asked, path, rank FROM j QUALIFY row_number() OVER (PARTITION BY asked OR
 def fuzzy_paths(spark, sf_dir):
     nodes, _ = V.hierarchy(spark, sf_dir)
     return graph.fuzzy_paths(nodes, _asked(spark, sf_dir))
+
+
+# Imports by alias, and imports made when needed
+
+ALIASES = [
+    ("", "@/*", 0, "src/*"), ("", "@/n/*", 0, "gone/*"), ("", "@/n/*", 1, "src/n/*"), ("", "@c/*.page", 0, "src/c/*"), ("", "home", 0, "src/r/r0.ts"), ("", "h*", 0, "src/r/r1.ts"),
+    ("web/", "@/*", 0, "web/*"), ("web/", "@/*", 1, "src/*"), ("web/", "@/c/*", 0, "src/./c/../c/*.js"),
+]
+
+
+def _aliased(spark, sf_dir) -> DataFrame:
+    """imports (path, source, resolved_path, is_external, is_dynamic): orders by alias, a quarter of them under web; customers by path."""
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    source = F.get(F.array(cat("@/c/c", c), cat("@/n/n", c % 25), cat("@c/c", c, ".page"), F.lit("home"), cat("react", k), cat("@/nothing/x", k)), (k % 6).cast("int"))
+    path = F.when(k % 4 == 0, cat("web/o", k, ".ts")).otherwise(cat("src/o/o", k, ".ts"))
+    orders = V.table(spark, sf_dir, "orders").select(path.alias("path"), source.alias("source"), F.lit(None).cast("string").alias("resolved_path"), F.lit(True).alias("is_external"), (c % 2 == 0).alias("is_dynamic"))
+    u, n = F.col("c_custkey"), F.col("c_nationkey")
+    customers = V.table(spark, sf_dir, "customer").select(cat("src/c/c", u, ".ts").alias("path"), cat("../n/n", n).alias("source"), cat("src/n/n", n).alias("resolved_path"), F.lit(False).alias("is_external"), (u % 3 == 0).alias("is_dynamic"))
+    return orders.unionByName(customers)
+
+
+@query(rf"""WITH {V.HIERARCHY}, al(scope, pattern, ord, target) AS (VALUES {", ".join(str(r) for r in ALIASES)}),
+a AS (SELECT *, split_part(pattern, '*', 1) AS head, split_part(pattern, '*', 2) AS tail, contains(pattern, '*') AS open FROM al),
+i AS (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'web/o' || o_orderkey ELSE 'src/o/o' || o_orderkey END || '.ts' AS src, CASE o_orderkey % 6 WHEN 0 THEN '@/c/c' || o_custkey WHEN 1 THEN '@/n/n' || (o_custkey % 25)
+  WHEN 2 THEN '@c/c' || o_custkey || '.page' WHEN 3 THEN 'home' WHEN 4 THEN 'react' || o_orderkey ELSE '@/nothing/x' || o_orderkey END AS source, o_custkey % 2 = 0 AS dynamic FROM orders),
+m AS (SELECT src, source, dynamic, ord, replace(replace(CASE WHEN open THEN replace(target, '*', substr(source, length(head) + 1, length(source) - length(head) - length(tail))) ELSE target END, './c/../', ''), '.js', '') AS t
+  FROM i JOIN a ON scope = CASE WHEN src LIKE 'web/%' THEN 'web/' ELSE '' END AND (source = pattern OR (open AND starts_with(source, head) AND ends_with(source, tail) AND length(source) >= length(head) + length(tail)))
+  QUALIFY rank() OVER (PARTITION BY src, source ORDER BY open, length(head) DESC, length(tail) DESC) = 1),
+c AS (SELECT src, source, dynamic, ord, t AS path FROM m UNION ALL SELECT src, source, dynamic, ord, t || '.ts' FROM m),
+f AS (SELECT src, path AS dst, dynamic FROM c JOIN nodes USING (path) QUALIFY row_number() OVER (PARTITION BY src, source ORDER BY ord) = 1
+  UNION ALL SELECT 'src/c/c' || c_custkey || '.ts', 'src/n/n' || c_nationkey || '.ts', c_custkey % 3 = 0 FROM customer)
+SELECT src, dst, bool_and(dynamic) AS lazy FROM f WHERE src <> dst GROUP BY src, dst""")
+def alias_edges(spark, sf_dir):
+    nodes, _ = V.hierarchy(spark, sf_dir)
+    return aliases.edges(_aliased(spark, sf_dir), nodes, spark.createDataFrame(ALIASES, aliases.SCHEMA))
+
+
+@query(rf"""WITH RECURSIVE {V.HIERARCHY}, hops AS (SELECT src AS a, dst AS b, CASE WHEN CAST(src[2:] AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS cost FROM edges UNION ALL SELECT dst, src, CASE WHEN CAST(src[2:] AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END FROM edges),
+d AS (SELECT id, 0 AS depth FROM nodes WHERE id[1] = 'c' AND CAST(id[2:] AS BIGINT) % 50 = 0 UNION SELECT b, depth + cost FROM d JOIN hops ON a = id WHERE depth + cost <= 3)
+SELECT id, CAST(min(depth) AS INT) AS depth FROM d GROUP BY id""")
+def lazy_distances(spark, sf_dir):
+    nodes, edges = V.hierarchy(spark, sf_dir)
+    number = F.expr("cast(substr(src, 2) as bigint)")
+    start = nodes.where("id like 'c%' and cast(substr(id, 2) as bigint) % 50 = 0")
+    return aliases.distances(nodes, edges.select("src", "dst", (number % 3 == 0).alias("lazy")), start, 3)

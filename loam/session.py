@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from loam.functions import scalar
-from loam.operators import changes, graph, health, overlay, overview, parse, rank, search_index, summarise
+from loam.operators import aliases, changes, graph, health, overlay, overview, parse, rank, search_index, summarise
 from loam.operators.registry import Registry
 from loam.sources import file_tree, files, repository
 from loam.sources.scratch import stored
@@ -30,6 +30,8 @@ class Config:
     ignore_text: str = ""
     repository: str = "repository"
     flow_extraction: bool = True
+    aliases: dict = field(default_factory=dict)  # pattern -> targets, for imports in the whole repository
+    lazy_hops: int = 1  # how many hops an import counts for that is only made when needed
     api_key: str = field(default="", repr=False)
 
     @classmethod
@@ -110,7 +112,11 @@ class Session:
         self._write(unread.unionByName(parse.parser_errors(readable, self.parsers)), "errors")
         hashes = parse.symbol_hashes(readable, symbols)
         current = scanned.join(hashes, "path", "left").select("path", "hash", "symbol_hash")
-        edges = self._write(graph.resolve_edges(imports, scanned), "edges")
+        named = aliases.from_configs(read.where("content is not null").select("path", "content"))
+        if self.config.aliases:
+            named = named.unionByName(aliases.table(self.spark, self.config.aliases))
+        weighed = self._write(aliases.edges(imports, scanned, stored(named.distinct(), "aliases")), "lazy_edges")
+        edges = self._write(weighed.drop("lazy"), "edges")
         before, artifacts = self._read("manifest"), self._read("artifacts")
         anew = changes.rebuild_all(full, before is not None and artifacts is not None)
         if anew:
@@ -221,7 +227,7 @@ class Session:
         near = degree = None
         if targets:
             start = self.spark.createDataFrame([(t,) for t in targets], "id string")
-            near = graph.distances(nodes, edges, start, 4).select(F.col("id").alias("path"), "depth")
+            near = aliases.distances(nodes, self._read("lazy_edges"), start, 4, self.config.lazy_hops).select(F.col("id").alias("path"), "depth")
         degree = graph.degrees(nodes, edges).select(F.col("id").alias("path"), "in_degree")
         scored = stored(rank.first_of_id(rank.relevance(self.artifacts("task"), task, self.as_of, operation, targets, near, degree)), "scored")
         text = self.architecture()
