@@ -468,7 +468,11 @@ def context_sections(spark, sf_dir):
     return rank.sections(rank.fill_budget(s, 30000), s).select("ord", "id", "section")
 
 
-@query()
+@query(fill_sql(4000) + """, told AS (SELECT id, max(score) AS best, min_by(path, ord) AS path FROM scored GROUP BY id),
+p AS (SELECT s.score, ord, told.path, json_object('path', told.path, 'content', c) AS whole, to_json(c) AS c,
+  CASE WHEN s.ty = 'module_summary' AND best > 0.4 THEN 'primary' WHEN s.ty = 'module_summary' THEN 'supporting' WHEN s.ty = 'execution_flow' THEN 'flows' WHEN s.ty = 'gotcha_entry' THEN 'gotchas' END AS section
+  FROM f JOIN s USING (rn) JOIN told ON told.id = s.id JOIN firsts ON firsts.id = s.id WHERE status = 'selected')
+SELECT CAST(json_object(""" + ", ".join(f"'{k}', " + (f"coalesce(list({c} ORDER BY score DESC, ord) FILTER (section = '{k}'), CAST([] AS JSON[]))" if c else "'Overview.'") for k, c in (("primary", "whole"), ("supporting", "whole"), ("architecture", None), ("flows", "c"), ("gotchas", "c"))) + ") AS VARCHAR) AS package FROM p")
 def context_json(spark, sf_dir):
     s = rank.first_of_id(_scored(spark, sf_dir))
     return rank.package(rank.sections(rank.fill_budget(s, 4000), s), s.select("id", "content"), "json", "Overview.")
