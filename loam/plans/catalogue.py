@@ -703,7 +703,13 @@ def summary_prompts(spark, sf_dir):
     return summarise.module_prompt(f).select("path", scalar.token_count(F.col("prompt")).alias("prompt_tokens"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT doc_id, source, 'src/' || source || '/doc_' || doc_id || '.md' AS path, CASE WHEN text IS NULL THEN 'Depends on:' || chr(10) || 'none' WHEN length(text) > 5600 THEN text[1:5600] || '{scalar.TRUNCATED}' ELSE text END AS prompt FROM documents),
+l AS (SELECT doc_id, source, path, [x FOR x IN string_split(string_split(prompt, chr(10) || chr(10))[-1], chr(10)) IF trim(x, ' ' || chr(9) || chr(13)) <> ''] AS lines FROM p),
+e AS (SELECT doc_id, source, path, trim(array_to_string(lines, chr(10))[1:8000], ' ' || chr(9) || chr(13) || chr(10)) AS c FROM l),
+w AS (SELECT doc_id, regexp_extract_all(c, '\b[A-Z][a-zA-Z]{{3,}}\b') AS ws FROM e), x AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+n AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM x GROUP BY ALL HAVING count(*) >= 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rn FROM n),
+t AS (SELECT doc_id, lower(word) AS tag, min(rn) AS rn FROM r WHERE rn <= 10 GROUP BY ALL), a AS (SELECT doc_id, string_agg(tag, ',' ORDER BY rn) AS ws FROM t JOIN e USING (doc_id) WHERE tag NOT IN ('src', lower(source)) GROUP BY doc_id)
+SELECT sha256(c) AS id, path, CAST(ceil(length(c) / 4.0) AS BIGINT) AS token_count, 'src' || CASE WHEN length(source) > 2 AND source <> 'src' THEN ',' || lower(source) ELSE '' END || coalesce(',' || ws, '') AS tags FROM e LEFT JOIN a USING (doc_id)""")
 def compile_stub(spark, sf_dir):
     d = V.table(spark, sf_dir, "documents")
     f = d.select(F.concat(F.lit("src/"), "source", F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit("markdown").alias("language"), F.col("text").alias("content"), F.lit(None).cast("string").alias("exports"), F.lit(None).cast("string").alias("dependencies"))
