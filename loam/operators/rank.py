@@ -182,28 +182,58 @@ def sections(filled: DataFrame, scored: DataFrame) -> DataFrame:
     return filled.where("status = 'selected'").join(best, "id").select("ord", "score", "id", "path", "type", section.alias("section"))
 
 
-def package(sectioned: DataFrame, contents: DataFrame, form: str = "json", architecture: str | None = None) -> DataFrame:
-    """One row of text of the whole package: json, compact or text. contents: (id, content)."""
+# Headings of a package's text form.
+RULE = "─" * 60
+HEADINGS = {"architecture": "🏛️  ARCHITECTURE OVERVIEW", "primary": "📁 PRIMARY MODULES", "supporting": "📎 SUPPORTING CONTEXT", "flows": "🔄 EXECUTION FLOWS", "gotchas": "⚠️  GOTCHAS"}
+
+
+def package_counts(filled: DataFrame, architecture: str | None = None) -> DataFrame:
+    """One row (token_count, excluded) of a filled budget: tokens of what was selected and of the architecture's share, and how many rows didn't fit."""
+    own = 0 if architecture is None else -(-len(architecture) // 4)
+    chosen = F.sum(F.when(F.col("status") == "selected", F.col("tokens")))
+    return filled.agg((F.coalesce(chosen, F.lit(0)) + own).cast("long").alias("token_count"), F.count_if(F.col("status") == "excluded").alias("excluded"))
+
+
+def package(sectioned: DataFrame, contents: DataFrame, form: str = "json", architecture: str | None = None, filled: DataFrame | None = None, resolved_ms: int | None = None) -> DataFrame:
+    """One row of text of the whole package: json, compact or text. contents: (id, content); architecture: its share.
+
+    With filled (what fill_budget returned) json and text also tell the tokens and how many artifacts were left out; which
+    ones is in filled, as their list can be as long as the table. resolved_ms, how long it took, is told if given. The
+    compact form has no gotchas. An empty selection gives a row too.
+    """
     rows = sectioned.where("section is not null").join(contents.groupBy("id").agg(F.first("content").alias("content")), "id")
     of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("score")).alias("s"), "ord", "path", "content")))), lambda x: F.struct(x["path"].alias("path"), x["content"].alias("content")))
     one = rows.agg(*[of(s).alias(s) for s in ("primary", "supporting", "flows", "gotchas")])
+    if filled is not None:
+        one = one.crossJoin(F.broadcast(package_counts(filled, architecture)))  # one row each
+    no_text = F.array().cast("array<string>")
     if form == "json":
         only = lambda c: F.transform(c, lambda x: x["content"]).alias(c)
-        return one.select(F.to_json(F.struct("primary", "supporting", F.lit(architecture).alias("architecture"), only("flows"), only("gotchas"))).alias("package"))
-    full = F.concat("primary", "supporting")
+        told = [] if filled is None else [F.col("token_count").alias("tokenCount"), *([] if resolved_ms is None else [F.lit(resolved_ms).alias("resolvedIn")])]
+        left = [] if filled is None else [F.col("excluded").alias("excludedCount")]
+        return one.select(F.to_json(F.struct(*told, "primary", "supporting", F.lit(architecture).alias("architecture"), only("flows"), only("gotchas"), *left)).alias("package"))
     if form == "compact":
         parts = F.concat(
-            F.array(F.lit("## Architecture Overview\n" + architecture)) if architecture else F.array().cast("array<string>"),
-            F.transform(full, lambda x: F.concat(F.lit("## "), x["path"], F.lit("\n"), x["content"])),
+            F.array(F.lit("## Architecture Overview\n" + architecture)) if architecture else no_text,
+            F.transform(F.concat("primary", "supporting"), lambda x: F.concat(F.lit("## "), x["path"], F.lit("\n"), x["content"])),
             F.transform("flows", lambda x: F.concat(F.lit("## Key Flows\n"), x["content"])),
         )
         return one.select(F.array_join(parts, "\n\n---\n\n").alias("package"))
-    rule = F.lit("─" * 60)
-    titled = lambda c, name, with_path: F.when(
-        F.size(c) > 0, F.concat(F.array(rule, F.concat(F.lit(name), F.lit(" ("), F.size(c).cast("string"), F.lit(")")), rule), F.transform(c, lambda x: F.concat(F.lit("\n### "), x["path"], F.lit("\n"), x["content"]) if with_path else x["content"]))
-    ).otherwise(F.array().cast("array<string>"))
-    top = F.array(rule, F.lit("ARCHITECTURE OVERVIEW"), rule, F.lit(architecture)) if architecture else F.array().cast("array<string>")
-    return one.select(F.array_join(F.concat(top, titled("primary", "PRIMARY MODULES", True), titled("supporting", "SUPPORTING CONTEXT", True), titled("flows", "EXECUTION FLOWS", False), titled("gotchas", "GOTCHAS", False)), "\n").alias("package"))
+    rule = F.lit(RULE)
+
+    def titled(c: str, counted: bool) -> Column:
+        head = F.concat(F.lit(f"{HEADINGS[c]} ("), F.size(c).cast("string"), F.lit(")")) if counted else F.lit(HEADINGS[c])
+        body = F.transform(c, lambda x: F.concat(F.lit("\n### "), x["path"], F.lit("\n"), x["content"]) if counted else x["content"])
+        return F.when(F.size(c) > 0, F.concat(F.array(rule, head, rule), body)).otherwise(no_text)
+
+    top = no_text
+    if filled is not None:
+        took = "" if resolved_ms is None else f" (resolved in {resolved_ms}ms)"
+        first = F.array(F.concat(F.lit("📦 Context Package — "), F.col("token_count").cast("string"), F.lit(" tokens" + took)))
+        left = F.when(F.col("excluded") > 0, F.array(F.concat(F.lit("⚠️  "), F.col("excluded").cast("string"), F.lit(" relevant artifacts excluded due to token budget")))).otherwise(no_text)
+        top = F.concat(first, left, F.array(F.lit("")))
+    overview = F.array(rule, F.lit(HEADINGS["architecture"]), rule, F.lit(architecture)) if architecture else no_text
+    return one.select(F.array_join(F.concat(top, overview, titled("primary", True), titled("supporting", True), titled("flows", False), titled("gotchas", False)), "\n").alias("package"))
 
 
 def first_summaries(modules: DataFrame, k: int = 5) -> DataFrame:

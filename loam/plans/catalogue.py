@@ -839,4 +839,4 @@ def stream_incremental(spark, sf_dir):
     return spark.read.schema(kind).parquet(out)
 
 
-from loam.plans import extended  # noqa: E402, F401  registers its queries here
+from loam.plans import adopted, extended  # noqa: E402, F401  they register their queries here

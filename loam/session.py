@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from loam.functions import scalar
 from loam.operators import aliases, changes, graph, health, overlay, overview, parse, rank, search_index, summarise
 from loam.operators.registry import Registry
-from loam.sources import file_tree, files, repository
+from loam.sources import context_tree, file_tree, files, repository
 from loam.sources.scratch import stored
 from loam.sources.versions import Versions
 
@@ -141,7 +141,13 @@ class Session:
         found = parse.findings(readable).groupBy("path").agg(F.count(F.lit(1)).alias("issues"))
         shown = parse.patterns(readable).groupBy("path").agg(F.count(F.lit(1)).alias("patterns"))
         stats = health.build_stats(counts.join(found, "path", "left").join(shown, "path", "left").fillna(0, ["issues", "patterns"]))
-        self._write(stats, "statistics")
+        told = self._write(stats, "statistics")
+        of = modules.where("type = 'module_summary'").agg(F.count(F.lit(1)).alias("total_modules"))
+        summary = told.crossJoin(F.broadcast(of)).select(  # one row each
+            F.lit(str(self._build.number)).alias("build_id"), F.lit(self.as_of).cast("timestamp_ntz").alias("built_at"), F.col("rebuilt").alias("modules_rebuilt"), "total_modules", "total_files", "tokens",
+            F.lit(None).cast("long").alias("duration_ms"),
+        )
+        self._write(summary, "build_summary")
 
     def _summaries(self, todo: DataFrame, edges: DataFrame, kept: DataFrame | None) -> DataFrame:
         """(path, content): summaries of todo (path, language, content, exports), level by level of imports, so each sees those of what it imports."""
@@ -186,6 +192,48 @@ class Session:
         self._write(overview.primer(name, ask(overview.primer_prompt(name, n, answer.fillna("", ["content"])), overview.PRIMER), self.as_of), "primer")
         self.progress("overviews", 1, 1)
 
+    def adopt(self, folder: str | DataFrame) -> DataFrame:
+        """Take over a context folder of Markdown and JSON files as a version of the tables; returns its modules.
+
+        folder: where it lies, or its files as a table (path, content). Searches, tasks and graph queries answer from it as
+        from a build; contents of source files aren't in such a folder, so a full build is due before an incremental one.
+        """
+        read = stored(context_tree.tree(self.spark, folder) if isinstance(folder, str) else folder.select("path", "content"), "adopted")
+        self._build, self._steps = self.versions.begin(), []
+        try:
+            kept = context_tree.modules(read).unionByName(context_tree.gotchas(read, self.as_of)).drop("module_id")
+            self._write(kept, "artifacts")
+            self._write(context_tree.overviews(read, self.as_of), "overviews")
+            known = self._write(context_tree.manifest(read), "manifest")
+            self._write(known.select("path", "language", "size", F.lit(None).cast("string").alias("content"), "hash"), "files")
+            edges = self._write(context_tree.edges(read), "edges")
+            self._write(edges.withColumn("lazy", F.lit(False)), "lazy_edges")
+            self._write(context_tree.branches(read), "branches")
+            self._write(context_tree.overrides(read), "overrides")
+            self._write(context_tree.build_summary(read), "build_summary")
+            search_index.build(self.artifacts(), self._build.path("index"))
+            self._build.commit({"built_at": self.as_of})
+        finally:
+            self._build = None
+        return self._read("artifacts").where("type = 'module_summary'")
+
+    def branches(self) -> DataFrame | None:
+        """The branches of an adopted folder, by name; None where none was adopted."""
+        b = self._read("branches")
+        return None if b is None else b.orderBy("name", "folder")
+
+    def branch(self, name: str) -> DataFrame:
+        """(module_id, content) as a branch of an adopted folder sees the modules: its own summaries over the main ones."""
+        main = self._read("artifacts").where("type = 'module_summary'").select(scalar.path_id(F.col("path")).alias("module_id"), "content")
+        own = self._read("overrides").where(F.col("folder") == scalar.branch_name(F.lit(name)))
+        return overlay.read(main, own)
+
+    def diff(self, module: str | None = None) -> DataFrame:
+        """What the last build is: one row about the whole, or the display of one module's artifact (none if there is no such module)."""
+        if module is not None:
+            return context_tree.module_display(self._read("artifacts").where(F.col("path") == module), self.as_of)
+        return context_tree.build_display(self._read("build_summary"), self.as_of)
+
     def errors(self) -> DataFrame | None:
         """(path, what, error) of the last build: files and folders that could not be read, files that a parser failed on; None before a build."""
         return self._read("errors")
@@ -231,7 +279,8 @@ class Session:
         degree = graph.degrees(nodes, edges).select(F.col("id").alias("path"), "in_degree")
         scored = stored(rank.first_of_id(rank.relevance(self.artifacts("task"), task, self.as_of, operation, targets, near, degree)), "scored")
         text = self.architecture()
-        return rank.package(rank.sections(rank.fill_budget(scored, budget, text), scored), scored.select("id", "content"), form, rank.architecture_share(text, budget))
+        filled = stored(rank.fill_budget(scored, budget, text), "filled")
+        return rank.package(rank.sections(filled, scored), scored.select("id", "content"), form, rank.architecture_share(text, budget), filled)
 
     def nodes(self) -> DataFrame:
         return self._read("files").select(F.col("path").alias("id"), "path", "language")

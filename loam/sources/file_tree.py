@@ -225,14 +225,14 @@ class FileTree(DataSource):
         return TreeReader(dict(self.options))
 
 
-def files(spark: SparkSession, root: str, exclude: list[str] | None = None, include: list[str] | None = None, max_size: int | None = MAX_SIZE, min_size: int = 1, contents: bool = True, hidden: bool = False, partitions: int = 64) -> DataFrame:
-    """The tree of a folder as a table (see FileTree); exclude adds to the usual folders and files that are left out."""
+def files(spark: SparkSession, root: str, exclude: list[str] | None = None, include: list[str] | None = None, max_size: int | None = MAX_SIZE, min_size: int = 1, contents: bool = True, hidden: bool = False, partitions: int = 64, usual: bool = True) -> DataFrame:
+    """The tree of a folder as a table (see FileTree); exclude adds to the usual folders and files that are left out, unless usual is false."""
     from loam.sources.ship import ship
 
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FileTree)
-    options = {"exclude": "\n".join(DEFAULT_EXCLUDES + (exclude or [])), "include": "\n".join(include or []), "minSize": str(min_size), "contents": str(contents).lower(), "hidden": str(hidden).lower(), "partitions": str(partitions)}
+    options = {"exclude": "\n".join((DEFAULT_EXCLUDES if usual else []) + (exclude or [])), "include": "\n".join(include or []), "minSize": str(min_size), "contents": str(contents).lower(), "hidden": str(hidden).lower(), "partitions": str(partitions)}
     if max_size is not None:
         options["maxSize"] = str(max_size)
     read = spark.read.format("loam_files").options(**options).load(root)
