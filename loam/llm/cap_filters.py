@@ -26,6 +26,8 @@ from . import common
 CODES = 8
 CAPS = 5.0
 CHUNK = 1500
+#: Vectors whose largest component is above this, or below its inverse, are divided by it first, as their squares would overflow or vanish.
+FAR = 1e100
 
 
 @lru_cache(maxsize=64)
@@ -192,16 +194,18 @@ def near(vectors: DataFrame, least: float = 0.98, caps: float = CAPS, id_col: st
 
     Rows whose label is null, or whose vector is null, empty, zero or holds a null or a non-finite number, link with
     nothing. Vectors of different lengths don't link. Repeated rows are vectors like others; rows of one id are judged each
-    by its own vector. A cosine of exactly `least` links. Other columns are ignored; an empty table gives no row.
+    by its own vector. A cosine of exactly `least` links; components of any finite size count. Other columns are ignored; an empty table gives no row.
     """
     spark = vectors.sparkSession
     common.prepare(spark)
     e = F.col("e")
     v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("e"), F.col(label_col).alias("label"))
-    norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))
     good = F.col("label").isNotNull() & F.col("id").isNotNull() & (F.size(e) > 0) & ~F.exists(e, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    v = v.withColumn("norm", F.when(good, norm)).withColumn("good", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False)))
-    v = v.withColumn("same", F.when(F.col("good"), F.sha2(F.array_join(F.transform(e, lambda x: x.cast("string")), ","), 256)))
+    v = v.withColumn("most", F.when(good, F.array_max(F.transform(e, F.abs)))).withColumn("good", F.coalesce(F.col("most") > 0, F.lit(False)))
+    far = (F.col("most") > FAR) | (F.col("most") < 1 / FAR)
+    v = v.withColumn("whole", e).withColumn("e", F.when(F.col("good") & far, F.transform(e, lambda x: x / F.col("most"))).otherwise(e))
+    v = v.withColumn("norm", F.when(F.col("good"), F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x))))
+    v = v.withColumn("same", F.when(F.col("good"), F.sha2(F.array_join(F.transform("whole", lambda x: x.cast("string")), ","), 256)))
     groups = v.where("good").groupBy("label", "same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("weight"), F.min_by("e", "id").alias("e"), F.min_by("norm", "id").alias("norm"))
     groups = common.written(groups.withColumn("rep", F.xxhash64("label", "same")), "vectors")  # an id may have several vectors, so groups have a name of their own
 

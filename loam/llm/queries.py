@@ -107,8 +107,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), shared AS (SELECT a.
 pairs AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)), edges AS (SELECT a AS u, b AS v FROM pairs UNION ALL SELECT b, a FROM pairs),
 {_REACH.format(id="doc_id", of="documents")} SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(t) FROM reach WHERE s = d.doc_id) AS component_id FROM documents d LEFT JOIN n USING (doc_id)"""
 
-VECTOR_SQL = f"""WITH RECURSIVE g AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
-x AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS norm FROM g), pairs AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+VECTOR_SQL = f"""WITH RECURSIVE w AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, list_max(list_transform(CAST(embedding AS DOUBLE[]), lambda x: abs(x))) AS most FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+g AS (SELECT vec_id, label, CASE WHEN most > 0 AND (most > 1e100 OR most < 1e-100) THEN list_transform(e, lambda x: x / most) ELSE e END AS e FROM w), x AS (SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda y: y * y))) AS norm FROM g), pairs AS (SELECT a.vec_id AS u, b.vec_id AS v FROM x a JOIN x b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
 WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98), edges AS (SELECT u, v FROM pairs), {_REACH.format(id="vec_id", of="embeddings")},
 c AS (SELECT s AS vec_id, min(t) AS component_id FROM reach GROUP BY s) SELECT vec_id, (SELECT count(*) FROM pairs WHERE u = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""
 

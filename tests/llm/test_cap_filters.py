@@ -64,3 +64,9 @@ def test_few_dimensions_repeated_ids_and_empty(spark):
     rows = [(5, a, 1), (6, a, 1), (5, b, 2), (7, b, 2), (8, b, 2)]
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in C.near(spark.createDataFrame(rows, schema)).collect())
     assert got == [(5, 1, 5), (5, 2, 5), (6, 1, 5), (7, 2, 5), (8, 2, 5)]
+
+
+def test_huge_and_tiny_components(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1e200], 0), (3, [1e-200, 1e-200], 0), (4, [2e-200, 2e-200], 0), (5, [5e-324, 0.0], 0), (6, [1.7e308, 1e300], 0), (7, [1e200, -1e200], 0), (8, [3.0, 3.0], 0), (9, [0.0, 0.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in C.near(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (4, 1), 2: (4, 1), 3: (4, 1), 4: (4, 1), 5: (1, 5), 6: (1, 5), 7: (0, 7), 8: (4, 1), 9: (0, 9)}
