@@ -9,11 +9,11 @@ coordinate minima; an R-tree whose nodes carry coordinate maxima and the least s
 
 Where the tree is searched. A tree over all points would have to be compared with itself as a whole, as random sets of
 the same size are near each other in every coordinate. So its first coordinate is a shingle: shingles have one global
-order (those seen often in a small sample come last, else a hash decides), two sets that link share one of their first
+order (those that are frequent in the whole table come last, as counted by leading bits of their hashes), two sets that link share one of their first
 size - ceil(share * size) + 1 shingles, and each set is a point under each of those. The points of a shingle are a tree of
 their own, so a task holds whole trees; a search in it leaves pairs whose sizes and minima of counts allow the overlap that
 a link needs. Of these, a pair that is only found under few shingles must be found under as many as a link makes it
-share, and at one that leaves enough shingles after it. Nothing that links is lost, whatever the sample says. What hangs
+share, and at one that leaves enough shingles after it. Nothing that links is lost, whatever the counts say. What hangs
 together by such candidates is a block.
 
 Verification. Within a block the points have more groups; what a second tree on them leaves and is not yet connected is
@@ -54,8 +54,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 3, parting: np.
     for k in range(n):
         s += np.where(k < count[own], padded[place + k], _U(0)) * coef[k]
     s = common.mix(s + np.minimum(count[own], n).astype(np.uint64) * _K[1])
-    order = np.lexsort((s, own))
-    s, own = s[order], own[order]
+    for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        s[x:y].sort()
     keep = np.ones(len(s), bool)
     keep[1:] = (s[1:] != s[:-1]) | (own[1:] != own[:-1])
     s, own = s[keep], own[keep]
@@ -69,14 +69,21 @@ def set_ids(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(size > 0, common.mix((c[at[1:]] - c[at[:-1]]) ^ (size * _K[3])), _U(0)).view(np.int64)
 
 
+def weights(s: np.ndarray, common_hash: np.ndarray, common_count: np.ndarray) -> np.ndarray:
+    """How frequent shingles are: counts of the hashes that are given, or, if none are, of all by their leading bits."""
+    if len(common_hash):
+        k = np.minimum(np.searchsorted(common_hash, s), len(common_hash) - 1)
+        return np.where(common_hash[k] == s, common_count[k], 0)
+    if len(common_count):
+        return common_count[(s >> _U(65 - len(common_count).bit_length())).astype(np.int64)]
+    return np.zeros(len(s), np.int64)
+
+
 def keys(s: np.ndarray, at: np.ndarray, num: int, den: int, common_hash: np.ndarray, common_count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(shingle, index of the set, shingles left from it on in the global order) for all that a set is listed under."""
     size = np.diff(at)
     own = np.repeat(np.arange(len(size)), size)
-    weight = np.zeros(len(s), np.int64)
-    if len(common_hash):
-        k = np.minimum(np.searchsorted(common_hash, s), len(common_hash) - 1)
-        weight = np.where(common_hash[k] == s, common_count[k], 0)
+    weight = weights(s, common_hash, common_count)
     order = np.lexsort((s, weight, own))
     place = np.arange(len(s)) - at[own]
     ok = place < (size + (-num * size // den) + 1)[own]
@@ -169,29 +176,50 @@ def join_block(ids: list[int], sets: list[np.ndarray], asks: np.ndarray, star: n
     return out
 
 
-#: Documents of the sample that the order of shingles comes from, and shingles of it that are kept; bounds of what the driver holds.
-SAMPLE, FREQUENT = 4_000, 200_000
+#: Counters of shingles, as a power of two: the fewest and the most, and how many a document has between the two.
+LEAST_SLOTS, MOST_SLOTS, SLOTS = 22, 24, 16
+#: Counters in one piece, and steps of a count in an octave.
+PIECE, STEPS = 1 << 16, 12
 #: Points under one shingle that are compared as one leaf; more are a tree. More than TREE hold together untested, and so
 #: do those that a tree's search leaves, if that is over DENSE for each point.
 FEW, TREE, DENSE = 64, 20_000, 64
 
 
 def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the shingles that come twice or more in a sample by a hash of the id; they only make the order better."""
+    """No hashes, and how many shingles of the whole table begin with each leading bits of a hash, as a logarithm in a byte.
+
+    Every document's distinct shingles are counted. A task has one table of counters, the pieces of all of them are added
+    up in tasks, and the driver holds a byte for each of 16 million counters at most; they only make the order better.
+    """
+    import zstandard
+
     total = docs.count()
     if not total:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint8)
+    bits = min(MOST_SLOTS, max(LEAST_SLOTS, (SLOTS * total).bit_length()))
 
-    def run(batches):
+    def count(batches):
+        counts = np.zeros(1 << bits, np.uint32)
+        for b in batches:
+            np.add.at(counts, (shingle_sets(*common.utf8(b.column(0)), n)[0] >> _U(64 - bits)).astype(np.int64), np.uint32(1))
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for k in range(0, 1 << bits, PIECE):
+            if counts[k : k + PIECE].any():
+                yield pa.RecordBatch.from_arrays([pa.array([k // PIECE], pa.int32()), pa.array([pack(counts[k : k + PIECE].tobytes())], pa.binary())], names=["piece", "counts"])
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
         for b in batches:
-            s, many = np.unique(shingle_sets(*common.utf8(b.column(0)), n)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(many.astype(np.int64))], names=["s", "n"])
-
-    part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < SAMPLE / total * 1_000_003)
-    rows = part.select("text").mapInArrow(run, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
-    h = rows.column("s").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], rows.column("n").to_numpy()[order]
+            for k, raw in zip(b.column("piece").to_pylist(), b.column("counts"), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(raw.as_buffer()), np.uint32).astype(np.int64)
+        levels = [np.minimum(STEPS * np.log2(1 + x), 255).astype(np.uint8).tobytes() for x in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(levels, pa.binary())], names=["piece", "levels"])
+
+    pieces = docs.select("text").mapInArrow(count, "piece int, counts binary").repartition(min(common.parallelism(docs.sparkSession), (1 << bits) // PIECE), "piece")
+    levels = np.zeros((1 << bits) // PIECE * PIECE, np.uint8)
+    for k, raw in pieces.mapInArrow(add, "piece int, levels binary").collect():
+        levels[k * PIECE : (k + 1) * PIECE] = np.frombuffer(raw, np.uint8)
+    return np.zeros(0, np.uint64), levels
 
 
 #: Points under some shingles, as tasks pass them on: sets with their coarse points, and (shingle, which set, shingles left).

@@ -100,3 +100,15 @@ def test_names_of_other_columns_clash_with_nothing(spark):
     df = spark.createDataFrame([(1, text), (2, text), (3, "other words than those"), (3, "other words than those")], "doc_id long, text string").selectExpr("*", "1 as id__", "2 as hash__", "3 as `a.b`", "4 as doc", "5 as row", "6 as i")
     kept = N.one_of_each(df, 4, 5, 5)
     assert kept.columns == df.columns and sorted((r.doc_id, r["a.b"], r["row"]) for r in kept.collect()) == [(1, 3, 5), (3, 3, 5)]
+
+
+def test_order_counts_the_whole_table(spark):
+    r = random.Random(11)
+    passages = [" ".join(f"p{k}_{i}" for i in range(9)) for k in range(300)]
+    own = lambda k: " ".join(f"d{k}_{i}" for i in range(31))
+    texts = [f"{own(k)} {passages[k % 300]}" if k < 1800 else own(k) for k in range(20_000)]
+    r.shuffle(texts)
+    order = N.frequent(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 5)
+    shared, _ = N.shingle_sets(*N.common.utf8(N.pa.array(passages)), 5)
+    key, _, _ = N.keys(*N.shingle_sets(*N.common.utf8(N.pa.array([t for t in texts if "p" in t])), 5), 4, 5, *order)
+    assert len(key) > 1800 * 7 and not np.isin(key, shared).any()
