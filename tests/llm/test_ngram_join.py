@@ -112,3 +112,14 @@ def test_order_counts_the_whole_table(spark):
     shared, _ = N.shingle_sets(*N.common.utf8(N.pa.array(passages)), 5)
     key, _, _ = N.keys(*N.shingle_sets(*N.common.utf8(N.pa.array([t for t in texts if "p" in t])), 5), 4, 5, *order)
     assert len(key) > 1800 * 7 and not np.isin(key, shared).any()
+
+
+def test_passages_of_few_long_documents_make_no_pairs(spark):
+    r = random.Random(12)
+    words = lambda name, n: " ".join(f"{name}_{i}" for i in range(n))
+    long = [f"{words(f'l{g}_{k}', 2000)} {words(f'p{g}', 60)}" for g in range(25) for k in range(12)]
+    texts = long + [words(f"d{k}", 6) for k in range(40_000)]
+    r.shuffle(texts)
+    order = N.frequent(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4), 5)
+    c = N.Trees([N.points(*N.shingle_sets(*N.common.utf8(N.pa.array(long)), 5), 4, 5, *order)], 4, 5).candidates()
+    assert c.num_rows < 10
