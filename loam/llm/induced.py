@@ -131,14 +131,14 @@ class _Pass:
 def _induce(x, small, run, seeds, seed_lcp, budget, folder, with_lcp=True):
     """All suffixes in order with their common prefixes (capped), from the LMS-suffixes in order."""
     symbols = np.unique(x).tolist()
-    first = x[seeds]
+    edges = np.searchsorted(x[seeds], np.append(np.array(symbols, x.dtype), x.max()), "left")
+    edges[-1] = len(seeds)
     up = _Pass(x, ~small, budget, folder, with_lcp)
     larger = {}
     try:
-        for c in symbols:
+        for c, a, b in zip(symbols, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             at, lcp = up.bucket(c)
             larger[c] = (at, lcp)
-            a, b = np.searchsorted(first, [c, c + 1])
             if b > a:
                 s, sl = seeds[a:b], seed_lcp[a:b].copy()
                 sl[0] = min(run[at[-1]], run[s[0]]) if len(at) else 0
@@ -164,17 +164,30 @@ def _induce(x, small, run, seeds, seed_lcp, budget, folder, with_lcp=True):
 
 
 def _adjacent_lcp(x: np.ndarray, at: np.ndarray, cap: int = CAP) -> np.ndarray:
-    """Common prefix of each suffix with the one before it in the list, up to the cap."""
+    """Common prefix of each suffix with the one before it in the list, up to the cap; four symbols at a time, if 16 bits hold each."""
+    n = len(x)
+    per = 4 if x.dtype.itemsize <= 2 else 1
+    symbols = np.zeros(n + cap + 2 * per, np.uint64)
+    symbols[:n] = x
+    word = symbols[: n + cap + per].copy()
+    for k in range(1, per):
+        word |= symbols[k : k + len(word)] << np.uint64(16 * k)
+    del symbols
     out = np.zeros(len(at), np.int64)
     live = np.arange(1, len(at))
-    n = len(x)
+    a, b = at[:-1], at[1:]
     while len(live):
-        a, b = at[live - 1] + out[live], at[live] + out[live]
-        same = (a < n) & (b < n) & (x[np.minimum(a, n - 1)] == x[np.minimum(b, n - 1)])
-        live = live[same]
-        out[live] += 1
-        live = live[out[live] < cap]
-    return out.astype(np.uint8)
+        differ = word[a] ^ word[b]
+        same = differ == 0
+        last, differ = live[~same], differ[~same]
+        for k in range(1, per):
+            out[last] += differ & np.uint64((1 << 16 * k) - 1) == 0
+        live, a, b = live[same], a[same] + per, b[same] + per
+        out[live] += per
+        more = out[live] < cap
+        live, a, b = live[more], a[more], b[more]
+    out[1:] = np.minimum(out[1:], n - np.maximum(at[:-1], at[1:]))  # beyond the end nothing is common
+    return np.minimum(out, cap).astype(np.uint8)
 
 
 def sort(x: np.ndarray, budget: int = BUDGET, base: int = BASE, folder: str | None = None) -> tuple[np.ndarray, np.ndarray]:
