@@ -1,9 +1,10 @@
 """Order of deep graphs: components of mutual imports, and levels, in few jobs.
 
 A node that has one open dependency stands a fixed way above it, so it is taken out and hung on it; chains of such nodes are
-followed by pointer doubling, 100,000 nodes in 17 steps. What is left loses its ready nodes level by level. Cycles are told
-apart by forward and backward colouring, where paths without branches are followed by doubling too. Every step ends in a
-stored table, of which only those that are read later stay.
+followed by pointer doubling, 100,000 nodes in 17 steps. What is left loses its ready nodes level by level. For cycles, every
+node that has one edge in, or one out, first goes into that edge's other end, over and over, and is told back from there. What
+is left of the graph then has branches at every node; its cycles are told apart by forward and backward colouring, where paths
+without branches are followed by doubling too. Every step ends in a stored table, of which only those that are read later stay.
 """
 
 from __future__ import annotations
@@ -107,21 +108,90 @@ def _relaxed(start: DataFrame, edges: DataFrame) -> DataFrame:
         v = v2.select("id", "value")
 
 
+def _trees(pointers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pointers (id, to) as trees: the pointers, of which each ring has lost that of its least id, and (id, root) of all that still have one."""
+    while True:
+        p = stored(pointers.withColumn("low", F.least("id", "to")).withColumn("on", F.lit(True)), "pointers")
+        for _ in range(max(1, p.count()).bit_length() + 1):
+            q = p.select(F.col("id").alias("at"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+            further = p.join(q, F.col("to") == F.col("at"), "left")
+            last, p = p, stored(further.select("id", F.coalesce("to2", "to").alias("to"), F.least("low", "low2").alias("low"), F.col("at").isNotNull().alias("on")), "pointers")
+            free(last)
+            if p.where("on").isEmpty():
+                return pointers, p.select("id", F.col("to").alias("root"))
+        ring = p.where("on").select(F.col("to").alias("id")).distinct()  # so many steps on, all are on a ring
+        heads = p.join(ring, "id", "left_semi").where("id = low").select("id")
+        last, pointers = pointers, stored(pointers.join(heads, "id", "left_anti"), "hung")
+        free(last, p)
+
+
+def _hung(left: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """What is left, its edges (not stored), and the trees (pointers, roots), when every node that one edge alone leads to has gone into the node it comes from; none if there is no such node."""
+    single = stored(e.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to")).where("n = 1").select(F.col("dst").alias("id"), "to"), "hung")
+    if single.isEmpty():
+        free(single)
+        return None
+    pointers, roots = _trees(single)
+    gone = roots.select("id")
+    fewer = e.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").join(roots.withColumnRenamed("id", "src"), "src", "left").select(F.coalesce("root", "src").alias("src"), "dst")
+    return stored(left.join(gone, "id", "left_anti"), "left"), fewer.where("src <> dst").distinct(), pointers, roots
+
+
+def _unhung(found: DataFrame, e: DataFrame, pointers: DataFrame, roots: DataFrame) -> DataFrame:
+    """(id, component) of all nodes, from that of those which were left by _hung.
+
+    A node that one edge alone leads to is in a cycle only with its root, so it must lead back to it: an edge out of the
+    part of the tree below it, itself included, has to go to the root's component.
+    """
+    of = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(k + "_"))
+    out = e.join(of("dst"), "dst").join(roots.withColumnRenamed("id", "src"), "src").join(of("root"), "root").where("dst_ = root_")
+    back, step = stored(out.select(F.col("src").alias("id")).distinct(), "back"), pointers
+    n = back.count()
+    while n:
+        above = back.join(step, "id").select(F.col("to").alias("id"))
+        last, back = back, stored(back.union(above).distinct(), "back")
+        free(last)
+        n, before = back.count(), n
+        if n == before:
+            break
+        last, step = step, stored(step.join(step.select(F.col("id").alias("to"), F.col("to").alias("to2")), "to").select("id", F.col("to2").alias("to")), "pointers")
+        if last is not pointers:
+            free(last)
+    own = roots.join(back.withColumn("is_back", F.lit(True)), "id", "left").join(of("root"), "root")
+    return stored(found.unionByName(own.select("id", F.when(F.col("is_back"), F.col("root_")).otherwise(F.col("id")).alias("component"))), "components")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id of all nodes that a node reaches and that reach it; itself, if there is none other."""
     ids, e = _known(nodes, edges)
     left, e = stored(ids, "left"), stored(e, "edges")
     found: list[DataFrame] = []
+    trees: list[tuple] = []
     turned = lambda x: x.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     within = lambda x, of: x.join(of.select(F.col("id").alias("src")), "src", "left_semi").join(of.select(F.col("id").alias("dst")), "dst", "left_semi")
     while True:
+        went = True
+        while went:  # cycles are the same, and ways between them short, when nodes of one edge in, or out, have gone into its other end
+            went = False
+            for way in (lambda x: x, turned):
+                told = _hung(left, way(e))
+                if told:
+                    trees.append((way(e), *told[2:]))
+                    left, e, went = told[0], stored(way(told[1]), "edges"), True
+        if e.isEmpty():
+            found.append(left.withColumn("component", F.col("id")))
+            break
+        before = left.count()
         for way in (lambda x: x, turned):  # nodes that no cycle lies behind, or before, are alone
             alone = acyclic_levels(left, way(e)).select("id")
             found.append(alone.withColumn("component", F.col("id")))
             left = stored(left.join(alone, "id", "left_anti"), "left")
             e = stored(within(e, left), "edges")
-        if left.isEmpty():
+        after = left.count()
+        if not after:
             break
+        if after < before:
+            continue
         # a colour is a node of its own, in an order dealt anew each time, so that many components are found at once
         first = F.concat(F.lpad(F.hex(F.xxhash64("id", F.lit(len(found)))), 16, "0"), F.lit(" "), F.col("id").cast("string"))
         colour = stored(_relaxed(left.withColumn("value", first), e.select(F.col("src").alias("a"), F.col("dst").alias("b"))).withColumnRenamed("value", "colour"), "colours")
@@ -133,7 +203,12 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found.append(stored(mine.join(least, "colour").select("id", "component"), "components"))
         left = stored(left.join(found[-1], "id", "left_anti"), "left")
         e = stored(within(same, left), "edges")  # no component has two colours
-    return reduce(DataFrame.unionByName, found)
+    told = reduce(DataFrame.unionByName, found)
+    for hung in reversed(trees):
+        last, told = told, _unhung(told, *hung)
+        free(last, *hung)
+    least = told.groupBy("component").agg(F.min("id").alias("least"))
+    return told.join(least, "component").select("id", F.col("least").alias("component"))
 
 
 def condensed_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -61,3 +61,25 @@ def test_a_chain_of_100_000_nodes(spark):
 
 def test_empty(spark):
     assert order.condensed_levels(*tables(spark, 0, [])).count() == 0
+
+
+def test_cycles_within_cycles_and_trees_on_rings(spark):
+    rng = random.Random(31)
+    for n in (9, 16, 30):
+        edges = [(rng.randrange(k), k) for k in range(1, n)] + [(k, rng.randrange(k)) for k in rng.sample(range(1, n), n // 3)]
+        edges += [(n + k, n + (k + 1) % 5) for k in range(5)] + [(n + 2, n + 5), (n + 5, n + 6), (n + 7, n + 8), (n + 8, n + 7), (n + 8, rng.randrange(n))]
+        edges = [(a, b) if rng.random() < 0.9 else (b, a) for a, b in edges]
+        assert sorted(tuple(r) for r in order.condensed_levels(*tables(spark, n + 9, edges)).collect()) == brute(n + 9, edges), edges
+
+
+def test_many_cycles_along_a_chain_take_few_jobs(spark):
+    n, every = 3000, 50
+    nodes = spark.range(n).selectExpr("cast(id as int) id")
+    edges = nodes.where("id > 0").selectExpr("id src", "id - 1 dst").union(nodes.where(f"id % {every} = 0").selectExpr("id src", "id + 3 dst"))
+    status = spark.sparkContext.statusTracker()
+    before = max([0, *status.getJobIdsForGroup(None)])
+    rows = order.condensed_levels(nodes, edges).collect()
+    top = [k - k % every if k % every < 4 else k for k in range(n)]
+    level = {c: x for x, c in enumerate(sorted(set(top)))}
+    assert sorted(map(tuple, rows)) == [(k, c, level[c]) for k, c in enumerate(top)]
+    assert max(status.getJobIdsForGroup(None)) - before < 400
