@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -62,3 +63,50 @@ def test_empty(spark, tmp_path):
     search_index.build(none, str(tmp_path / "e"))
     index = search_index.Index(spark, str(tmp_path / "e"))
     assert index.search("anything at all").count() == 0
+
+
+def shuffled(spark, what):
+    """Bytes that what() shuffles."""
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    def written():
+        bus.waitUntilEmpty(30_000)
+        return sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+
+    before = written()
+    what()
+    return written() - before
+
+
+def test_postings_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(k, f"p{k}", f"kind{k % 3}", " ".join(f"w{rng.randrange(400)}" for _ in range(150)), []) for k in range(2000)]
+    a = spark.createDataFrame(rows, SCHEMA)
+    assert shuffled(spark, lambda: search_index.build(a, str(tmp_path / "i"))) < 6 * len(rows) * 150  # a few bytes a term, the texts with it
+    index = search_index.Index(spark, str(tmp_path / "i"))
+    assert same(index, a, "w17 w300", "kind1", 20) == 20
+
+
+def test_a_term_that_holds_a_word_twice(spark, tmp_path):
+    rows = [(k, f"p{k}", "m", "fill " * (30 + k) + ("abab " if k < 40 else "ab-ab " if k < 60 else ""), []) for k in range(400)]
+    a = spark.createDataFrame(rows, SCHEMA)
+    search_index.build(a, str(tmp_path / "i"))
+    index = search_index.Index(spark, str(tmp_path / "i"))
+    for query in ("abab", "aba", "ab", "b-a fill", "ab-ab", "l f", "fil"):
+        same(index, a, query, None, 7)
+
+
+def test_terms_of_an_artifact(spark):
+    texts = ["a b a\x01 a", "# b a\n\x00 a\x00 a a\x011 ab a-b", "", "x\x0by  \tz", "one line alone " * 3, "\x010 a\x080 1 0", "naïve 日本 naïve \U0001f600"]
+    rng = random.Random(4)
+    texts += ["".join(rng.choice(["a", "b", "\x01", "\x00", "0", "1", " ", "\t", "\n"]) for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = [(t, rng.choice(texts).replace("\n", " "), rng.choice(["src/a", "a", "a b/b a", "a\x01/a", ""]), rng.choice([[], ["a"], ["a b", "b"], ["a\x01"]])) for t in texts]
+    got = spark.createDataFrame(rows, "c string, t string, p string, g array<string>").select("*", search_index._counted(*[F.col(k) for k in "ctpg"]).alias("x")).collect()
+    for r in got:
+        want = {}
+        for text, k in ((r.c, 0), (r.t, 1), (r.p, 2), (r.p.split("/")[-1], 4), (" ".join(r.g), 8)):
+            for term in re.split(r"[ \t\n\x0B\f\r]+", text):
+                if term:
+                    hits, where = want.get(term, (0, 0))
+                    want[term] = (hits + (k == 0), where | k)
+        found = [x for x in r.x if x is not None]
+        assert {x.term: (x.hits, x.where) for x in found} == want and len(found) == len(want), r
