@@ -6,7 +6,7 @@ white space parts), and those of a text are the sum over its terms. Tables of an
     terms     (term, rows, fixed, level)   how many artifacts have a term, and the most that one of them has of fixed and of level
     postings  (term, fixed, level, ...)    a row for each term of an artifact, in segments of the artifacts that one task read
     tags      (tag, ord, type, n)          tags by their lower-case value
-    documents (ord, path, type, content)   read for the results alone
+    documents (ord, path, type, content)   in order of ord within a task's rows, read for the results alone
     about     (artifacts)
 
 fixed is what path and title give, level the density of hits on a scale of logarithms, rounded up. Both bound a score without
@@ -107,7 +107,7 @@ def build(artifacts: DataFrame, folder: str, share: int = SHARE) -> None:
     """Writes the index of artifacts (ord, path, type, content, tags) into a folder. ord names an artifact."""
     spark = artifacts.sparkSession
     a = artifacts.select("ord", "path", "type", "content", "tags")
-    a.repartitionByRange("ord").sortWithinPartitions("ord").select("ord", "path", "type", "content").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/documents")
+    a.sortWithinPartitions("ord").select("ord", "path", "type", "content").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/documents")
     a.agg(F.count(F.lit(1)).alias("artifacts")).write.mode("overwrite").parquet(f"{folder}/about")
     lower = lambda c: F.lower(F.coalesce(c, F.lit("")))
     x = a.select("ord", "type", lower(F.col("content")).alias("lc"), lower(F.col("path")).alias("lp"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower).alias("lt"), F.lower(scalar.title(F.coalesce("content", F.lit("")))).alias("title"))
@@ -203,7 +203,7 @@ class Index:
         best = self._scored(words, told, df, kind, self._bounds(words, told, df, kind, limit)).orderBy(F.desc("score"), "ord").limit(limit)
         rows = best.collect()  # limit rows
         top = self.spark.createDataFrame([(r["ord"], r["score"]) for r in rows], "ord long, score double")
-        documents = self._read("documents").where(F.col("ord").isin(*[r["ord"] for r in rows]))  # few row groups, as they are in order of ord
+        documents = self._read("documents").where(F.col("ord").isin(*[r["ord"] for r in rows]))  # few pages, as each file is in order of ord
         out = documents.join(F.broadcast(top), "ord")
         first = F.lit(None).cast("int")
         for w in words:

@@ -110,3 +110,12 @@ def test_terms_of_an_artifact(spark):
                     want[term] = (hits + (k == 0), where | k)
         found = [x for x in r.x if x is not None]
         assert {x.term: (x.hits, x.where) for x in found} == want and len(found) == len(want), r
+
+
+def test_texts_are_not_shuffled(spark, tmp_path):
+    rng = random.Random(15)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400)) for _ in range(60)]
+    a = spark.createDataFrame([((k * 37) % 200, f"p{k}", "m", " ".join(rng.choice(words) for _ in range(100)), []) for k in range(200)], SCHEMA)
+    assert shuffled(spark, lambda: search_index.build(a, str(tmp_path / "i"))) < 500_000  # the texts are 8 MB, their terms 24 kB
+    index = search_index.Index(spark, str(tmp_path / "i"))
+    assert same(index, a, f"{words[0]} {words[1][:30]}", None, 10) == 10
