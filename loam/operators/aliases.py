@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loam.functions import scalar
 from loam.operators import graph
+from loam.sources.scratch import stored
 
 SCHEMA = "scope string, pattern string, ord int, target string"
 _CONFIG = "compilerOptions struct<baseUrl: string, paths: map<string, array<string>>>"
@@ -37,50 +38,70 @@ def from_configs(files: DataFrame) -> DataFrame:
     return p.select("scope", "pattern", F.posexplode("targets").alias("ord", "t"), "base").select("scope", "pattern", "ord", scalar.normal_path(F.concat("base", "t")).alias("target")).where("target is not null")
 
 
-def targets(imports: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(path, source, ord, target): what each import that fits an alias means, best first; imports (path, source).
-
-    Scopes and patterns are found by equality: a folder by all its parents, a source by those of its beginnings that are as
-    long as some pattern's. Only distinct folders and distinct sources of a scope are taken apart.
-    """
+def _scoped(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """imports (path, ...) with the scope that has a say in their folder, where there is one."""
     folder = F.regexp_extract("path", r"^(.*/)?[^/]+$", 1)
-    asked = imports.where("source <> '' and path is not null").select("path", "source", folder.alias("folder")).distinct()
+    asked = imports.where("source <> '' and path is not null").withColumn("folder", folder)
     parents = F.expr("transform(sequence(0, size(split(folder, '/')) - 1), k -> if(k = 0, '', concat(substring_index(folder, '/', k), '/')))")
     scopes = asked.select("folder").distinct().select("folder", F.explode(parents).alias("scope")).join(aliases.select("scope").distinct(), "scope")
-    asked = asked.join(scopes.groupBy("folder").agg(F.max_by("scope", F.length("scope")).alias("scope")), "folder")
+    scopes = stored(scopes.groupBy("folder").agg(F.max_by("scope", F.length("scope")).alias("scope")), "scopes")  # its size is known then, and few folders are broadcast
+    return asked.join(scopes, "folder").drop("folder")
+
+
+def _meant(asked: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(scope, source, ord, target) of distinct asked (scope, source)."""
     star = F.instr("pattern", "*")
     a = aliases.select(
         "scope", "pattern", (star > 0).alias("open"), F.when(star > 0, F.substring_index("pattern", "*", 1)).otherwise(F.col("pattern")).alias("head"),
-        F.when(star > 0, F.expr("substr(pattern, instr(pattern, '*') + 1)")).otherwise("").alias("tail"),
-    ).distinct()
+        F.when(star > 0, F.expr("substr(pattern, instr(pattern, '*') + 1)")).otherwise("").alias("tail"), "ord", "target",
+    )
+    a = stored(a.groupBy("scope", "pattern", "open", "head", "tail").agg(F.collect_list(F.struct("ord", "target")).alias("targets")), "patterns")
     lengths = a.agg(F.coalesce(F.collect_set(F.length("head")), F.array().cast("array<int>")).alias("lengths"))  # one row
-    s = asked.select("scope", "source").distinct().join(F.broadcast(lengths)).select("scope", "source", F.explode(F.filter("lengths", lambda n: n <= F.length("source"))).alias("n"))
+    s = asked.join(F.broadcast(lengths)).select("scope", "source", F.explode(F.filter("lengths", lambda n: n <= F.length("source"))).alias("n"))
     met = s.select("scope", "source", F.expr("left(source, n)").alias("head")).join(a, ["scope", "head"])
     rest = F.length("source") - F.length("head") - F.length("tail")
     met = met.where(F.when(F.col("open"), (rest >= 0) & F.endswith("source", F.col("tail"))).otherwise(rest == 0))
-    best = F.max_by(F.struct("pattern", "open", F.expr("substr(source, length(head) + 1, length(source) - length(head) - length(tail))").alias("text")), F.struct(~F.col("open"), F.length("head"), F.length("tail")))
-    found = met.groupBy("scope", "source").agg(best.alias("b")).select("scope", "source", "b.*")
-    meant = found.join(aliases, ["scope", "pattern"]).select("scope", "source", "ord", F.when(F.col("open"), F.expr("replace(target, '*', text)")).otherwise(F.col("target")).alias("target"))
-    return asked.join(meant, ["scope", "source"]).select("path", "source", "ord", scalar.normal_path("target").alias("target"))
+    text = F.expr("substr(source, length(head) + 1, length(source) - length(head) - length(tail))")
+    best = F.max_by(F.struct("targets", "open", text.alias("text")), F.struct(~F.col("open"), F.length("head"), F.length("tail")))
+    found = met.groupBy("scope", "source").agg(best.alias("b")).select("scope", "source", "b.open", "b.text", F.explode("b.targets").alias("t"))
+    target = F.when(F.col("open"), F.expr("replace(t.target, '*', text)")).otherwise(F.col("t.target"))
+    return found.select("scope", "source", "t.ord", scalar.normal_path(target).alias("target"))
+
+
+def targets(imports: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(path, source, ord, target): what each import that fits an alias means, best first; imports (path, source).
+
+    Scopes and patterns are found by equality: a folder by all its parents, a source by those of its beginnings that are as
+    long as some pattern's. Only distinct folders and distinct sources of a scope are taken apart.
+    """
+    asked = _scoped(imports.select("path", "source").distinct(), aliases)
+    return asked.join(_meant(asked.select("scope", "source").distinct(), aliases), ["scope", "source"]).select("path", "source", "ord", "target")
 
 
 def edges(imports: DataFrame, files: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Distinct (src, dst, lazy[, ord]) paths: local imports, and those by alias; lazy if every import of dst in src is a dynamic one.
 
     An import means the first target, and of that the first candidate, which is a known file. Without aliases these are
-    the edges of graph.resolve_edges, and with ord they have the least one of theirs too.
+    the edges of graph.resolve_edges, and with ord they have the least one of theirs too. Files are looked up once for
+    each distinct source of a scope, not for each import.
     """
     i = imports.withColumn("ord", F.lit(0)) if "ord" not in imports.columns else imports
-    i = i.select(F.col("path").alias("src"), "source", "is_dynamic", "ord", "is_external", "resolved_path")
-    asked = i.where(~F.col("is_external")).select("src", "source", "is_dynamic", "ord", F.lit(0).alias("t"), F.coalesce("resolved_path", "source").alias("target"))
+    i = i.select("path", "source", "is_dynamic", "ord", "is_external", "resolved_path")
+    asked = i.where(~F.col("is_external")).select(F.lit(True).alias("local"), F.col("path").alias("place"), "source", F.lit(0).alias("t"), F.coalesce("resolved_path", "source").alias("target"), F.col("is_dynamic").alias("lazy"), "ord")
+    if aliases is not None:
+        outer = _scoped(i.where("is_external").select("path", "source", "is_dynamic", "ord"), aliases)
+        named = _meant(outer.select("scope", "source").distinct(), aliases)
+        asked = asked.unionByName(named.select(F.lit(False).alias("local"), F.col("scope").alias("place"), "source", F.col("ord").alias("t"), "target", F.lit(None).cast("boolean").alias("lazy"), F.lit(None).cast(i.schema["ord"].dataType).alias("ord")))
+    found = graph.known_candidates(asked.where("target <> ''"), files)
+    place = F.struct("t", "pos")
+    found = found.groupBy("local", "place", "source").agg(F.min(place).alias("at"), F.min_by("path", place).alias("dst"), F.bool_and("lazy").alias("lazy"), F.min("ord").alias("ord"))
+    told = found.where("local").select(F.col("place").alias("src"), "source", "at", "dst", "lazy", "ord")
     if aliases is not None:
-        outer = i.where("is_external")
-        named = targets(outer.select(F.col("src").alias("path"), "source"), aliases).select(F.col("path").alias("src"), "source", F.col("ord").alias("t"), "target")
-        asked = asked.unionByName(outer.join(named, ["src", "source"]).select(*asked.columns))
-    asked = asked.where("target <> ''").groupBy("src", "source", "t", "target").agg(F.bool_and("is_dynamic").alias("lazy"), F.min("ord").alias("ord"))
-    tried = asked.select("src", "source", "t", "lazy", "ord", F.posexplode(graph.import_candidates(F.col("target"))).alias("pos", "path"))
-    found = tried.join(files.select("path"), "path").groupBy("src", "source").agg(F.min_by("path", F.struct("t", "pos")).alias("dst"), F.bool_and("lazy").alias("lazy"), F.min("ord").alias("ord"))
-    edges = found.where("src <> dst").groupBy("src", "dst").agg(F.bool_and("lazy").alias("lazy"), F.min("ord").alias("ord"))
+        named = found.where("not local").select(F.col("place").alias("scope"), "source", "at", "dst")
+        told = told.unionByName(outer.join(named, ["scope", "source"]).select(F.col("path").alias("src"), "source", "at", "dst", F.col("is_dynamic").alias("lazy"), "ord"))
+    told = told.repartition("src")  # both groups below are of one src
+    edges = told.groupBy("src", "source").agg(F.min_by("dst", "at").alias("dst"), F.bool_and("lazy").alias("lazy"), F.min("ord").alias("ord")).where("src <> dst")
+    edges = edges.groupBy("src", "dst").agg(F.bool_and("lazy").alias("lazy"), F.min("ord").alias("ord"))
     return edges if "ord" in imports.columns else edges.drop("ord")
 
 

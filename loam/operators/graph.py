@@ -22,6 +22,47 @@ def import_candidates(target: Column) -> Column:
     return F.concat(F.array(t), script, any_)
 
 
+#: What may follow a key: nothing, or an extension, alone or behind /index.
+ENDS = ["", *[x for e in TRIED for x in (e, "/index" + e)]]
+
+
+def _extension(path: Column) -> tuple[Column, Column]:
+    """The place in TRIED, from 1, of a path's extension (0: none of them), and the path without it."""
+    last = F.substring_index(path, ".", -1)
+    known = F.when(F.contains(path, F.lit(".")), F.array_position(F.array(*[F.lit(e) for e in TRIED]), F.concat(F.lit("."), last))).otherwise(0).cast("int")
+    return known, F.left(path, F.length(path) - F.length(last) - 1)
+
+
+def candidate_keys(target: Column) -> Column:
+    """An array (key, kind, only), with nulls, of what known files are asked by: a candidate of import_candidates is a key and one of ENDS, or the only one."""
+    t = F.translate(target, "\\", "/")
+    bare = F.regexp_replace(t, r"\.(js|jsx|mjs|cjs)$", "")
+    known, stem = _extension(t)
+    key = lambda c, kind, only=None: F.struct(c.alias("key"), F.lit(kind).alias("kind"), (F.lit(None).cast("int") if only is None else only).alias("only"))
+    return F.array(F.when(bare != t, key(t, 1)).otherwise(key(t, 0)), F.when(bare != t, key(bare, 2)), F.when(known > 0, key(stem, 3, 2 * known - 1)))
+
+
+def path_keys(path: Column) -> Column:
+    """An array (key, end), with nulls, of the keys that a file is found by, two at most; end is a place in ENDS."""
+    known, stem = _extension(path)
+    key = lambda c, end: F.struct(c.alias("key"), end.alias("end"))
+    return F.array(F.when(known > 0, key(stem, 2 * known - 1)).otherwise(key(path, F.lit(0))), F.when((known > 0) & F.endswith(stem, F.lit("/index")), key(F.left(stem, F.length(stem) - 6), 2 * known)))
+
+
+def known_candidates(tried: DataFrame, files: DataFrame) -> DataFrame:
+    """tried (target, ...) with (pos, path) for each candidate of import_candidates that is a known file, in their order.
+
+    One to three rows are shuffled for each target, and one or two for each file, not one for each candidate.
+    """
+    keys = files.select(F.explode(F.array_compact(path_keys(F.col("path")))).alias("x")).select("x.*")
+    asked = tried.select("*", F.explode(F.array_compact(candidate_keys(F.col("target")))).alias("x")).select(*tried.columns, "x.*")
+    end, kind, extension = F.col("end"), F.col("kind"), F.floor((F.col("end") - 1) / 2).cast("int")
+    script = F.when((end > 0) & (extension < len(SCRIPT)), 1 + extension + F.when(end % 2 == 0, len(SCRIPT)).otherwise(0))
+    pos = F.when(kind == 3, F.when(end == F.col("only"), 0)).when(kind == 2, script).when((kind == 1) & (end > 0), end + 2 * len(SCRIPT)).otherwise(end)
+    found = asked.join(keys, "key").withColumn("pos", pos).where("pos is not null")
+    return found.select(*tried.columns, "pos", F.concat("key", F.get(F.array(*[F.lit(e) for e in ENDS]), "end")).alias("path"))
+
+
 def resolve_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
     """Distinct (src, dst) paths: each local import's first candidate that is a known file, other than the file itself.
 

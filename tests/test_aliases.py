@@ -86,3 +86,34 @@ def test_session_resolves_aliases(spark, tmp_path):
     assert sorted(tuple(r) for r in s._read("lazy_edges").select("src", "dst", "lazy").collect()) == [("src/a.ts", "lib/c.ts", True), ("src/a.ts", "src/b.ts", False)]
     assert sorted(tuple(r) for r in s.blast_radius("lib/c.ts").select("path", "depth").collect()) == [("src/a.ts", 1)]
     assert s.resolve("fix c", ["src/a.ts"]).count() == 1
+
+
+def test_known_candidates_are_those_of_the_list(spark):
+    rng = random.Random(22)
+    word = lambda: rng.choice(["a", "b", "index", "a.b", "ts", "x.js", ".ts", "d.mjs"])
+    names = lambda n: sorted({"/".join(word() for _ in range(rng.randint(1, 3))) + rng.choice(["", "", *graph.TRIED, "/index.ts", "/index.rb", ".js", ".cjs", "/index", "/"]) for _ in range(n)})
+    files, asked = names(500), names(900) + ["a\\b", ".js"]
+    f, a = spark.createDataFrame([(x,) for x in files], "path string"), spark.createDataFrame([(x,) for x in asked], "target string")
+    got = {}
+    for r in graph.known_candidates(a, f).collect():
+        got.setdefault(r.target, []).append((r.pos, r.path))
+    tried = {r.target: r.c for r in a.select("target", graph.import_candidates(F.col("target")).alias("c")).collect()}
+    known = set(files)
+    want = {t: [x for x in c if x in known] for t, c in tried.items() if known & set(c)}
+    first = lambda xs: list(dict.fromkeys(xs))
+    assert {t: first(x for _, x in sorted(c)) for t, c in got.items()} == {t: first(c) for t, c in want.items()} and len(want) > 100
+
+
+def test_candidates_are_not_shuffled(spark):
+    n = 20_000
+    files = spark.range(n).selectExpr("concat('src/f', id, '.ts') path")
+    i = spark.range(3 * n).selectExpr("concat('src/f', id % 20000, '.ts') path", "concat('@/f', (id * 7) % 20011) source", "cast(null as string) resolved_path", "true is_external", "id % 2 = 0 is_dynamic")
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+    def written():
+        bus.waitUntilEmpty(30_000)
+        return sum(store.executorList(False).apply(k).totalShuffleWrite() for k in range(store.executorList(False).size()))
+
+    before = written()
+    rows = aliases.edges(i, files, aliases.table(spark, {"@/*": ["src/*"]})).count()
+    want = {(k % n, (k * 7) % 20011) for k in range(3 * n)}
+    assert rows == sum(a != b and b < n for a, b in want) and written() - before < 40 * 3 * n
