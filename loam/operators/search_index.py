@@ -42,7 +42,7 @@ _SCHEMAS = {
 
 
 def _terms(text: Column) -> Column:
-    return F.filter(F.split(text, _GAP), lambda t: t != "")
+    return F.array_remove(F.split(text, _GAP), "")
 
 
 def _content_score(hits: Column, chars: Column, idf: Column) -> Column:
@@ -97,7 +97,7 @@ def _counted(content: Column, title: Column, path: Column, tags: Column) -> Colu
         return F.when(~has_end(own), told(own, n, where(1))).when(first, told(term(own), hits, F.right(own, F.lit(1)).cast("int") + where(1)))
 
     def runs(s: Column) -> Column:
-        ends = F.filter(F.transform(s, lambda t, k: F.when(t != F.coalesce(F.get(s, k + 1), F.lit("")), k)), lambda k: k.isNotNull())
+        ends = F.filter(F.transform(s, lambda t, k: F.when(~t.eqNullSafe(F.get(s, k + 1)), k)), lambda k: k.isNotNull())
         return _let(ends, lambda e: F.transform(e, lambda at, k: one(s, at, at - F.coalesce(F.get(e, k - 1), F.lit(-1)))))
 
     return _let(together, runs)
@@ -114,15 +114,16 @@ def build(artifacts: DataFrame, folder: str, share: int = SHARE) -> None:
     counted = x.select("ord", "type", F.length("lc").alias("chars"), _counted(F.col("lc"), F.col("title"), F.col("lp"), F.col("lt")).alias("terms"))
     rows = counted.select("ord", "type", "chars", F.explode_outer("terms").alias("f")).where("f is not null").select("ord", "type", "chars", "f.*")
     is_in = lambda k: (F.col("where").bitwiseAND(F.lit(k)) > 0).cast("int")
-    rows = rows.select("term", "ord", "type", "chars", "hits", is_in(1).alias("title"), is_in(4).alias("base"), is_in(2 + 4).alias("path"))
-    fixed = _name_score(F.col("base"), F.col("path")) + _title_score(F.col("title"))
+    fixed = _name_score(is_in(4), is_in(2 + 4)) + _title_score(is_in(1))
     level = F.when(F.col("hits") > 0, F.ceil(F.log2(F.col("hits") * 1000.0 / F.greatest("chars", F.lit(1))) * LEVELS)).cast("int")
-    placed = rows.select("term", fixed.alias("fixed"), level.alias("level"), "ord", "type", "chars", "hits", "title", "base", "path")
-    placed.sortWithinPartitions("term", F.desc("fixed"), F.desc("level"), "ord").write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", share).parquet(f"{folder}/postings")
+    placed = rows.select("term", fixed.alias("fixed"), level.alias("level"), "ord", "type", "chars", "hits", "where").sortWithinPartitions("term", F.desc("fixed"), F.desc("level"))
+    placed = placed.select("term", "fixed", "level", "ord", "type", "chars", "hits", is_in(1).alias("title"), is_in(4).alias("base"), is_in(2 + 4).alias("path"))  # after sorting, as fewer bytes are sorted so
+    placed.write.mode("overwrite").option("compression", "zstd").option("maxRecordsPerFile", share).parquet(f"{folder}/postings")
     terms = spark.read.schema(_SCHEMAS["postings"]).parquet(f"{folder}/postings").groupBy("term").agg(F.count(F.lit(1)).alias("rows"), F.max("fixed").alias("fixed"), F.max("level").alias("level"))
     terms.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/terms")
-    tags = x.select("ord", "type", F.explode("lt").alias("tag")).groupBy("tag", "ord").agg(F.first("type").alias("type"), F.count(F.lit(1)).alias("n"))
-    tags.repartition("tag").sortWithinPartitions("tag").write.mode("overwrite").parquet(f"{folder}/tags")
+    tags = x.select("ord", "type", "lt", F.explode(F.array_distinct("lt")).alias("tag"))
+    n = F.size(F.filter("lt", lambda t: t.eqNullSafe(F.col("tag")))).cast("long")
+    tags.select("tag", "ord", "type", n.alias("n")).sortWithinPartitions("tag").write.mode("overwrite").parquet(f"{folder}/tags")
 
 
 def _occurrences(term: Column, word: str) -> Column:

@@ -119,3 +119,12 @@ def test_texts_are_not_shuffled(spark, tmp_path):
     assert shuffled(spark, lambda: search_index.build(a, str(tmp_path / "i"))) < 500_000  # the texts are 8 MB, their terms 24 kB
     index = search_index.Index(spark, str(tmp_path / "i"))
     assert same(index, a, f"{words[0]} {words[1][:30]}", None, 10) == 10
+
+
+def test_tags_are_not_shuffled(spark, tmp_path):
+    tags = [["One", "one", "two"], ["x" * 200], [], [], ["other"]]
+    a = spark.createDataFrame([(k, "p", "m", "text", tags[k % 5]) for k in range(20_000)], SCHEMA)
+    assert shuffled(spark, lambda: search_index.build(a, str(tmp_path / "i"))) < 10_000
+    index = search_index.Index(spark, str(tmp_path / "i"))
+    assert sorted(map(tuple, index._read("tags").where("ord < 5").select("ord", "tag", "n").collect())) == [(0, "one", 2), (0, "two", 1), (1, "x" * 200, 1), (4, "other", 1)]
+    assert same(index, a, "one text", None, 10) == 10
