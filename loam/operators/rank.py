context_json: documents are scored once into a narrow table, contents are read only for what is shown

Symptom: context_json read the documents five times, scored them twice over and shuffled every content twice, for a package of some thirty rows.
Evidence: on 0.51 GB it took 156 CPU seconds a GB, 1225 MB shuffled, 0.64 GB of disk and 1794870 rows read; at 30 GB 718 MB broadcast or sent to the driver. The two scoring stages (21 and 24 s of JVM CPU) and the two sorting contents by id (9 and 8 s) recur.
Fix: rank.sized keeps id, ord, type, path, score and tokens, stored once; first_of_id works on it and tells each id's best score, fill_budget hands type, path and best on, so sections joins nothing; a package looks up contents by a semi join with its few stored rows; the driver gets no ids.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 863 -> 468 s, shuffle 2.40 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 4.90 -> 2.03 GB, longest task 29 -> 23 s, most memory of a task 237 -> 71 MB; at 6 GB of input CPU 3160 -> 1379 s, shuffle 14.55 -> 0.69 GB, spill 0.00 -> 0.00 GB, read 29.65 -> 12.21 GB, longest task 34 -> 29 s, most memory of a task 237 -> 117 MB; with hot keys, at 1 GB of input CPU 510 -> 333 s, shuffle 0.50 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.92 -> 0.40 GB, longest task 16 -> 16 s, most memory of a task 172 -> 118 MB.

@@ -126,10 +126,20 @@ def relevance(artifacts: DataFrame, task: str, as_of: str, operation: str = "aut
     return f.withColumn("score", 0.35 * F.col("keyword") + 0.30 * F.col("proximity") + 0.20 * F.col("operation") + 0.10 * F.col("recency") + 0.05 * F.col("centrality"))
 
 
+def sized(scored: DataFrame) -> DataFrame:
+    """(id, ord, type, path, score, tokens): all that a budget and its sections look at, without the contents."""
+    return scored.select("id", "ord", "type", "path", "score", scalar.token_count(F.col("content")).alias("tokens"))
+
+
 def first_of_id(scored: DataFrame) -> DataFrame:
-    """Each row with type, path and content of the first artifact (by ord) of its id, as equal contents share an id."""
-    first = scored.groupBy("id").agg(F.min_by(F.struct("type", "path", "content"), "ord").alias("a_"))
-    return scored.drop("type", "path", "content").join(first, "id").select("*", "a_.type", "a_.path", "a_.content").drop("a_")
+    """Each row with type, path and content of the first artifact (by ord) of its id, as equal contents share an id.
+
+    Of sized rows it tells the tokens in place of the content, and best, the highest score of the id.
+    """
+    small = "tokens" in scored.columns
+    own, best = ["type", "path", "tokens" if small else "content"], [F.max("score").alias("best")] if small else []
+    first = scored.groupBy("id").agg(F.min_by(F.struct(*own), "ord").alias("a_"), *best)
+    return scored.drop(*own).join(first, "id").select("*", *[f"a_.{c}" for c in own]).drop("a_")
 
 
 def architecture_share(text: str | None, budget: int) -> str | None:
@@ -139,7 +149,7 @@ def architecture_share(text: str | None, budget: int) -> str | None:
 
 
 def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None, chunk: int = 10_000) -> DataFrame:
-    """(ord, score, id, tokens, status): selected or excluded, in order of score and ord; what comes after the budget is used up is neither.
+    """(ord, score, id, tokens, status): selected or excluded, in order of score and ord; what comes after the budget is used up is neither. With type, path and best too, if first_of_id told them of sized rows.
 
     An architecture text comes first, cut to a quarter of the budget. The scan is sequential, but it looks only at rows
     that still fit: a chunk of the best of them at a time is taken to the driver, and what is selected there (one row for
@@ -150,14 +160,16 @@ def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None,
         used, quarter = -(-len(architecture_share(architecture, budget)) // 4), budget // 4
         if used > quarter:  # it was cut, and the mark of the cut is longer than what it replaces
             limit = budget - quarter + used
-    rows = stored(scored.select("ord", "score", "id", scalar.token_count(F.col("content")).alias("tokens")), "scores")  # scored once, scanned often
+    told = ["type", "path", "best"] if "best" in scored.columns else []
+    tokens = F.coalesce("tokens", F.lit(0)) if "tokens" in scored.columns else scalar.token_count(F.col("content"))
+    rows = stored(scored.select("ord", "score", "id", tokens.alias("tokens"), *told), "scores")  # scored once, scanned often
     after = lambda score, ord_: (F.col("score") < score) | ((F.col("score") == score) & (F.col("ord") > ord_))
     chosen, last, stop = [], None, None
     if used >= budget:
         return rows.limit(0).withColumn("status", F.lit("excluded"))
     while stop is None:
         fit = rows.where((F.col("tokens") > 0) & (F.col("tokens") <= limit - used))
-        best = (fit if last is None else fit.where(after(*last))).orderBy(F.desc("score"), "ord").limit(chunk).collect()
+        best = (fit if last is None else fit.where(after(*last))).select("ord", "score", "tokens").orderBy(F.desc("score"), "ord").limit(chunk).collect()
         for r in best:
             last = (r["score"], r["ord"])
             if used + r["tokens"] <= limit:
@@ -171,15 +183,16 @@ def fill_budget(scored: DataFrame, budget: int, architecture: str | None = None,
     reached = rows if stop is None else rows.where(~after(*stop))
     picked = scored.sparkSession.createDataFrame(chosen, scored.select("score", "ord").schema).withColumn("took", F.lit(True))
     status = F.when(F.coalesce("took", F.col("tokens") == 0), "selected").otherwise("excluded")
-    return reached.join(F.broadcast(picked), ["score", "ord"], "left").select("ord", "score", "id", "tokens", status.alias("status"))
+    return reached.join(F.broadcast(picked), ["score", "ord"], "left").select("ord", "score", "id", "tokens", *told, status.alias("status"))
 
 
 def sections(filled: DataFrame, scored: DataFrame) -> DataFrame:
     """Selected rows with their section; types that no section shows have none. An id counts by its best score."""
-    best = scored.groupBy("id").agg(F.max("score").alias("best"), F.min_by("type", "ord").alias("type"), F.min_by("path", "ord").alias("path"))
-    s = F.col("type")
+    chosen, s = filled.where("status = 'selected'"), F.col("type")
+    if "best" not in filled.columns:
+        chosen = chosen.join(scored.groupBy("id").agg(F.max("score").alias("best"), F.min_by("type", "ord").alias("type"), F.min_by("path", "ord").alias("path")), "id")
     section = F.when((s == "module_summary") & (F.col("best") > 0.4), "primary").when(s == "module_summary", "supporting").when(s == "execution_flow", "flows").when(s == "gotcha_entry", "gotchas")
-    return filled.where("status = 'selected'").join(best, "id").select("ord", "score", "id", "path", "type", section.alias("section"))
+    return chosen.select("ord", "score", "id", "path", "type", section.alias("section"))
 
 
 # Headings of a package's text form.
@@ -195,13 +208,15 @@ def package_counts(filled: DataFrame, architecture: str | None = None) -> DataFr
 
 
 def package(sectioned: DataFrame, contents: DataFrame, form: str = "json", architecture: str | None = None, filled: DataFrame | None = None, resolved_ms: int | None = None) -> DataFrame:
-    """One row of text of the whole package: json, compact or text. contents: (id, content); architecture: its share.
+    """One row of text of the whole package: json, compact or text. contents: (id, content), and ord where the first of an id by it counts; architecture: its share.
 
     With filled (what fill_budget returned) json and text also tell the tokens and how many artifacts were left out; which
     ones is in filled, as their list can be as long as the table. resolved_ms, how long it took, is told if given. The
     compact form has no gotchas. An empty selection gives a row too.
     """
-    rows = sectioned.where("section is not null").join(contents.groupBy("id").agg(F.first("content").alias("content")), "id")
+    rows = stored(sectioned.where("section is not null"), "sectioned")  # its size is known then, and few rows are broadcast, so other contents are not dealt out
+    content = F.min_by("content", "ord") if "ord" in contents.columns else F.first("content")
+    rows = rows.join(contents.join(rows.select("id"), "id", "left_semi").groupBy("id").agg(content.alias("content")), "id")
     of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("score")).alias("s"), "ord", "path", "content")))), lambda x: F.struct(x["path"].alias("path"), x["content"].alias("content")))
     one = rows.agg(*[of(s).alias(s) for s in ("primary", "supporting", "flows", "gotchas")])
     if filled is not None:

@@ -474,8 +474,9 @@ p AS (SELECT s.score, ord, told.path, json_object('path', told.path, 'content',
   FROM f JOIN s USING (rn) JOIN told ON told.id = s.id JOIN firsts ON firsts.id = s.id WHERE status = 'selected')
 SELECT CAST(json_object(""" + ", ".join(f"'{k}', " + (f"coalesce(list({c} ORDER BY score DESC, ord) FILTER (section = '{k}'), CAST([] AS JSON[]))" if c else "'Overview.'") for k, c in (("primary", "whole"), ("supporting", "whole"), ("architecture", None), ("flows", "c"), ("gotchas", "c"))) + ") AS VARCHAR) AS package FROM p")
 def context_json(spark, sf_dir):
-    s = rank.first_of_id(_scored(spark, sf_dir))
-    return rank.package(rank.sections(rank.fill_budget(s, 4000), s), s.select("id", "content"), "json", "Overview.")
+    scored = _scored(spark, sf_dir)
+    s = rank.first_of_id(stored(rank.sized(scored), "sized"))  # scored once, read twice
+    return rank.package(rank.sections(rank.fill_budget(s, 4000), s), scored.select("id", "ord", "content"), "json", "Overview.")
 
 
 # Parsers, on generated code
