context_compact: no contents are stored for the whole table, and unused counts are not taken

Symptom: context_compact stored every scored row with its content, then read that table again for budget, sections and contents, and shuffled all contents twice, to show a dozen.
Evidence: before these changes 0.51 GB took 118 CPU seconds a GB, 1165 MB shuffled, 0.95 GB of disk and 1769650 rows read; at 30 GB 629 MB broadcast or sent to the driver. Two stages sorted contents by id (534 and 584 MB written), and the plan had a nested loop join with counts that this form doesn't show.
Fix: the query scores into the narrow stored table and passes the scored documents for contents, which the package looks up only for shown rows; the compact form leaves package_counts out. The filled budget is still stored whole, excluded rows too.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 651 -> 529 s, shuffle 2.27 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 3.26 -> 2.02 GB, longest task 26 -> 25 s, most memory of a task 203 -> 71 MB; at 6 GB of input CPU 2316 -> 1565 s, shuffle 13.76 -> 0.69 GB, spill 0.00 -> 0.00 GB, read 19.70 -> 12.19 GB, longest task 34 -> 35 s, most memory of a task 340 -> 117 MB; with hot keys, at 1 GB of input CPU 451 -> 331 s, shuffle 0.47 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.62 -> 0.40 GB, longest task 18 -> 15 s, most memory of a task 136 -> 118 MB.

@@ -219,7 +219,7 @@ def package(sectioned: DataFrame, contents: DataFrame, form: str = "json", archi
     rows = rows.join(contents.join(rows.select("id"), "id", "left_semi").groupBy("id").agg(content.alias("content")), "id")
     of = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("section") == s, F.struct((-F.col("score")).alias("s"), "ord", "path", "content")))), lambda x: F.struct(x["path"].alias("path"), x["content"].alias("content")))
     one = rows.agg(*[of(s).alias(s) for s in ("primary", "supporting", "flows", "gotchas")])
-    if filled is not None:
+    if filled is not None and form != "compact":
         one = one.crossJoin(F.broadcast(package_counts(filled, architecture)))  # one row each
     no_text = F.array().cast("array<string>")
     if form == "json":

@@ -96,9 +96,10 @@ n AS (SELECT CAST({CUT} + coalesce(sum(t) FILTER (status = 'selected'), 0) AS BI
 
 
 def _package(spark, sf_dir, form: str) -> DataFrame:
-    s = stored(rank.first_of_id(_scored(spark, sf_dir)), "scored")
+    scored = _scored(spark, sf_dir)
+    s = rank.first_of_id(stored(rank.sized(scored), "sized"))  # scored once, read twice
     filled = stored(rank.fill_budget(s, BUDGET, ARCHITECTURE), "filled")
-    return rank.package(rank.sections(filled, s), s.select("id", "content"), form, rank.architecture_share(ARCHITECTURE, BUDGET), filled)
+    return rank.package(rank.sections(filled, s), scored.select("id", "ord", "content"), form, rank.architecture_share(ARCHITECTURE, BUDGET), filled)
 
 
 def _section_sql(section: str, title: str, counted: bool) -> str:

@@ -31,6 +31,7 @@ def scans(monkeypatch):
         plans = [x._jdf.queryExecution().optimizedPlan().collectLeaves() for x in (*written, df)]
         return sum("doc_id#" in leaves.apply(k).toString() for leaves in plans for k in range(leaves.size()))
 
+    count.written = written
     return count
 
 
@@ -40,6 +41,14 @@ def test_json_scores_documents_once(spark, documents, scans):
     assert '"path":"src/src4/en/doc_14.md"' in df.first()["package"]
 
 
+def test_compact_stores_no_contents_of_the_table(spark, documents, scans):
+    df = adopted.context_compact(spark, documents)
+    assert scans(df) == 2
+    assert not any("content" in x.columns for x in scans.written)
+    assert "status#" not in "".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x)  # counts of the filled budget are told by other forms only
+    assert "## src/src4/en/doc_14.md\n" + "x" * 200 in df.first()["package"]
+
+
 def test_odd_rows(spark):
     """Repeated ids with contents that differ, rows that come twice, null ids, scores, contents, types and ords."""
     scored = spark.createDataFrame(
