context_sections: documents are scanned once, and sections come with the filled budget

Symptom: context_sections scanned the documents four times, scored them twice over and shuffled their contents, though it shows no content.
Evidence: before these changes 0.51 GB took 152 CPU seconds a GB, 1208 MB shuffled, 0.62 GB of disk and 1538460 rows read; at 30 GB 705 MB broadcast or sent to the driver. The scoring stage recurred (24 and 25 s of JVM CPU), and stages sorted or joined contents by id (584 MB written).
Fix: it scores into the narrow stored table too, so the joins by id have no contents, and the sections are told from what the filled budget hands on, without a second pass over scored rows.
Effect, together with 3 more commits on this code: at 1 GB of input CPU 778 -> 495 s, shuffle 2.36 -> 0.12 GB, spill 0.00 -> 0.00 GB, read 3.93 -> 1.06 GB, longest task 27 -> 28 s, most memory of a task 170 -> 71 MB; at 6 GB of input CPU 2757 -> 1397 s, shuffle 14.31 -> 0.69 GB, spill 0.00 -> 0.00 GB, read 23.82 -> 6.34 GB, longest task 28 -> 35 s, most memory of a task 237 -> 117 MB; with hot keys, at 1 GB of input CPU 555 -> 341 s, shuffle 0.48 -> 0.03 GB, spill 0.00 -> 0.00 GB, read 0.74 -> 0.22 GB, longest task 20 -> 16 s, most memory of a task 103 -> 118 MB.

@@ -464,7 +464,7 @@ def budget_fill_architecture(spark, sf_dir):
 
 @query(fill_sql(30000) + ", best AS (SELECT id, max(score) AS score FROM s GROUP BY id) SELECT ord, s.id, CASE WHEN ty = 'module_summary' AND best.score > 0.4 THEN 'primary' WHEN ty = 'module_summary' THEN 'supporting' WHEN ty = 'execution_flow' THEN 'flows' WHEN ty = 'gotcha_entry' THEN 'gotchas' END AS section FROM f JOIN s USING (rn) JOIN best ON best.id = s.id WHERE status = 'selected'")
 def context_sections(spark, sf_dir):
-    s = rank.first_of_id(_scored(spark, sf_dir))
+    s = rank.first_of_id(stored(rank.sized(_scored(spark, sf_dir)), "sized"))  # scored once, read twice
     return rank.sections(rank.fill_budget(s, 30000), s).select("ord", "id", "section")
 
 

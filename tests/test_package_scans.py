@@ -41,6 +41,17 @@ def test_json_scores_documents_once(spark, documents, scans):
     assert '"path":"src/src4/en/doc_14.md"' in df.first()["package"]
 
 
+def test_sections_read_documents_once(spark, documents, scans):
+    df = catalogue.context_sections(spark, documents)
+    assert scans(df) == 1 and not any("documents" in f for f in df.inputFiles())
+    plan = df._jdf.queryExecution().optimizedPlan()
+    assert "Aggregate" not in plan.toString() and plan.collectLeaves().size() == 2  # the filled budget and what was picked
+    whole = rank.first_of_id(catalogue._scored(spark, documents))  # with contents
+    want = rank.sections(rank.fill_budget(whole, 30000), whole).select("ord", "id", "section")
+    assert sorted(map(repr, df.collect())) == sorted(map(repr, want.collect()))
+    assert {(r.ord, r.section) for r in df.collect()} >= {(1, "flows"), (2, "flows"), (9, "gotchas")}
+
+
 def test_compact_stores_no_contents_of_the_table(spark, documents, scans):
     df = adopted.context_compact(spark, documents)
     assert scans(df) == 2
