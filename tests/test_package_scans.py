@@ -87,5 +87,12 @@ def test_contents_of_other_ids_are_not_dealt_out(spark):
     sectioned = spark.createDataFrame([(1, 0.5, "a", "p", "module_summary", "primary")], "ord long, score double, id string, path string, type string, section string")
     df = rank.package(sectioned, contents, "compact")
     assert df.first()["package"] == "## p\nzeroth"
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.index("Join LeftSemi") > plan.index("min_by(content")  # below the aggregate, so before its shuffle
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(df).index("Join LeftSemi") > plan(df).index("min_by(content")  # below the aggregate, so before its shuffle
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:  # where too many are shown, contents are combined by id before they are dealt out
+        many = rank.package(sectioned, contents, "compact")
+        assert many.first()["package"] == "## p\nzeroth"
+        assert plan(many).index("Join LeftSemi") < plan(many).index("min_by(content")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
